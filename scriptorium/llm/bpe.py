@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scriptorium.llm.common import slices, texts_of, tokenizer_path
+from scriptorium.llm.common import schema_of, slices, texts_of, tokenizer_path
 from scriptorium.llm.pieces import SPACE, Pieces
 
 #: The byte-level pre-tokeniser's pattern (fixed value).
@@ -97,8 +97,8 @@ class Bpe:
             out.append(np.array(ids, "<u4").tobytes())
         return out
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.pieces.ids(text), "<u4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(x, "<u4") for x in self.pieces.ids(texts)]
 
     def decode(self, ids: np.ndarray) -> str:
         """Concatenate the vocabulary's strings; bytes that are not UTF-8 become U+FFFD."""
@@ -123,14 +123,14 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str = "
     row, no shuffle.
     """
     source = docs.select(*keep, text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_tokens long", *["ids array<int>"] * ids, *["decoded string"] * decoded, *["ids_sha256 string", "decoded_sha256 string"] * digests])
+    schema = schema_of(docs.select(*keep), ", ".join(["n_tokens long", *["ids array<int>"] * ids, *["decoded string"] * decoded, *["ids_sha256 string", "decoded_sha256 string"] * digests]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path(vocabulary))
         for whole in batches:
             for batch in slices(whole, text):
-                coded = [bpe.encode(t) for t in texts_of(batch, text)]
-                out = {k: batch.column(i) for i, k in enumerate(keep)}
+                coded = bpe.encode(texts_of(batch, text))
+                out = {k: batch.column(i) for i, k in enumerate(keep)}  # the text comes last
                 out["n_tokens"] = pa.array([len(x) for x in coded], pa.int64())
                 if ids:
                     out["ids"] = pa.array([x.astype("i4") for x in coded], pa.list_(pa.int32()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -17,13 +17,17 @@ NULL_KEY = -(2**63)
 #: Text bytes that one Python step handles at once.
 SLICE_BYTES = 4 << 20
 
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-scriptorium-")
+        found = _OWN[app]
     return found.rstrip("/")
 
 
@@ -34,13 +38,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: later steps survive the loss of executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or absolute path, and the path in it; works for every scheme that pyarrow knows."""
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "", 1))
 
 
 def key_of(column: str = "doc_id") -> Column:
@@ -65,6 +69,49 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """UTF-8 bytes of a column, nulls as empty."""
+    return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()]
+
+
+def schema_of(df: DataFrame, extra: str) -> str:
+    """DDL of df's columns and then of the extra ones."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), extra])
+
+
+def with_columns(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *extra.values()], names=[*batch.schema.names, *extra])
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str, most_rows: int | None = None) -> Iterator[tuple[object, pa.Table]]:
+    """Rows of a partition that is sorted by the column, as one table for each run of equal values (or for a part of it)."""
+    held: list[pa.RecordBatch] = []
+    value, rows = None, 0
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        begin = 0
+        for i in range(1, len(keys) + 1):
+            if i < len(keys) and keys[i] == keys[begin]:
+                continue
+            if held and (value != keys[begin] or (most_rows and rows >= most_rows)):
+                yield value, pa.Table.from_batches(held)
+                held, rows = [], 0
+            value = keys[begin]
+            held.append(batch.slice(begin, i - begin))
+            rows += i - begin
+            begin = i
+    if held:
+        yield value, pa.Table.from_batches(held)
+
+
+def put_file(uri: str, fill: Callable[[object], None]) -> None:
+    """Write one file; its name must be new for each attempt, so that a lost attempt leaves only an unnamed orphan."""
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        fill(out)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; an absolute path is taken as it is."""
     if os.path.isabs(name):

@@ -1,8 +1,8 @@
 """Cut texts into pieces that tokenisers treat independently, and keep the pieces' ids in a bounded store.
 
 A cut stands before each blank that a word follows: a pre-token never goes over such a place. Texts without double or
-final blanks are cut by str.split alone; the others by a pattern. A piece enters the store when it is met for the second
-time, so rare words don't push out common ones.
+final blanks are cut by str.split alone; the others by a pattern. The store has two generations: when the young one is
+full it becomes the old one, so pieces that are met again stay and rare ones go.
 """
 
 from __future__ import annotations
@@ -13,43 +13,48 @@ from collections.abc import Callable
 #: Unicode White_Space, which is what \s means in the byte-level pre-tokeniser.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-KEPT = 250_000
-DOOR = 1 << 22
+KEPT = 500_000
+LONGEST = 48
 
 
 class Pieces:
-    """encode_many turns pieces into their ids as little-endian 32-bit integers; ids(text) concatenates those of a text."""
+    """encode_many turns pieces into their ids as bytes; ids(texts) concatenates those of each text."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], kept: int = KEPT):
-        self.encode_many, self.kept = encode_many, kept
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.door, self.passed = bytearray(DOOR), 0
-
-    def _of(self, store: dict[str, bytes], lead: str, pieces: list[str]) -> list[bytes]:
-        out = list(map(store.get, pieces))
-        if None in out:
-            missing = [i for i, x in enumerate(out) if x is None]
-            for i, ids in zip(missing, self.encode_many([lead + pieces[i] for i in missing]), strict=True):
-                out[i], p = ids, pieces[i]
-                if len(p) > 48:
-                    continue
-                h = hash(p) & (DOOR - 1)
-                if self.door[h]:
-                    if len(store) >= self.kept:
-                        store.clear()
-                    store[p] = ids
-                else:
-                    self.door[h] = 1
-                    self.passed += 1
-                    if self.passed > DOOR // 2:
-                        self.door, self.passed = bytearray(DOOR), 0
+        self.encode_many, self.half = encode_many, kept // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _of(self, pieces: list[str]) -> list[bytes]:
+        out = list(map(self.young.get, pieces))
+        if None not in out:
+            return out
+        missing: dict[str, bytes] = {}
+        holes, old = [i for i, x in enumerate(out) if x is None], self.old
+        for i in holes:
+            p = pieces[i]
+            if (y := old.get(p)) is None:
+                missing[p] = b""
+            else:
+                out[i] = self.young[p] = y
+        if missing:
+            missing = dict(zip(missing, self.encode_many([*missing]), strict=True))
+            for i in holes:
+                if out[i] is None:
+                    out[i] = missing[pieces[i]]
+            self.young.update(missing if max(map(len, missing)) <= LONGEST else {p: x for p, x in missing.items() if len(p) <= LONGEST})
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
         return out
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "  " in text or text[-1] == " ":
-            return b"".join(self._of(self.plain, "", CHUNK.findall(text)))
-        first, *rest = text.split(" ")
-        return b"".join(([*self._of(self.plain, "", [first])] if first else []) + (self._of(self.spaced, " ", rest) if rest else []))
+    def ids(self, texts: list[str]) -> list[bytes]:
+        pieces: list[str] = []
+        ends = []
+        for text in texts:
+            if "  " in text or "\0" in text or text[-1:] == " ":
+                pieces += CHUNK.findall(text)
+            elif text:
+                pieces += text.replace(" ", "\0 ").removeprefix("\0").split("\0")
+            ends.append(len(pieces))
+        coded = self._of(pieces)
+        return [b"".join(coded[a:b]) for a, b in zip([0, *ends], ends)]
