@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, near_dups, token_counts, token_store, warc
+from scriptorium.llm import bpe, near_dups, suffix_dedup, token_counts, token_store, warc
 from scriptorium.llm.common import NULL_KEY, new_path
 
 
@@ -36,6 +36,10 @@ def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, found again in flat files by their separators."""
     path = new_path(spark, "flat")
@@ -45,7 +49,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_warc, op3_bpe, op5_near_dups, op8_token_counts)}
+    return {f.__name__: f for f in (op1_token_ids, op2_warc, op3_bpe, op5_near_dups, op6_suffix_dedup, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
