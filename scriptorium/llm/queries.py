@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, near_dups, suffix_dedup, token_counts, token_store, warc
+from scriptorium.llm import bpe, near_dups, quality, sharding, suffix_dedup, token_counts, token_store, warc
 from scriptorium.llm.common import NULL_KEY, new_path
 
 
@@ -40,6 +40,15 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"), [1.0] * 16)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "fallback_share", "entropy")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, found again in flat files by their separators."""
     path = new_path(spark, "flat")
@@ -49,7 +58,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_warc, op3_bpe, op5_near_dups, op6_suffix_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_token_ids, op2_warc, op3_bpe, op5_near_dups, op6_suffix_dedup, op7_sharding, op8_token_counts, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
