@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, near_dups, quality, sharding, suffix_dedup, token_counts, token_store, warc
+from scriptorium.llm import bpe, decontaminate, licences, near_dups, quality, sharding, suffix_dedup, token_counts, token_store, warc
 from scriptorium.llm.common import NULL_KEY, new_path
 
 
@@ -31,6 +31,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ids=False, digests=True)
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -57,8 +61,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(token_counts.scan(spark, path, files), ["file", "nth"]).select("doc_id", "n_tokens")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_warc, op3_bpe, op5_near_dups, op6_suffix_dedup, op7_sharding, op8_token_counts, op9_quality)}
+    return {f.__name__: f for f in (op1_token_ids, op2_warc, op3_bpe, op4_licences, op5_near_dups, op6_suffix_dedup, op7_sharding, op8_token_counts, op9_quality, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
