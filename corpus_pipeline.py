@@ -1,5 +1,50 @@
-"""Corpus pipeline (being built)."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, test items, then token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
+docs. All but the last return the columns of documents; a stage drops rows or shortens texts, and changes nothing else.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm import bpe, decontaminate, near_dups, quality, suffix_dedup
+from scriptorium.llm.common import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the tokeniser bands keep."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dups.one_of_each(docs, words=5, percent=80)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that a repeated string of 400 bytes covers; a document may be left empty."""
+    return suffix_dedup.remove(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of benchmark."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the digests of ids and decoded text."""
+    return bpe.encode(docs, digests=True)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("test_items", test_items), ("token_ids", token_ids)]
+#: No SQL expresses the tokeniser measures, the merges and the byte strings; tests/llm compare with brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
