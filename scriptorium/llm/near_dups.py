@@ -7,7 +7,7 @@ reaches the threshold falls under `miss`; what survives is confirmed on the full
 No bucket is expanded into its pairs. First, every member of a bucket is only paired with the bucket's least class, and the links
 found give components. Buckets that still hold more than one component go on: they are dealt out as pairs of blocks of bounded
 size, and within such a pair of blocks only members of different components are compared, so that a dense group costs about
-its size in links. Links found there join the components in a last pass. A pair at the threshold shares no band with
+its size in links: the members outside the component of the bucket's least class meet its blocks and each other. Links found there join the components in a last pass. A pair at the threshold shares no band with
 probability (1 - threshold**ROWS)**BANDS, 5.4e-6 at 0.8.
 
 Cases: null and empty texts and texts without words have no shingles and are linked with nothing; texts with fewer words than a
@@ -35,7 +35,7 @@ HASHES = BANDS * ROWS
 #: Signature positions compared at once, and the posterior probability under which a candidate is dropped.
 BATCH, MISS = 24, 1e-6
 #: Members of one block of a bucket.
-BLOCK = 128
+BLOCK = 256
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -167,13 +167,22 @@ def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, key: st
     first = written(compared.join(texted.toDF("b", "u"), "b").join(texted.toDF("a", "t"), "a").select("a", "b", "t", "u").mapInArrow(confirm, "a long, b long"), "links")
 
     labels = components(first)
-    labelled = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    open_ = labelled.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n")).where("c != d").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = labelled.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
-    dealt = placed.select("band", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
+    labelled = members.select("band", "node", "first").join(labels, "node", "left").select("band", "node", "first", F.coalesce("component", "node").alias("component"))
+    main = labelled.where("node = first").select("band", F.col("component").alias("main"))
+    sided = labelled.drop("first").join(main, "band").select("band", "node", "component", (F.col("component") != F.col("main")).alias("aside"))
+    sided = written(sided, "sided")
+    # written, so that the joins with it can be split where a bucket is large
+    open_ = written(sided.groupBy("band").agg(F.count_if("aside").alias("a"), F.count_if(~F.col("aside")).alias("m")).where("a > 0").select("band", F.ceil(F.col("a") / block).cast("int").alias("a"), F.ceil(F.col("m") / block).cast("int").alias("m")), "open")
+    placed = sided.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("node", "band"), F.when(F.col("aside"), F.col("a")).otherwise(F.col("m"))).cast("int"))
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # members of other components meet each block of the main one, and each other; the main component doesn't meet itself
+    outer = placed.where("aside").select("band", F.lit(0).alias("kind"), F.col("block").alias("i"), F.explode(count("m")).alias("j"), "node", "component", F.lit(0).alias("part"))
+    inner = placed.where("not aside").select("band", F.lit(0).alias("kind"), F.explode(count("a")).alias("i"), F.col("block").alias("j"), "node", "component", F.lit(1).alias("part"))
+    apart = placed.where("aside").withColumn("other", F.explode(count("a"))).select("band", F.lit(1).alias("kind"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", F.col("block").alias("part"))
+    dealt = outer.unionByName(inner).unionByName(apart)
 
     def within(table: pa.Table) -> pa.Table:
-        nodes, start, blocks = (table[c].to_pylist() for c in ("node", "component", "block"))
+        nodes, start, blocks = (table[c].to_pylist() for c in ("node", "component", "part"))
         signs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(-1, HASHES)
         texts, sets = table["text"], {}
         root = {c: c for c in start}
@@ -188,7 +197,7 @@ def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, key: st
                 sets[i] = shingles_of((texts[i].as_py() or "").encode(), words)
             return sets[i]
 
-        one = table["i"][0].as_py() == table["j"][0].as_py()
+        one = table["kind"][0].as_py() == 1 and table["i"][0].as_py() == table["j"][0].as_py()
         at = np.array([find(c) for c in start])
         found = []
         for i in range(len(nodes) - 1):
@@ -204,7 +213,7 @@ def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, key: st
                 at = np.array([find(c) for c in start])
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    second = dealt.join(candidates, "node").groupBy("band", "i", "j").applyInArrow(within, "a long, b long")
+    second = dealt.join(candidates, "node").groupBy("band", "kind", "i", "j").applyInArrow(within, "a long, b long")
     return first.unionByName(written(second, "links"))
 
 
