@@ -7,19 +7,18 @@ import os
 import numpy as np
 
 from scriptorium.llm.common import tokenizer_path
-from scriptorium.llm.pieces import SPACE, Pieces
+from scriptorium.llm.pieces import Pieces
 
 
 class LibraryEncoder:
     """The library's ids (add_special_tokens=False) of a byte-level vocabulary, as raw little-endian integers.
 
-    New pieces go to the library joined to one text: each begins with a blank and a word, where a pre-token must begin, so
+    New pieces go to the library joined to one text: each begins with one blank and a word, where a pre-token must begin, so
     the ids are those of the pieces. The bytes that each id spells tell where a piece ends.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         from scriptorium.llm.bpe import load
@@ -27,22 +26,24 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
         self.spelled = np.array([len(x) for x in load(tokenizer_path(vocabulary)).spelling], np.int64)
         self.dtype = np.dtype("<u2" if len(self.spelled) <= 1 << 16 else "<u4")
-        self.joinable = regex.compile(f" [^{SPACE}]+").fullmatch
         self.pieces = Pieces(self._encode)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        width, out = self.dtype.itemsize, dict.fromkeys(pieces, b"")
-        alone = [p for p in pieces if not self.joinable(p)]
+        if not pieces:
+            return []
+        width = self.dtype.itemsize
+        joined = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, self.dtype)
+        sizes = np.fromiter(map(len, map(str.encode, joined)), np.int64, len(joined))
+        ends = ((np.searchsorted(np.cumsum(self.spelled[ids]), np.cumsum(sizes)) + 1) * width).tolist()
+        raw = ids.tobytes()
+        coded = [raw[a:b] for a, b in zip([0, *ends], ends)]
+        if len(joined) == len(pieces):
+            return coded
+        out = dict(zip(joined, coded, strict=True))
+        alone = [p for p in pieces if p not in out]
         for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             out[p] = np.array(e.ids, self.dtype).tobytes()
-        joined = [p for p in pieces if self.joinable(p)]
-        if joined:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.searchsorted(np.cumsum(self.spelled[ids]), np.cumsum([len(p.encode()) for p in joined])) + 1
-            raw, begin = ids.tobytes(), 0
-            for p, end in zip(joined, (ends * width).tolist(), strict=True):
-                out[p] = raw[begin:end]
-                begin = end
         return [out[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -26,25 +26,18 @@ class Pieces:
         self.old: dict[str, bytes] = {}
 
     def _of(self, pieces: list[str]) -> list[bytes]:
-        out = list(map(self.young.get, pieces))
-        if None not in out:
-            return out
-        missing: dict[str, bytes] = {}
-        holes, old = [i for i, x in enumerate(out) if x is None], self.old
-        for i in holes:
-            p = pieces[i]
-            if (y := old.get(p)) is None:
-                missing[p] = b""
-            else:
-                out[i] = self.young[p] = y
-        if missing:
-            missing = dict(zip(missing, self.encode_many([*missing]), strict=True))
-            for i in holes:
-                if out[i] is None:
-                    out[i] = missing[pieces[i]]
-            self.young.update(missing if max(map(len, missing)) <= LONGEST else {p: x for p, x in missing.items() if len(p) <= LONGEST})
-        if len(self.young) > self.half:
-            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = set(pieces).difference(young)
+        again = new.intersection(old)
+        young.update(zip(again, map(old.__getitem__, again)))
+        fresh = [*new.difference(again)]
+        young.update(zip(fresh, self.encode_many(fresh), strict=True))
+        out = list(map(young.__getitem__, pieces))
+        for p in fresh:
+            if len(p) > LONGEST:
+                del young[p]
+        if len(young) > self.half:
+            self.old, self.young = young, {}
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
