@@ -122,7 +122,8 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64)), "context": pa.array(np.array(contexts, np.uint64).view(np.int64)), "k": batch.column(0).take(taken), "tie": batch.column(1).take(taken), "at": pa.array(np.concatenate(at).astype(np.int32))})
 
     places = written(source.mapInArrow(find, "gram long, context long, k long, tie long, at int"), "anchors")
-    repeated = places.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram")
+    # written, so that the join can be split where a gram is very common
+    repeated = written(places.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"), "repeated")
     places = written(places.join(repeated, "gram"), "places")
     classes = written(places.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "tie", "at")).alias("one")), "classes")
     several = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
