@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scriptorium.llm.common import schema_of, slices, texts_of, tokenizer_path
+from scriptorium.llm.common import model, schema_of, slices, texts_of, tidied, tokenizer_path
 from scriptorium.llm.pieces import SPACE, Pieces
 
 #: The byte-level pre-tokeniser's pattern (fixed value).
@@ -105,14 +105,9 @@ class Bpe:
         return b"".join(map(self.spelling.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def load(path: str) -> Bpe:
     """One vocabulary for each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    return model(f"bpe {path}", lambda: Bpe(path))
 
 
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, decoded: bool = False, digests: bool = False) -> DataFrame:
@@ -143,4 +138,4 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str = "
                         out["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in again])
                 yield pa.RecordBatch.from_pydict(out)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)

@@ -38,6 +38,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: later steps survive the loss of executors."""
     path = new_path(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,6 +48,12 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "", 1))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most so many rows to Python at once: texts are long, and a worker holds whole batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def key_of(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY))
 
@@ -104,6 +111,33 @@ def runs(batches: Iterator[pa.RecordBatch], column: str, most_rows: int | None =
         yield value, pa.Table.from_batches(held)
 
 
+_MODEL: dict[str, object] = {}
+
+
+def model(name: str, build: Callable[[], object]):
+    """The one heavy object that a Python worker keeps: workers outlive tasks, and the next operator brings its own."""
+    if name not in _MODEL:
+        _MODEL.clear()
+        _MODEL[name] = build()
+    return _MODEL[name]
+
+
+def tidied(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """step, giving free memory back to the system at its end, as its worker stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def put_file(uri: str, fill: Callable[[object], None]) -> None:
     """Write one file; its name must be new for each attempt, so that a lost attempt leaves only an unnamed orphan."""
     fs, path = filesystem(uri)

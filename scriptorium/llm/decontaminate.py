@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bytes_of, filesystem, new_path, put_file, schema_of, slices, with_columns, written
+from scriptorium.llm.common import bytes_of, filesystem, model, new_path, put_file, schema_of, slices, tidied, with_columns, written
 from scriptorium.llm.shingles import _mix, word_hashes
 
 CHUNK = 64
@@ -85,7 +85,7 @@ def build_index(items: DataFrame, key: str = "item_id", question: str = "text",
             columns = [*zip(*rows, strict=True)] or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(columns[i], pa.string()) for i in (1, 2, 3)), pa.array(columns[4], pa.list_(pa.int64()))], names=["item", "q", "a", "chunk", "terms"])
 
-    chunks = written(source.mapInArrow(split, "item long, q string, a string, chunk string, terms array<long>").where("size(terms) > 0"), "chunks")
+    chunks = written(source.mapInArrow(tidied(split), "item long, q string, a string, chunk string, terms array<long>").where("size(terms) > 0"), "chunks")
     total = chunks.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean")).first()
     if not total["n"]:
         return []
@@ -209,16 +209,13 @@ class Index:
         return len(q & held) >= QUESTION * len(q) and len(a & held) >= ANSWER * len(a)
 
 
-_LOADED: dict[str, Index] = {}
-
-
 def _load(uri: str) -> Index:
-    if uri not in _LOADED:
-        _LOADED.clear()
+    def read() -> Index:
         fs, at = filesystem(uri)
         with fs.open_input_file(at) as f:
-            _LOADED[uri] = Index(pickle.loads(f.read()))
-    return _LOADED[uri]
+            return Index(pickle.loads(f.read()))
+
+    return model(f"index {uri}", read)
 
 
 FOUND = "__passages long, __retrieved array<long>, __items array<long>, __score double"
@@ -249,7 +246,7 @@ def search(docs: DataFrame, files: list[str], text: str = "text", threshold: flo
         return docs.withColumns({"__passages": F.lit(0).cast("long"), "__retrieved": empty, "__items": empty, "__score": F.lit(0.0)})
     for i, uri in enumerate(files):  # one pass of the same tasks for each bounded group of items
         before = out.withColumnsRenamed({c: f"{c}_{i}" for c in ("__passages", "__retrieved", "__items", "__score")} if i else {})
-        out = before.mapInArrow(look(uri), schema_of(before, FOUND))
+        out = before.mapInArrow(tidied(look(uri)), schema_of(before, FOUND))
         if i:
             merged = {"__retrieved": F.array_sort(F.array_union("__retrieved", f"__retrieved_{i}")), "__items": F.array_sort(F.array_union("__items", f"__items_{i}")), "__score": F.greatest("__score", f"__score_{i}")}
             out = out.withColumns(merged).drop(*(f"{c}_{i}" for c in ("__passages", "__retrieved", "__items", "__score")))

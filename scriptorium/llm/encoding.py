@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-from scriptorium.llm.common import tokenizer_path
+from scriptorium.llm.common import model, tokenizer_path
 from scriptorium.llm.pieces import Pieces
 
 
@@ -21,10 +21,10 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        from scriptorium.llm.bpe import load
+        from scriptorium.llm.bpe import Bpe
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
-        self.spelled = np.array([len(x) for x in load(tokenizer_path(vocabulary)).spelling], np.int64)
+        self.spelled = np.array([len(x) for x in Bpe(tokenizer_path(vocabulary)).spelling], np.int64)
         self.dtype = np.dtype("<u2" if len(self.spelled) <= 1 << 16 else "<u4")
         self.pieces = Pieces(self._encode)
 
@@ -50,11 +50,6 @@ class LibraryEncoder:
         return [np.frombuffer(x, self.dtype) for x in self.pieces.ids(texts)]
 
 
-_LOADED: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(vocabulary: str) -> LibraryEncoder:
     """One encoder for each Python worker."""
-    if vocabulary not in _LOADED:
-        _LOADED[vocabulary] = LibraryEncoder(vocabulary)
-    return _LOADED[vocabulary]
+    return model(f"library {vocabulary}", lambda: LibraryEncoder(vocabulary))

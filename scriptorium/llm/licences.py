@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scriptorium.llm.common import bytes_of, slices
+from scriptorium.llm.common import bytes_of, slices, tidied
 from scriptorium.llm.decontaminate import pair_hashes, plain, triples
 from scriptorium.llm.shingles import word_hashes
 
@@ -240,12 +240,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", classifier: C
     trained = docs.sparkSession.sparkContext.broadcast(classifier or train(docs, text))  # some thousand terms x 15 classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trained.value
+        known = trained.value
         for whole in batches:
             for batch in slices(whole, text):
                 rows = []
                 for raw in bytes_of(batch, text):
-                    found = model.scan(raw)
+                    found = known.scan(raw)
                     good = [x for x in found if x[3] >= SHARE]
                     families = sorted({x[1] for x in good})
                     rows.append((len(found), families, sorted({x[1] for x in found} - {*families}), max((x[2] for x in good), default=0.0)))
@@ -253,4 +253,4 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", classifier: C
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(families, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string())), pa.array(p, pa.float64())], names=["doc_id", "n_predicted", "families", "unconfirmed", "probability"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_predicted long, families array<string>, unconfirmed array<string>, probability double")
+    return docs.select(key, text).mapInArrow(tidied(run), f"doc_id {kind}, n_predicted long, families array<string>, unconfirmed array<string>, probability double")

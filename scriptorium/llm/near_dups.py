@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bytes_of, slices, written
+from scriptorium.llm.common import bytes_of, slices, tidied, written
 from scriptorium.llm.components import components
 from scriptorium.llm.shingles import _mix, lowered, shingle_hashes, word_hashes
 
@@ -123,7 +123,7 @@ def measure(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"row": batch.column(0), "id": batch.column(1), "tie": batch.column(2), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "lo": pa.array(halves[:, 0]), "hi": pa.array(halves[:, 1]), "signature": pa.array(kept, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), tie(text).alias("tie"), F.col(text).alias("text"))
-    return written(source.mapInArrow(run, "row long, id long, tie long, n_shingles long, lo long, hi long, signature binary, bands array<long>"), "measured")
+    return written(source.mapInArrow(tidied(run), "row long, id long, tie long, n_shingles long, lo long, hi long, signature binary, bands array<long>"), "measured")
 
 
 def tie(text: str) -> Column:
@@ -163,8 +163,8 @@ def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, key: st
 
     signed, texted = candidates.select("node", "signature"), candidates.select("node", "text")
     pairs = members.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    compared = pairs.join(signed.toDF("a", "x"), "a").join(signed.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-    first = written(compared.join(texted.toDF("b", "u"), "b").join(texted.toDF("a", "t"), "a").select("a", "b", "t", "u").mapInArrow(confirm, "a long, b long"), "links")
+    compared = pairs.join(signed.toDF("a", "x"), "a").join(signed.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidied(compare), "a long, b long")
+    first = written(compared.join(texted.toDF("b", "u"), "b").join(texted.toDF("a", "t"), "a").select("a", "b", "t", "u").mapInArrow(tidied(confirm), "a long, b long"), "links")
 
     labels = components(first)
     labelled = members.select("band", "node", "first").join(labels, "node", "left").select("band", "node", "first", F.coalesce("component", "node").alias("component"))

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import schema_of, slices, texts_of, tokenizer_path, with_columns, written
+from scriptorium.llm.common import model, schema_of, slices, texts_of, tidied, tokenizer_path, with_columns, written
 from scriptorium.llm.shingles import WORD, _mix, word_hashes
 
 VOCABULARY, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 WIDTH, LEAST = 4.5, 50
+MOST_BANDS = 100_000
 SYMBOLS = b"[#*$%&|<>]"
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, entropy double, script string"
 #: First code points of writing systems, in order, and their names (fixed values of Unicode).
@@ -82,10 +83,9 @@ class Fertility:
         from scriptorium.llm.token_counts import plain_encoder
 
         self.encoder = plain_encoder(VOCABULARY)
-        model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECES))
-        self.known = {x for i in range(model.get_piece_size()) if len(x := model.id_to_piece(i)) == 1}
+        pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECES))
+        self.known = {x for i in range(pieces.get_piece_size()) if len(x := pieces.id_to_piece(i)) == 1}
         self.firsts = np.array([c for c, _ in SCRIPTS])
-        self.cost: dict[str, int] = {}
 
     def script(self, text: str) -> str:
         """The writing system of most letters."""
@@ -117,29 +117,27 @@ class Fertility:
         return len(ids), word_chars / len(ids), fallback / (len(ids) + fallback), float(-(share * np.log2(share)).sum()), self.script(text)
 
 
-_FERTILITY: list[Fertility] = []
-
-
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The kept columns (all, if None) of every row, then METRICS and base_failed. Names of METRICS among the kept columns are left aside."""
     names = {x.split()[0] for x in METRICS.split(", ")} | {"base_failed"}
     columns = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    source = docs.select(*columns, F.col(text).alias("__text"))
+    # a kept text isn't sent twice
+    held = text if text in columns else "__text"
+    source = docs.select(*columns) if held == text else docs.select(*columns, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _FERTILITY:
-            _FERTILITY.append(Fertility())
+        fertility = model("fertility", Fertility)
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, held):
                 rows = []
-                for t in texts_of(batch, "__text"):
+                for t in texts_of(batch, held):
                     base = base_counts(t.encode())
-                    rows.append((*base, *_FERTILITY[0].of(t, base[1])))
+                    rows.append((*base, *fertility.of(t, base[1])))
                 kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
                 arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield with_columns(batch.select(columns), dict(zip([x.split()[0] for x in METRICS.split(", ")], arrays, strict=True)))
 
-    measured = source.mapInArrow(run, schema_of(source.select(*columns), METRICS) if columns else METRICS)
+    measured = source.mapInArrow(tidied(run), schema_of(source.select(*columns), METRICS) if columns else METRICS)
     return measured.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -147,14 +145,19 @@ def _quartiles() -> list[Column]:
     return [F.count("*").alias("texts"), *(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(f"q_{c}") for c in ("chars_per_token", "fallback_share", "entropy"))]
 
 
+def _small(bands: DataFrame) -> DataFrame:
+    """Broadcast where there are at most MOST_BANDS cells (some 20 MB); else the planner joins by shuffle."""
+    return F.broadcast(bands) if bands.count() <= MOST_BANDS else bands
+
+
 def judge(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
     """measured with kept: false if base_failed, else whether all measures lie in their bands. measured should be written, as it is read twice."""
     group = F.coalesce(F.col(lang), F.concat(F.lit("script:"), F.col("script"))) if lang else F.concat(F.lit("script:"), F.col("script"))
     doublings = F.log2(F.greatest("n_tokens", F.lit(1)))
     keyed = measured.withColumns({"__group": group, "__fine": F.floor(2 * doublings).cast("int"), "__coarse": F.floor(doublings / 2).cast("int")})
     good = keyed.where("not base_failed")
-    fine = good.groupBy("__group", "__fine").agg(*_quartiles()).where(F.col("texts") >= LEAST)
-    coarse = good.groupBy("__group", "__coarse").agg(*_quartiles()).where(F.col("texts") >= LEAST)
+    fine = _small(written(good.groupBy("__group", "__fine").agg(*_quartiles()).where(F.col("texts") >= LEAST), "bands"))
+    coarse = _small(written(good.groupBy("__group", "__coarse").agg(*_quartiles()).where(F.col("texts") >= LEAST), "bands"))
     q = lambda c: F.coalesce(F.col(f"fine.{c}"), F.col(f"coarse.{c}"))
     joined = keyed.alias("d").join(fine.alias("fine"), ["__group", "__fine"], "left").join(coarse.alias("coarse"), ["__group", "__coarse"], "left")
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, decontaminate, licences, near_dups, quality, sharding, suffix_dedup, token_counts, token_store, warc
-from scriptorium.llm.common import NULL_KEY, new_path
+from scriptorium.llm.common import NULL_KEY, new_path, small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

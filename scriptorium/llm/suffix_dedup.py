@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bytes_of, key_of, runs, schema_of, slices, written
+from scriptorium.llm.common import bytes_of, key_of, runs, schema_of, slices, tidied, written
 from scriptorium.llm.shingles import _BYTES, _POWERS, _mix
 from scriptorium.llm.suffix_sort import common, sort_suffixes
 
@@ -121,7 +121,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
                 taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64)), "context": pa.array(np.array(contexts, np.uint64).view(np.int64)), "k": batch.column(0).take(taken), "tie": batch.column(1).take(taken), "at": pa.array(np.concatenate(at).astype(np.int32))})
 
-    places = written(source.mapInArrow(find, "gram long, context long, k long, tie long, at int"), "anchors")
+    places = written(source.mapInArrow(tidied(find), "gram long, context long, k long, tie long, at int"), "anchors")
     # written, so that the join can be split where a gram is very common
     repeated = written(places.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"), "repeated")
     places = written(places.join(repeated, "gram"), "places")
@@ -139,7 +139,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
                     columns = [*zip(*rows[i : i + 4096], strict=True)]
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.binary()) for c in columns[4:])], names=["gram", "context", "n", "classes", "before", "after"])
 
-    contexts = source.join(sought, ["k", "tie"]).select("text", "found").mapInArrow(cut, "gram long, context long, n long, classes long, before binary, after binary")
+    contexts = source.join(sought, ["k", "tie"]).select("text", "found").mapInArrow(tidied(cut), "gram long, context long, n long, classes long, before binary, after binary")
     contexts = written(contexts, "contexts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +164,8 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
                 yield pa.RecordBatch.from_pydict({"gram": pa.array([g] * len(offsets), pa.int64()), "context": pa.array([c] * len(offsets), pa.int64()), "n": pa.array([n] * len(offsets), pa.int64()), "o": pa.array([*offsets], pa.int64()), "lo": pa.array(digests[:, 0]), "hi": pa.array(digests[:, 1])})
 
     schema = "gram long, context long, reach_left long, reach_right long"
-    sorted_ = contexts.where(F.col("classes") <= many).repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, schema)
-    strings = contexts.where(F.col("classes") > many).dropDuplicates(["gram", "context"]).mapInArrow(hashed, "gram long, context long, n long, o long, lo long, hi long")
+    sorted_ = contexts.where(F.col("classes") <= many).repartition("gram").sortWithinPartitions("gram").mapInArrow(tidied(compare), schema)
+    strings = contexts.where(F.col("classes") > many).dropDuplicates(["gram", "context"]).mapInArrow(tidied(hashed), "gram long, context long, n long, o long, lo long, hi long")
     twice = strings.groupBy("lo", "hi").agg(F.sum("n").alias("all")).where("all > 1")
     counted = strings.join(twice, ["lo", "hi"]).groupBy("gram", "context").agg(F.max("o").alias("reach_left"), (F.lit(length) - F.min("o")).alias("reach_right"))
     whole = classes.where("n > 1").select("gram", "context", F.lit(side).cast("long").alias("reach_left"), F.lit(length).cast("long").alias("reach_right"))
@@ -193,7 +193,7 @@ def united(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
 def _apply(docs: DataFrame, text: str, key: str, columns: list[str], step, schema: str, **options) -> DataFrame:
     found = covered(docs, key=key, text=text, **options)
     keyed = docs.select(*columns, key_of(key).alias("__k"), F.xxhash64(text).alias("__tie"))
-    return keyed.join(found.select(F.col("k").alias("__k"), F.col("tie").alias("__tie"), F.col("spans").alias("__spans")), ["__k", "__tie"], "left").select(*columns, "__spans").mapInArrow(step, schema)
+    return keyed.join(found.select(F.col("k").alias("__k"), F.col("tie").alias("__tie"), F.col("spans").alias("__spans")), ["__k", "__tie"], "left").select(*columns, "__spans").mapInArrow(tidied(step), schema)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import filesystem, slices, texts_of, tokenizer_path, written
+from scriptorium.llm.common import filesystem, model, slices, texts_of, tidied, tokenizer_path, written
 
 FILE_BYTES = 128 << 20
 BLOCK_IDS = 1 << 20
@@ -42,7 +42,7 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.tikto
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = plain_encoder(vocabulary), np.array([end_id], "<u2").tobytes()
+        encoder, end = model(f"ranks {vocabulary}", lambda: plain_encoder(vocabulary)), np.array([end_id], "<u2").tobytes()
         fs, folder = filesystem(path)
         fs.create_dir(folder, recursive=True)
         out, name, at, nth = None, "", 0, 0
@@ -64,7 +64,7 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.tikto
             out.close()
 
     kind = docs.schema[key].dataType.simpleString()
-    return written(docs.select(key, text).mapInArrow(encode, f"`{key}` {kind}, file string, nth long"), "order")
+    return written(docs.select(key, text).mapInArrow(tidied(encode), f"`{key}` {kind}, file string, nth long"), "order")
 
 
 def scan(spark: SparkSession, path: str, files: list[str], end_id: int = 50256, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -84,7 +84,7 @@ def scan(spark: SparkSession, path: str, files: list[str], end_id: int = 50256,
 
     # written, as both the prefix scan and the documents need it: one number for each document
     n = max(1, min(10_000, sum(-(-n // block_ids) for n in sizes.values()) // 4))
-    found = written(blocks.repartition(n).mapInArrow(search, "file string, block long, found array<long>, ends long, last_end long, ids long"), "ends")
+    found = written(blocks.repartition(n).mapInArrow(tidied(search), "file string, block long, found array<long>, ends long, last_end long, ids long"), "ends")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select("file", "block", "ends", "last_end").select("file", "block", F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.max("last_end").over(earlier), F.lit(-1)).alias("previous"))
     both = found.join(stitched, ["file", "block"])

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import filesystem, key_of, put_file, runs, slices, texts_of, written
+from scriptorium.llm.common import filesystem, key_of, put_file, runs, slices, texts_of, tidied, written
 from scriptorium.llm.encoding import library_encoder
 
 MAGIC = b"TIDS"
@@ -141,7 +141,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
             out.close()
 
     width = 2 if library_encoder(vocabulary).dtype.itemsize == 2 else 4
-    coded = written(ranged.mapInArrow(encode, "key long, tie long, file string, roll long, offset long, n_tokens long"), "entries")
+    coded = written(ranged.mapInArrow(tidied(encode), "key long, tie long, file string, roll long, offset long, n_tokens long"), "entries")
     # one row for each data file: a file is full at shard_bytes, so this list is small beside the data
     found = coded.groupBy("file", "roll").agg(F.min(F.struct("key", "tie")).alias("first"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("first", "roll").collect()
     files = [r["file"] for r in found]
@@ -225,7 +225,7 @@ def lookup(store: TokenStore, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys[good]), "copy": pa.array(copies[good]), **{k: pa.array(arrays[k][slots].astype(np.int64)) for k in ("shard", "offset", "n_tokens")}})
 
     placed = wanted.select(F.col("key").cast("long").alias("key"), F.col("copy").cast("long").alias("copy")).withColumn("part", part_of(store.n_parts))
-    return placed.repartition("part").sortWithinPartitions("part").mapInArrow(find, "key long, copy long, shard long, offset long, n_tokens long")
+    return placed.repartition("part").sortWithinPartitions("part").mapInArrow(tidied(find), "key long, copy long, shard long, offset long, n_tokens long")
 
 
 def read(store: TokenStore, places: DataFrame, digests: bool = False) -> DataFrame:
@@ -261,7 +261,7 @@ def read(store: TokenStore, places: DataFrame, digests: bool = False) -> DataFra
             yield pa.RecordBatch.from_pydict(out)
 
     # a few files share a partition; within one, reads go forward
-    return places.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(load, "key long, copy long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids array<long>"))
+    return places.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(tidied(load), "key long, copy long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids array<long>"))
 
 
 def save_manifest(store: TokenStore) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import filesystem, new_path, slices, written
+from scriptorium.llm.common import filesystem, new_path, slices, tidied, written
 
 #: Magic number of the skippable frame that holds a dictionary, and of a dictionary and a frame (fixed values of the formats).
 DICTIONARY_FRAME, DICTIONARY, FRAME = 0x184D2A5D, 0xEC30A437, 0xFD2FB528
@@ -108,7 +108,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
             yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64())})
 
     # one row for each archive
-    return sorted(r["file"] for r in written(placed.mapInArrow(pack, "file string, records long"), "archives").collect())
+    return sorted(r["file"] for r in written(placed.mapInArrow(tidied(pack), "file string, records long"), "archives").collect())
 
 
 class Frames:
@@ -226,7 +226,7 @@ def read(spark: SparkSession, path: str, files: list[str], payloads: bool = True
 
     schema = ", ".join(f"{k} {'array<string>' if k == 'faults' else {pa.int64(): 'long', pa.string(): 'string', pa.binary(): 'binary'}[t]}" for k, t in kinds.items())
     names = spark.createDataFrame([(f,) for f in files], "file string")
-    return names.repartition(max(1, min(len(files), 100_000))).mapInArrow(unpack, schema)
+    return names.repartition(max(1, min(len(files), 100_000))).mapInArrow(tidied(unpack), schema)
 
 
 def archive(pages: DataFrame) -> DataFrame:
