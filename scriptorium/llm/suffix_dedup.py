@@ -166,8 +166,9 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     schema = "gram long, context long, reach_left long, reach_right long"
     sorted_ = contexts.where(F.col("classes") <= many).repartition("gram").sortWithinPartitions("gram").mapInArrow(tidied(compare), schema)
     strings = contexts.where(F.col("classes") > many).dropDuplicates(["gram", "context"]).mapInArrow(tidied(hashed), "gram long, context long, n long, o long, lo long, hi long")
-    twice = strings.groupBy("lo", "hi").agg(F.sum("n").alias("all")).where("all > 1")
-    counted = strings.join(twice, ["lo", "hi"]).groupBy("gram", "context").agg(F.max("o").alias("reach_left"), (F.lit(length) - F.min("o")).alias("reach_right"))
+    # a string with several anchors is here once for each, so that anchor and place belong to its key
+    twice = strings.groupBy("gram", "o", "lo", "hi").agg(F.sum("n").alias("all")).where("all > 1")
+    counted = strings.join(twice, ["gram", "o", "lo", "hi"]).groupBy("gram", "context").agg(F.max("o").alias("reach_left"), (F.lit(length) - F.min("o")).alias("reach_right"))
     whole = classes.where("n > 1").select("gram", "context", F.lit(side).cast("long").alias("reach_left"), F.lit(length).cast("long").alias("reach_right"))
     reached = written(whole.unionByName(sorted_).unionByName(counted), "reached").groupBy("gram", "context").agg(F.max("reach_left").alias("reach_left"), F.max("reach_right").alias("reach_right"))
     spans = places.join(reached, ["gram", "context"]).select("k", "tie", F.struct(F.greatest(F.lit(0), F.col("at") - F.col("reach_left")).cast("int").alias("start"), (F.col("at") + F.col("reach_right")).cast("int").alias("end")).alias("span"))
