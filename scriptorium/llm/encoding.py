@@ -24,6 +24,8 @@ class LibraryEncoder:
         from scriptorium.llm.bpe import Bpe
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # only new pieces reach the library, which would never find them again
         self.spelled = np.array([len(x) for x in Bpe(tokenizer_path(vocabulary)).spelling], np.int64)
         self.dtype = np.dtype("<u2" if len(self.spelled) <= 1 << 16 else "<u4")
         self.pieces = Pieces(self._encode)
