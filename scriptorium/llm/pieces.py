@@ -13,7 +13,7 @@ from collections.abc import Callable
 #: Unicode White_Space, which is what \s means in the byte-level pre-tokeniser.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-KEPT = 500_000
+KEPT = 900_000
 LONGEST = 48
 
 
