@@ -151,7 +151,7 @@ def repair(df: DataFrame, l2: str, key: str) -> DataFrame:
     aggregate by key. A valid line isn't always the true one: n_candidates over 1 tells that the choice was ambiguous.
     """
     base = df.select(key, padded(F.col(l2)).alias("l2")).withColumn("valid", line2_valid(F.col("l2")))
-    tried = base.where(~F.col("valid")).select(key, "l2", F.posexplode(_edits(F.col("l2"))).alias("n", "candidate")).withColumn("good", line2_valid(F.col("candidate")))
+    tried = base.where(~F.col("valid")).select(key, "l2", F.posexplode_outer(_edits(F.col("l2"))).alias("n", "candidate")).withColumn("good", line2_valid(F.col("candidate")))
     best = tried.groupBy(key, "l2").agg(F.min(F.when(F.col("good"), F.struct("n", "candidate"))).alias("best"), F.count_distinct(F.when(F.col("good"), F.col("candidate"))).alias("n_candidates"))
     fixed = best.select(key, F.coalesce("best.candidate", "l2").alias("fixed"), F.when(F.col("best").isNotNull(), 1).otherwise(-1).alias("n_edits"), "n_candidates")
     return base.where("valid").select(key, F.col("l2").alias("fixed"), F.lit(0).alias("n_edits"), F.lit(0).cast("long").alias("n_candidates")).unionByName(fixed)
