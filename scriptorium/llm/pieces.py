@@ -28,7 +28,7 @@ class Pieces:
     def _of(self, pieces: list[str]) -> list[bytes]:
         young, old = self.young, self.old
         new = set(pieces).difference(young)
-        again = new.intersection(old)
+        again = old.keys() & new  # goes through the smaller of the two
         young.update(zip(again, map(old.__getitem__, again)))
         fresh = [*new.difference(again)]
         young.update(zip(fresh, self.encode_many(fresh), strict=True))
