@@ -43,7 +43,7 @@ def mmddyyyy(c: Column) -> Column:
 
 def ordinal(c: Column) -> Column:
     """MM/DD/YYYY as a number yyyymmdd, null if out of range."""
-    n = lambda i: F.regexp_extract(c, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\z", i).try_cast("int")
+    n = lambda i: F.regexp_extract(F.trim(c), r"^([0-9]{2})/([0-9]{2})/([0-9]{4})\z", i).try_cast("int")
     ok = n(1).between(1, 12) & n(2).between(1, 31) & n(3).between(1900, 2099)
     return F.when(ok, n(3) * 10000 + n(1) * 100 + n(2))
 
@@ -64,3 +64,106 @@ def amount_similarity(p: Column, g: Column) -> Column:
     """max(0, 1 - |p - g| / |g|); for g = 0 whether p = 0; 0 if one is null."""
     score = F.when(g == 0, F.when(p == 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(F.abs(p - g), F.abs(g))))
     return F.when(p.isNull() | g.isNull(), 0.0).otherwise(score)
+
+
+#: Month names of dates like 5 MAR 2020 (fixed values).
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+
+
+def dotted(c: Column) -> Column:
+    """Normal form for scoring: D MON YYYY and D.M.YYYY (also with / or -) become DD.MM.YYYY; other text is only put in upper case and squashed."""
+    from scriptorium.functions.text import normal_upper
+
+    t = F.translate(normal_upper(c), "/-", "..")
+    part = lambda pattern, i: F.regexp_extract(t, pattern, i)
+    named, plain = r"^([0-9]{1,2}) ([A-Z]{3}) ([0-9]{4})\z", r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})\z"
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), part(named, 2))
+    two = lambda x: F.lpad(x, 2, "0")
+    return F.when(month > 0, F.concat_ws(".", two(part(named, 1)), two(month.cast("string")), part(named, 3))).when(t.rlike(plain), F.concat_ws(".", two(part(plain, 1)), two(part(plain, 2)), part(plain, 3))).otherwise(t)
+
+
+def _apart(pattern: str) -> str:
+    return r"(?<![\p{L}\p{N}_])" + pattern + r"(?![\p{L}\p{N}_])"
+
+
+def _from_tokens(mmdd: Column, ls: Column, plausible: bool) -> Column:
+    """MM/DD/YYYY from the first token of eight digits in the lines that starts with mmdd."""
+    tokens = F.flatten(F.transform(ls, lambda x: F.regexp_extract_all(x, F.lit(_apart("[0-9]{8}")), F.lit(0))))
+    year = lambda t: F.substring(t, 5, 4).cast("int")
+    hit = F.get(F.filter(tokens, lambda t: t.startswith(mmdd) & (year(t).between(1900, 2099) if plausible else F.lit(True))), F.lit(0))
+    return F.when(hit.isNotNull(), F.concat_ws("/", F.left(mmdd, F.lit(2)), F.substring(mmdd, 3, 2), F.substring(hit, 5, 4)))
+
+
+def repaired_year(c: Column, ls: Column) -> Column:
+    """MM/DD/YYYY with a year in 1900 to 2099: its own, one of a token with the same month and day, or by century (16xx to 18xx are 19xx, 21xx to 29xx are 20xx); else null."""
+    part = lambda i: F.regexp_extract(c, r"^([0-9]{2})/([0-9]{2})/([0-9]{4})\z", i)
+    year = part(3).try_cast("int")
+    with_century = lambda x: F.concat(F.left(c, F.lit(6)), F.lit(x), F.right(part(3), F.lit(2)))
+    guess = F.when(year.between(1600, 1899), with_century("19")).when(year.between(2100, 2999), with_century("20"))
+    return F.when(year.between(1900, 2099), c).when(year.isNotNull(), F.coalesce(_from_tokens(F.concat(part(1), part(2)), ls, True), guess))
+
+
+def identity_date(c: Column, ls: Column) -> Column:
+    """MM/DD/YYYY from a date of a licence or card: years of too many, three or two digits are mended, eight digits are split; else the text if it holds a digit."""
+    part = lambda pattern, i: F.regexp_extract(c, _apart(pattern), i)
+    direct, long_, over = "[0-9]{2}/[0-9]{2}/[0-9]{4}", "([0-9]{2})/([0-9]{2})/1([0-9]{4})", "([0-9]{2})/([0-9]{2})/[0-9]{2}([0-9]{4})"
+    three, two, compact = "([0-9]{2})/([0-9]{2})/([0-9]{3})", "([0-9]{2})/([0-9]{2})/([0-9]{2})", "([0-9]{2})([0-9]{2})([0-9]{4})"
+    has = lambda pattern: c.rlike(_apart(pattern))
+    dated = lambda pattern, year: F.concat_ws("/", part(pattern, 1), part(pattern, 2), year)
+    token = lambda pattern: _from_tokens(F.concat(part(pattern, 1), part(pattern, 2)), ls, False)
+    century = F.when(part(two, 3).try_cast("int") >= 30, "19").otherwise("20")
+    whole = part(direct, 0)
+    return (
+        F.when(has(direct), F.coalesce(repaired_year(whole, ls), whole))
+        .when(has(long_), dated(long_, part(long_, 3)))
+        .when(has(over), dated(over, part(over, 3)))
+        .when(has(three), F.coalesce(token(three), dated(three, F.concat(F.lit("1"), part(three, 3)))))
+        .when(has(two), F.coalesce(token(two), dated(two, F.concat(century, part(two, 3)))))
+        .when(mmddyyyy(part(compact, 0)), dated(compact, part(compact, 3)))
+        .when(c.rlike("[0-9]"), F.trim(c))
+    )
+
+
+def better_identity_date(candidate: Column, current: Column, birth: bool) -> Column:
+    """Whether a candidate should replace the current date: births tend to earlier years but from 1930 on over older ones given last, expiries to later ones."""
+    new, old = ordinal(candidate), ordinal(current)
+    y, was = F.floor(new / 10000), F.floor(old / 10000)
+    last = 2030 if birth else 2035
+    out = F.when(new.isNull(), False).when(old.isNull(), True).when(was > last, True).when(y > last, False)
+    if birth:
+        out = out.when((was < 1930) & (y >= 1930), False).when((y < 1930) & (was >= 1930), True).otherwise(y <= was)
+    else:
+        out = out.otherwise(y >= was)
+    return out
+
+
+def better_issue_date(candidate: Column, current: Column, birth: Column, expiry: Column) -> Column:
+    """Whether a candidate should replace the issue date: it must lie between birth and expiry; the earlier of two such dates is better."""
+    new, old, low, high = ordinal(candidate), ordinal(current), ordinal(birth), ordinal(expiry)
+    outside = lambda x: F.coalesce(x <= low, F.lit(False)) | F.coalesce(x >= high, F.lit(False))
+    return F.when(new.isNull() | outside(new), False).when(old.isNull() | outside(old), True).otherwise(new <= old)
+
+
+def _first(ls: Column, pattern: str, excluded: Column, group: int = 1) -> Column:
+    """The first date of a pattern, line by line, that is not excluded."""
+    found = F.transform(ls, lambda x: identity_date(F.regexp_extract(F.upper(x), pattern, group), ls))
+    return F.get(F.filter(found, lambda d: d.isNotNull() & ~F.array_contains(excluded, d)), F.lit(0))
+
+
+def _labelled(label: str) -> str:
+    return _apart(label) + "[^0-9]*([0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{8})"
+
+
+def issue_date(ls: Column, birth: Column, expiry: Column) -> Column:
+    """The issue date in a licence's lines: after ISS, after DD, else the last date of the first line that holds one besides birth and expiry."""
+    known = F.array(F.coalesce(birth, F.lit("")), F.coalesce(expiry, F.lit("")))
+    bare = F.flatten(F.transform(ls, lambda x: F.reverse(F.regexp_extract_all(x, F.lit(_apart("[0-9]{2}/[0-9]{2}/[0-9]{4}")), F.lit(0)))))
+    return F.coalesce(_first(ls, _labelled("ISS"), known), _first(ls, _labelled("DD"), known), F.get(F.filter(bare, lambda d: ~F.array_contains(known, d)), F.lit(0)))
+
+
+def birth_date(ls: Column, issue: Column, expiry: Column) -> Column:
+    """The birth date in a licence's lines: after DOB, else the first plausible token of eight digits besides issue and expiry."""
+    known = F.array(F.coalesce(issue, F.lit("")), F.coalesce(expiry, F.lit("")))
+    tokens = F.flatten(F.transform(ls, lambda x: F.regexp_extract_all(x, F.lit(_apart("[0-9]{8}")), F.lit(0))))
+    dated = F.transform(F.filter(tokens, mmddyyyy), lambda t: F.concat_ws("/", F.left(t, F.lit(2)), F.substring(t, 3, 2), F.substring(t, 5, 4)))
+    return F.coalesce(_first(ls, _labelled("DOB"), known), F.get(F.filter(dated, lambda d: ~F.array_contains(known, d)), F.lit(0)))

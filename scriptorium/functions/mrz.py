@@ -155,3 +155,47 @@ def repair(df: DataFrame, l2: str, key: str) -> DataFrame:
     best = tried.groupBy(key, "l2").agg(F.min(F.when(F.col("good"), F.struct("n", "candidate"))).alias("best"), F.count_distinct(F.when(F.col("good"), F.col("candidate"))).alias("n_candidates"))
     fixed = best.select(key, F.coalesce("best.candidate", "l2").alias("fixed"), F.when(F.col("best").isNotNull(), 1).otherwise(-1).alias("n_edits"), "n_candidates")
     return base.where("valid").select(key, F.col("l2").alias("fixed"), F.lit(0).alias("n_edits"), F.lit(0).cast("long").alias("n_candidates")).unionByName(fixed)
+
+
+#: First and last place (from 0) of what each asked digit covers, and the place of the digit; the composite has three parts.
+_CHECKS = (((range(0, 9),), 9), ((range(13, 19),), 19), ((range(21, 27),), 27), ((range(0, 10), range(13, 20), range(21, 43)), 43))
+_WEIGHTS = tuple({p: (7, 3, 1)[i % 3] for i, p in enumerate(p for r in parts for p in r)} for parts, _ in _CHECKS)
+
+
+def _value(c: str) -> int:
+    return 0 if c == "<" else int(c) if c in "0123456789" else ord(c) - 55
+
+
+def _two_edits(line: str) -> str | None:
+    """The first line that passes after two substitutions, by the first one's order and then the second one's. Sums are carried along, not built anew."""
+
+    def changed(sums: list[int], at: int, old: str, new: str) -> list[int]:
+        return [s + w.get(at, 0) * (_value(new) - _value(old)) for s, w in zip(sums, _WEIGHTS, strict=True)]
+
+    sums = [sum(w * _value(line[p]) for p, w in weights.items()) for weights in _WEIGHTS]
+    for i, a in ((i, a) for i, c in enumerate(line) for a in CONFUSIONS.get(c, "")):
+        once, half = line[:i] + a + line[i + 1 :], changed(sums, i, line[i], a)
+        for j, b in ((j, b) for j, c in enumerate(once) for b in CONFUSIONS.get(c, "")):
+            if all(str(s % 10) == (b if at == j else once[at]) for s, (_, at) in zip(changed(half, j, once[j], b), _CHECKS, strict=True)):
+                return once[:j] + b + once[j + 1 :]
+    return None
+
+
+def repair_pairs(df: DataFrame, l2: str, key: str) -> DataFrame:
+    """repair, and for the lines that one substitution leaves invalid the first pair that helps; n_edits is then the number of places that differ.
+
+    Only those lines go to Python, in Arrow batches; each costs about ten thousand small sums and nothing is gathered.
+    """
+    import pandas as pd
+
+    once = repair(df, l2, key).withColumn("_left", F.col("n_edits") == -1)
+
+    def mend(batches):
+        for b in batches:
+            found = [_two_edits(x) for x in b["fixed"]]
+            far = [sum(x != y for x, y in zip(f, x0, strict=True)) if f else -1 for f, x0 in zip(found, b["fixed"], strict=True)]
+            yield b.assign(n_edits=pd.Series(far, b.index, dtype="int32"), fixed=[f or x for f, x in zip(found, b["fixed"], strict=True)])
+
+    columns = [key, "fixed", "n_edits", "n_candidates"]
+    rest = once.where("_left").select(*columns)
+    return once.where("not _left").select(*columns).unionByName(rest.mapInPandas(mend, rest.schema))

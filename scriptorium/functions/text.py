@@ -62,7 +62,7 @@ def given_names(c: Column, noise: tuple[str, ...] = ("GIVEN", "NAMES", "NAME", "
 
 
 def identity_name(c: Column) -> Column:
-    return F.nullif(F.btrim(F.regexp_replace(F.regexp_replace(F.upper(c), "[^A-Z -]", ""), " +", " "), F.lit(" -")), F.lit(""))
+    return F.nullif(F.btrim(F.regexp_replace(F.regexp_replace(F.upper(c), "[^A-Z -]", " "), " +", " "), F.lit(" -")), F.lit(""))
 
 
 def sanitized(c: Column) -> Column:

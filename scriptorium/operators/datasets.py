@@ -94,3 +94,18 @@ def most_frequent(df: DataFrame, key: str, value: str) -> DataFrame:
 def hash_split(df: DataFrame, ratio: float, key: str = "id", seed: int = 0) -> DataFrame:
     """df with split: about `ratio` of the rows are val, by a hash of the key; the same for every run and size."""
     return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(ratio * 1_000_000), "val").otherwise("train"))
+
+
+def fallback_split(df: DataFrame, order: str = "line_no") -> DataFrame:
+    """df with its column split: where no row is val and more than one is train, the last train row becomes val. Broadcasts one row."""
+    state = df.agg(F.count_if(F.col("split") == "val").alias("_vals"), F.count_if(F.col("split") == "train").alias("_trains"), F.max(F.when(F.col("split") == "train", F.col(order))).alias("_last"))
+    moved = (F.col("_vals") == 0) & (F.col("_trains") > 1) & (F.col("split") == "train") & (F.col(order) == F.col("_last"))
+    return df.crossJoin(F.broadcast(state)).withColumn("split", F.when(moved, "val").otherwise(F.col("split"))).drop("_vals", "_trains", "_last")
+
+
+def prioritized(df: DataFrame, source: str, priorities: dict[str, int], populated: str = "populated", key: str = "id") -> DataFrame:
+    """df by the priority of its source (of the first part that it contains, 99 without), filled fields falling, then key."""
+    rank = F.lit(99)
+    for part, n in reversed(priorities.items()):
+        rank = F.when(F.col(source).contains(part), n).otherwise(rank)
+    return df.orderBy(rank, F.desc(populated), key)

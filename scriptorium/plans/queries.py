@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions import dates, jsonops, mrz, text
+from scriptorium.functions import dates, jsonops, mrz, payload, text, trees
 from scriptorium.operators import datasets, jobs, metrics
 from scriptorium.plans.fixtures import AMOUNTS, DATASET, EXPECTED, JOBS, PERSONS, PREDICTED, derive
 
@@ -326,3 +326,64 @@ def merge_pages(spark, sf_dir):
     from scriptorium.streaming import worker
 
     return worker.merge_pages(table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page"), "text"), "conv_id")
+
+
+# field maps, dates and gates
+
+_CARDS = """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'driver_license' WHEN 1 THEN 'passport' ELSE 'id_card' END AS kind, c_name AS name,
+  concat('no Y', lpad(CAST(c_custkey AS STRING), 7, '0'), ' z') AS number, CASE WHEN c_custkey % 5 = 0 THEN '__' ELSE c_mktsegment END AS segment FROM customer"""
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN segment = '__' THEN NULL ELSE segment END AS s FROM ({_CARDS})), l AS (
+SELECT id, CASE WHEN kind = 'driver_license' THEN 'license_number' ELSE 'document_number' END AS key, CASE WHEN kind = 'id_card' THEN number ELSE regexp_extract(number, 'Y[0-9]+') END AS value FROM c
+UNION ALL SELECT id, 'surname', name FROM c UNION ALL SELECT id, CASE WHEN kind = 'passport' THEN 'Addr' ELSE 'address' END, s FROM c) SELECT * FROM l WHERE value IS NOT NULL""")
+def payload_fields(spark, sf_dir):
+    c = derive(spark, sf_dir, _CARDS)
+    fields = F.create_map(F.lit("Document-Number"), "number", F.lit("Family name"), F.lit("N/A"), F.lit("LASTNAME"), "name", F.lit("Addr"), "segment")
+    return c.select("id", F.explode(payload.normalize(F.col("kind"), fields)).alias("key", "value"))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%d.%m.%Y') AS date FROM orders")
+def scored_dates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("d"))
+    spelled = F.when(F.col("id") % 3 == 0, F.date_format("d", "d/M/yyyy")).when(F.col("id") % 3 == 1, F.date_format("d", "d MMM yyyy")).otherwise(F.date_format("d", "dd-MM-yyyy"))
+    return o.select("id", dates.dotted(spelled).alias("date"))
+
+
+@query("SELECT o_orderkey AS id, concat(strftime(o_orderdate, '%m/%d/'), CASE WHEN o_orderkey % 3 = 0 THEN concat('20', strftime(o_orderdate, '%y')) ELSE strftime(o_orderdate, '%Y') END) AS date FROM orders")
+def mended_dates(spark, sf_dir):
+    """Years that were read as 29xx, dates without separators, and whole ones."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("d"))
+    spelled = F.when(F.col("id") % 3 == 0, F.date_format("d", "MM/dd/'29'yy")).when(F.col("id") % 3 == 1, F.concat(F.lit("on "), F.date_format("d", "MMddyyyy"))).otherwise(F.date_format("d", "MM/dd/yyyy"))
+    return o.select("id", dates.identity_date(spelled, F.array(F.lit("no token"))).alias("date"))
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS n, year(o_orderdate) <= year(l_shipdate) AS birth, year(o_orderdate) >= year(l_shipdate) AS expiry FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def better_dates(spark, sf_dir):
+    both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    slashed = both.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("new"), F.date_format("l_shipdate", "MM/dd/yyyy").alias("old"))
+    return slashed.select("id", "n", *(dates.better_identity_date(F.col("new"), F.col("old"), birth).alias(name) for name, birth in (("birth", True), ("expiry", False))))
+
+
+@query("SELECT page_id, CASE WHEN coalesce(length(html), 0) = 0 THEN 400 WHEN length(html) > 2000 THEN 413 WHEN page_id % 4 = 0 THEN 415 ELSE 200 END AS code, len(regexp_extract_all(coalesce(html, ''), '<p>')) >= 5 AS loops FROM pages")
+def upload_and_loop_gates(spark, sf_dir):
+    mime = F.when(F.col("page_id") % 4 == 0, "text/x").otherwise("text/html")
+    return table(spark, sf_dir, "pages").select("page_id", payload.upload_code(F.length("html"), mime, 2000, ("text/html",)).alias("code"), payload.loops(F.replace("html", F.lit("<p>"), F.lit("<s_p>")), 5).alias("loops"))
+
+
+@query("SELECT event_id, concat('e.k=', json_extract_string(props, '$.k')) AS flat FROM events")
+def flat_json(spark, sf_dir):
+    nested = F.concat(F.lit('{"e": '), F.col("props"), F.lit(', "none": null}'))
+    maps = table(spark, sf_dir, "events").select("event_id", trees.flatten(nested).alias("m"))
+    return maps.select("event_id", F.concat(F.lit("e.k="), F.try_element_at("m", F.lit("e.k"))).alias("flat"))
+
+
+@query()
+def amount_digit_ratio(spark, sf_dir):
+    a = derive(spark, sf_dir, AMOUNTS)
+    return a.select("id", "n", trees.digit_similarity(F.col("guess"), F.col("truth")).alias("score"))
+
+
+@query()
+def mrz_repair_pairs(spark, sf_dir):
+    return mrz.repair_pairs(zones(spark, sf_dir), "l2", "id")
