@@ -93,6 +93,25 @@ def split_lines(text: Column) -> Column:
     return let(raw, choose)
 
 
+def answer_lines(text: Column) -> Column:
+    """(l1, l2) of a model's answer: the first two lines of 20 zone characters or more; a single one that starts with P< is cut at 44, as is the whole text if it has no such line. Null without any; l2 is null if there is one line."""
+    zone = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9<]", "")
+    pair = lambda a, b: F.struct(a.alias("l1"), b.cast("string").alias("l2"))
+    cut = lambda c: pair(F.left(c, F.lit(WIDTH)), F.nullif(F.substr(c, F.lit(WIDTH + 1)), F.lit("")))
+
+    def choose(found: Column) -> Column:
+        one, whole = F.get(found, F.lit(0)), zone(text)
+        return (
+            F.when(F.size(found) >= 2, pair(one, F.get(found, F.lit(1))))
+            .when((F.size(found) == 1) & one.startswith("P<"), cut(one))
+            .when(F.size(found) == 1, pair(one, F.lit(None)))
+            .when(whole.startswith("P<") & (F.length(whole) >= WIDTH), cut(whole))
+        )
+
+    long_ = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), zone), lambda x: F.length(x) >= 20)
+    return F.when(F.lower(F.trim(text)) != "null", let(long_, choose))
+
+
 def names(l1: Column) -> Column:
     """(surname, given): split at the first <<; < is a blank."""
     clean = F.regexp_replace(F.upper(l1), "[^A-Z0-9<\n]", "")
