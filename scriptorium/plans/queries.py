@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions import dates, jsonops, mrz, payload, text, trees
+from scriptorium.functions import dates, jsonops, licence, mrz, payload, text, trees
 from scriptorium.operators import datasets, jobs, metrics
 from scriptorium.plans.fixtures import AMOUNTS, DATASET, EXPECTED, JOBS, PERSONS, PREDICTED, derive
 
@@ -387,3 +387,22 @@ def amount_digit_ratio(spark, sf_dir):
 @query()
 def mrz_repair_pairs(spark, sf_dir):
     return mrz.repair_pairs(zones(spark, sf_dir), "l2", "id")
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('77', lpad(CAST(c_custkey AS STRING), 7, '0')) WHEN 1 THEN concat('88', lpad(CAST(c_custkey AS STRING), 7, '0')) ELSE concat('Y', lpad(CAST(c_custkey AS STRING), 7, '0')) END AS number,
+concat(CAST(c_custkey AS STRING), ' MAIN ST') AS address, CASE WHEN c_custkey % 2 = 0 THEN 'C1' ELSE 'B,A' END AS categories FROM customer""")
+def licence_lines(spark, sf_dir):
+    """Numbers beside a label, alone or as a word; an address under a name; categories with and without CLASS in front."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("k"))
+    number = F.when(F.col("id") % 3 == 0, F.concat(F.lit("88123\nx\nDL\n77"), "k", F.lit("\n1234567890"))).when(F.col("id") % 3 == 1, F.concat(F.lit("01021980\nx\n88"), "k")).otherwise(F.concat(F.lit("number Y"), "k"))
+    kinds = F.when(F.col("id") % 2 == 0, "CLASS C1 or A").otherwise("CLASS: B A B")
+    said = F.concat_ws("\n", number, F.lit("FN ANNA"), F.lit("DOB 1"), F.concat(F.col("id").cast("string"), F.lit(" MAIN ST")), F.lit("END"), kinds)
+    ls = F.col("ls")
+    return c.select("id", text.lines(said).alias("ls")).select("id", licence.fallback_number(ls, F.array().cast("array<string>")).alias("number"), licence.address(ls).alias("address"), F.array_join(licence.categories(ls), ",").alias("categories"))
+
+
+@query("SELECT c_custkey AS id, 'name' AS key, CASE WHEN c_custkey % 4 = 0 THEN 'again' ELSE c_name END AS value FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer WHERE c_custkey % 3 <> 0")
+def flat_answers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    said = F.concat_ws("\n", F.concat(F.lit("Name: "), "c_name"), F.lit("noise"), F.concat(F.lit(" segment :"), F.when(F.col("c_custkey") % 3 == 0, "NULL").otherwise(F.col("c_mktsegment"))), F.when(F.col("c_custkey") % 4 == 0, "name: again"), F.lit("other: x"))
+    return c.select(F.col("c_custkey").alias("id"), F.explode(licence.flat_answer(text.lines(said), ("name", "segment"))).alias("key", "value"))
