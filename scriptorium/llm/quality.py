@@ -2,15 +2,18 @@
 
 Measured on every whole text: characters per token of a multilingual vocabulary, the share of tokens that a piece vocabulary with
 byte fallback would spend on single bytes, and the entropy of the token distribution. All three depend on the language and,
-for short texts, on the length; so a band is drawn for each language (or script, where the language is null) and each
-half doubling of the token count, from quartiles over all texts that pass the base rules: median -/+ WIDTH standard deviations,
-as the interquartile range estimates them. Too few characters per token or too low an entropy reject a text, and so does a share
-of byte fallback over its band. A cell with fewer than LEAST texts takes the band of its language and fourfold length; where
-that has too few as well, nothing is known against the text and it is kept.
+for short texts, on the length; so there is a limit for each language (for each script, where the language isn't listed) and each
+doubling of the token count. Too few characters per token or too low an entropy reject a text, and so does too great a share of
+byte fallback.
+
+The limits are fixed values, so that no share of junk moves them and no other text changes a text's verdict. Those of listed
+languages are median - WIDTH standard deviations, as the interquartile range estimates them, over the rows of sf0.1 that are
+labelled good and pass the base rules (3,330); shorter texts than 16 tokens are extrapolated. Other scripts have no labelled rows:
+their limits are half of what a plain sentence or two gave, and only strong junk is rejected there.
 
 Base rules (fixed): fewer than 10 words, or over 20 % of the words in 5-word windows that occur twice, reject a text.
 
-Cases: null and empty texts have no words and fail the base rules; null languages go by script; repeated rows are judged alike;
+Cases: null and empty texts have no words and fail the base rules; null and unlisted languages go by script; repeated rows are judged alike;
 an empty table gives an empty table; measure() keeps asked columns, whatever their names.
 """
 
@@ -20,15 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import model, schema_of, slices, texts_of, tidied, tokenizer_path, with_columns, written
+from scriptorium.llm.common import model, schema_of, slices, texts_of, tidied, tokenizer_path, with_columns
 from scriptorium.llm.shingles import WORD, _mix, word_hashes
 
 VOCABULARY, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
-WIDTH, LEAST = 4.5, 50
-MOST_BANDS = 100_000
+WIDTH = 4.5
+#: Median characters per token, the share of the entropy limit that is asked for, and the greatest share of byte fallback, by language or script.
+BANDS = {
+    "de": (2.28, 1.0, 0.045), "en": (2.21, 1.0, 0.045), "es": (2.05, 1.0, 0.045), "fr": (2.02, 1.0, 0.045), "latin": (1.9, 1.0, 0.15),
+    "cyrillic": (1.39, 0.75, 0.15), "greek": (0.74, 0.75, 0.15), "hebrew": (0.74, 0.75, 0.15), "arabic": (0.85, 0.75, 0.15), "indic": (0.38, 0.75, 0.3),
+    "kana": (0.52, 0.75, 0.6), "han": (0.43, 0.75, 0.6), "hangul": (0.67, 0.75, 0.6), "other": (0.64, 0.75, 0.6),
+}
+LANGUAGES = ("de", "en", "es", "fr")
+#: From texts of under 16 tokens on, for each doubling up to 2048 and more: how far characters per token may lie below the median, and the least entropy in bits.
+BELOW = (0.89, 0.89, 0.89, 0.42, 0.3, 0.24, 0.15, 0.11, 0.09)
+ENTROPY = (2.8, 3.68, 4.4, 4.56, 5.42, 5.78, 6.06, 6.25, 6.29)
 SYMBOLS = b"[#*$%&|<>]"
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, entropy double, script string"
 #: First code points of writing systems, in order, and their names (fixed values of Unicode).
@@ -141,42 +153,26 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None =
     return measured.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _quartiles() -> list[Column]:
-    return [F.count("*").alias("texts"), *(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(f"q_{c}") for c in ("chars_per_token", "fallback_share", "entropy"))]
-
-
-def _small(bands: DataFrame) -> DataFrame:
-    """Broadcast where there are at most MOST_BANDS cells (some 20 MB); else the planner joins by shuffle."""
-    return F.broadcast(bands) if bands.count() <= MOST_BANDS else bands
-
-
 def judge(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
-    """measured with kept: false if base_failed, else whether all measures lie in their bands. measured should be written, as it is read twice."""
-    group = F.coalesce(F.col(lang), F.concat(F.lit("script:"), F.col("script"))) if lang else F.concat(F.lit("script:"), F.col("script"))
-    doublings = F.log2(F.greatest("n_tokens", F.lit(1)))
-    keyed = measured.withColumns({"__group": group, "__fine": F.floor(2 * doublings).cast("int"), "__coarse": F.floor(doublings / 2).cast("int")})
-    good = keyed.where("not base_failed")
-    fine = _small(written(good.groupBy("__group", "__fine").agg(*_quartiles()).where(F.col("texts") >= LEAST), "bands"))
-    coarse = _small(written(good.groupBy("__group", "__coarse").agg(*_quartiles()).where(F.col("texts") >= LEAST), "bands"))
-    q = lambda c: F.coalesce(F.col(f"fine.{c}"), F.col(f"coarse.{c}"))
-    joined = keyed.alias("d").join(fine.alias("fine"), ["__group", "__fine"], "left").join(coarse.alias("coarse"), ["__group", "__coarse"], "left")
-
-    def inside(c: str, sign: int, least: float) -> Column:
-        spread = F.greatest((q(f"q_{c}")[2] - q(f"q_{c}")[0]) / 1.349, F.lit(least))
-        return sign * (F.col(f"d.{c}") - q(f"q_{c}")[1]) <= WIDTH * spread
-
-    verdict = inside("chars_per_token", -1, 0.02) & inside("fallback_share", 1, 0.01) & inside("entropy", -1, 0.1)
-    return joined.select(*(F.col(f"d.{c}") for c in measured.columns), (~F.col("d.base_failed") & F.coalesce(verdict, F.lit(True))).alias("kept"))
+    """measured with kept: false if base_failed, else whether all measures lie within the limits of the text's language (or script) and length."""
+    group = F.when(F.col(lang).isin(*LANGUAGES), F.col(lang)).otherwise(F.col("script")) if lang else F.col("script")
+    doubling = F.least(F.greatest(F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int") - 2, F.lit(1)), F.lit(len(BELOW)))
+    by_length = lambda values: F.element_at(F.array(*map(F.lit, values)), doubling)
+    by_group = lambda i: F.create_map(*(F.lit(x) for g, v in BANDS.items() for x in (g, v[i])))[group]
+    # other scripts' medians are limits already
+    below = F.when(group.isin(*LANGUAGES, "latin"), by_length(BELOW)).otherwise(0.0)
+    inside = (F.col("chars_per_token") >= by_group(0) - below) & (F.col("entropy") >= by_group(1) * by_length(ENTROPY)) & (F.col("fallback_share") <= by_group(2))
+    return measured.withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Base counts, measures and verdict of each document."""
-    return judge(written(measure(docs, text, (key, lang)), "quality"), lang)
+    return judge(measure(docs, text, (key, lang)), lang)
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows of docs that the rules keep, with their own columns."""
     renamed = docs.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)))
     at = {c: f"c_{i}" for i, c in enumerate(docs.columns)}
-    judged = judge(written(measure(renamed, at[text]), "quality"), at.get(lang))
+    judged = judge(measure(renamed, at[text]), at.get(lang))
     return judged.where("kept").select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -278,6 +278,19 @@ def test_quality_bands(spark):
     assert found.where("doc_id < 1000000 and not kept").count() <= 0.01 * found.count()
 
 
+def test_quality_much_junk(spark):
+    """Junk is rejected and plain texts stay where a third and where two thirds of a language are junk."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plain = big.where("lang = 'en' and length(text) > 900 and not text rlike '[*&%$#|]{3}| [|] |!!'").select("doc_id", "text", "lang").cache()
+    for every in (2, 1):
+        junk = plain.where(f"doc_id % {every} = 0").select((F.col("doc_id") + 10**6).alias("doc_id"), F.regexp_replace("text", " ", "*** ").alias("text"), "lang")
+        if every == 1:
+            junk = junk.unionByName(junk.withColumn("doc_id", F.col("doc_id") + 10**6))
+        found = quality.report(plain.unionByName(junk)).where("not base_failed")
+        counts = {r[0]: r[1:] for r in found.groupBy(F.expr("doc_id >= 1000000")).agg(F.count("*"), F.sum(F.expr("int(kept)"))).collect()}
+        assert counts[True][0] > 0.4 * counts[False][0] and counts[True][1] <= 0.02 * counts[True][0] and counts[False][1] >= 0.99 * counts[False][0]
+
+
 def test_decontaminate(spark, docs, sf):
     items = spark.createDataFrame([(1, "What is the long river of the north country called? It is the silver stream of stones."), (2, None), (3, ""), (4, " ".join(f"q{i}" for i in range(200))), (None, "a b c d e f g h")], "item_id long, text string")
     long_item = " ".join(f"q{i}" for i in range(200))
