@@ -155,7 +155,9 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None =
 
 def judge(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
     """measured with kept: false if base_failed, else whether all measures lie within the limits of the text's language (or script) and length."""
-    group = F.when(F.col(lang).isin(*LANGUAGES), F.col(lang)).otherwise(F.col("script")) if lang else F.col("script")
+    # en-GB and EN are en
+    tag = F.lower(F.regexp_extract(F.col(lang).cast("string"), "^[A-Za-z]+", 0)) if lang else F.lit(None)
+    group = F.when(tag.isin(*LANGUAGES), tag).otherwise(F.col("script"))
     doubling = F.least(F.greatest(F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int") - 2, F.lit(1)), F.lit(len(BELOW)))
     by_length = lambda values: F.element_at(F.array(*map(F.lit, values)), doubling)
     by_group = lambda i: F.create_map(*(F.lit(x) for g, v in BANDS.items() for x in (g, v[i])))[group]

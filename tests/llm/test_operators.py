@@ -291,6 +291,23 @@ def test_quality_much_junk(spark):
         assert counts[True][0] > 0.4 * counts[False][0] and counts[True][1] <= 0.02 * counts[True][0] and counts[False][1] >= 0.99 * counts[False][0]
 
 
+def test_quality_alone(spark):
+    """Every text has a verdict of its own: a single text, a long one and one of a rare language are judged as they are among others."""
+    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 9 = 0 and not text rlike '[*&%$#|]{3}| [|] |!!'").select("doc_id", "text", "lang")
+    good = plain.where("lang = 'en' and length(text) > 2000").orderBy("doc_id").limit(6).collect()
+    whole = " ".join(r["text"] for r in good)
+    russian = "Вчера вечером мы долго гуляли по набережной и говорили о том, как изменился город за последние десять лет. Новые дома закрыли вид на реку, но старый парк остался почти таким же."
+    noise = " ".join(chr(0x1F300 + random.Random(i).randrange(200)) * (1 + i % 5) for i in range(300))
+    cases = [(whole, x, True) for x in ("en", "EN-us", "sw", None)] + [(whole.replace(" ", "*** "), x, False) for x in ("en", "EN-us", "sw", None)]
+    cases += [(russian, "ru", True), (russian, None, True), (noise, "xx", False), (noise, None, False)]
+    added = spark.createDataFrame([(-i - 1, t, x) for i, (t, x, _) in enumerate(cases)], "doc_id long, text string, lang string")
+    want = {-i - 1: k for i, (_, _, k) in enumerate(cases)}
+    for docs in (added, added.unionByName(plain)):
+        assert {r["doc_id"]: r["kept"] for r in quality.report(docs).where("doc_id < 0").collect()} == want
+    assert quality.report(added.where("doc_id = -6")).first()["kept"] is False
+    assert quality.report(plain).where("kept is null").count() == 0
+
+
 def test_decontaminate(spark, docs, sf):
     items = spark.createDataFrame([(1, "What is the long river of the north country called? It is the silver stream of stones."), (2, None), (3, ""), (4, " ".join(f"q{i}" for i in range(200))), (None, "a b c d e f g h")], "item_id long, text string")
     long_item = " ".join(f"q{i}" for i in range(200))
