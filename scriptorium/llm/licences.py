@@ -6,8 +6,11 @@ words, on ordinary paragraphs (at most SAMPLE_DOCS texts of the corpus) and on n
 that calibrates its probabilities. A family is predicted where its probability is the greatest and at least SURE; it is
 confirmed where the paragraph holds enough of the word triples of one of the family's templates, or the other way round.
 
-Every paragraph of every text is scored: a line, or windows of WINDOW words of a longer line. An upper bound from
-the weights of the terms that occur rules out most paragraphs without a full score, and never changes a verdict.
+Every paragraph of every text is scored: a line, or windows of WINDOW words of a longer line. So are overlapping windows of SHORT
+words within every line, as a short notice in a long line would be diluted; such a window is confirmed where it holds enough of a
+template. Of notices whose words overlap, the one that shares most triples with its template counts, so that a part of one
+licence's notice isn't taken for another's. An upper bound from the weights of the terms that occur rules out most windows
+without a full score, and never changes a verdict.
 
 Cases: null and empty texts have no paragraphs; repeated rows are judged alike; an empty table gives an empty table; extra columns are left aside.
 """
@@ -27,6 +30,8 @@ from scriptorium.llm.shingles import word_hashes
 #: At most so many texts of the corpus serve as ordinary paragraphs for training, with at most so many paragraphs each.
 SAMPLE_DOCS, SAMPLE_LINES = 400, 4
 VARIANTS, ROUNDS, SURE, SHARE, WINDOW = 40, 400, 0.5, 0.6, 120
+#: Words of the short windows within lines; each begins a quarter of its length after the last one.
+SHORT = (8, 16, 32, 64)
 UNKNOWN = "unknown"
 #: Short notices of licence families, as publishers print them (fixed values).
 TEMPLATES = {
@@ -127,7 +132,14 @@ class Classifier:
                     labels.append(c)
         every = [t for ts in self.templates.values() for t in ts]
         ordinary = [s for s in samples if not any(len(triples(s) & t) > 0.3 * len(t) for t in every)]
-        others = [*map(plain, ordinary), *[plain(t.encode()) for t in NEAR_MISSES] * 8]
+        # ordinary text also as the short windows see it
+        cut = []
+        for t in ordinary:
+            words, size = plain(t).split(), int(rng.choice(SHORT))
+            if len(words) > size:
+                first = int(rng.integers(len(words) - size + 1))
+                cut.append(b" ".join(words[first : first + size]))
+        others = [*map(plain, ordinary), *cut, *[plain(t.encode()) for t in NEAR_MISSES] * 8]
         texts += others
         labels += [0] * len(others)
         x, y = np.array([self.features(t) for t in texts]), np.array(labels)
@@ -192,41 +204,74 @@ class Classifier:
                 best, chosen = loss, t
         self.temperature = chosen
 
-    def confirmed(self, raw: bytes, family: str) -> float:
-        """Greatest share of triples that the paragraph and a template of the family have in common, of the smaller of both."""
-        own = triples(raw)
-        return max((len(own & t) / max(1, min(len(own), len(t))) for t in self.templates[family] if min(len(own), len(t)) > 2 or own == t), default=0.0)
+    def matched(self, words: list[bytes], family: str, whole: bool) -> tuple[float, int, int, int]:
+        """Greatest share of triples in common with a template of the family, how many these are, and where they begin and end. A whole paragraph counts by the smaller of both, a window within it by the template."""
+        own = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+        held, best = set(own), (0.0, 0, 0, len(words))
+        for t in self.templates[family]:
+            common = held & t
+            if not common:
+                continue
+            if min(len(held), len(t)) > 2 or held == t:
+                share = len(common) / (min(len(held), len(t)) if whole else len(t))
+            else:  # very short templates only as they are
+                share = float(not whole and t <= held)
+            if (share, len(common)) > best[:2]:
+                at = [i for i, x in enumerate(own) if x in common]
+                best = share, len(common), at[0], at[-1] + 3
+        return best
 
     def scan(self, raw: bytes) -> list[tuple[int, str, float, float]]:
-        """Paragraph number, family, probability and template share of each paragraph that is predicted to be a licence's."""
+        """Paragraph number, family, probability and template share of each notice that is predicted; of notices that overlap, the one with most of its template's words."""
         lowered = plain(raw)
-        begins, paragraph = [0], 0
-        for line in raw.split(b"\n"):
-            begins.append(begins[-1] + len(line) + 1)
-        out = []
         words, pairs = terms_of(lowered)
         # words of each line, from the counts of its own bytes
-        counts = [len(lowered[a : b - 1].split()) for a, b in zip(begins, begins[1:])]
+        begin, counts = 0, []
+        for line in raw.split(b"\n"):
+            counts.append(len(lowered[begin : begin + len(line)].split()))
+            begin += len(line) + 1
         ends = np.cumsum([0, *counts])
+        begins, stops, lines, wholes = [], [], [], []
+        for line, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+            if b == a:
+                continue
+            starts = np.array([a]) if b - a <= WINDOW else np.arange(a, b - WINDOW // 2, WINDOW // 2)
+            begins.append(starts)
+            stops.append(np.minimum(starts + WINDOW, b))
+            for size in SHORT:
+                if b - a > size:
+                    starts = np.append(np.arange(a, b - size, size // 4), b - size)
+                    begins.append(starts)
+                    stops.append(starts + size)
+            lines += [line] * (len(begins) - len(wholes))
+            wholes += [True] + [False] * (len(begins) - len(wholes) - 1)
+        if not begins:
+            return []
+        sizes = [len(x) for x in begins]
+        i, j, line, whole = np.concatenate(begins), np.concatenate(stops), np.repeat(lines, sizes), np.repeat(wholes, sizes)
         at_w, n_w = self.numbers(words)
         at_p, n_p = self.numbers(pairs)
         gain_w, gain_p = np.concatenate([[0.0], np.cumsum(self.gain[n_w])]), np.concatenate([[0.0], np.cumsum(self.gain[n_p])])
-        for line, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
-            windows = [(a, b)] if b - a <= WINDOW else [(i, min(b, i + WINDOW)) for i in range(a, b - WINDOW // 2, WINDOW // 2)]
-            for i, j in windows:
-                if j > i:
-                    lw, hw = np.searchsorted(at_w, (i, j))
-                    lp, hp = np.searchsorted(at_p, (i, j - 1))
-                    bound = (gain_w[hw] - gain_w[lw] + gain_p[hp] - gain_p[lp]) / np.sqrt(j - i) + self.start
-                    if bound >= 0:
-                        x = np.bincount(np.concatenate([n_w[lw:hw], n_p[lp:hp]]), minlength=len(self.terms)) / np.sqrt(j - i)
-                        p = self.probabilities(x[None])[0]
-                        c = int(p.argmax())
-                        if c and p[c] >= SURE:
-                            part = b" ".join(lowered[begins[line] : begins[line + 1] - 1].split()[i - a : j - a])
-                            out.append((paragraph, self.classes[c], float(p[c]), self.confirmed(part, self.classes[c])))
-                paragraph += 1
-        return out
+        lw, hw, lp, hp = np.searchsorted(at_w, i), np.searchsorted(at_w, j), np.searchsorted(at_p, i), np.searchsorted(at_p, j - 1)
+        bound = (gain_w[hw] - gain_w[lw] + gain_p[hp] - gain_p[lp]) / np.sqrt(j - i) + self.start
+        chosen, tokens = [], None
+        for k in np.flatnonzero(bound >= -1e-9).tolist():
+            z = (self.weights[n_w[lw[k] : hw[k]]].sum(axis=0) + self.weights[n_p[lp[k] : hp[k]]].sum(axis=0)) / np.sqrt(j[k] - i[k]) + self.bias
+            c = int(z.argmax())
+            if not c:
+                continue
+            p = float(1 / np.exp((z - z[c]) / self.temperature).sum())
+            if p >= SURE:
+                tokens = lowered.split() if tokens is None else tokens
+                a = int(i[k])
+                share, n, first, last = self.matched(tokens[a : int(j[k])], self.classes[c], bool(whole[k]))
+                chosen.append((share >= SHARE, n, p, int(line[k]), self.classes[c], share, a + first, a + last))
+        taken: dict[int, list] = {}
+        for x in sorted(chosen, key=lambda x: (not x[0], -x[1], -x[2], x[6], x[7])):
+            spans = taken.setdefault(x[3], [])
+            if all(x[7] <= y[6] or x[6] >= y[7] for y in spans):
+                spans.append(x)
+        return [(n, family, p, share) for n in sorted(taken) for _, _, p, _, family, share, _, _ in sorted(taken[n], key=lambda x: x[6])]
 
 
 def train(docs: DataFrame, text: str = "text") -> Classifier:
@@ -248,7 +293,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", classifier: C
                     found = known.scan(raw)
                     good = [x for x in found if x[3] >= SHARE]
                     families = sorted({x[1] for x in good})
-                    rows.append((len(found), families, sorted({x[1] for x in found} - {*families}), max((x[2] for x in good), default=0.0)))
+                    rows.append((len({x[0] for x in found}), families, sorted({x[1] for x in found} - {*families}), max((x[2] for x in good), default=0.0)))
                 n, families, rest, p = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(families, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string())), pa.array(p, pa.float64())], names=["doc_id", "n_predicted", "families", "unconfirmed", "probability"])
 

@@ -104,6 +104,22 @@ def test_bpe(docs, table):
     assert bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_licences_in_long_lines(table):
+    """Each template, alone or two of them, in a line of 200 ordinary words, and no other family."""
+    classifier = licences.train(table)
+    rng = random.Random(3)
+    ordinary = " ".join(r["text"] for r in table.where("lang = 'en' and not text rlike '(?i)licen'").orderBy("doc_id").collect()).split()
+    planted = [(family, t) for family, ts in licences.TEMPLATES.items() for t in ts]
+    for n, (family, t) in enumerate(planted):
+        begin = rng.randrange(len(ordinary) - 200)
+        words = ordinary[begin : begin + 200]
+        other, u = planted[(n + 7) % len(planted)]
+        cases = [(words[:k] + [t] + words[k:], {family}) for k in (0, 67, 200)] + [(words[:60] + [t] + words[60:150] + [u] + words[150:], {family, other})]
+        for parts, want in cases:
+            assert {x[1] for x in classifier.scan(" ".join(parts).encode()) if x[3] >= licences.SHARE} == want, t
+    assert not [x for x in classifier.scan(" ".join(ordinary[:5000]).encode()) if x[3] >= licences.SHARE]
+
+
 def test_licences(spark, docs, table):
     classifier = licences.train(table)
     assert classifier.accuracy > 0.95
