@@ -24,8 +24,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that a repeated string of 400 bytes covers; a document may be left empty."""
-    return suffix_dedup.remove(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without repeated strings of 400 bytes and repeated passages of over 50 words (240 bytes or more), here or elsewhere; a document may be left empty."""
+    return suffix_dedup.remove(docs, words=50).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

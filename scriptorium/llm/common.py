@@ -43,6 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once nothing reads them any more."""
+    for df in tables:
+        for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or absolute path, and the path in it; works for every scheme that pyarrow knows."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "", 1))

@@ -1,20 +1,28 @@
-"""Suffix-array dedup: find every byte that a repeated string of LENGTH bytes covers, across all documents and within each.
+"""Suffix-array dedup: find every byte that a repeated string covers, across all documents and within each.
 
-A full suffix array isn't needed. In every string of LENGTH bytes the GRAM-byte strings with the least hash are anchors, and equal
-strings have equal anchors at equal places. So only the suffixes (to the right) and reversed prefixes (to the left) at anchors
-are sorted, and only those whose gram occurs more than once:
+Two kinds of repeated strings count. A string of LENGTH bytes is one. With `words`, so is a passage: from any byte on, the
+shortest string of PASSAGE bytes or more that holds over `words` words (words cut at its ends count), if that has LENGTH
+bytes at most. Passages of over 50 words often have fewer than LENGTH bytes.
 
-1. each document gives its anchors: gram hash, hash of the context that strings through the anchor can reach, place;
-2. anchors whose gram hash occurs once are dropped; equal contexts are one class. A class of two or more covers its whole context;
-3. the contexts of a gram with several classes are sorted by deep-shallow sorting, once to the right and once to the left. Each
+A full suffix array isn't needed. In every string of the least length the GRAM-byte strings with the least hash are anchors, and
+equal strings have equal anchors at equal places. So only the suffixes (to the right) and reversed prefixes (to the left) at anchors
+are sorted, and only those whose neighbourhood occurs more than once:
+
+1. each document gives its anchors: gram hash, hash of the context that strings through the anchor can reach, short hashes of
+   SLOTS neighbourhoods of the gram, place;
+2. anchors whose gram hash occurs once are dropped; equal contexts are one class. A class of two or more covers its whole context.
+   A string that two classes share fills one of the neighbourhoods at least, so a class that shares none with another is done;
+3. the contexts of a gram's other classes are sorted by deep-shallow sorting, once to the right and once to the left. Each
    interval of common prefixes to the right is a set of places that share so many bytes; within it, neighbours to the left
-   give the longest common left side of each place. Where both sides reach LENGTH together, they are covered.
-   A gram with more than MANY classes isn't gathered: the strings through its anchors are hashed and counted instead;
+   give the longest common left side of each place. Where both sides together hold a string that counts, they are covered.
+   A gram with more than MANY such classes isn't gathered: the strings through its anchors are hashed and counted instead;
 4. the covered ranges go back to all places of their classes and are united in each document.
 
-Cases: null and empty texts have no bytes; texts under LENGTH bytes are left whole; overlaps count, also with a string's own later
-start; repeated rows repeat each other's strings; null ids are told apart by the text's hash; an empty table gives an empty
-table; extra columns are left aside (remove() keeps them); matches never cross documents.
+Equal contexts are told by 64-bit hashes (xxh3), strings of very common grams by 128-bit ones; the rest is compared byte by byte.
+
+Cases: null and empty texts have no bytes; texts under the least length are left whole; overlaps count, also with a string's own
+later start; repeated rows repeat each other's strings; null ids are told apart by the text's hash; an empty table gives an empty
+table; extra columns are left aside by report() and kept by remove(), whatever their names; matches never cross documents.
 """
 
 from __future__ import annotations
@@ -24,16 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bytes_of, key_of, runs, schema_of, slices, tidied, written
-from scriptorium.llm.shingles import _BYTES, _POWERS, _mix
+from scriptorium.llm.common import bytes_of, discard, key_of, runs, schema_of, slices, tidied, written
+from scriptorium.llm.shingles import _BYTES, _POWERS, _SPACES, WORD, _mix
 from scriptorium.llm.suffix_sort import common, sort_suffixes
 
 LENGTH, GRAM = 400, 96
+#: Least bytes of a passage, and the words that it must exceed.
+PASSAGE, WORDS = 240, 50
+#: Neighbourhoods of a gram, each with a hash of so many bits.
+SLOTS, SLOT_BITS = 3, 20
 #: Classes of one gram that one task sorts at most.
 MANY = 50_000
+_ALL = 2**31 - 1
 
 
 def _slide(x: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray:
@@ -48,10 +61,14 @@ def _slide(x: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray:
     return best(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are least in some string of `length` bytes."""
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that are least in some string of `length` bytes, and the packed hashes of their neighbourhoods.
+
+    A neighbourhood reaches so far to the left and right that a string of `length` bytes through the gram fills one of them;
+    its hash has a bit on top that says that the text holds it whole.
+    """
     if len(text) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     raw = np.frombuffer(text, np.uint8)
     up, down = _POWERS.of(len(raw))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up, dtype=np.uint64)])
@@ -61,31 +78,81 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
     padded[width - 1 : width - 1 + len(least)] = least
     at = np.flatnonzero(hashes == _slide(padded, width, np.maximum, 0))
-    return at, hashes[at]
-
-
-def cover(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct contexts of one place each: how far the strings of `length` bytes that another context shares reach to the left and right (0, 0: none)."""
+    near, step = np.zeros(len(at), np.int64), (length - gram) // SLOTS
+    for j in range(SLOTS):
+        begin, end = at - step * j, at + length - step * (j + 1)
+        whole = (begin >= 0) & (end <= len(raw))
+        begin, end = np.maximum(begin, 0), np.minimum(end, len(raw))
+        bits = _mix((total[end] - total[begin]) * down[begin]) >> np.uint64(64 - SLOT_BITS)
+        near = near << (SLOT_BITS + 1) | np.where(whole, bits.astype(np.int64) | 1 << SLOT_BITS, 0)
+    return at, hashes[at], near
+
+
+def passage_ends(text: bytes, words: int, least: int = PASSAGE, most: int = LENGTH) -> np.ndarray:
+    """For each start, the end of the shortest string of `least` bytes or more that holds over `words` words; -1 where it would exceed `most` bytes or the text."""
+    n = len(text)
+    ends = np.full(n, -1, np.int64)
+    found = [m.span() for m in WORD.finditer(text)]
+    for k in range(len(found) - words):
+        # from behind the word before to this word's last byte, this is the first of the words
+        begin = found[k - 1][1] if k else 0
+        start = np.arange(begin, found[k][1])
+        end = np.maximum(start + least, found[k + words][0] + 1)
+        ends[start] = np.where((end - start <= most) & (end <= n), end, -1)
+    return ends
+
+
+def passage_in(shared: bytes, words: int, least: int, most: int) -> int:
+    """How far the passages of a shared string that start at its first byte or later reach; 0 if its first byte starts none."""
+    found = [m.span() for m in WORD.finditer(shared)]
+    if len(shared) < least or len(found) <= words:
+        return 0
+    if max(least, found[words][0] + 1) > most:
+        return 0
+    # the last start from which a passage still ends within the string
+    start = min(found[-words - 1][1] - 1, len(shared) - least)
+    k = next(i for i, (_, end) in enumerate(found) if end > start)
+    return max(start + least, found[k + words][0] + 1)
+
+
+def cover(lefts: list[bytes], rights: list[bytes], length: int, words: int | None = None, passage: int = PASSAGE) -> np.ndarray:
+    """For distinct contexts of one place each, rows of four: how far the shared strings of `length` bytes reach to the left and right, and how far those and the shared passages do (0: none)."""
     n = len(rights)
-    reach_left, reach_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    order, lcp = sort_suffixes(rights)
+    reach = np.zeros((n, 4), np.int64)
+    least = length if words is None else passage
     mirrored = [x[::-1] for x in lefts]
+    longest = max(map(len, lefts), default=0)
+
+    def share(m: int, best: int, depth: int) -> None:
+        if best + depth >= length:
+            reach[m] = np.maximum(reach[m], (best, depth, best, depth))
+        elif words is not None and best + depth >= least:
+            # only passages can count, and they must start at the left end or behind it
+            shared = lefts[m][len(lefts[m]) - best :] + rights[m][:depth]
+            if end := passage_in(shared, words, passage, length):
+                reach[m, 2:] = np.maximum(reach[m, 2:], (best, end - best))
+
+    if n == 2:
+        depth = common(*rights)
+        if depth + longest >= least and (best := common(*mirrored)) + depth >= least:
+            share(0, best, depth)
+            share(1, best, depth)
+        return reach
+    order, lcp = sort_suffixes(rights)
     rank = np.empty(n, np.int64)
     rank[sort_suffixes(mirrored)[0]] = np.arange(n)
     places = np.array(order, np.int64)
-    longest = max(map(len, lefts), default=0)
 
     def interval(depth: int, begin: int, end: int) -> None:
-        if depth + longest < length:
+        if depth + longest < least:
             return
         members = places[begin:end]
         members = members[np.argsort(rank[members])].tolist()
         before = 0
         for i, m in enumerate(members):
             after = common(mirrored[m], mirrored[members[i + 1]]) if i + 1 < len(members) else 0
-            best = max(before, after)
-            if best + depth >= length:
-                reach_left[m], reach_right[m] = max(reach_left[m], best), max(reach_right[m], depth)
+            if max(before, after) + depth >= least:
+                share(m, max(before, after), depth)
             before = after
 
     stack: list[tuple[int, int]] = []  # open intervals: depth, begin
@@ -96,88 +163,123 @@ def cover(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.ndar
             interval(d, begin, i)
         if depth >= 0 and (not stack or stack[-1][0] < depth):
             stack.append((depth, begin))
-    return reach_left, reach_right
+    return reach
+
 
+def text_key(key: str, text: str) -> Column:
+    """One number for a row's id and text; rows that have both in common share it."""
+    return F.xxhash64(key_of(key), F.coalesce(F.col(text), F.lit("")))
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", many: int = MANY) -> DataFrame:
-    """Covered ranges: k (key_of the id), tie (xxhash64 of the text), spans (array of start, end in bytes; they may overlap)."""
+
+REACH = ("reach_left", "reach_right", "wide_left", "wide_right")
+
+
+def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", words: int | None = None, passage: int = PASSAGE, many: int = MANY) -> DataFrame:
+    """Covered ranges: k (text_key of the row), spans (array of start, end in bytes, of strings of `length` bytes; they may overlap) and wide (those and the passages)."""
     import xxhash  # noqa: F401  the tasks need it too
 
-    side = length - gram
-    source = docs.select(key_of(key).alias("k"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    side, least = length - gram, length if words is None else passage
+    source = docs.select(text_key(key, text).alias("k"), F.col(text).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                at, grams, contexts, rows = [], [], [], []
+                at, grams, nears, contexts, rows, stops = [], [], [], [], [], []
                 for row, t in enumerate(bytes_of(batch)):
-                    p, h = anchors(t, length, gram)
+                    p, h, near = anchors(t, least, gram)
+                    # a context has under `length` bytes only if it is a whole text; then passages alone can count
+                    stop = _ALL if len(t) >= length else max(0, int(passage_ends(t, words, passage, length).max())) if words is not None and len(p) else 0
                     at.append(p)
                     grams.append(h)
+                    nears.append(near)
                     contexts += [xxhash.xxh3_64_intdigest(t[max(0, i - side) : i + length], min(i, side)) for i in p.tolist()]
                     rows += [row] * len(p)
+                    stops += [stop] * len(p)
                 taken = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64)), "context": pa.array(np.array(contexts, np.uint64).view(np.int64)), "k": batch.column(0).take(taken), "tie": batch.column(1).take(taken), "at": pa.array(np.concatenate(at).astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64)), "context": pa.array(np.array(contexts, np.uint64).view(np.int64)), "near": pa.array(np.concatenate(nears)), "k": batch.column(0).take(taken), "at": pa.array(np.concatenate(at).astype(np.int32)), "stop": pa.array(stops, pa.int32())})
 
-    places = written(source.mapInArrow(tidied(find), "gram long, context long, k long, tie long, at int"), "anchors")
+    found = written(source.mapInArrow(tidied(find), "gram long, context long, near long, k long, at int, stop int"), "anchors")
     # written, so that the join can be split where a gram is very common
-    repeated = written(places.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"), "repeated")
-    places = written(places.join(repeated, "gram"), "places")
-    classes = written(places.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "tie", "at")).alias("one")), "classes")
-    several = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
-    sought = classes.join(several, "gram").select("one.k", "one.tie", F.struct("gram", "context", "n", "classes", "one.at").alias("x")).groupBy("k", "tie").agg(F.collect_list("x").alias("found"))
+    repeated = written(found.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"), "repeated")
+    places = written(found.join(repeated, "gram"), "places")
+    discard(found, repeated)
+    classes = written(places.groupBy("gram", "context").agg(F.count("*").alias("n"), F.first("near").alias("near"), F.max("stop").alias("stop"), F.min(F.struct("k", "at")).alias("one")), "classes")
+    slot = [F.shiftright("near", (SLOT_BITS + 1) * (SLOTS - 1 - j)).bitwiseAND((2 << SLOT_BITS) - 1) for j in range(SLOTS)]
+    parts = classes.select("gram", "context", "one", F.explode(F.array(*(F.when(s >= 1 << SLOT_BITS, s + (j << (SLOT_BITS + 1))) for j, s in enumerate(slot)))).alias("part")).where("part is not null")
+    shared = written(parts.groupBy("gram", "part").agg(F.count("*").alias("classes")).where("classes > 1").select("gram", "part"), "shared")
+    close = written(parts.join(shared, ["gram", "part"]).groupBy("gram", "context").agg(F.first("one").alias("one")), "close")
+    common_grams = close.groupBy("gram").agg(F.count("*").alias("classes")).where(F.col("classes") > many).select("gram", F.lit(True).alias("hot"))
+    sought = close.join(common_grams, "gram", "left").select("one.k", F.struct("gram", "context", F.coalesce("hot", F.lit(False)).alias("hot"), "one.at").alias("x")).groupBy("k").agg(F.collect_list("x").alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows = []
                 for t, found in zip(bytes_of(batch), batch.column(batch.schema.get_field_index("found")).to_pylist(), strict=True):
-                    rows += [(x["gram"], x["context"], x["n"], x["classes"], t[max(0, x["at"] - side) : x["at"]], t[x["at"] : x["at"] + length]) for x in found]
+                    rows += [(x["gram"], x["context"], x["hot"], t[max(0, x["at"] - side) : x["at"]], t[x["at"] : x["at"] + length]) for x in found]
                 for i in range(0, len(rows), 4096):
-                    columns = [*zip(*rows[i : i + 4096], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.binary()) for c in columns[4:])], names=["gram", "context", "n", "classes", "before", "after"])
+                    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i : i + 4096], strict=True), kinds, strict=True)], names=["gram", "context", "hot", "before", "after"])
 
-    contexts = source.join(sought, ["k", "tie"]).select("text", "found").mapInArrow(tidied(cut), "gram long, context long, n long, classes long, before binary, after binary")
-    contexts = written(contexts, "contexts")
+    # rows with a common key have one text
+    contexts = written(source.join(sought, "k").select("text", "found").mapInArrow(tidied(cut), "gram long, context long, hot boolean, before binary, after binary"), "contexts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int, int]] = []
+        grams: list[int] = []
+        held: list[int] = []
+        reaches: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            reach = np.concatenate([np.zeros((0, 4), np.int64), *reaches])
+            out = pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(held, pa.int64()), *(pa.array(reach[:, i]) for i in range(4))], names=["gram", "context", *REACH])
+            grams.clear(), held.clear(), reaches.clear()
+            return out
+
         for g, table in runs(batches, "gram"):
             one = {c: (b, a) for c, b, a in zip(*(table[x].to_pylist() for x in ("context", "before", "after")), strict=True)}
-            left, right = cover([b for b, _ in one.values()], [a for _, a in one.values()], length)
-            out += [(g, c, x, y) for c, x, y in zip(one, left.tolist(), right.tolist(), strict=True) if y]
-            if len(out) > 10_000:
-                yield _ranges(out)
-                out = []
-        yield _ranges(out)
+            reach = cover([b for b, _ in one.values()], [a for _, a in one.values()], length, words, passage)
+            some = np.flatnonzero(reach[:, 3])
+            if len(some):
+                named = [*one]
+                grams += [g] * len(some)
+                held += [named[i] for i in some.tolist()]
+                reaches.append(reach[some])
+            if len(grams) > 10_000:
+                yield flush()
+        yield flush()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            for g, c, n, _, b, a in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                offsets = range(max(0, length - len(a)), min(len(b), side) + 1)
+            for g, c, _, b, a in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 whole, base = b + a, len(b)
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[base - o : base - o + length]) for o in offsets), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"gram": pa.array([g] * len(offsets), pa.int64()), "context": pa.array([c] * len(offsets), pa.int64()), "n": pa.array([n] * len(offsets), pa.int64()), "o": pa.array([*offsets], pa.int64()), "lo": pa.array(digests[:, 0]), "hi": pa.array(digests[:, 1])})
-
-    schema = "gram long, context long, reach_left long, reach_right long"
-    sorted_ = contexts.where(F.col("classes") <= many).repartition("gram").sortWithinPartitions("gram").mapInArrow(tidied(compare), schema)
-    strings = contexts.where(F.col("classes") > many).dropDuplicates(["gram", "context"]).mapInArrow(tidied(hashed), "gram long, context long, n long, o long, lo long, hi long")
+                strings = [(0, o, o + length) for o in range(max(0, base + gram - length), base + 1) if o + length <= len(whole)]
+                if words is not None:
+                    ends = passage_ends(whole, words, passage, length)
+                    strings += [(1, o, e) for o, e in enumerate(ends[: base + 1].tolist()) if e >= base + gram]
+                if strings:
+                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[o:e]) for _, o, e in strings), "<i8").reshape(-1, 2)
+                    rules, starts, ends = (np.array(x, np.int64) for x in zip(*strings, strict=True))
+                    many_of = lambda x: pa.array(np.full(len(strings), x, np.int64))
+                    yield pa.RecordBatch.from_pydict({"gram": many_of(g), "context": many_of(c), "rule": pa.array(rules), "left": pa.array(base - starts), "right": pa.array(ends - base), "lo": pa.array(digests[:, 0]), "hi": pa.array(digests[:, 1])})
+
+    schema = "gram long, context long, " + ", ".join(f"{x} long" for x in REACH)
+    sorted_ = contexts.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(tidied(compare), schema)
+    strings = contexts.where("hot").dropDuplicates(["gram", "context"]).mapInArrow(tidied(hashed), "gram long, context long, rule long, left long, right long, lo long, hi long")
     # a string with several anchors is here once for each, so that anchor and place belong to its key
-    twice = strings.groupBy("gram", "o", "lo", "hi").agg(F.sum("n").alias("all")).where("all > 1")
-    counted = strings.join(twice, ["gram", "o", "lo", "hi"]).groupBy("gram", "context").agg(F.max("o").alias("reach_left"), (F.lit(length) - F.min("o")).alias("reach_right"))
-    whole = classes.where("n > 1").select("gram", "context", F.lit(side).cast("long").alias("reach_left"), F.lit(length).cast("long").alias("reach_right"))
-    reached = written(whole.unionByName(sorted_).unionByName(counted), "reached").groupBy("gram", "context").agg(F.max("reach_left").alias("reach_left"), F.max("reach_right").alias("reach_right"))
-    spans = places.join(reached, ["gram", "context"]).select("k", "tie", F.struct(F.greatest(F.lit(0), F.col("at") - F.col("reach_left")).cast("int").alias("start"), (F.col("at") + F.col("reach_right")).cast("int").alias("end")).alias("span"))
-    return spans.groupBy("k", "tie").agg(F.collect_set("span").alias("spans"))
-
-
-def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    columns = [*zip(*rows, strict=True)] if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "context", "reach_left", "reach_right"])
+    string = ["gram", "rule", "left", "lo", "hi"]
+    twice = strings.groupBy(*string).agg(F.count("*").alias("classes")).where("classes > 1")
+    plain = lambda c: F.coalesce(F.max(F.when(F.col("rule") == 0, F.col(c))), F.lit(0))
+    counted = strings.join(twice, string).groupBy("gram", "context").agg(plain("left").alias("reach_left"), plain("right").alias("reach_right"), F.max("left").alias("wide_left"), F.max("right").alias("wide_right"))
+    plainly = lambda n: F.when(F.col("stop") == _ALL, F.lit(n)).otherwise(0).cast("long")
+    whole = classes.where("n > 1 and stop > 0").select("gram", "context", plainly(side).alias("reach_left"), plainly(length).alias("reach_right"), F.lit(side).cast("long").alias("wide_left"), F.least(F.lit(length), F.col("stop") - F.col("one.at")).cast("long").alias("wide_right"))
+    reached = written(whole.unionByName(sorted_).unionByName(counted).groupBy("gram", "context").agg(*(F.max(c).alias(c) for c in REACH)), "reached")
+    span = lambda left, right: F.struct(F.greatest(F.lit(0), F.col("at") - F.col(left)).cast("int").alias("start"), (F.col("at") + F.col(right)).cast("int").alias("end"))
+    spans = places.join(reached, ["gram", "context"]).select("k", F.when(F.col("reach_right") > 0, span("reach_left", "reach_right")).alias("span"), span("wide_left", "wide_right").alias("wide"))
+    return spans.groupBy("k").agg(F.collect_set("span").alias("spans"), F.collect_set("wide").alias("wide"))
 
 
 def united(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -191,54 +293,72 @@ def united(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def whole_words(raw: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges, widened so that no word is cut."""
+    gaps = np.flatnonzero(_SPACES[np.frombuffer(raw, np.uint8)])
+    is_gap = lambda i: raw[i] in b" \t\n\v\f\r"
+    wider = []
+    for a, b in ranges:
+        if not is_gap(a):
+            i = np.searchsorted(gaps, a)
+            a = int(gaps[i - 1]) + 1 if i else 0
+        if not is_gap(b - 1):
+            i = np.searchsorted(gaps, b)
+            b = int(gaps[i]) if i < len(gaps) else len(raw)
+        wider.append({"start": a, "end": b})
+    return united(wider, len(raw))
+
+
 def _apply(docs: DataFrame, text: str, key: str, columns: list[str], step, schema: str, **options) -> DataFrame:
+    """step over the columns (named c0, c1 ..., so that no name clashes), followed by spans and wide."""
     found = covered(docs, key=key, text=text, **options)
-    keyed = docs.select(*columns, key_of(key).alias("__k"), F.xxhash64(text).alias("__tie"))
-    return keyed.join(found.select(F.col("k").alias("__k"), F.col("tie").alias("__tie"), F.col("spans").alias("__spans")), ["__k", "__tie"], "left").select(*columns, "__spans").mapInArrow(tidied(step), schema)
+    keyed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), text_key(key, text).alias("k"))
+    return keyed.join(found, "k", "left").drop("k").mapInArrow(tidied(step), schema)
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (of the remaining bytes) of each document."""
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int | None = WORDS, **options) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (of the remaining bytes) of each document; n_passage_bytes: bytes that those and repeated passages of over `words` words cover."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, "c1"):
                 rows = []
-                for t, spans in zip(bytes_of(batch, text), batch.column(2).to_pylist(), strict=True):
+                for t, spans, wide in zip(bytes_of(batch, "c1"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     cut = united(spans, len(t))
                     kept, at = hashlib.sha256(), 0
                     for a, b in cut:
                         kept.update(t[at:a])
                         at = b
                     kept.update(t[at:])
-                    rows.append((len(t), sum(b - a for a, b in cut), len(cut), kept.hexdigest()))
+                    rows.append((len(t), sum(b - a for a, b in cut), len(cut), kept.hexdigest(), sum(b - a for a, b in united(wide, len(t)))))
                 columns = [*zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3]), pa.array(columns[4], pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return _apply(docs, text, key, [key, text], step, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **options)
+    return _apply(docs, text, key, [key, text], step, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long", words=words, **options)
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with the covered bytes cut out of the text; a character that is cut in part goes whole. Null texts stay null."""
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int | None = None, **options) -> DataFrame:
+    """docs with the covered bytes cut out of the text; a character that is cut in part goes whole. With `words`, repeated passages go too, and words that are cut in part go whole. Null texts stay null."""
     columns = docs.columns
+    where = columns.index(text)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
-                where = batch.schema.get_field_index(text)
+            for batch in slices(whole, f"c{where}"):
                 old, kept = batch.column(where).to_pylist(), []
-                for t, spans in zip(old, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                for t, spans in zip(old, batch.column(batch.num_columns - (2 if words is None else 1)).to_pylist(), strict=True):
                     if not spans:
                         kept.append(t)
                         continue
                     raw, at, parts = t.encode(), 0, []
-                    for a, b in united(spans, len(raw)):
+                    ranges = united(spans, len(raw))
+                    for a, b in ranges if words is None else whole_words(raw, ranges):
                         parts.append(raw[at:a])
                         at = b
                     kept.append("".join(x.decode("utf-8", "ignore") for x in [*parts, raw[at:]]))
-                arrays = batch.columns[:-1]
+                arrays = batch.columns[:-2]
                 arrays[where] = pa.array(kept, pa.string())
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return _apply(docs, text, key, columns, step, schema_of(docs, "x int").rsplit(", ", 1)[0], **options)
+    return _apply(docs, text, key, columns, step, schema_of(docs, "x int").rsplit(", ", 1)[0], words=words, **options)

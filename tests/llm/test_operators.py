@@ -185,35 +185,91 @@ def test_components(spark):
     assert {found[i] for i in [*range(51), 60]} == {0} and found[201] == 200 and 100 not in found
 
 
-def brute_spans(texts, length):
-    seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-    out = []
-    for t in texts:
+def passage_end(t, start, words, least, most):
+    """The end of the shortest string from start on that has `least` bytes and holds over `words` words, if it has `most` bytes at most."""
+    n = len(re.findall(rb"[^\x20\x09-\x0D]+", t[start : start + least]))
+    for end in range(start + least, min(start + most, len(t)) + 1):
+        n += end > start + least and t[end - 1] not in b" \t\n\v\f\r" and t[end - 2] in b" \t\n\v\f\r"
+        if n > words:
+            return end
+    return None
+
+
+def masks(texts, length, words=None, least=240):
+    """The bytes that repeated strings cover, and those that they and repeated passages do."""
+    seen, passages = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1)), collections.Counter()
+    ends = [[passage_end(t, i, words, least, length) for i in range(len(t))] if words is not None else [] for t in texts]
+    for t, es in zip(texts, ends):
+        passages.update(t[i:e] for i, e in enumerate(es) if e)
+    for t, es in zip(texts, ends):
         mask = np.zeros(len(t), bool)
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 mask[i : i + length] = True
+        wide = mask.copy()
+        for i, e in enumerate(es):
+            if e and passages[t[i:e]] > 1:
+                wide[i:e] = True
+        yield t, mask, wide
+
+
+def brute_spans(texts, length, words=None, least=240):
+    out = []
+    for t, mask, wide in masks(texts, length, words, least):
         edges = np.diff(np.concatenate([[0], mask.astype(int)]))
-        out.append((len(t), int(mask.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~mask].tobytes()).hexdigest()))
+        out.append((len(t), int(mask.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~mask].tobytes()).hexdigest(), int(wide.sum())))
+    return out
+
+
+def brute_removed(texts, length, words, least=240):
+    """The texts without repeated strings and passages, and without the words that these cut."""
+    out = []
+    for t, _, wide in masks(texts, length, words, least):
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", t):
+            if wide[m.start() : m.end()].any():
+                wide[m.start() : m.end()] = True
+        out.append(np.frombuffer(t, np.uint8)[~wide].tobytes().decode("utf-8", "ignore"))
     return out
 
 
 @pytest.mark.parametrize("many", [1, 50_000])
 def test_suffix_dedup(spark, docs, table, many):
-    for df in (docs, table.limit(80), docs.limit(0)):
+    """Whole tables against brute force by 400 bytes; passages are in the other tests, as brute force is slow there."""
+    for df in (docs, table, docs.limit(0)):
         data = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
-        want = collections.Counter((d, *x) for (d, _), x in zip(data, brute_spans([t for _, t in data], 400)))
-        assert collections.Counter(tuple(r) for r in suffix_dedup.report(df, many=many).collect()) == want
+        want = collections.Counter((d, *x[:4]) for (d, _), x in zip(data, brute_spans([t for _, t in data], 400)))
+        assert collections.Counter(tuple(r)[:5] for r in suffix_dedup.report(df, many=many).collect()) == want
+
 
+@pytest.mark.parametrize("many", [1, 50_000])
+def test_passages(spark, docs, table, many):
+    """Passages of over 50 words against brute force: texts of up to 1,200 bytes, and items of benchmark planted in them."""
+    some = table.where("octet_length(text) < 1200").orderBy("doc_id")
+    data = [(r["doc_id"], r["text"] or "") for r in some.unionByName(docs.where("octet_length(text) < 3000").select(some.columns[0:2]), allowMissingColumns=True).collect()]
+    rng = random.Random(4)
+    long = [" ".join(rng.choices(["ab", "cde", "fghij", "klm nop"], k=n)) for n in (51, 55, 60, 49)]
+    data += [(10**6 + i, " ".join(rng.choices(["x1", "yy2", "zzz3", "w\n"], k=40)) + rng.choice([" ", "", "\n"]) + long[i % 4] + rng.choice([" ", "q", "."]) + " ".join(rng.choices(["x1", "yy2", "zzz3"], k=30))) for i in range(24)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    texts = [t.encode() for _, t in data]
+    want = collections.Counter((d, *x) for (d, _), x in zip(data, brute_spans(texts, 400, 50)))
+    assert collections.Counter(tuple(r) for r in suffix_dedup.report(df, many=many).collect()) == want
+    assert any(x[-1] > x[2] for x in want)
+    removed = suffix_dedup.remove(df, words=50, many=many).collect()
+    assert collections.Counter(tuple(r) for r in removed) == collections.Counter((d, t) for (d, _), t in zip(data, brute_removed(texts, 400, 50)))
 
-def test_suffix_dedup_random(spark):
+
+@pytest.mark.parametrize("many", [1, 50_000])
+def test_suffix_dedup_random(spark, many):
     rng = random.Random(8)
     pool = ["".join(rng.choices("ab ", k=30)) for _ in range(6)]
     data = [(i, "".join(rng.choices(pool, k=rng.randint(1, 12)))) for i in range(60)]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    want = collections.Counter((d, *x) for (d, _), x in zip(data, brute_spans([t.encode() for _, t in data], 50)))
-    assert collections.Counter(tuple(r) for r in suffix_dedup.report(df, length=50, gram=12).collect()) == want
-    assert suffix_dedup.remove(df, length=50, gram=12).columns == df.columns
+    df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS k", "2 AS spans", "3 AS __k", "4 AS c0", "5 AS wide")
+    texts = [t.encode() for _, t in data]
+    want = collections.Counter((d, *x) for (d, _), x in zip(data, brute_spans(texts, 50, 9, 36)))
+    assert collections.Counter(tuple(r) for r in suffix_dedup.report(df, length=50, gram=12, words=9, passage=36, many=many).collect()) == want
+    removed = suffix_dedup.remove(df, length=50, gram=12, words=9, passage=36, many=many)
+    assert removed.columns == df.columns
+    assert sorted(tuple(r) for r in removed.collect()) == sorted((d, t, 1, 2, 3, 4, 5) for (d, _), t in zip(data, brute_removed(texts, 50, 9, 36)))
 
 
 def test_suffix_sort():
