@@ -28,6 +28,7 @@ table; extra columns are left aside by report() and kept by remove(), whatever t
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,7 @@ SLOTS, SLOT_BITS = 3, 20
 #: Classes of one gram that one task sorts at most.
 MANY = 50_000
 _ALL = 2**31 - 1
+_GAPS = (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")
 
 
 def _slide(x: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray:
@@ -102,58 +104,73 @@ def passage_ends(text: bytes, words: int, least: int = PASSAGE, most: int = LENG
     return ends
 
 
-def passage_in(shared: bytes, words: int, least: int, most: int) -> int:
-    """How far the passages of a shared string that start at its first byte or later reach; 0 if its first byte starts none."""
-    found = [m.span() for m in WORD.finditer(shared)]
-    if len(shared) < least or len(found) <= words:
-        return 0
-    if max(least, found[words][0] + 1) > most:
-        return 0
-    # the last start from which a passage still ends within the string
-    start = min(found[-words - 1][1] - 1, len(shared) - least)
-    k = next(i for i, (_, end) in enumerate(found) if end > start)
-    return max(start + least, found[k + words][0] + 1)
+class Words:
+    """Where the words of a context lie, for its passages."""
+
+    def __init__(self, text: bytes):
+        inside = np.zeros(len(text) + 2, np.int8)
+        inside[1:-1] = ~_SPACES[np.frombuffer(text, np.uint8)]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
+        self.starts, self.ends = edges[::2], edges[1::2]
+
+    def passages(self, begin: int, end: int, words: int, least: int) -> int:
+        """How far the passages of text[begin:end], which has `least` bytes, reach; 0 if it holds none."""
+        last = bisect_left(self.starts, end) - 1
+        if last - bisect_right(self.ends, begin) < words:
+            return 0
+        # the last start from which a passage still ends here
+        start = min(self.ends[last - words] - 1, end - least)
+        return max(start + least, self.starts[bisect_right(self.ends, start) + words] + 1)
 
 
 def cover(lefts: list[bytes], rights: list[bytes], length: int, words: int | None = None, passage: int = PASSAGE) -> np.ndarray:
     """For distinct contexts of one place each, rows of four: how far the shared strings of `length` bytes reach to the left and right, and how far those and the shared passages do (0: none)."""
     n = len(rights)
-    reach = np.zeros((n, 4), np.int64)
+    reach = [[0, 0, 0, 0] for _ in range(n)]
     least = length if words is None else passage
     mirrored = [x[::-1] for x in lefts]
     longest = max(map(len, lefts), default=0)
+    # intervals come from deep to shallow: a string that reaches no further to the left than an earlier one lies within it
+    seen = np.full(n, -1, np.int64)
+    split: dict[int, Words] = {}
 
     def share(m: int, best: int, depth: int) -> None:
+        r = reach[m]
+        seen[m] = best
         if best + depth >= length:
-            reach[m] = np.maximum(reach[m], (best, depth, best, depth))
-        elif words is not None and best + depth >= least:
-            # only passages can count, and they must start at the left end or behind it
-            shared = lefts[m][len(lefts[m]) - best :] + rights[m][:depth]
-            if end := passage_in(shared, words, passage, length):
-                reach[m, 2:] = np.maximum(reach[m, 2:], (best, end - best))
+            reach[m] = [best, max(r[1], depth), max(r[2], best), max(r[3], depth)]
+        elif words is not None and (best > r[2] or depth > r[3]):
+            base = len(lefts[m])
+            shared = lefts[m][base - best :] + rights[m][:depth]
+            # so many words need as many gaps
+            if sum(map(shared.count, _GAPS)) >= words:
+                if m not in split:
+                    split[m] = Words(lefts[m] + rights[m])
+                if end := split[m].passages(base - best, base + depth, words, least):
+                    reach[m] = [r[0], r[1], max(r[2], best), max(r[3], end - base)]
 
     if n == 2:
         depth = common(*rights)
         if depth + longest >= least and (best := common(*mirrored)) + depth >= least:
             share(0, best, depth)
             share(1, best, depth)
-        return reach
+        return np.array(reach, np.int64)
     order, lcp = sort_suffixes(rights)
+    by_left, left_lcp = (np.array(x, np.int64) for x in sort_suffixes(mirrored))
     rank = np.empty(n, np.int64)
-    rank[sort_suffixes(mirrored)[0]] = np.arange(n)
-    places = np.array(order, np.int64)
+    rank[by_left] = np.arange(n)
+    ranks = rank[order]
 
     def interval(depth: int, begin: int, end: int) -> None:
         if depth + longest < least:
             return
-        members = places[begin:end]
-        members = members[np.argsort(rank[members])].tolist()
-        before = 0
-        for i, m in enumerate(members):
-            after = common(mirrored[m], mirrored[members[i + 1]]) if i + 1 < len(members) else 0
-            if max(before, after) + depth >= least:
-                share(m, max(before, after), depth)
-            before = after
+        inside = np.sort(ranks[begin:end])
+        # neighbours share the least of the common prefixes between them
+        shared = np.minimum.reduceat(left_lcp[: inside[-1] + 1], inside[:-1] + 1)
+        best = np.maximum(np.append(shared, 0), np.append(0, shared))
+        members = by_left[inside]
+        for i in np.flatnonzero((best > seen[members]) & (best + depth >= least)).tolist():
+            share(int(members[i]), int(best[i]), depth)
 
     stack: list[tuple[int, int]] = []  # open intervals: depth, begin
     for i in range(1, n + 1):
@@ -163,7 +180,7 @@ def cover(lefts: list[bytes], rights: list[bytes], length: int, words: int | Non
             interval(d, begin, i)
         if depth >= 0 and (not stack or stack[-1][0] < depth):
             stack.append((depth, begin))
-    return reach
+    return np.array(reach, np.int64).reshape(n, 4)
 
 
 def text_key(key: str, text: str) -> Column:
