@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import strip
+
 #: Keys that a salvage leaves out (fixed values).
-IGNORED = ("document_type", "fields", "type", "key", "value")
+IGNORED = ("document_type", "document_content", "text", "text_content", "text_version")
 
 
 def object_text(c: Column) -> Column:
@@ -24,10 +26,10 @@ def object_text(c: Column) -> Column:
 
 
 def salvage(c: Column) -> Column:
-    """Map of the "key": "value" pairs in a text; blank values and IGNORED keys are left out, the last of a key wins."""
+    """Map of the "key": "value" pairs in a text, values trimmed; blank ones and IGNORED keys are left out, the last of a key wins."""
     pattern = r'"([A-Za-z0-9_]+)"\s*:\s*"([^"]*)"'
     pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)).alias("v"))
-    kept = F.filter(pairs, lambda p: (F.trim(p["v"]) != "") & ~p["k"].isin(*IGNORED))
+    kept = F.filter(F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), strip(p["v"]).alias("v"))), lambda p: (p["v"] != "") & ~p["k"].isin(*IGNORED))
     keys = F.array_distinct(F.transform(kept, lambda p: p["k"]))
     last = lambda k: F.element_at(F.filter(kept, lambda p: p["k"] == k), -1)["v"]
     return F.when(c.isNotNull(), F.map_from_arrays(keys, F.transform(keys, last)))

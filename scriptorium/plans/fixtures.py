@@ -49,6 +49,7 @@ SELECT l_orderkey AS id, l_linenumber AS n, concat('$ ', CAST(CAST(l_quantity AS
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a derivation over the tables that it names."""
     named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in sql or f"JOIN {t}" in sql}
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in named:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(sql, **named)

@@ -89,17 +89,21 @@ def mrz_repair_singles(spark, sf_dir):
     return mrz.repair(zones(spark, sf_dir), "l2", "id")
 
 
-@query(f"WITH {ZONES} SELECT country, avg(len([i for i in range(1, 45) if substr(l1, i, 1) = substr(l1, i, 1)]) + len([i for i in range(1, 45) if substr(l2, i, 1) = substr(t2, i, 1)])) / 88.0 AS char_accuracy, avg(CASE WHEN l2 = t2 THEN 1.0 ELSE 0.0 END) AS line2_exact FROM zones GROUP BY country")
+@query(f"WITH {ZONES} SELECT country, avg(len([i for i in range(1, 45) if substr(l1, i, 1) = substr(d1, i, 1)]) + len([i for i in range(1, 45) if substr(l2, i, 1) = substr(t2, i, 1)])) / 88.0 AS char_accuracy, avg(CASE WHEN l2 = t2 THEN 1.0 ELSE 0.0 END) AS line2_exact FROM (SELECT *, CASE WHEN id % 4 = 0 THEN replace(l1, 'O', '0') ELSE l1 END AS d1 FROM zones) GROUP BY country")
 def mrz_char_accuracy(spark, sf_dir):
-    z = zones(spark, sf_dir).withColumn("a", mrz.char_accuracy(F.col("l1"), F.col("t2"), F.col("l1"), F.col("l2")))
+    damaged = F.when(F.col("id") % 4 == 0, F.replace("l1", F.lit("O"), F.lit("0"))).otherwise(F.col("l1"))
+    z = zones(spark, sf_dir).withColumn("a", mrz.char_accuracy(damaged, F.col("l2"), F.col("l1"), F.col("t2")))
     return z.groupBy("country").agg(F.avg("a").alias("char_accuracy"), F.avg((F.col("l2") == F.col("t2")).cast("double")).alias("line2_exact"))
 
 
+_CENTURY = "CASE WHEN CAST(substr(birth, 1, 2) AS INT) > 25 THEN '19' ELSE '20' END"
+
+
 def _dotted(pivot: int) -> str:
     return f"concat(substr(birth, 5, 2), '.', substr(birth, 3, 2), '.', CASE WHEN CAST(substr(birth, 1, 2) AS INT) >= {pivot} THEN '19' ELSE '20' END, substr(birth, 1, 2))"
 
 
-@query(f"SELECT id, {_ISO.format(c=chr(67) + 'ASE WHEN CAST(substr(birth, 1, 2) AS INT) > 25 THEN ' + chr(39) + '19' + chr(39) + ' ELSE ' + chr(39) + '20' + chr(39) + ' END', d='birth')} AS this_year, {_dotted(30)} AS pivot_30, {_dotted(50)} AS pivot_50 FROM ({PERSONS})")
+@query(f"SELECT id, {_ISO.format(c=_CENTURY, d='birth')} AS this_year, {_dotted(30)} AS pivot_30, {_dotted(50)} AS pivot_50 FROM ({PERSONS})")
 def mrz_dates_three_pivots(spark, sf_dir):
     b = F.col("birth")
     return derive(spark, sf_dir, PERSONS).select("id", dates.mrz_iso(b, THIS_YEAR).alias("this_year"), dates.mrz_dotted(b, 30).alias("pivot_30"), dates.mrz_dotted(b, 50).alias("pivot_50"))
@@ -406,3 +410,6 @@ def flat_answers(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     said = F.concat_ws("\n", F.concat(F.lit("Name: "), "c_name"), F.lit("noise"), F.concat(F.lit(" segment :"), F.when(F.col("c_custkey") % 3 == 0, "NULL").otherwise(F.col("c_mktsegment"))), F.when(F.col("c_custkey") % 4 == 0, "name: again"), F.lit("other: x"))
     return c.select(F.col("c_custkey").alias("id"), F.explode(licence.flat_answer(text.lines(said), ("name", "segment"))).alias("key", "value"))
+
+
+from scriptorium.plans import records  # noqa: E402,F401  registers its queries

@@ -68,7 +68,7 @@ def test_json(spark):
     c = F.col("t")
     assert json.loads(one(spark, jsonops.object_text(c), t='x {"a": {"b": 1,}, ')) == {"a": {"b": 1}}
     assert one(spark, jsonops.object_text(c), t="no object") is None
-    assert one(spark, jsonops.salvage(c), t='{"a": "1", "b": "", "a": "2", "type": "x"') == {"a": "2"}
+    assert one(spark, jsonops.salvage(c), t='{"a": "1", "b": " ", "a": " 2 ", "type": "x", "text": "y", "document_type": "z"') == {"a": "2", "type": "x"}
 
 
 def test_first_wins_and_splits(spark):
