@@ -54,7 +54,7 @@ def sex_from_text(c: Column) -> Column:
 
 def authority(c: Column) -> Column:
     """What stands behind the labels of an authority; null if nothing is left."""
-    t = F.regexp_replace(text.strip(c), f"{text.WS}+", " ")
+    t = text.squash(c)
     for label in ("AUTHORITY", "AUTORIDAD", "AUTORIT.{0,4}"):
         t = F.regexp_replace(t, f"(?i)^.*?{label}[^A-Z0-9]*", "")
     t = F.btrim(t, F.lit(" :-/"))

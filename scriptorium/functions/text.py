@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: What str.strip and \s remove, as a Java character class.
 WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same characters, blank first.
+WS_ALL = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Sentinels that stand for a missing value (fixed values).
 SENTINELS = ("", "___", "__", "_", "N/A", "NULL", "UNKNOWN", "None")
 #: Accented Latin letters and their plain ones (fixed values).
@@ -15,22 +17,27 @@ PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_ALL))
+
+
+def _one_blank(c: Column) -> Column:
+    """Each run of white space as one blank, ends trimmed."""
+    return F.trim(F.regexp_replace(F.translate(c, WS_ALL, " " * len(WS_ALL)), "  +", " "))
 
 
 def squash(c: Column) -> Column:
     """Runs of white space become one blank, ends are trimmed; empty becomes null."""
-    return F.nullif(F.regexp_replace(strip(c), f"{WS}+", " "), F.lit(""))
+    return F.nullif(_one_blank(c), F.lit(""))
 
 
 def normal_text(c: Column) -> Column:
     """Trimmed, lower case, blanks squashed."""
-    return F.lower(F.regexp_replace(strip(c), f"{WS}+", " "))
+    return F.lower(_one_blank(c))
 
 
 def normal_upper(c: Column) -> Column:
     """Upper case, typographic apostrophes plain, blanks squashed."""
-    return F.regexp_replace(strip(F.upper(F.translate(c, "’", "'"))), f"{WS}+", " ")
+    return _one_blank(F.upper(F.translate(c, "’", "'")))
 
 
 def without_accents(c: Column) -> Column:
@@ -115,3 +122,14 @@ def same_or_next(ls: Column, markers: tuple[str, ...]) -> Column:
         return F.coalesce(*found)
 
     return F.when(F.size(ls) > 0, F.get(F.filter(F.transform(F.sequence(F.lit(1), F.size(ls)), of), lambda x: x.isNotNull()), F.lit(0)))
+
+
+def distinct_lines(ls: Column) -> Column:
+    """Lines without repeats (upper case, blanks squashed), first spelling and order kept; empty ones dropped. Sorted and compared within the row, so nothing is shuffled."""
+    from scriptorium.functions.mrz import let
+
+    spelled = F.filter(F.transform(ls, squash), lambda x: x.isNotNull())
+    # the sort is stable by the place, which comes second
+    keyed = F.sort_array(F.transform(spelled, lambda x, i: F.struct(F.upper(x).alias("u"), i.alias("i"), x.alias("x"))))
+    first = let(keyed, lambda k: F.filter(k, lambda x, j: (j == 0) | (F.get(k, j - 1)["u"] != x["u"])))
+    return F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["i"], x["x"]))), lambda x: x["x"])

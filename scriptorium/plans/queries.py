@@ -257,7 +257,9 @@ def lines(spark, sf_dir) -> DataFrame:
 @query(f"""WITH v AS (SELECT doc_id, pos, nullif(trim(regexp_replace(line, '[ \\t\\r]+', ' ', 'g')), '') AS value FROM ({_LINES})), f AS (SELECT doc_id, upper(value) AS u, min_by(value, pos) AS value, min(pos) AS first_at FROM v WHERE value IS NOT NULL GROUP BY doc_id, upper(value))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_at) AS pos, value FROM f""")
 def ordered_distinct_lines(spark, sf_dir):
-    return datasets.ordered_distinct(lines(spark, sf_dir), "doc_id", "pos", "line")
+    ls = F.split(F.coalesce("text", F.lit("")), "\n")
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.distinct_lines(ls)).alias("pos", "value"))
+    return found.select("doc_id", (F.col("pos") + 1).alias("pos"), "value")
 
 
 _CLEAN = "[x for x in [trim(y) for y in string_split(text, chr(10))] if x <> '']"
