@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the near-duplicates of others: of each group the row with the least id (null last), then the least text hash, stays."""
     found = near_duplicates(docs, words, percent, key, text)
-    gone = found.where(~(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("best")))).select(F.coalesce("id", F.lit(-(2**63))).alias("_k"), F.col("tie").alias("_t")).distinct()
+    gone = found.where(~(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("best")))).select(F.coalesce("id", F.lit(-(2**63))).alias("k"), F.col("tie").alias("t")).distinct()
     empty = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]", "")) == ""
-    keyed = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "_t": tie(text), "_one": F.when(empty, F.monotonically_increasing_id()).otherwise(F.lit(-1))})
-    return keyed.join(gone, ["_k", "_t"], "left_anti").dropDuplicates(["_k", "_t", "_one"]).select(*docs.columns)
+    # columns get other names, so that none clashes
+    named = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("k"), tie(text).alias("t"), F.when(empty, F.monotonically_increasing_id()).otherwise(F.lit(-1)).alias("one"))
+    return named.join(gone, ["k", "t"], "left_anti").dropDuplicates(["k", "t", "one"]).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -70,5 +70,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_ids, op2_warc, op3_bpe, op4_licences, op5_near_dups, op6_suffix_dedup, op7_sharding, op8_token_counts, op9_quality, op10_decontaminate)}
 
 
+#: Five hexadecimal digits are four of base 32.
+_DIGEST = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1) for i in range(32)], '')"
+WARC_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT *, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS one FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_DIGEST} AS payload_digest, CASE WHEN page_id = one THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> one THEN one END AS refers_to, CAST(0 AS BIGINT) AS n_faults FROM f"""
+NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), x AS (SELECT doc_id, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * n_both >= 80 * (p.n + q.n - n_both)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(m.least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m.least, doc_id)) AS kept FROM n LEFT JOIN m ON m.a = doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the two operators that it can express whole; hashes, tokenizers, models and byte strings are compared with brute force in tests/llm."""
+    return {"op2_warc": WARC_SQL, "op5_near_dups": NEAR_SQL}

@@ -179,6 +179,11 @@ def test_one_of_each(docs):
     assert sum((t or "").split() == [] for t in texts) == 3 and sum((t or "").lower().startswith("w") for t in texts) == 2
 
 
+def test_one_of_each_clash(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 77, 5, 9, 3, 8), (2, "g h", 88, 6, 9, 3, 8)], "doc_id long, text string, _k long, k long, t long, one long, c0 long")
+    assert sorted(tuple(r) for r in near_dups.one_of_each(df).collect()) == sorted(tuple(r) for r in df.collect())
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 100), (7, 60), (200, 201)], "a long, b long")
     found = {r["node"]: r["component"] for r in components.components(links).collect()}
