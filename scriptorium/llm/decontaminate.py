@@ -261,4 +261,7 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """Rows of docs that hold no test item."""
-    return search(docs, build_index(items, **options), text).where(F.size("__items") == 0).select(*docs.columns)
+    # columns get other names, so that none clashes
+    named = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    found = search(named, build_index(items, **options), f"c{docs.columns.index(text)}").where(F.size("__items") == 0)
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -395,6 +395,18 @@ def test_decontaminate(spark, docs, sf):
         assert found == {1: [1], 2: [], 3: [], 4: [4], 5: [], None: []}
     assert decontaminate.report(docs, items.limit(0)).where("contaminated").count() == 0
     assert decontaminate.keep_clean(docs, items).columns == docs.columns
+    odd = df.selectExpr("doc_id", "text", "1 AS __items", "2 AS c0", "3 AS __score")
+    assert sorted((r[0] or 0, r[2], r[3], r[4]) for r in decontaminate.keep_clean(odd, items).collect()) == [(k, 1, 2, 3) for k in (0, 2, 3, 5)]
+    assert decontaminate.report(df.limit(0), items).count() == decontaminate.keep_clean(df.limit(0), items).count() == 0
+
+
+def test_empty_tables(spark):
+    """Operators without another test of empty tables give empty ones."""
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert licences.scan(empty).count() == 0
+    path = new_path(spark, "f")
+    order = token_counts.write_flat(empty, path)
+    assert order.count() == 0 and token_counts.scan(spark, path, []).count() == 0
 
 
 def test_wand_is_exact():
