@@ -3,7 +3,6 @@
 import corpus_pipeline
 
 from scriptorium.llm.common import written
-from scriptorium.llm.suffix_dedup import covered
 
 
 def test_stages(spark, sf):
@@ -16,14 +15,15 @@ def test_stages(spark, sf):
         docs = out
     assert all(out.columns == names for name, (_, out) in kept.items() if name != "token_ids")
     before, after = kept["near_dedup"]
-    from tests.llm.test_operators import brute_near
+    from tests.llm.test_operators import brute_near, brute_removed
 
     groups = brute_near([(r["doc_id"], r["text"]) for r in before.collect()], 5)
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(d for d, _, least in groups if d == least)
     before, after = kept["passage_dedup"]
-    touched = {r["k"] for r in covered(before).collect()}
-    old, new = ({r["doc_id"]: r["text"] for r in df.collect()} for df in (before, after))
-    assert set(old) == set(new) and all((old[d] == new[d]) == (d not in touched) for d in old)
+    rows = [(r["doc_id"], r["text"]) for r in before.collect()]
+    new = {r["doc_id"]: r["text"] for r in after.collect()}
+    assert new == {d: t for (d, _), t in zip(rows, brute_removed([t.encode() for _, t in rows], 400, 50))}
+    assert sum(new[d] != t for d, t in rows) > 0
     before, after = kept["test_items"]
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     leaky = {r["doc_id"] for r in before.collect() if any(t in r["text"] for t in items)}
