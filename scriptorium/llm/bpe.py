@@ -55,7 +55,7 @@ class Bpe:
         self.spelling = [b""] * (max(spelled.values()) + 1)
         for s, i in spelled.items():
             self.spelling[i] = bytes(to_byte[c] for c in s) if all(c in to_byte for c in s) else s.encode()
-        self.pieces = Pieces(self.encode_pieces)
+        self.pieces = Pieces(self.encode_pieces, np.dtype("<u4"))
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token: pop the least rank (leftmost on ties), join its pair, queue the two new neighbours' pairs."""
@@ -98,7 +98,7 @@ class Bpe:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.pieces.ids(texts)]
+        return self.pieces.ids(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         """Concatenate the vocabulary's strings; bytes that are not UTF-8 become U+FFFD."""

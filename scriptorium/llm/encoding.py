@@ -28,7 +28,7 @@ class LibraryEncoder:
             self.tokenizer.model._resize_cache(0)  # only new pieces reach the library, which would never find them again
         self.spelled = np.array([len(x) for x in Bpe(tokenizer_path(vocabulary)).spelling], np.int64)
         self.dtype = np.dtype("<u2" if len(self.spelled) <= 1 << 16 else "<u4")
-        self.pieces = Pieces(self._encode)
+        self.pieces = Pieces(self._encode, self.dtype)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         if not pieces:
@@ -49,7 +49,7 @@ class LibraryEncoder:
         return [out[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, self.dtype) for x in self.pieces.ids(texts)]
+        return self.pieces.ids(texts)
 
 
 def library_encoder(vocabulary: str) -> LibraryEncoder:
