@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, decontaminate, licences, near_dups, quality, sharding, suffix_dedup, token_counts, token_store, warc
+from scriptorium.llm import bpe, decontaminate, lexical_search, licences, near_dups, quality, sharding, simhash, suffix_dedup, token_counts, token_store, vector_codes, warc
 from scriptorium.llm.common import NULL_KEY, new_path, small_batches
 
 
@@ -66,8 +66,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_warc, op3_bpe, op4_licences, op5_near_dups, op6_suffix_dedup, op7_sharding, op8_token_counts, op9_quality, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_ids, op2_warc, op3_bpe, op4_licences, op5_near_dups, op6_suffix_dedup, op7_sharding, op8_token_counts, op9_quality, op10_decontaminate, op11_lexical_search, op12_simhash, op13_vector_codes)}
 
 
 #: Five hexadecimal digits are four of base 32.
@@ -82,7 +94,31 @@ l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
 SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(m.least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m.least, doc_id)) AS kept FROM n LEFT JOIN m ON m.a = doc_id"""
 
+SEARCH_SQL = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY ALL), g AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+m AS (SELECT doc_id, 100 - 50 + (50 * n * n_docs) // length AS m FROM n, g), i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+d AS (SELECT w, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, g WHERE w IN (SELECT w FROM i) GROUP BY w, n_docs),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM i JOIN d USING (w) JOIN tf USING (w) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Brute-force assignment to all entries in each round; distances stay exact in doubles."""
+    parts = ["""v AS (SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS q FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        """p AS MATERIALIZED (SELECT vec_id, label, part, q[part * (len(q) // 4) + 1:(part + 1) * (len(q) // 4)] AS x FROM v, (SELECT unnest(range(4)) AS part))""",
+        """c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM p QUALIFY e < 256)"""]
+    apart = "list_sum([(p.x[i] - c.x[i]) * (p.x[i] - c.x[i]) for i in range(1, len(c.x) + 1)])"
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT p.vec_id, p.label, p.part, p.x, CAST(min({apart} * 256 + c.e) AS BIGINT) AS m FROM p JOIN c{r} c ON c.part = p.part GROUP BY ALL)")
+        if r < rounds:
+            parts.append(f"u{r} AS (SELECT part, m % 256 AS e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT part, m, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM a{r}) GROUP BY ALL)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT part, e, list(x ORDER BY i) AS x FROM u{r} GROUP BY ALL) n ON n.part = c.part AND n.e = c.e)")
+    return f"""WITH {", ".join(parts)}, h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS h FROM c{rounds}),
+f AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(m % 256)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM f, h"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the two operators that it can express whole; hashes, tokenizers, models and byte strings are compared with brute force in tests/llm."""
-    return {"op2_warc": WARC_SQL, "op5_near_dups": NEAR_SQL}
+    """SQL of the operators that it can express whole; hashes, tokenizers, models and byte strings are compared with brute force in tests/llm."""
+    return {"op2_warc": WARC_SQL, "op5_near_dups": NEAR_SQL, "op11_lexical_search": SEARCH_SQL, "op13_vector_codes": _codes_sql()}
