@@ -15,6 +15,9 @@ CATEGORY_MARKERS = ("CATEGORY", "CATEGORIES", "CAT.", "CLASS")
 NUMBER_NEIGHBOURS = ("DL", "EXP", "CLASS")
 NO_NUMBERS = ("CALIFORNIA", "ALIFORNIA", "DRIVER", "LICENSE", "CLASS", "NONE")
 NO_ADDRESS = ("DOB", "EXP", "SEX", "HAIR", "EYES", "WGT", "RGT", "ISS", "DD")
+#: Labels beside a number, and words that a number is not (fixed values).
+NUMBER_MARKERS = ("LIC", "LIC#", "LICENSE", "DL", "DL#", "DI")
+NO_NUMBER_TEXT = ("CALIFORNIA", "ALIFORNIA", "DRIVERLICENSE")
 NO_SURNAME = ("UNITED STATES", "PASSPORT", "GIVEN NAMES", "NATIONALITY", "DATE OF", "SIGNATURE", "TYPE /", "PLACE", "SEE PAGE")
 
 
@@ -62,6 +65,43 @@ def fallback_number(ls: Column, excluded: Column) -> Column:
     return let(ls, of)
 
 
+def labelled_number(ls: Column, excluded: Column) -> Column:
+    """The licence number by a label: of the lines that hold one, in order, the first token of 6 to 12 characters that is no word, known date or date, else one of the two lines below of 6 to 12 digits."""
+
+    def of(x: Column) -> Column:
+        good = lambda t: ~F.upper(t).isin(*NO_NUMBERS) & ~F.array_contains(excluded, t) & ~mmddyyyy(t)
+        tokens = lambda i: F.filter(F.regexp_extract_all(F.get(x, i), F.lit(f"{EDGE_L}[A-Z0-9]{{6,12}}{EDGE_R}"), F.lit(0)), good)
+        below = lambda i: F.filter(F.transform(F.slice(x, i + 2, F.lit(2)), strip), lambda t: t.rlike(r"^[0-9]{6,12}\z") & ~F.array_contains(excluded, t) & ~mmddyyyy(t))
+        marked = F.filter(_positions(x), lambda i: _any(F.get(x, i), NUMBER_MARKERS))
+        found = F.transform(marked, lambda i: F.coalesce(F.get(tokens(i), F.lit(0)), F.get(below(i), F.lit(0))))
+        return F.get(F.array_compact(found), F.lit(0))
+
+    return let(ls, of)
+
+
+def number(ls: Column, excluded: Column) -> Column:
+    """The licence number: by a label, else without one. excluded has the digits of known dates."""
+    return F.coalesce(labelled_number(ls, excluded), fallback_number(ls, excluded))
+
+
+def normal_number(c: Column, ls: Column, excluded: Column) -> Column:
+    """A licence number in letters and digits; one that is a label, has no digit or is a date is sought anew: a line of digits beside a label, then what follows DL. Null without a number."""
+
+    def again(x: Column) -> Column:
+        at = lambda i: F.get(x, i)
+        free = lambda t: ~F.array_contains(excluded, t) & ~mmddyyyy(t)
+        beside = F.filter(_positions(x), lambda i: strip(at(i)).rlike(r"^[0-9]{6,12}\z") & free(strip(at(i))) & (_any(F.when(i > 0, at(i - 1)), NUMBER_NEIGHBOURS) | _any(at(i + 1), NUMBER_NEIGHBOURS)))
+        after = F.filter(F.transform(x, lambda line: F.regexp_extract(F.upper(line), f"{EDGE_L}DL{EDGE_R}[^0-9A-Z]*([A-Z0-9]{{6,12}})", 1)), lambda t: (t != "") & ~t.isin(*NO_NUMBER_TEXT[:2]) & free(t))
+        return F.coalesce(strip(at(F.get(beside, F.lit(0)))), F.get(after, F.lit(0)))
+
+    def kept(t: Column) -> Column:
+        dated = t.rlike(r"^[0-9]+\z") & (F.array_contains(excluded, t) | mmddyyyy(t))
+        return F.when(~t.isin(*NO_NUMBER_TEXT) & t.rlike("[0-9]") & ~dated, t)
+
+    compact = F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    return F.when(F.coalesce(c, F.lit("")) != "", F.coalesce(let(compact, kept), let(ls, again)))
+
+
 def address(ls: Column) -> Column:
     """The first line with a digit and no label among the four after a line with FN; later such lines if there is none."""
 

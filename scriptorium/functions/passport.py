@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import dates, text
 from scriptorium.functions.mrz import let
+from scriptorium.functions.payload import EDGE_L, EDGE_R
 
 #: Misspelt places and their spelling, in the order of replacement (fixed values).
 PLACES = (("ILINIOIS", "ILLINOIS"), ("ILLINIOIS", "ILLINOIS"), ("ILINOIS", "ILLINOIS"))
@@ -16,6 +17,14 @@ NAME_NOISE = "USAF|USA|ISSUE|DATE|BIRTH|PLACE|NATIONALITY|PASSPORT"
 NAME_LABELS = ("UNITED", "COUNTRY", "CODE", "PASSPORT", "NAME", "NAMES", "NATIONALITY", "TYPE", "PLACE", "BIRTH")
 #: Phrases that name a country, and its code (fixed values).
 COUNTRY_PHRASES = (("UNITED ARAB EMIRATES", "ARE"), ("UNITED STATES OF AMERICA", "USA"))
+#: Shapes of dates in running text (fixed values).
+DIGIT_DATE = "[0-9]{2}[./-][0-9]{2}[./-][0-9]{2,4}"
+NAMED_DATE = r"[0-9]{2}\s+[A-Z][a-z]{2}\s+[0-9]{4}"
+#: First zone lines with and without a state, compact identity lines, sexes and labels of authorities (fixed values).
+NAME_WITH_STATE, NAME_ALONE = "P<([A-Z]{3})([A-Z<]+?)<<([A-Z<]+)", "P<([A-Z<]+?)<<([A-Z<]+)"
+COMPACT_LONG, COMPACT_ZONE = "([A-Z0-9]{8,9})([A-Z]{3})([0-9]{8})([MFX])([0-9]{8})", "([A-Z0-9]{8,9})[0-9]([A-Z]{3})([0-9]{6})[0-9]([MFX])([0-9]{6})"
+LABELLED_SEX = "SEX[^A-Z0-9]*([MFX])(?:[^A-Z]|$)"
+AUTHORITY_LABELS = ("AUTHORITY", "AUTORIDAD", "AUTORIT.{0,4}")
 
 
 def _some(c: Column) -> Column:
@@ -45,7 +54,7 @@ def given_names(c: Column) -> Column:
 def sex_from_text(c: Column) -> Column:
     """M, F or X: by the Arabic words, after SEX, standing alone, or as the only letter."""
     u = F.upper(c)
-    after = F.regexp_extract(u, r"SEX[^A-Z0-9]*([MFX])(?:[^A-Z]|$)", 1)
+    after = F.regexp_extract(u, LABELLED_SEX, 1)
     alone = F.regexp_extract(u, r"(?U)\b([MFX])\b", 1)
     letters = F.regexp_replace(u, "[^A-Z]", "")
     found = F.when(after != "", after).when(alone != "", alone).when(letters.isin("M", "F", "X"), letters)
@@ -55,7 +64,7 @@ def sex_from_text(c: Column) -> Column:
 def authority(c: Column) -> Column:
     """What stands behind the labels of an authority; null if nothing is left."""
     t = text.squash(c)
-    for label in ("AUTHORITY", "AUTORIDAD", "AUTORIT.{0,4}"):
+    for label in AUTHORITY_LABELS:
         t = F.regexp_replace(t, f"(?i)^.*?{label}[^A-Z0-9]*", "")
     t = F.btrim(t, F.lit(" :-/"))
     return F.when(t.contains("Department of State"), "United States Department of State").otherwise(_some(t))
@@ -110,7 +119,7 @@ def without_noise(c: Column, artefacts: tuple[str, ...] = ()) -> Column:
 def name_from_zone(c: Column) -> Column:
     """(surname, given_names) of a first zone line, with or without its issuing state; null if neither shape is there."""
     clean = F.regexp_replace(F.upper(c), "[^A-Z<]", "")
-    whole, bare = r"P<([A-Z]{3})([A-Z<]+?)<<([A-Z<]+)", r"P<([A-Z<]+?)<<([A-Z<]+)"
+    whole, bare = NAME_WITH_STATE, NAME_ALONE
     name = lambda x: _some(F.trim(F.replace(x, F.lit("<"), F.lit(" "))))
     both = lambda p, i: F.struct(name(F.regexp_extract(clean, p, i)).alias("surname"), name(F.regexp_extract(clean, p, i + 1)).alias("given_names"))
     return F.when(clean.rlike(whole), both(whole, 2)).when(clean.rlike(bare), both(bare, 1))
@@ -119,7 +128,7 @@ def name_from_zone(c: Column) -> Column:
 def compact_identity(c: Column, this_year: int) -> Column:
     """Number, nationality, birth, sex and expiry from squashed text: dates of eight digits, else the shape of a second zone line; null without either."""
     t = F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
-    long, zone = r"([A-Z0-9]{8,9})([A-Z]{3})([0-9]{8})([MFX])([0-9]{8})", r"([A-Z0-9]{8,9})[0-9]([A-Z]{3})([0-9]{6})[0-9]([MFX])([0-9]{6})"
+    long, zone = COMPACT_LONG, COMPACT_ZONE
 
     def fields(p: str, date) -> Column:
         part = lambda i: F.regexp_extract(t, p, i)
@@ -145,7 +154,11 @@ def name_line(ls: Column) -> Column:
     return let(F.get(found, F.lit(0)), lambda ws: F.when(ws.isNotNull(), split(ws)))
 
 
+def dates_in(c: Column) -> Column:
+    """All dates of a text, in order: two digits each for day and month with . / or -, two to four for the year, or a day, a month's short name and a year."""
+    return F.regexp_extract_all(c, F.lit(rf"{EDGE_L}(?:{DIGIT_DATE}|{NAMED_DATE}){EDGE_R}"), F.lit(0))
+
+
 def ordinal_dates(c: Column) -> Column:
-    """(birth, issue, expiry): the first, second and third date of a text; the last date is the expiry where there are fewer than three."""
-    found = F.regexp_extract_all(c, F.lit(r"[0-9]{2}/[0-9]{2}/[0-9]{4}"), F.lit(0))
-    return F.struct(F.get(found, F.lit(0)).alias("birth"), F.get(found, F.lit(1)).alias("issue"), F.coalesce(F.get(found, F.lit(2)), F.when(F.size(found) > 0, F.get(found, F.size(found) - 1))).alias("expiry"))
+    """(birth, issue, expiry): the first, second and third date of a text; of two dates the second is the expiry too, a single one is only the birth."""
+    return let(dates_in(c), lambda found: F.struct(F.get(found, F.lit(0)).alias("birth"), F.get(found, F.lit(1)).alias("issue"), F.when(F.size(found) >= 2, F.coalesce(F.get(found, F.lit(2)), F.get(found, F.lit(1)))).alias("expiry")))

@@ -414,4 +414,4 @@ def flat_answers(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), F.explode(licence.flat_answer(text.lines(said), ("name", "segment"))).alias("key", "value"))
 
 
-from scriptorium.plans import records  # noqa: E402,F401  registers its queries
+from scriptorium.plans import identity, records  # noqa: E402,F401  they register their queries
