@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.functions import jsonops, text
-from scriptorium.functions.mrz import let
+from scriptorium.functions import text
 
 #: Fragments of labels and boilerplate that no value should hold (fixed values).
 SUSPICIOUS = ("signature", "holder", "http://", "https://", "issuing authority", "the following is a sample", "class", "end none")
 #: Label words that are no name (fixed values).
 NO_NAMES = ("NO", "OF", "ISSUE", "DATE OF", "DATE", "BIRTH", "PLACE", "PASSPORT", "AUTHORITY", "UNITED")
+#: Shape of a second zone line (fixed value).
+SECOND_LINE = r"\A[A-Z0-9<]{9}[0-9][A-Z]{3}[0-9]{6}[MFX<][0-9]{6}"
 
 
 def _true(c: Column) -> Column:
@@ -64,44 +65,10 @@ def plausible_sex(c: Column) -> Column:
 
 def like_second_line(c: Column) -> Column:
     """28 characters or more, 20 or more without <, in the shape of a second zone line."""
-    return _true((F.length(c) >= 28) & (F.length(F.replace(c, F.lit("<"), F.lit(""))) >= 20) & c.rlike(r"\A[A-Z0-9<]{9}[0-9][A-Z]{3}[0-9]{6}[MFX<][0-9]{6}"))
+    return _true((F.length(c) >= 28) & (F.length(F.replace(c, F.lit("<"), F.lit(""))) >= 20) & c.rlike(SECOND_LINE))
 
 
 def useful_name(c: Column) -> Column:
     """Something is left when all but A-Z and blanks are dropped, and it is no label word."""
     left = text.strip(F.regexp_replace(F.upper(c), "[^A-Z ]", ""))
     return _true((left != "") & ~left.isin(*NO_NAMES))
-
-
-#: Codes of the structured gate and their severity, in the order in which they are tried (fixed values).
-CODES = {
-    "structured_json_not_found": "warning", "structured_fields_missing": "warning", "structured_fields_invalid": "warning",
-    "structured_fields_repetitive": "warning", "structured_fields_too_sparse": "warning", "structured_adapter_mapping": "info",
-}
-
-
-def structured_gate(answer: Column, allowed: tuple[str, ...], least: int = 3) -> Column:
-    """(code, severity, is_valid) of a model's answer: the first gate that its JSON object doesn't pass.
-
-    The fields are those under "fields", or the object itself without that key. They don't map where an allowed field is an
-    array or object; allowed scalar fields are the record, which must have `least` filled fields and not repeat itself.
-    """
-    return let(jsonops.object_text(answer), lambda found: _gate(found, allowed, least))
-
-
-def _gate(found: Column, allowed: tuple[str, ...], least: int) -> Column:
-    keys = F.json_object_keys(found)
-    inner = F.when(_true(F.array_contains(keys, "fields")), F.get_json_object(found, "$.fields")).otherwise(found)
-    is_object = _true(text.strip(inner).startswith("{"))
-    nested = F.exists(F.array(*(F.schema_of_variant(F.try_variant_get(F.try_parse_json(inner), f"$.{k}", "variant")) for k in allowed)), lambda s: _true(s.rlike("^(OBJECT|ARRAY)")))
-    values = F.filter(F.array(*(F.get_json_object(inner, f"$.{k}") for k in allowed)), lambda v: _true(text.strip(v) != ""))
-
-    def judge(values: Column) -> Column:
-        failed = [found.isNull(), ~is_object, nested, text.repetitive(F.transform(values, lambda v: F.lower(text.strip(v)))), F.size(values) < least]
-        code = F.lit([*CODES][-1])
-        for test, name in reversed([*zip(failed, CODES, strict=False)]):
-            code = F.when(test, name).otherwise(code)
-        return code
-
-    last = [*CODES][-1]
-    return let(let(values, judge), lambda code: F.struct(code.alias("code"), F.when(code == last, "info").otherwise("warning").alias("severity"), (code == last).alias("is_valid")))

@@ -19,6 +19,10 @@ CONFUSIONS = {
 }
 
 
+#: The further mix-ups that the larger table of the evaluation scripts adds (fixed values).
+MORE_CONFUSIONS = CONFUSIONS | {"9": "g", "E": "F", "F": "E", "P": "R", "R": "P"}
+
+
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
     """f(c) with c bound to a variable, so that a long expression stands in the plan once."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
@@ -30,8 +34,30 @@ def char_value(c: Column) -> Column:
     return F.when(c == "<", 0).when(a.between(48, 57), a - 48).otherwise(a - 55)
 
 
+_KNOWN = "<0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_VALUES = [0, *range(10), *range(10, 36), *range(10, 36)]
+
+
 def check_digit(s: Column) -> Column:
-    """Sum of the values weighed by 7, 3, 1 in turn, modulo 10, as a character."""
+    """Sum of the values weighed by 7, 3, 1 in turn, modulo 10, as a character.
+
+    Only the last digit of each product counts, so each third character becomes that digit at once; the digits' sum is taken bit
+    by bit, from how many of them have each bit. Texts with other characters go one by one.
+    """
+
+    def third(weight: int, begin: int) -> Column:
+        digits = F.translate(F.substr(s, F.lit(begin)), _KNOWN, "".join(str(v * weight % 10) for v in _VALUES))
+        return F.regexp_replace(digits, "(.).{0,2}", "$1")
+
+    def total(u: Column) -> Column:
+        having = lambda digits: F.length(u) - F.length(F.translate(u, digits, ""))
+        return F.pmod(having("13579") + 2 * having("2367") + 4 * having("4567") + 8 * having("89"), F.lit(10)).cast("string")
+
+    quick = let(F.concat(third(7, 1), third(3, 2), third(1, 3)), total)
+    return F.when(s.rlike(r"\A[<0-9A-Za-z]*\z"), quick).otherwise(_one_by_one(s))
+
+
+def _one_by_one(s: Column) -> Column:
     characters = F.filter(F.split(s, ""), lambda c: c != "")
     weighed = F.transform(characters, lambda c, i: char_value(c) * F.element_at(F.array(F.lit(7), F.lit(3), F.lit(1)), (i % 3 + 1).cast("int")))
     return F.pmod(F.aggregate(weighed, F.lit(0), lambda a, b: a + b), F.lit(10)).cast("string")
@@ -149,69 +175,73 @@ def char_accuracy(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return F.size(F.filter(both, lambda p: (p["x"] == p["y"]) & (p["x"] != ""))) / F.lit(2.0 * WIDTH)
 
 
-def _edits(l2: Column) -> Column:
-    """All single substitutions of a line, in order of position and alternative."""
-    table = F.create_map(*[F.lit(x) for pair in CONFUSIONS.items() for x in pair])
-
-    def all_of(line: Column) -> Column:
-        def at(i: Column) -> Column:
-            alternatives = F.coalesce(F.try_element_at(table, F.substr(line, i, F.lit(1))), F.lit(""))
-            return F.transform(F.filter(F.split(alternatives, ""), lambda a: a != ""), lambda a: F.concat(F.substr(line, F.lit(1), i - 1), a, F.substr(line, i + 1)))
-
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(line)), at))
-
-    return let(l2, all_of)
-
-
-def repair(df: DataFrame, l2: str, key: str) -> DataFrame:
-    """key, fixed (padded line), n_edits (0 valid, 1 repaired, -1 not repairable by one substitution) and n_candidates (valid single substitutions).
-
-    Only lines that fail are expanded, into about a hundred rows each that never leave their task's pipeline but for the
-    aggregate by key. A valid line isn't always the true one: n_candidates over 1 tells that the choice was ambiguous.
-    """
-    base = df.select(key, padded(F.col(l2)).alias("l2")).withColumn("valid", line2_valid(F.col("l2")))
-    tried = base.where(~F.col("valid")).select(key, "l2", F.posexplode_outer(_edits(F.col("l2"))).alias("n", "candidate")).withColumn("good", line2_valid(F.col("candidate")))
-    best = tried.groupBy(key, "l2").agg(F.min(F.when(F.col("good"), F.struct("n", "candidate"))).alias("best"), F.count_distinct(F.when(F.col("good"), F.col("candidate"))).alias("n_candidates"))
-    fixed = best.select(key, F.coalesce("best.candidate", "l2").alias("fixed"), F.when(F.col("best").isNotNull(), 1).otherwise(-1).alias("n_edits"), "n_candidates")
-    return base.where("valid").select(key, F.col("l2").alias("fixed"), F.lit(0).alias("n_edits"), F.lit(0).cast("long").alias("n_candidates")).unionByName(fixed)
-
-
 #: First and last place (from 0) of what each asked digit covers, and the place of the digit; the composite has three parts.
 _CHECKS = (((range(0, 9),), 9), ((range(13, 19),), 19), ((range(21, 27),), 27), ((range(0, 10), range(13, 20), range(21, 43)), 43))
 _WEIGHTS = tuple({p: (7, 3, 1)[i % 3] for i, p in enumerate(p for r in parts for p in r)} for parts, _ in _CHECKS)
 
 
 def _value(c: str) -> int:
-    return 0 if c == "<" else int(c) if c in "0123456789" else ord(c) - 55
+    return 0 if c == "<" else int(c) if c in "0123456789" else ord(c.upper()) - 55
+
+
+def changes(confusions: dict[str, str]) -> list[tuple]:
+    """place (from 1), character, order, alternative, the change of each of the four sums modulo 10: a row for each substitution that a line of 44 may undergo."""
+    return [(p + 1, c, (p + 1) * 100 + n, a, *((w.get(p, 0) * (_value(a) - _value(c))) % 10 for w in _WEIGHTS)) for p in range(WIDTH) for c, many in confusions.items() for n, a in enumerate(many)]
 
 
-def _two_edits(line: str) -> str | None:
+def repair(df: DataFrame, l2: str, key: str, confusions: dict[str, str] = CONFUSIONS) -> DataFrame:
+    """key, fixed (padded line), n_edits (0 valid, 1 repaired, -1 not repairable by one substitution) and n_candidates (valid single substitutions).
+
+    A line that fails gives a row for each of its 44 characters, with its four sums; the substitutions, a table of a few thousand rows whatever
+    the data, are joined to them by place and character and carry what they change, so that no changed line is built but the
+    winning one. A valid line isn't always the true one: n_candidates over 1 tells that the choice was ambiguous.
+    """
+    from scriptorium.operators.rows import bound
+
+    base = bound(df.select(F.col(key).alias("k"), F.col(l2).alias("given")), l2=padded(F.col("given"))).drop("given")
+    base = bound(base, sums=F.array(*(check_digit(c) for c in (F.substring("l2", 1, 9), F.substring("l2", 14, 6), F.substring("l2", 22, 6), composite(F.col("l2"))))), said=F.array(*(F.substring("l2", at + 1, 1) for _, at in _CHECKS)))
+    bad = base.where("sums != said")
+    table = df.sparkSession.createDataFrame(changes(confusions), "place int, old string, n int, new string, d0 int, d1 int, d2 int, d3 int")
+    each = bad.select("k", "l2", "said", F.transform("sums", lambda x: x.cast("int")).alias("sums"), F.posexplode(F.split("l2", "")).alias("p", "old")).where("p < 44")
+    tried = each.withColumn("place", F.col("p") + 1).join(F.broadcast(table), ["place", "old"])
+    good = F.lit(True)
+    for i, (_, at) in enumerate(_CHECKS):
+        wanted = F.when(F.col("place") == at + 1, F.col("new")).otherwise(F.get("said", F.lit(i)))
+        good = good & (F.pmod(F.get("sums", F.lit(i)) + F.col(f"d{i}"), F.lit(10)).cast("string") == wanted)
+    changed = F.concat(F.substr("l2", F.lit(1), F.col("place") - 1), "new", F.substr("l2", F.col("place") + 1))
+    best = tried.where(good).groupBy("k", "l2").agg(F.min(F.struct("n", changed.alias("candidate"))).alias("best"), F.count_distinct(changed).alias("n_candidates"))
+    found = bad.select("k", "l2").join(best, ["k", "l2"], "left")
+    fixed = found.select(F.col("k").alias(key), F.coalesce("best.candidate", "l2").alias("fixed"), F.when(F.col("best").isNotNull(), 1).otherwise(-1).alias("n_edits"), F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"))
+    return base.where("sums = said").select(F.col("k").alias(key), F.col("l2").alias("fixed"), F.lit(0).alias("n_edits"), F.lit(0).cast("long").alias("n_candidates")).unionByName(fixed)
+
+
+def _two_edits(line: str, confusions: dict[str, str] = CONFUSIONS) -> str | None:
     """The first line that passes after two substitutions, by the first one's order and then the second one's. Sums are carried along, not built anew."""
 
     def changed(sums: list[int], at: int, old: str, new: str) -> list[int]:
         return [s + w.get(at, 0) * (_value(new) - _value(old)) for s, w in zip(sums, _WEIGHTS, strict=True)]
 
     sums = [sum(w * _value(line[p]) for p, w in weights.items()) for weights in _WEIGHTS]
-    for i, a in ((i, a) for i, c in enumerate(line) for a in CONFUSIONS.get(c, "")):
+    for i, a in ((i, a) for i, c in enumerate(line) for a in confusions.get(c, "")):
         once, half = line[:i] + a + line[i + 1 :], changed(sums, i, line[i], a)
-        for j, b in ((j, b) for j, c in enumerate(once) for b in CONFUSIONS.get(c, "")):
+        for j, b in ((j, b) for j, c in enumerate(once) for b in confusions.get(c, "")):
             if all(str(s % 10) == (b if at == j else once[at]) for s, (_, at) in zip(changed(half, j, once[j], b), _CHECKS, strict=True)):
                 return once[:j] + b + once[j + 1 :]
     return None
 
 
-def repair_pairs(df: DataFrame, l2: str, key: str) -> DataFrame:
+def repair_pairs(df: DataFrame, l2: str, key: str, confusions: dict[str, str] = CONFUSIONS) -> DataFrame:
     """repair, and for the lines that one substitution leaves invalid the first pair that helps; n_edits is then the number of places that differ.
 
     Only those lines go to Python, in Arrow batches; each costs about ten thousand small sums and nothing is gathered.
     """
     import pandas as pd
 
-    once = repair(df, l2, key).withColumn("_left", F.col("n_edits") == -1)
+    once = repair(df, l2, key, confusions).withColumn("_left", F.col("n_edits") == -1)
 
     def mend(batches):
         for b in batches:
-            found = [_two_edits(x) for x in b["fixed"]]
+            found = [_two_edits(x, confusions) for x in b["fixed"]]
             far = [sum(x != y for x, y in zip(f, x0, strict=True)) if f else -1 for f, x0 in zip(found, b["fixed"], strict=True)]
             yield b.assign(n_edits=pd.Series(far, b.index, dtype="int32"), fixed=[f or x for f, x in zip(found, b["fixed"], strict=True)])
 

@@ -55,6 +55,8 @@ NO_NAMES = ("abu dhabi", "<<", "<8")
 CATEGORIES = "AM|A1|A2|A|B1|B|C1|C|D1|D|BE|CE|DE|T"
 LABELS = ("DL", "EXP", "DOB", "ISS", "FN", "LN")
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: Stands before the JSON text of a nested value; such values are not cleaned or repaired.
+NESTED = "\x00"
 SLASHED = r"^[0-9]{2}/[0-9]{2}/[0-9]{4}\z"
 
 
@@ -88,7 +90,7 @@ def _repaired(kind: str, k: Column, v: Column, profile: str) -> Column:
     undated = F.when(~v.rlike(SLASHED), v)
     if kind == "driver_license":
         wrong = ("address", "issuing_authority") if profile == "service" else ("address",)
-        return F.when(k == "license_number", token(7)).when(k.isin(*wrong), undated).when(k == "categories", F.nullif(F.array_join(license_categories(v, profile), ","), F.lit(""))).otherwise(v)
+        return F.when(k == "license_number", token(7)).when(k.isin(*wrong), undated).when((k == "categories") & ~v.startswith(NESTED), F.nullif(F.array_join(license_categories(v, profile), ","), F.lit(""))).otherwise(v)
     if kind == "passport":
         out = F.when(k == "document_number", token(8)).when(k.isin("surname", "given_names", "mrz"), F.when(~F.lower(strip(v)).isin(*NO_NAMES), v))
         out = out.when(k == "issuing_authority", undated).when(k == "document_time", F.lit(None)) if profile == "service" else out

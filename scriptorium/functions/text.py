@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +13,18 @@ WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WS_ALL = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Sentinels that stand for a missing value (fixed values).
 SENTINELS = ("", "___", "__", "_", "N/A", "NULL", "UNKNOWN", "None")
-#: Accented Latin letters and their plain ones (fixed values).
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
+def _accents() -> tuple[str, str]:
+    """Letters up to U+1EFF that are a plain one with combining marks, their plain ones, and at the end the marks themselves, which go."""
+    whole = [c for c in map(chr, range(0xC0, 0x1F00)) if unicodedata.category(c) != "Mn"]
+    pairs = [(c, base) for c in whole for base in ["".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")] if base != c and len(base) == 1]
+    marks = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.category(c) == "Mn")
+    return "".join(c for c, _ in pairs) + marks, "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _accents()
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_ALL))
 
@@ -41,8 +50,8 @@ def normal_upper(c: Column) -> Column:
 
 
 def without_accents(c: Column) -> Column:
-    """Accents of Latin letters dropped, then normal_upper."""
-    return normal_upper(F.translate(c, ACCENTED, PLAIN))
+    """Letters without their combining marks, in upper case, blanks squashed; apostrophes stay as they are."""
+    return _one_blank(F.upper(F.translate(c, ACCENTED, PLAIN)))
 
 
 def document_number(c: Column) -> Column:
@@ -61,13 +70,6 @@ def imported_name(c: Column) -> Column:
     return squash(F.replace(F.element_at(parts, -1), F.lit(","), F.lit(" ")))
 
 
-def given_names(c: Column, noise: tuple[str, ...] = ("GIVEN", "NAMES", "NAME", "PRENOMS", "VORNAMEN")) -> Column:
-    """Letters only, noise words dropped."""
-    letters = F.regexp_replace(F.upper(c), "[^A-Z]+", " ")
-    words = F.filter(F.split(letters, " "), lambda w: (w != "") & ~w.isin(*noise))
-    return F.nullif(F.array_join(words, " "), F.lit(""))
-
-
 def identity_name(c: Column) -> Column:
     return F.nullif(F.btrim(F.regexp_replace(F.regexp_replace(F.upper(c), "[^A-Z -]", " "), " +", " "), F.lit(" -")), F.lit(""))
 

@@ -49,16 +49,6 @@ def record_gates(spark, sf_dir):
     return derive(spark, sf_dir, _VALUES).select("id", gates.is_real_record(c("template"), c("id") % 2 == 0, c("populated")).alias("real"), gates.is_from(c("source"), c("country"), "rus", "RUSSIAN FEDERATION").alias("russian"), gates.is_printed(c("source")).alias("printed"), gates.issue_count([c("remark"), c("name")]).alias("issues"))
 
 
-_ANSWERS = """SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '{"fields": [1]}' WHEN 3 THEN concat('{"fields": {"a": "', c_name, '", "b": {"c": 1}, "d": "x", "e": "y"}}')
-  WHEN 4 THEN '{"a": "same", "b": "Same", "d": " same", "e": "same"}' WHEN 5 THEN concat('{"a": "', c_name, '", "b": " ", "zz": "1", "yy": "2"}') WHEN 6 THEN concat('{"fields": {"a": "', c_name, '", "b": "', c_mktsegment, '", "d": 7, "e": null}}') ELSE '{"fields": null, "a": "1", "b": "2", "d": "3"}' END AS t FROM customer"""
-
-
-@query(f"""SELECT id, CASE id % 8 WHEN 0 THEN 'structured_json_not_found' WHEN 1 THEN 'structured_json_not_found' WHEN 2 THEN 'structured_fields_missing' WHEN 7 THEN 'structured_fields_missing' WHEN 3 THEN 'structured_fields_invalid'
-WHEN 4 THEN 'structured_fields_repetitive' WHEN 5 THEN 'structured_fields_too_sparse' ELSE 'structured_adapter_mapping' END AS code, CASE WHEN id % 8 = 6 THEN 'info' ELSE 'warning' END AS severity, id % 8 = 6 AS is_valid FROM ({_ANSWERS})""")
-def structured_gate(spark, sf_dir):
-    return derive(spark, sf_dir, _ANSWERS).select("id", gates.structured_gate(F.col("t"), ("a", "b", "d", "e")).alias("g")).select("id", "g.*")
-
-
 _PARTS = """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'USAFARSI' WHEN 1 THEN 'O''NEILL-SMITH' WHEN 2 THEN '12' WHEN 3 THEN concat('usa', lower(c_mktsegment)) END AS surname,
   CASE c_custkey % 4 WHEN 0 THEN 'Anna, Maria 7 date' WHEN 1 THEN 'USAF' WHEN 2 THEN concat('Place ', c_mktsegment) END AS given, CASE c_custkey % 3 WHEN 0 THEN ' CHICAGO ILINIOIS ' WHEN 1 THEN 'ILLINIOIS' END AS place,
   CASE c_custkey % 7 WHEN 0 THEN 'Sex: m ' WHEN 1 THEN 'type F x' WHEN 2 THEN '(x)' WHEN 3 THEN 'MALE' WHEN 4 THEN 'الجنس ذكر' WHEN 5 THEN 'f1' END AS sex,
