@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.operators.rows import packed, unpacked
+
 
 def first_wins(df: DataFrame, key: str = "id", order: tuple[str, ...] = ("file_no", "line_no")) -> DataFrame:
     """The first row of each key; rows with a null or empty key all stay. A map-side aggregate finds the first, so a hot key costs no task."""
@@ -13,12 +15,13 @@ def first_wins(df: DataFrame, key: str = "id", order: tuple[str, ...] = ("file_n
     return best.unionByName(df.where(blank)).select(*df.columns)
 
 
-def last_of_group_split(df: DataFrame, group: str = "source_dataset", key: str = "id") -> DataFrame:
-    """df with split: the greatest key of each group of two or more is val, the rest train; null groups are 'None'."""
-    named = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("None")))
-    stats = named.groupBy("_g").agg(F.max(F.col(key).cast("string")).alias("_last"), F.count("*").alias("_n"))
-    val = (F.col("_n") >= 2) & (F.col(key).cast("string") == F.col("_last"))
-    return named.join(stats, "_g").withColumn("split", F.when(val, "val").otherwise("train")).drop("_g", "_last", "_n")
+def last_of_group_split(df: DataFrame, group: str = "source_dataset", key: str = "id", order: tuple[str, ...] = ("file_no", "line_no")) -> DataFrame:
+    """df with split: of each group of two or more the row with the greatest key, the last in order among equal keys, is val, the rest train; null groups and keys are 'None'."""
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    rows = packed(df, g=none(group), at=F.struct(none(key).alias("key"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order))))
+    stats = rows.groupBy("g").agg(F.max("at").alias("last"), F.count("*").alias("n"))
+    val = (F.col("n") >= 2) & (F.col("at") == F.col("last"))
+    return unpacked(rows.join(stats, "g"), df.columns, split=F.when(val, "val").otherwise("train"))
 
 
 def split_families(df: DataFrame, families: dict[str, Column]) -> DataFrame:
@@ -31,10 +34,11 @@ def split_families(df: DataFrame, families: dict[str, Column]) -> DataFrame:
 
 
 def leakage(train: DataFrame, val: DataFrame, key: str = "id", image: str = "image_path") -> DataFrame:
-    """kind, left, right: ids in both sets, and different ids with the same image."""
-    ids = train.select(key).intersect(val.select(key)).select(F.lit("id").alias("kind"), F.col(key).alias("left"), F.col(key).alias("right"))
-    a, b = train.select(F.col(key).alias("left"), image).distinct(), val.select(F.col(key).alias("right"), image).distinct()
-    return ids.unionByName(a.join(b, image).where("left != right").select(F.lit("image").alias("kind"), "left", "right"))
+    """kind, value, n_train, n_val: ids in both sets, and images in both under different ids, with how many distinct ids each side has. A row for each leak, whatever the number of rows that share it: no pairs are made."""
+    ids = train.select(key).intersect(val.select(key)).select(F.lit("id").alias("kind"), F.col(key).alias("value"), F.lit(1).cast("long").alias("n_train"), F.lit(1).cast("long").alias("n_val"))
+    both = train.select(F.col(image).alias("value"), F.col(key).alias("id"), F.lit(True).alias("t")).unionByName(val.select(F.col(image).alias("value"), F.col(key).alias("id"), F.lit(False).alias("t"))).where("value is not null and id is not null").distinct()
+    found = both.groupBy("value").agg(F.count_if("t").alias("n_train"), F.count_if(~F.col("t")).alias("n_val"), (F.min("id") != F.max("id")).alias("differ")).where("differ and n_train > 0 and n_val > 0")
+    return ids.unionByName(found.select(F.lit("image").alias("kind"), "value", "n_train", "n_val"))
 
 
 def route(df: DataFrame, good: Column, diverse: Column) -> DataFrame:
@@ -50,8 +54,9 @@ def promote(queue: DataFrame, wanted: DataFrame, target: DataFrame, key: str = "
 
 def issues(df: DataFrame, known_images: DataFrame, key: str = "id", image: str = "image_path", order: str = "line_no") -> DataFrame:
     """order and issue, a row for each fault of a row. populated is the number of its filled fields, null if fields is no object."""
-    first = df.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.min(order).alias("_first"))
-    marked = df.join(first, key, "left").join(known_images.select(F.col(image), F.lit(True).alias("_there")).distinct(), image, "left")
+    own = df.select(*(F.col(c).alias(c) for c in dict.fromkeys((key, image, order, "document_type", "populated", "bootstrap_template"))))  # so that no other column clashes
+    first = own.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.min(order).alias("_first"))
+    marked = own.join(first, key, "left").join(known_images.select(F.col(image), F.lit(True).alias("_there")).distinct(), image, "left")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     stop = F.col("populated").isNull()
     found = [
@@ -76,15 +81,6 @@ def coverage(df: DataFrame, by: str, fields: tuple[str, ...]) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n_rows"), *(F.count_if(F.coalesce(F.col(f).cast("string"), F.lit("")) != "").alias(f"n_{f}") for f in fields))
 
 
-def ordered_distinct(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """key, pos, value: values of each key without repeats (upper case, blanks squashed), first spelling and order kept."""
-    from scriptorium.functions.text import squash
-
-    spelled = df.select(key, order, squash(F.col(value)).alias("value")).where("value is not null")
-    first = spelled.groupBy(key, F.upper("value").alias("_u")).agg(F.min_by("value", order).alias("value"), F.min(order).alias("_at"))
-    return first.select(key, F.row_number().over(Window.partitionBy(key).orderBy("_at")).alias("pos"), "value")
-
-
 def most_frequent(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, value, n: the most frequent value of each key; on a tie the smallest."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("n"))

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import slug, strip
 from scriptorium.operators.datasets import first_wins
+from scriptorium.operators.rows import packed, unpacked
 
 
 def load_rows(df: DataFrame, max_rows: int | None = None, key: str = "id", order: tuple[str, ...] = ("file_no", "line_no")) -> DataFrame:
@@ -26,11 +28,15 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(blocks.select("path", "block", "first", before.alias("before")), ["path", "block"]).select("path", (F.col("n") - F.col("first") + F.col("before") + 1).alias("line_no"), "value")
 
 
+def picture_kind(path: Column) -> Column:
+    """jpg or png; empty for other files."""
+    return F.regexp_extract(path, r"\.(jpg|png)\z", 1)
+
+
 def images(listing: DataFrame, path: str = "path") -> DataFrame:
-    """Paths of a listing that are .jpg or .png and lie in no metadata folder, with pos: .jpg before .png, each sorted."""
-    kind = F.regexp_extract(path, r"\.(jpg|png)\z", 1)
-    found = listing.select(path).where((kind != "") & ~F.col(path).rlike("(^|/)metadata/"))
-    return found.orderBy(kind, path)
+    """Paths of a listing that are .jpg or .png and lie in no metadata folder, ordered: .jpg before .png, each sorted."""
+    found = listing.select(path).where((picture_kind(F.col(path)) != "") & ~F.col(path).rlike("(^|/)metadata/"))
+    return found.orderBy(picture_kind(F.col(path)), path)
 
 
 def remapped(df: DataFrame, listing: DataFrame, root: str, prefixes: tuple[str, ...], marker: str = "data/multidoc/", column: str = "image_path") -> DataFrame:
@@ -60,18 +66,32 @@ def nested_documents(text: DataFrame, listing: DataFrame, images_dir: str, limit
     return kept.select(F.concat(F.lit("docxpand_"), F.coalesce("d._id", "d.id", stem)).alias("id"), "image_path", F.coalesce(F.nullif(one["template"], F.lit("")), F.lit("unknown")).alias("template"), F.coalesce(one["fields"], F.expr("map()").cast("map<string,string>")).alias("fields"))
 
 
-def labels(lines: DataFrame) -> DataFrame:
-    """image, line1, line2 from label lines (column value): {"image", "line1", "line2"} or {"image", "mrz"} with the two lines in one text."""
+def _two_lines(c: Column) -> Column:
+    """(line1, line2) of a text: its first two lines that aren't blank, as they are; empty where there is none."""
+    parts = F.filter(F.split(F.replace(c, F.lit("\r"), F.lit("")), "\n"), lambda x: strip(x) != "")
+    return F.struct(F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("line1"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("line2"))
+
+
+def labels(lines: DataFrame, order: str | None = None) -> DataFrame:
+    """image, line1, line2 from label lines (column value): {"image", "mrz"} with both lines in one text, {"image", "line1", "line2"}, or one dictionary {image: text}; missing lines are empty. Of an image's labels the last by `order` counts, the greatest without it."""
     of = lambda k: F.get_json_object("value", f"$.{k}")
-    parts = F.split(F.trim(of("mrz")), r"\r\n|[\n\r]")
-    return lines.where(F.trim("value") != "").select(of("image").alias("image"), F.coalesce(of("line1"), F.get(parts, F.lit(0))).alias("line1"), F.coalesce(of("line2"), F.get(parts, F.lit(1))).alias("line2")).where("image is not null")
+    keys = F.json_object_keys("value")
+    one = F.when(F.array_contains(keys, "mrz"), _two_lines(of("mrz"))).otherwise(F.struct(F.coalesce(of("line1"), F.lit("")).alias("line1"), F.coalesce(of("line2"), F.lit("")).alias("line2")))
+    named = F.array(F.struct(of("image").alias("image"), one.alias("x")))
+    whole = F.transform(F.map_entries(F.from_json("value", "map<string, string>")), lambda e: F.struct(e["key"].alias("image"), _two_lines(e["value"]).alias("x")))
+    at = F.col(order) if order else F.lit(0)
+    found = lines.where(F.trim("value") != "").select(at.alias("at"), F.posexplode(F.when(F.array_contains(keys, "image"), named).otherwise(whole)).alias("pos", "e"))
+    last = found.where("e.image is not null").groupBy(F.col("e.image").alias("image")).agg(F.max_by("e.x", F.struct("at", "pos", "e.x")).alias("x"))
+    return last.select("image", "x.line1", "x.line2")
 
 
 def with_truth(df: DataFrame, labelled: DataFrame, sidecars: DataFrame, image: str = "image") -> DataFrame:
-    """df with line1 and line2: those of the labels, else of the sidecar files; rows without both are left out."""
-    side = sidecars.select(F.col("image").alias(image), F.col("line1").alias("_s1"), F.col("line2").alias("_s2"))
-    both = df.join(labelled.select(F.col("image").alias(image), "line1", "line2"), image, "left").join(side, image, "left")
-    return both.where("line1 is not null or _s1 is not null").withColumns({"line1": F.coalesce("line1", "_s1"), "line2": F.coalesce("line2", "_s2")}).drop("_s1", "_s2")
+    """df with line1 and line2: those of the labels, else of the sidecar files; rows without both are left out. Of several rows of an image the greatest counts, so df's rows don't multiply."""
+    once = lambda t: t.groupBy(F.col("image").alias("i")).agg(F.max(F.struct("line1", "line2")).alias("x"))
+    rows = packed(df, i=F.col(image))
+    both = rows.join(once(labelled), "i", "left").join(once(sidecars).withColumnRenamed("x", "y"), "i", "left").where("x is not null or y is not null")
+    one = F.coalesce("x", "y")
+    return unpacked(both, df.columns, line1=one["line1"], line2=one["line2"])
 
 
 def additions(base: DataFrame, more: DataFrame, key: str = "id", without: tuple = ()) -> DataFrame:
@@ -82,8 +102,7 @@ def additions(base: DataFrame, more: DataFrame, key: str = "id", without: tuple
 
 def external_rows(samples: DataFrame, existing: DataFrame, fields: tuple[str, ...], kind: str, source: str, limit: int) -> DataFrame:
     """Rows to annotate: of the first `limit` samples (column pos; the import's own limit) those whose id is new, with empty fields."""
-    slug = F.btrim(F.regexp_replace(F.replace(F.lit(source), F.lit("/"), F.lit("__")), "[^A-Za-z0-9_]+", "-"), F.lit("-"))
-    new = samples.where(F.col("pos") < limit).withColumn("id", F.format_string("%s-%03d", slug, "pos")).join(existing.select("id"), "id", "left_anti")
+    new = samples.where(F.col("pos") < limit).withColumn("id", F.format_string("%s-%03d", slug(F.lit(source)), "pos")).join(existing.select("id"), "id", "left_anti")
     empty = F.struct(*(F.lit(None).cast("string").alias(f) for f in fields))
     return new.select("id", F.lit(kind).alias("document_type"), empty.alias("fields"), F.lit("needs_annotation_external").alias("status"), F.lit(source).alias("source_dataset"))
 
@@ -98,12 +117,13 @@ def zipped(rows: DataFrame, pictures: DataFrame, repo: str = "repo") -> DataFram
     """rows (repo, index, bucket) with image: the k-th row of a bucket gets the k-th image (repo, path, bucket) of that bucket.
 
     A bucket without images takes those of `other`. Rows beyond a bucket's images take the next of `other`, or of all where
-    there is no `other`; the first row that finds none ends its repository. Order is by index and by path; a repository is
-    numbered in one task, as its metadata file is one list.
+    there is no `other`; the first row that finds none ends its repository. Order is by index, and by path within a bucket; all images
+    together have .jpg before .png. A repository is numbered in one task, as its metadata file is one list.
     """
+    out, rows = rows.columns, packed(rows, repo_=F.col(repo), index_=F.col("index"), bucket_=F.col("bucket")).select("row", F.col("repo_").alias(repo), F.col("index_").alias("index"), F.col("bucket_").alias("bucket"))
     by = lambda *c: Window.partitionBy(repo, *c)
     numbered = pictures.select(repo, "path", "bucket", (F.row_number().over(by("bucket").orderBy("path")) - 1).alias("k"))
-    everything = pictures.select(repo, "path", F.lit("all").alias("bucket"), (F.row_number().over(by().orderBy("path")) - 1).alias("k"))
+    everything = pictures.select(repo, "path", F.lit("all").alias("bucket"), (F.row_number().over(by().orderBy(picture_kind(F.col("path")), "path")) - 1).alias("k"))
     pool = numbered.unionByName(everything)
     count = lambda b: F.count_if(F.col("bucket") == b)
     sizes = pictures.groupBy(repo).agg(count("male").alias("_male"), count("female").alias("_female"), count("other").alias("_other"), F.count("*").alias("_all"))
@@ -116,7 +136,7 @@ def zipped(rows: DataFrame, pictures: DataFrame, repo: str = "repo") -> DataFram
     kept = placed.withColumn("_stop", stop).where("_stop is null or index < _stop")
     kept = kept.withColumn("_pool", F.when(F.col("_direct"), F.col("_from")).otherwise(F.when(F.col("_other") > 0, "other").otherwise("all"))).withColumn("_k", F.when(F.col("_direct"), F.col("_rank")).otherwise(F.col("_over")))
     images_ = pool.select(F.col(repo), F.col("path").alias("image"), F.col("bucket").alias("_pool"), F.col("k").alias("_k"))
-    return kept.join(images_, [repo, "_pool", "_k"]).select(*rows.columns, "image")
+    return unpacked(kept.join(images_, [repo, "_pool", "_k"]), out, image=F.col("image"))
 
 
 class NotThere(NotImplementedError):

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.metrics import f1, rate
+
 
 def eval_sets(sets: dict[str, list[DataFrame]]) -> DataFrame:
     """Rows of several sets, each the union of its parts, with the set's name in eval_set; columns that a part lacks are null."""
@@ -39,18 +41,24 @@ def sample_k(df: DataFrame, k: int, key: str = "id", seed: int = 0) -> DataFrame
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
 
 
-def families(cells: DataFrame, normal: Callable[[Column, Column], Column], derivable: tuple[str, ...]) -> DataFrame:
-    """engine, family, correct, total, accuracy of three families in one pass: exact, normalised, and normalised over the fields that a zone tells.
+def families(expected: DataFrame, predicted: DataFrame, normal: Callable[[Column, Column], Column], derivable: tuple[str, ...]) -> DataFrame:
+    """engine, family, n, field_accuracy, precision, recall, f1_score: means over all documents of three families, in one pass: exact, normalised, and normalised over the fields that a zone tells.
 
-    cells: engine, id, key, expected, predicted; normal(key, value) is a value's normal form.
+    expected: id, key, value; predicted: engine, id, key, value; normal(key, value) is a value's normal form. Documents without a
+    field of a family count with zeros; without documents there are no rows.
     """
-    of = lambda c: normal(F.col("key"), F.col(c))
-    exact = F.coalesce(F.col("expected") == F.col("predicted"), F.lit(False))
-    marked = cells.select("engine", "key", exact.alias("exact"), F.coalesce(of("expected") == of("predicted"), F.lit(False)).alias("normal"))
-    zone = F.col("key").isin(*derivable)
-    families_ = F.array(F.struct(F.lit("exact").alias("family"), F.col("exact").alias("ok")), F.struct(F.lit("normalised").alias("family"), F.col("normal").alias("ok")), F.when(zone, F.struct(F.lit("derivable").alias("family"), F.col("normal").alias("ok"))))
-    long = marked.select("engine", F.explode(F.array_compact(families_)).alias("f")).select("engine", "f.family", "f.ok")
-    return long.groupBy("engine", "family").agg(F.count_if("ok").alias("correct"), F.count("*").alias("total"), F.avg(F.col("ok").cast("double")).alias("accuracy"))
+    value = normal(F.col("key"), F.col("value"))
+    of = F.array_compact(F.array(F.struct(F.lit("exact").alias("family"), F.col("value").alias("value")), F.struct(F.lit("normalised").alias("family"), value.alias("value")), F.when(F.col("key").isin(*derivable), F.struct(F.lit("derivable").alias("family"), value.alias("value")))))
+    long = lambda t, *more: t.where("value is not null").select(*more, "id", "key", F.explode(of).alias("f")).select(*more, "id", "key", "f.family", "f.value")
+    engines = F.broadcast(predicted.select("engine").distinct())  # a row for each engine
+    nothing = F.lit(None).cast("string")
+    cells = long(expected).crossJoin(engines).withColumnsRenamed({"value": "e"}).withColumn("p", nothing).unionByName(long(predicted, "engine").withColumnsRenamed({"value": "p"}).withColumn("e", nothing))
+    cell = cells.groupBy("engine", "family", "id", "key").agg(F.max("e").alias("e"), F.max("p").alias("p"))
+    docs = cell.groupBy("engine", "family", "id").agg(F.count_if(F.col("e") == F.col("p")).alias("tp"), F.count("p").alias("n_p"), F.count("e").alias("n_e")).join(expected.select("id").distinct(), "id", "left_semi")
+    p, r = rate(F.col("tp"), F.col("n_p")), rate(F.col("tp"), F.col("n_e"))
+    sums = docs.groupBy("engine", "family").agg(*(F.sum(c).alias(n) for n, c in (("field_accuracy", r), ("precision", p), ("recall", r), ("f1_score", f1(p, r)))))
+    whole = expected.agg(F.count_distinct("id").alias("n"))  # one row
+    return sums.crossJoin(F.broadcast(whole)).select("engine", "family", "n", *((F.col(c) / F.col("n")).alias(c) for c in ("field_accuracy", "precision", "recall", "f1_score")))
 
 
 def recognition_means(rows: DataFrame, metrics: tuple[str, ...], digits: int = 4) -> DataFrame:
@@ -60,13 +68,14 @@ def recognition_means(rows: DataFrame, metrics: tuple[str, ...], digits: int = 4
 
 def best_epoch(history: DataFrame, run: str = "run", patience: int = 3) -> DataFrame:
     """run, epoch, loss, stopped: the first epoch with a run's least loss before it stops, and the epoch at which `patience` epochs in a row brought nothing better (null: none)."""
-    w = Window.partitionBy(run).orderBy("epoch")
-    low = F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = history.withColumn("_better", low.isNull() | (F.col("loss") < low))
-    last = marked.withColumn("_n", F.row_number().over(w)).withColumn("_last", F.max(F.when(F.col("_better"), F.col("_n"))).over(w))
-    stop = F.min(F.when(F.col("_n") - F.col("_last") >= patience, F.col("epoch"))).over(Window.partitionBy(run))
-    seen = last.withColumn("_stop", stop).where("_stop is null or epoch <= _stop")
-    return seen.groupBy(run).agg(F.min(F.struct("loss", "epoch")).alias("b"), F.first("_stop").alias("stopped")).select(run, F.col("b.epoch").alias("epoch"), F.col("b.loss").alias("loss"), "stopped")
+    own = history.select(F.col(run).alias("r"), F.col("epoch").alias("e"), F.col("loss").alias("x"))
+    w = Window.partitionBy("r").orderBy("e")
+    low = F.min("x").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = own.withColumn("better", low.isNull() | (F.col("x") < low))
+    last = marked.withColumn("n", F.row_number().over(w)).withColumn("last", F.max(F.when(F.col("better"), F.col("n"))).over(w))
+    stop = F.min(F.when(F.col("n") - F.col("last") >= patience, F.col("e"))).over(Window.partitionBy("r"))
+    seen = last.withColumn("stop", stop).where("stop is null or e <= stop")
+    return seen.groupBy("r").agg(F.min(F.struct("x", "e")).alias("b"), F.first("stop").alias("stopped")).select(F.col("r").alias(run), F.col("b.e").alias("epoch"), F.col("b.x").alias("loss"), "stopped")
 
 
 def composition(rows: DataFrame, flags: DataFrame, by: str = "version", source: str = "source_dataset") -> DataFrame:

@@ -186,33 +186,35 @@ def dedup_first_wins(spark, sf_dir):
     return datasets.first_wins(derive(spark, sf_dir, DATASET)).select("id", "file_no", "line_no", "source_dataset")
 
 
-_ONE = f"SELECT * FROM ({DATASET}) WHERE file_no = 1"
-_SPLIT = "SELECT id, source_dataset, CASE WHEN count(*) OVER (PARTITION BY source_dataset) >= 2 AND id = max(id) OVER (PARTITION BY source_dataset) THEN 'val' ELSE 'train' END AS split FROM ({t})"
+_SPLIT = "SELECT *, CASE WHEN count(*) OVER (PARTITION BY coalesce(source_dataset, 'None')) >= 2 AND row_number() OVER (PARTITION BY coalesce(source_dataset, 'None') ORDER BY coalesce(id, 'None') DESC, file_no DESC, line_no DESC) = 1 THEN 'val' ELSE 'train' END AS split FROM ({t})"
+#: The data set with repeated rows at the end of some groups.
+REPEATED = f"SELECT * FROM ({DATASET}) UNION ALL SELECT id, file_no, line_no + 50000000, source_dataset, document_type, image_path, populated, bootstrap_template FROM ({DATASET}) WHERE file_no = 1 AND (TRY_CAST(id AS BIGINT) % 10 = 9 OR id LIKE '99%')"
 
 
-@query(_SPLIT.format(t=_ONE))
+@query(f"SELECT id, line_no, source_dataset, split FROM ({_SPLIT.format(t=REPEATED)})")
 def last_of_group_split(spark, sf_dir):
-    return datasets.last_of_group_split(derive(spark, sf_dir, _ONE)).select("id", "source_dataset", "split")
+    return datasets.last_of_group_split(derive(spark, sf_dir, REPEATED)).select("id", "line_no", "source_dataset", "split")
 
 
-@query(" UNION ALL ".join(f"SELECT '{f}' AS family, split, count(*) AS n FROM ({_SPLIT.format(t=f'SELECT * FROM ({_ONE}) WHERE {w}')}) GROUP BY split" for f, w in (("v1", "true"), ("v2", "document_type <> 'fr'"), ("v3", "document_type <> 'fr' AND NOT contains(source_dataset, 'src1')"))))
+@query(" UNION ALL ".join(f"SELECT '{f}' AS family, split, count(*) AS n, max(CASE WHEN split = 'val' THEN line_no END) AS last_val FROM ({_SPLIT.format(t=f'SELECT * FROM ({REPEATED}) WHERE {w}')}) GROUP BY split" for f, w in (("v1", "true"), ("v2", "document_type <> 'fr'"), ("v3", "document_type <> 'fr' AND NOT contains(source_dataset, 'src1')"))))
 def split_families(spark, sf_dir):
     other = F.col("document_type") != "fr"
-    found = datasets.split_families(derive(spark, sf_dir, _ONE), {"v1": F.lit(True), "v2": other, "v3": other & ~F.col("source_dataset").contains("src1")})
-    return found.groupBy("family", "split").agg(F.count("*").alias("n"))
+    found = datasets.split_families(derive(spark, sf_dir, REPEATED), {"v1": F.lit(True), "v2": other, "v3": other & ~F.col("source_dataset").contains("src1")})
+    return found.groupBy("family", "split").agg(F.count("*").alias("n"), F.max(F.when(F.col("split") == "val", F.col("line_no"))).alias("last_val"))
 
 
-@query(f"""WITH s AS (SELECT d.*, x.split FROM ({_ONE}) d JOIN ({_SPLIT.format(t=_ONE)}) x ON d.id = x.id), t AS (SELECT * FROM s WHERE split = 'train'), v AS (SELECT * FROM s WHERE split = 'val')
-SELECT 'id' AS kind, t.id AS "left", t.id AS "right" FROM t JOIN v ON t.id = v.id UNION ALL SELECT DISTINCT 'image', t.id, v.id FROM t JOIN v ON t.image_path = v.image_path WHERE t.id <> v.id""")
+@query(f"""WITH s AS ({_SPLIT.format(t=REPEATED)}), t AS (SELECT DISTINCT id, image_path FROM s WHERE split = 'train'), v AS (SELECT DISTINCT id, image_path FROM s WHERE split = 'val')
+SELECT 'id' AS kind, id AS value, CAST(1 AS BIGINT) AS n_train, CAST(1 AS BIGINT) AS n_val FROM (SELECT id FROM t INTERSECT SELECT id FROM v) UNION ALL
+SELECT 'image', image_path, (SELECT count(DISTINCT id) FROM t WHERE t.image_path = p.image_path), (SELECT count(DISTINCT id) FROM v WHERE v.image_path = p.image_path) FROM (SELECT DISTINCT t.image_path FROM t JOIN v ON t.image_path = v.image_path WHERE t.id <> v.id) p""")
 def split_leakage(spark, sf_dir):
-    s = datasets.last_of_group_split(derive(spark, sf_dir, _ONE))
+    s = datasets.last_of_group_split(derive(spark, sf_dir, REPEATED))
     return datasets.leakage(s.where("split = 'train'"), s.where("split = 'val'"))
 
 
-@query("""SELECT d.doc_id AS id, CASE WHEN l.quality = 1 AND l.toxic = 0 AND d.n_chars >= 500 THEN 'train' WHEN l.quality = 1 THEN 'eval' ELSE 'manual' END AS route, d.n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 10 <> 0""")
+@query("""SELECT d.doc_id AS id, CASE WHEN l.quality = 1 AND l.toxic = 0 AND d.n_chars >= 500 THEN 'train' WHEN l.quality = 1 THEN 'eval' ELSE 'manual' END AS route, d.n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id NOT IN (SELECT CAST(item_id AS BIGINT) FROM benchmark WHERE item_id IS NOT NULL)""")
 def curation_route(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
-    known = rows.where("doc_id % 10 = 0").select("doc_id")
+    known = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
     routed = datasets.route(rows.join(known, "doc_id", "left_anti"), (F.col("quality") == 1) & (F.col("toxic") == 0) & (F.col("n_chars") >= 500), F.col("quality") == 1)
     return routed.select(F.col("doc_id").alias("id"), "route", "n_chars")
 

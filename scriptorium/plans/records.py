@@ -79,13 +79,16 @@ def passport_zones(spark, sf_dir):
     return z.select("id", "n.surname", "n.given_names", c("i.document_number").alias("number"), c("i.date_of_birth").alias("birth"), c("i.date_of_expiry").alias("expiry"), "zone")
 
 
-_SAID = """SELECT c_custkey AS id, concat('Passport Name', chr(10), 'ALL UPPER', chr(10), '1 one', chr(10), CASE WHEN c_custkey % 3 = 0 THEN 'Anna-Maria / Lou  Jones-Smith 7' ELSE concat('DATE OF BIRTH ', CAST(c_custkey AS STRING)) END, chr(10), 'end <pad></s>') AS t,
-  concat('05/06/1990 x ', CASE WHEN c_custkey % 2 = 0 THEN '07/08/2020, 09/10/2030' ELSE '' END) AS d FROM customer"""
+_SAID = """SELECT c_custkey AS id, concat('Passport Name', chr(10), 'ALL UPPER', chr(10), '1 one', chr(10), CASE c_custkey % 6 WHEN 0 THEN concat('Anna-Maria / Lou  ', substr(c_mktsegment, 1, 1), lower(substr(c_mktsegment, 2)), '-Smith 7') WHEN 1 THEN concat('Lou ', c_mktsegment) WHEN 2 THEN concat(lower(c_mktsegment), ' type') WHEN 3 THEN concat('x ', c_mktsegment, ' -') ELSE concat('DATE OF BIRTH ', CAST(c_custkey AS STRING)) END, chr(10), CASE WHEN c_custkey % 5 = 0 THEN 'no Marker' ELSE '<s>end <pad></s>' END) AS t,
+  concat_ws(' ', CASE c_custkey % 7 WHEN 0 THEN '05/06/1990' WHEN 1 THEN '05.06.1990' WHEN 2 THEN '5/6/1990' WHEN 3 THEN '05-06-90x' WHEN 4 THEN '12 Mar 2020' WHEN 5 THEN '112/03/2020' END, 'x', CASE c_custkey % 5 WHEN 0 THEN '07/08/2020, 09/10/2030' WHEN 1 THEN '07.08.20' WHEN 2 THEN '1 Jan 2020' WHEN 3 THEN concat(lpad(CAST(c_custkey % 31 AS STRING), 2, '0'), ' Nov 2031') END, CASE WHEN c_custkey % 3 = 0 THEN concat('01-02-20', lpad(CAST(c_nationkey AS STRING), 2, '0')) END) AS d FROM customer"""
+_DATE = r"\b(?:[0-9]{2}[./-][0-9]{2}[./-][0-9]{2,4}|[0-9]{2}\s+[A-Z][a-z]{2}\s+[0-9]{4})\b"
 
 
-@query(f"""SELECT id, CASE WHEN id % 3 = 0 THEN 'JONES SMITH' END AS surname, CASE WHEN id % 3 = 0 THEN 'ANNA MARIA LOU' END AS given_names, CASE WHEN id % 3 <> 0 THEN concat('DATE OF BIRTH ', CAST(id AS STRING)) END AS marked,
-'05/06/1990' AS birth, CASE WHEN id % 2 = 0 THEN '07/08/2020' END AS issue, CASE WHEN id % 2 = 0 THEN '09/10/2030' ELSE '05/06/1990' END AS expiry, replace(replace(t, '<pad>', ''), '</s>', '') AS plain_text FROM
-(SELECT id, trim(replace(replace(t, '<pad>', ''), '</s>', '')) AS t FROM ({_SAID}))""")
+@query(rf"""WITH s AS ({_SAID}), a AS (SELECT id, trim(replace(replace(replace(t, '<pad>', ''), '</s>', ''), '<s>', '')) AS plain_text, [trim(x) for x in string_split(t, chr(10)) if trim(x) <> ''] AS ls, regexp_extract_all(d, '{_DATE}') AS d FROM s),
+w AS (SELECT id, i, [x for x in string_split(trim(regexp_replace(replace(ls[i], '/', ' '), '\s+', ' ', 'g')), ' ') if regexp_full_match(x, '[A-Za-z-]+')] AS ws FROM a, unnest(range(1, len(ls) + 1)) r(i)),
+n AS (SELECT id, arg_min(ws, i) AS ws FROM w WHERE len(ws) >= 2 AND len([x for x in ws if upper(x) IN ('UNITED', 'COUNTRY', 'CODE', 'PASSPORT', 'NAME', 'NAMES', 'NATIONALITY', 'TYPE', 'PLACE', 'BIRTH')]) = 0 AND len([x for x in ws if regexp_matches(x, '[a-z]')]) > 0 AND trim(replace(ws[-1], '-', ' ')) <> '' GROUP BY id)
+SELECT a.id AS id, trim(replace(upper(ws[-1]), '-', ' ')) AS surname, nullif(trim(replace(upper(array_to_string(ws[:-2], ' ')), '-', ' ')), '') AS given_names, [x for x in ls if contains(upper(x), 'DATE OF') OR contains(upper(x), 'NO MARKER')][1] AS marked,
+d[1] AS birth, d[2] AS issue, CASE WHEN len(d) >= 2 THEN coalesce(d[3], d[2]) END AS expiry, plain_text FROM a LEFT JOIN n ON n.id = a.id""")
 def passport_lines(spark, sf_dir):
     c = F.col
     s = derive(spark, sf_dir, _SAID).select("id", "t", passport.ordinal_dates(c("d")).alias("d"), text.lines(c("t")).alias("ls"))
@@ -131,12 +134,12 @@ def job_flags(spark, sf_dir):
 
 
 _METADATA = "SELECT c_nationkey AS repo, c_custkey AS index, CASE WHEN c_custkey % 5 = 0 THEN 'Female' WHEN c_custkey % 5 = 1 THEN 'x' END AS gender, CASE c_custkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'X/F' END AS sex FROM customer"
-_PICTURES = "SELECT p_partkey % 30 AS repo, concat('p', lpad(CAST(p_partkey AS STRING), 7, '0')) AS path, CASE WHEN p_partkey % 30 = 3 THEN 'male' WHEN p_partkey % 30 = 4 THEN 'other' WHEN p_partkey % 30 = 5 AND p_size % 3 = 0 THEN 'female' WHEN p_size % 3 = 0 THEN 'male' WHEN p_size % 3 = 1 THEN 'female' ELSE 'other' END AS bucket FROM part"
+_PICTURES = "SELECT p_partkey % 30 AS repo, concat('p', lpad(CAST(p_partkey AS STRING), 7, '0'), CASE WHEN p_size % 2 = 0 THEN '.jpg' ELSE '.png' END) AS path, CASE WHEN p_partkey % 30 = 3 THEN 'male' WHEN p_partkey % 30 = 4 THEN 'other' WHEN p_partkey % 30 = 5 AND p_size % 3 = 0 THEN 'female' WHEN p_size % 3 = 0 THEN 'male' WHEN p_size % 3 = 1 THEN 'female' ELSE 'other' END AS bucket FROM part"
 
 
 @query(f"""WITH m AS (SELECT repo, index, CASE WHEN lower(gender) IN ('male', 'female') THEN lower(gender) WHEN upper(sex) LIKE 'M%' OR upper(sex) LIKE '%/M%' THEN 'male' WHEN upper(sex) LIKE 'F%' OR upper(sex) LIKE '%/F%' THEN 'female' WHEN index % 2 = 0 THEN 'male' ELSE 'female' END AS bucket FROM ({_METADATA})),
 pic AS ({_PICTURES}), n AS (SELECT repo, count(*) FILTER (WHERE bucket = 'male') AS male, count(*) FILTER (WHERE bucket = 'female') AS female, count(*) FILTER (WHERE bucket = 'other') AS other, count(*) AS everything FROM pic GROUP BY repo),
-pool AS (SELECT repo, path, bucket, row_number() OVER (PARTITION BY repo, bucket ORDER BY path) - 1 AS k FROM pic UNION ALL SELECT repo, path, 'all', row_number() OVER (PARTITION BY repo ORDER BY path) - 1 FROM pic),
+pool AS (SELECT repo, path, bucket, row_number() OVER (PARTITION BY repo, bucket ORDER BY path) - 1 AS k FROM pic UNION ALL SELECT repo, path, 'all', row_number() OVER (PARTITION BY repo ORDER BY right(path, 3), path) - 1 FROM pic),
 a AS (SELECT m.*, coalesce(male, 0) AS male, coalesce(female, 0) AS female, coalesce(other, 0) AS other, coalesce(everything, 0) AS everything, row_number() OVER (PARTITION BY m.repo, bucket ORDER BY index) - 1 AS r FROM m LEFT JOIN n ON m.repo = n.repo),
 b AS (SELECT *, CASE bucket WHEN 'male' THEN male ELSE female END AS own FROM a), c AS (SELECT *, r < CASE WHEN own > 0 THEN own ELSE other END AS direct FROM b),
 d AS (SELECT *, sum(CASE WHEN direct THEN 0 ELSE 1 END) OVER (PARTITION BY repo ORDER BY index) - 1 AS o FROM c),
@@ -188,13 +191,21 @@ def nested_documents(spark, sf_dir):
     return imports.nested_documents(derive(spark, sf_dir, _NESTED), listing, "img").select("id", "image_path", "template", F.try_element_at("fields", F.lit("name")).alias("name"))
 
 
-@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('A', c_mktsegment) WHEN 2 THEN c_mktsegment ELSE 'S1' END AS line1, CASE c_custkey % 3 WHEN 0 THEN 'B' WHEN 2 THEN 'B2' ELSE 'S2' END AS line2 FROM customer WHERE c_custkey % 3 <> 1 OR c_custkey % 2 = 0")
+#: Label lines of images: both forms of a record, blank lines within zones, repeated images, and dictionaries of two images in one object.
+LABELS = """SELECT c_custkey AS n, replace(CASE c_custkey % 7 WHEN 0 THEN concat('{"image": "i', CAST(c_custkey AS STRING), '", "line1": "A', c_mktsegment, '", "line2": "B"}') WHEN 1 THEN '' WHEN 2 THEN concat('{"image": "i', CAST(c_custkey AS STRING), '", "mrz": "', c_mktsegment, '~n~n  ~nB', CAST(c_nationkey AS STRING), '", "line1": "no"}')
+  WHEN 3 THEN concat('{"i', CAST(c_custkey AS STRING), '": "', c_mktsegment, '~r~nC", "i', CAST(c_custkey + 1 AS STRING), '": "D"}') WHEN 4 THEN concat('{"image": "i', CAST(c_custkey - 2 AS STRING), '", "line1": "again', CAST(c_custkey AS STRING), '"}') WHEN 5 THEN concat('{"image": "i', CAST(c_custkey AS STRING), '", "mrz": "~n"}') ELSE '  ' END, '~', chr(92)) AS value FROM customer"""
+SIDES = "SELECT concat('i', CAST(c_custkey AS STRING)) AS image, concat('S', c_mktsegment) AS line1, 'S2' AS line2 FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT concat('i', CAST(c_custkey AS STRING)), 'R1', '' FROM customer WHERE c_custkey % 4 = 0"
+
+
+@query(f"""WITH l AS ({LABELS}), j AS (SELECT n, CAST(value AS JSON) AS j FROM l WHERE trim(value) <> ''), k AS (SELECT n, j, unnest(json_keys(j)) AS k, generate_subscripts(json_keys(j), 1) AS pos FROM j WHERE NOT list_contains(json_keys(j), 'image')),
+raw AS (SELECT n, 0 AS pos, json_extract_string(j, '$.image') AS image, CASE WHEN list_contains(json_keys(j), 'mrz') THEN json_extract_string(j, '$.mrz') END AS mrz, json_extract_string(j, '$.line1') AS line1, json_extract_string(j, '$.line2') AS line2 FROM j WHERE list_contains(json_keys(j), 'image') UNION ALL SELECT n, pos, k, json_extract_string(j, concat('$.', k)), NULL, NULL FROM k),
+two AS (SELECT n, pos, image, line1, line2, mrz, [x for x in string_split(replace(mrz, chr(13), ''), chr(10)) if trim(x) <> ''] AS p FROM raw),
+f AS (SELECT n, pos, image, coalesce(CASE WHEN mrz IS NULL THEN line1 ELSE p[1] END, '') AS line1, coalesce(CASE WHEN mrz IS NULL THEN line2 ELSE p[2] END, '') AS line2 FROM two), t AS (SELECT image, arg_max(line1, (n, pos)) AS line1, arg_max(line2, (n, pos)) AS line2 FROM f GROUP BY image),
+s AS (SELECT image, max({{'a': line1, 'b': line2}}) AS x FROM ({SIDES}) GROUP BY image)
+SELECT c_custkey AS id, CASE WHEN t.image IS NOT NULL THEN t.line1 ELSE x.a END AS line1, CASE WHEN t.image IS NOT NULL THEN t.line2 ELSE x.b END AS line2 FROM customer LEFT JOIN t ON t.image = concat('i', CAST(c_custkey AS STRING)) LEFT JOIN s ON s.image = concat('i', CAST(c_custkey AS STRING)) WHERE t.image IS NOT NULL OR s.image IS NOT NULL""")
 def labelled_images(spark, sf_dir):
-    customer = table(spark, sf_dir, "customer")
-    image = F.concat(F.lit("i"), F.col("c_custkey").cast("string")).alias("image")
-    said = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('{"image": "i'), "c_custkey", F.lit('", "line1": "A'), "c_mktsegment", F.lit('", "line2": "B"}'))).when(F.col("c_custkey") % 3 == 1, "").otherwise(F.concat(F.lit('{"image": "i'), "c_custkey", F.lit('", "mrz": "'), "c_mktsegment", F.lit('\\nB2"}')))
-    sides = customer.where("c_custkey % 2 = 0").select(image, F.lit("S1").alias("line1"), F.lit("S2").alias("line2"))
-    return imports.with_truth(customer.select(F.col("c_custkey").alias("id"), image), imports.labels(customer.select(said.alias("value"))), sides).select("id", "line1", "line2")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("i"), F.col("c_custkey").cast("string")).alias("image"))
+    return imports.with_truth(rows, imports.labels(derive(spark, sf_dir, LABELS), "n"), derive(spark, sf_dir, SIDES)).select("id", "line1", "line2")
 
 
 @query("SELECT page_id AS id, CASE WHEN page_id % 3 = 2 THEN NULL WHEN page_id % 3 = 1 AND octet_length(encode(html)) % 2 = 1 THEN NULL ELSE CAST(octet_length(encode(html)) AS STRING) END AS text, CASE WHEN page_id % 3 = 2 THEN 'engine none isn''t implemented' WHEN page_id % 3 = 1 AND octet_length(encode(html)) % 2 = 1 THEN 'odd' END AS error FROM pages")
@@ -245,12 +256,20 @@ def both_ends(spark, sf_dir):
     return reports.both_ends(metrics.compare_runs(metrics.per_document(*fields(spark, sf_dir)), "heuristic", "tuned").select("id", "delta"))
 
 
-@query(f"""WITH e AS ({EXPECTED}), p AS ({PREDICTED}), g AS (SELECT DISTINCT engine FROM p), c AS (SELECT g.engine, e.key, e.value AS x, p.value AS y FROM e CROSS JOIN g LEFT JOIN p ON p.engine = g.engine AND p.id = e.id AND p.key = e.key WHERE e.value IS NOT NULL),
-f AS (SELECT engine, 'exact' AS family, coalesce(x = y, false) AS ok FROM c UNION ALL SELECT engine, 'normalised', coalesce(upper(x) = upper(replace(y, 'x', '')), false) FROM c UNION ALL SELECT engine, 'derivable', coalesce(upper(x) = upper(replace(y, 'x', '')), false) FROM c WHERE key IN ('name', 'code'))
-SELECT engine, family, count(*) FILTER (WHERE ok) AS correct, count(*) AS total, round(avg(CAST(ok AS INT)), 9) AS accuracy FROM f GROUP BY engine, family""")
+_NORMAL = "upper(replace(value, 'x', ''))"
+
+
+@query(f"""WITH e AS ({EXPECTED}), p AS ({PREDICTED}), g AS (SELECT DISTINCT engine FROM p), n AS (SELECT count(DISTINCT id) AS n FROM e),
+fe AS (SELECT 'exact' AS family, id, key, value FROM e UNION ALL SELECT 'normalised', id, key, {_NORMAL} FROM e UNION ALL SELECT 'derivable', id, key, {_NORMAL} FROM e WHERE key IN ('code', 'extra')),
+fp AS (SELECT 'exact' AS family, engine, id, key, value FROM p UNION ALL SELECT 'normalised', engine, id, key, {_NORMAL} FROM p UNION ALL SELECT 'derivable', engine, id, key, {_NORMAL} FROM p WHERE key IN ('code', 'extra')),
+d AS (SELECT f.family, g.engine, i.id FROM (SELECT DISTINCT family FROM fe) f, g, (SELECT DISTINCT id FROM e) i), ne AS (SELECT family, id, count(value) AS ne FROM fe GROUP BY ALL), np AS (SELECT family, engine, id, count(value) AS np FROM fp GROUP BY ALL),
+tp AS (SELECT fp.family, fp.engine, fp.id, count(*) AS tp FROM fp JOIN fe ON fe.family = fp.family AND fe.id = fp.id AND fe.key = fp.key AND fe.value = fp.value GROUP BY ALL),
+m AS (SELECT d.*, coalesce(tp, 0) / nullif(coalesce(np, 0), 0) AS pr, coalesce(tp, 0) / nullif(coalesce(ne, 0), 0) AS re FROM d LEFT JOIN ne ON ne.family = d.family AND ne.id = d.id LEFT JOIN np ON np.family = d.family AND np.engine = d.engine AND np.id = d.id LEFT JOIN tp ON tp.family = d.family AND tp.engine = d.engine AND tp.id = d.id),
+x AS (SELECT family, engine, coalesce(pr, 0) AS pr, coalesce(re, 0) AS re FROM m)
+SELECT engine, family, count(*) AS n, round(avg(re), 9) AS field_accuracy, round(avg(pr), 9) AS precision, round(avg(re), 9) AS recall, round(avg(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END), 9) AS f1_score FROM x GROUP BY engine, family""")
 def metric_families(spark, sf_dir):
-    found = reports.families(metrics.breakdown(*fields(spark, sf_dir)), lambda k, v: F.upper(F.replace(v, F.lit("x"), F.lit(""))), ("name", "code"))
-    return found.withColumn("accuracy", F.round("accuracy", 9))
+    found = reports.families(*fields(spark, sf_dir), lambda k, v: F.upper(F.replace(v, F.lit("x"), F.lit(""))), ("code", "extra"))
+    return found.select("engine", "family", "n", *(F.round(c, 9).alias(c) for c in ("field_accuracy", "precision", "recall", "f1_score")))
 
 
 @query("SELECT coalesce(round_even(avg(l_quantity), 4), 0) AS quantity, coalesce(round_even(avg(CASE WHEN l_linenumber = 1 THEN 1.0 ELSE 0.0 END), 4), 0) AS line1_exact, count(*) AS n FROM lineitem")
