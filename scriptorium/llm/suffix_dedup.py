@@ -1,8 +1,7 @@
 """Suffix-array dedup: find every byte that a repeated string covers, across all documents and within each.
 
-Two kinds of repeated strings count. A string of LENGTH bytes is one. With `words`, so is a passage: from any byte on, the
-shortest string of PASSAGE bytes or more that holds over `words` words (words cut at its ends count), if that has LENGTH
-bytes at most. Passages of over 50 words often have fewer than LENGTH bytes.
+A string counts if it has LENGTH bytes. With `words`, passages of over so many words are found as well: the same search runs over
+each text's words, every one written as its 64-bit hash, so that a passage's bytes, blanks and line breaks don't matter.
 
 A full suffix array isn't needed. In every string of the least length the GRAM-byte strings with the least hash are anchors, and
 equal strings have equal anchors at equal places. So only the suffixes (to the right) and reversed prefixes (to the left) at anchors
@@ -15,10 +14,11 @@ are sorted, and only those whose neighbourhood occurs more than once:
 3. the contexts of a gram's other classes are sorted by deep-shallow sorting, once to the right and once to the left. Each
    interval of common prefixes to the right is a set of places that share so many bytes; within it, neighbours to the left
    give the longest common left side of each place. Where both sides together hold a string that counts, they are covered.
-   A gram with more than MANY such classes isn't gathered: the strings through its anchors are hashed and counted instead;
+   A gram with more than MANY such classes is sorted in parts, one for each neighbourhood that classes share. Only a part
+   that has more than MANY classes itself isn't gathered: the strings through its anchors are hashed and counted instead;
 4. the covered ranges go back to all places of their classes and are united in each document.
 
-Equal contexts are told by 64-bit hashes (xxh3), strings of very common grams by 128-bit ones; the rest is compared byte by byte.
+Equal contexts are told by 64-bit hashes (xxh3), strings of very common parts by 128-bit ones; the rest is compared byte by byte.
 
 Cases: null and empty texts have no bytes; texts under the least length are left whole; overlaps count, also with a string's own
 later start; repeated rows repeat each other's strings; null ids are told apart by the text's hash; an empty table gives an empty
@@ -28,8 +28,7 @@ table; extra columns are left aside by report() and kept by remove(), whatever t
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import bytes_of, discard, key_of, runs, schema_of, slices, tidied, written
-from scriptorium.llm.shingles import _BYTES, _POWERS, _SPACES, WORD, _mix
+from scriptorium.llm.shingles import _BYTES, _POWERS, _SPACES, WORD, _mix, word_hashes
 from scriptorium.llm.suffix_sort import common, sort_suffixes
 
 LENGTH, GRAM = 400, 96
-#: Least bytes of a passage, and the words that it must exceed.
-PASSAGE, WORDS = 240, 50
+#: Bytes of a word's hash, and words of a gram in the search by words.
+WORD_BYTES, GRAM_WORDS = 8, 12
 #: Neighbourhoods of a gram, each with a hash of so many bits.
 SLOTS, SLOT_BITS = 3, 20
-#: Classes of one gram that one task sorts at most.
+#: Classes that one task sorts at most.
 MANY = 50_000
-_ALL = 2**31 - 1
-_GAPS = (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")
 
 
 def _slide(x: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray:
@@ -90,71 +87,19 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return at, hashes[at], near
 
 
-def passage_ends(text: bytes, words: int, least: int = PASSAGE, most: int = LENGTH) -> np.ndarray:
-    """For each start, the end of the shortest string of `least` bytes or more that holds over `words` words; -1 where it would exceed `most` bytes or the text."""
-    n = len(text)
-    ends = np.full(n, -1, np.int64)
-    found = [m.span() for m in WORD.finditer(text)]
-    for k in range(len(found) - words):
-        # from behind the word before to this word's last byte, this is the first of the words
-        begin = found[k - 1][1] if k else 0
-        start = np.arange(begin, found[k][1])
-        end = np.maximum(start + least, found[k + words][0] + 1)
-        ends[start] = np.where((end - start <= most) & (end <= n), end, -1)
-    return ends
-
-
-class Words:
-    """Where the words of a context lie, for its passages."""
-
-    def __init__(self, text: bytes):
-        inside = np.zeros(len(text) + 2, np.int8)
-        inside[1:-1] = ~_SPACES[np.frombuffer(text, np.uint8)]
-        edges = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
-        self.starts, self.ends = edges[::2], edges[1::2]
-
-    def passages(self, begin: int, end: int, words: int, least: int) -> int:
-        """How far the passages of text[begin:end], which has `least` bytes, reach; 0 if it holds none."""
-        last = bisect_left(self.starts, end) - 1
-        if last - bisect_right(self.ends, begin) < words:
-            return 0
-        # the last start from which a passage still ends here
-        start = min(self.ends[last - words] - 1, end - least)
-        return max(start + least, self.starts[bisect_right(self.ends, start) + words] + 1)
-
-
-def cover(lefts: list[bytes], rights: list[bytes], length: int, words: int | None = None, passage: int = PASSAGE) -> np.ndarray:
-    """For distinct contexts of one place each, rows of four: how far the shared strings of `length` bytes reach to the left and right, and how far those and the shared passages do (0: none)."""
+def cover(lefts: list[bytes], rights: list[bytes], length: int) -> np.ndarray:
+    """For distinct contexts of one place each: how far the shared strings of `length` bytes reach to the left and right (0, 0: none)."""
     n = len(rights)
-    reach = [[0, 0, 0, 0] for _ in range(n)]
-    least = length if words is None else passage
+    reach = np.zeros((n, 2), np.int64)
     mirrored = [x[::-1] for x in lefts]
     longest = max(map(len, lefts), default=0)
     # intervals come from deep to shallow: a string that reaches no further to the left than an earlier one lies within it
     seen = np.full(n, -1, np.int64)
-    split: dict[int, Words] = {}
-
-    def share(m: int, best: int, depth: int) -> None:
-        r = reach[m]
-        seen[m] = best
-        if best + depth >= length:
-            reach[m] = [best, max(r[1], depth), max(r[2], best), max(r[3], depth)]
-        elif words is not None and (best > r[2] or depth > r[3]):
-            base = len(lefts[m])
-            shared = lefts[m][base - best :] + rights[m][:depth]
-            # so many words need as many gaps
-            if sum(map(shared.count, _GAPS)) >= words:
-                if m not in split:
-                    split[m] = Words(lefts[m] + rights[m])
-                if end := split[m].passages(base - best, base + depth, words, least):
-                    reach[m] = [r[0], r[1], max(r[2], best), max(r[3], end - base)]
-
     if n == 2:
         depth = common(*rights)
-        if depth + longest >= least and (best := common(*mirrored)) + depth >= least:
-            share(0, best, depth)
-            share(1, best, depth)
-        return np.array(reach, np.int64)
+        if depth + longest >= length and (best := common(*mirrored)) + depth >= length:
+            reach[:] = best, depth
+        return reach
     order, lcp = sort_suffixes(rights)
     by_left, left_lcp = (np.array(x, np.int64) for x in sort_suffixes(mirrored))
     rank = np.empty(n, np.int64)
@@ -162,15 +107,18 @@ def cover(lefts: list[bytes], rights: list[bytes], length: int, words: int | Non
     ranks = rank[order]
 
     def interval(depth: int, begin: int, end: int) -> None:
-        if depth + longest < least:
+        if depth + longest < length:
             return
         inside = np.sort(ranks[begin:end])
         # neighbours share the least of the common prefixes between them
         shared = np.minimum.reduceat(left_lcp[: inside[-1] + 1], inside[:-1] + 1)
         best = np.maximum(np.append(shared, 0), np.append(0, shared))
         members = by_left[inside]
-        for i in np.flatnonzero((best > seen[members]) & (best + depth >= least)).tolist():
-            share(int(members[i]), int(best[i]), depth)
+        good = (best > seen[members]) & (best + depth >= length)
+        at = members[good]
+        seen[at] = best[good]
+        reach[at, 0] = best[good]
+        reach[at, 1] = np.maximum(reach[at, 1], depth)
 
     stack: list[tuple[int, int]] = []  # open intervals: depth, begin
     for i in range(1, n + 1):
@@ -180,7 +128,7 @@ def cover(lefts: list[bytes], rights: list[bytes], length: int, words: int | Non
             interval(d, begin, i)
         if depth >= 0 and (not stack or stack[-1][0] < depth):
             stack.append((depth, begin))
-    return np.array(reach, np.int64).reshape(n, 4)
+    return reach
 
 
 def text_key(key: str, text: str) -> Column:
@@ -188,14 +136,16 @@ def text_key(key: str, text: str) -> Column:
     return F.xxhash64(key_of(key), F.coalesce(F.col(text), F.lit("")))
 
 
-REACH = ("reach_left", "reach_right", "wide_left", "wide_right")
+def by_words(text: bytes) -> bytes:
+    """The text's words, each as the 8 bytes of its hash."""
+    return word_hashes(text).tobytes()
 
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", words: int | None = None, passage: int = PASSAGE, many: int = MANY) -> DataFrame:
-    """Covered ranges: k (text_key of the row), spans (array of start, end in bytes, of strings of `length` bytes; they may overlap) and wide (those and the passages)."""
+def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", many: int = MANY, view: Callable[[bytes], bytes] = bytes) -> DataFrame:
+    """Covered ranges: k (text_key of the row) and spans (array of start, end in bytes of the view of its text; they may overlap)."""
     import xxhash  # noqa: F401  the tasks need it too
 
-    side, least = length - gram, length if words is None else passage
+    side = length - gram
     source = docs.select(text_key(key, text).alias("k"), F.col(text).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,45 +153,44 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                at, grams, nears, contexts, rows, stops = [], [], [], [], [], []
-                for row, t in enumerate(bytes_of(batch)):
-                    p, h, near = anchors(t, least, gram)
-                    # a context has under `length` bytes only if it is a whole text; then passages alone can count
-                    stop = _ALL if len(t) >= length else max(0, int(passage_ends(t, words, passage, length).max())) if words is not None and len(p) else 0
+                at, grams, nears, contexts, rows = [], [], [], [], []
+                for row, t in enumerate(map(view, bytes_of(batch))):
+                    p, h, near = anchors(t, length, gram)
                     at.append(p)
                     grams.append(h)
                     nears.append(near)
                     contexts += [xxhash.xxh3_64_intdigest(t[max(0, i - side) : i + length], min(i, side)) for i in p.tolist()]
                     rows += [row] * len(p)
-                    stops += [stop] * len(p)
                 taken = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64)), "context": pa.array(np.array(contexts, np.uint64).view(np.int64)), "near": pa.array(np.concatenate(nears)), "k": batch.column(0).take(taken), "at": pa.array(np.concatenate(at).astype(np.int32)), "stop": pa.array(stops, pa.int32())})
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64)), "context": pa.array(np.array(contexts, np.uint64).view(np.int64)), "near": pa.array(np.concatenate(nears)), "k": batch.column(0).take(taken), "at": pa.array(np.concatenate(at).astype(np.int32))})
 
-    found = written(source.mapInArrow(tidied(find), "gram long, context long, near long, k long, at int, stop int"), "anchors")
+    found = written(source.mapInArrow(tidied(find), "gram long, context long, near long, k long, at int"), "anchors")
     # written, so that the join can be split where a gram is very common
     repeated = written(found.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"), "repeated")
     places = written(found.join(repeated, "gram"), "places")
     discard(found, repeated)
-    classes = written(places.groupBy("gram", "context").agg(F.count("*").alias("n"), F.first("near").alias("near"), F.max("stop").alias("stop"), F.min(F.struct("k", "at")).alias("one")), "classes")
+    classes = written(places.groupBy("gram", "context").agg(F.count("*").alias("n"), F.first("near").alias("near"), F.min(F.struct("k", "at")).alias("one")), "classes")
     slot = [F.shiftright("near", (SLOT_BITS + 1) * (SLOTS - 1 - j)).bitwiseAND((2 << SLOT_BITS) - 1) for j in range(SLOTS)]
     parts = classes.select("gram", "context", "one", F.explode(F.array(*(F.when(s >= 1 << SLOT_BITS, s + (j << (SLOT_BITS + 1))) for j, s in enumerate(slot)))).alias("part")).where("part is not null")
-    shared = written(parts.groupBy("gram", "part").agg(F.count("*").alias("classes")).where("classes > 1").select("gram", "part"), "shared")
-    close = written(parts.join(shared, ["gram", "part"]).groupBy("gram", "context").agg(F.first("one").alias("one")), "close")
+    shared = written(parts.groupBy("gram", "part").agg(F.count("*").alias("classes")).where("classes > 1"), "shared")
+    close = written(parts.join(shared, ["gram", "part"]).groupBy("gram", "context").agg(F.first("one").alias("one"), F.collect_list(F.struct("part", "classes")).alias("parts")), "close")
     common_grams = close.groupBy("gram").agg(F.count("*").alias("classes")).where(F.col("classes") > many).select("gram", F.lit(True).alias("hot"))
-    sought = close.join(common_grams, "gram", "left").select("one.k", F.struct("gram", "context", F.coalesce("hot", F.lit(False)).alias("hot"), "one.at").alias("x")).groupBy("k").agg(F.collect_list("x").alias("found"))
+    # a gram's classes together (part -1), or those of a hot gram in each of its parts
+    each = F.when(F.coalesce("hot", F.lit(False)), F.transform("parts", lambda p: F.struct(p["part"].alias("part"), (p["classes"] > many).alias("hot")))).otherwise(F.array(F.struct(F.lit(-1).alias("part"), F.lit(False).alias("hot"))))
+    sought = close.join(common_grams, "gram", "left").select("one.k", F.struct("gram", "context", "one.at", each.alias("parts")).alias("x")).groupBy("k").agg(F.collect_list("x").alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows = []
-                for t, found in zip(bytes_of(batch), batch.column(batch.schema.get_field_index("found")).to_pylist(), strict=True):
-                    rows += [(x["gram"], x["context"], x["hot"], t[max(0, x["at"] - side) : x["at"]], t[x["at"] : x["at"] + length]) for x in found]
+                for t, found in zip(map(view, bytes_of(batch)), batch.column(batch.schema.get_field_index("found")).to_pylist(), strict=True):
+                    rows += [(x["gram"], x["context"], p["part"], p["hot"], t[max(0, x["at"] - side) : x["at"]], t[x["at"] : x["at"] + length]) for x in found for p in x["parts"]]
                 for i in range(0, len(rows), 4096):
-                    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i : i + 4096], strict=True), kinds, strict=True)], names=["gram", "context", "hot", "before", "after"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i : i + 4096], strict=True), kinds, strict=True)], names=["gram", "context", "part", "hot", "before", "after"])
 
     # rows with a common key have one text
-    contexts = written(source.join(sought, "k").select("text", "found").mapInArrow(tidied(cut), "gram long, context long, hot boolean, before binary, after binary"), "contexts")
+    contexts = written(source.join(sought, "k").select("text", "found").mapInArrow(tidied(cut), "gram long, context long, part long, hot boolean, before binary, after binary"), "contexts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: list[int] = []
@@ -249,18 +198,18 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
         reaches: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            reach = np.concatenate([np.zeros((0, 4), np.int64), *reaches])
-            out = pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(held, pa.int64()), *(pa.array(reach[:, i]) for i in range(4))], names=["gram", "context", *REACH])
+            reach = np.concatenate([np.zeros((0, 2), np.int64), *reaches])
+            out = pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(held, pa.int64()), *(pa.array(reach[:, i]) for i in range(2))], names=["gram", "context", *REACH])
             grams.clear(), held.clear(), reaches.clear()
             return out
 
-        for g, table in runs(batches, "gram"):
+        for _, table in runs(batches, "bucket"):
             one = {c: (b, a) for c, b, a in zip(*(table[x].to_pylist() for x in ("context", "before", "after")), strict=True)}
-            reach = cover([b for b, _ in one.values()], [a for _, a in one.values()], length, words, passage)
-            some = np.flatnonzero(reach[:, 3])
+            reach = cover([b for b, _ in one.values()], [a for _, a in one.values()], length)
+            some = np.flatnonzero(reach[:, 1])
             if len(some):
                 named = [*one]
-                grams += [g] * len(some)
+                grams += [table["gram"][0].as_py()] * len(some)
                 held += [named[i] for i in some.tolist()]
                 reaches.append(reach[some])
             if len(grams) > 10_000:
@@ -271,32 +220,30 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
         import xxhash
 
         for batch in batches:
-            for g, c, _, b, a in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for g, c, b, a in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 whole, base = b + a, len(b)
-                strings = [(0, o, o + length) for o in range(max(0, base + gram - length), base + 1) if o + length <= len(whole)]
-                if words is not None:
-                    ends = passage_ends(whole, words, passage, length)
-                    strings += [(1, o, e) for o, e in enumerate(ends[: base + 1].tolist()) if e >= base + gram]
-                if strings:
-                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[o:e]) for _, o, e in strings), "<i8").reshape(-1, 2)
-                    rules, starts, ends = (np.array(x, np.int64) for x in zip(*strings, strict=True))
-                    many_of = lambda x: pa.array(np.full(len(strings), x, np.int64))
-                    yield pa.RecordBatch.from_pydict({"gram": many_of(g), "context": many_of(c), "rule": pa.array(rules), "left": pa.array(base - starts), "right": pa.array(ends - base), "lo": pa.array(digests[:, 0]), "hi": pa.array(digests[:, 1])})
+                starts = np.array([o for o in range(max(0, base + gram - length), base + 1) if o + length <= len(whole)], np.int64)
+                if len(starts):
+                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[o : o + length]) for o in starts.tolist()), "<i8").reshape(-1, 2)
+                    many_of = lambda x: pa.array(np.full(len(starts), x, np.int64))
+                    yield pa.RecordBatch.from_pydict({"gram": many_of(g), "context": many_of(c), "left": pa.array(base - starts), "lo": pa.array(digests[:, 0]), "hi": pa.array(digests[:, 1])})
 
     schema = "gram long, context long, " + ", ".join(f"{x} long" for x in REACH)
-    sorted_ = contexts.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(tidied(compare), schema)
-    strings = contexts.where("hot").dropDuplicates(["gram", "context"]).mapInArrow(tidied(hashed), "gram long, context long, rule long, left long, right long, lo long, hi long")
+    bucketed = contexts.where("not hot").select(F.concat_ws(":", "gram", "part").alias("bucket"), "gram", "context", "before", "after")
+    sorted_ = bucketed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(compare), schema)
+    strings = contexts.where("hot").select("gram", "context", "before", "after").dropDuplicates(["gram", "context"]).mapInArrow(tidied(hashed), "gram long, context long, left long, lo long, hi long")
     # a string with several anchors is here once for each, so that anchor and place belong to its key
-    string = ["gram", "rule", "left", "lo", "hi"]
+    string = ["gram", "left", "lo", "hi"]
     twice = strings.groupBy(*string).agg(F.count("*").alias("classes")).where("classes > 1")
-    plain = lambda c: F.coalesce(F.max(F.when(F.col("rule") == 0, F.col(c))), F.lit(0))
-    counted = strings.join(twice, string).groupBy("gram", "context").agg(plain("left").alias("reach_left"), plain("right").alias("reach_right"), F.max("left").alias("wide_left"), F.max("right").alias("wide_right"))
-    plainly = lambda n: F.when(F.col("stop") == _ALL, F.lit(n)).otherwise(0).cast("long")
-    whole = classes.where("n > 1 and stop > 0").select("gram", "context", plainly(side).alias("reach_left"), plainly(length).alias("reach_right"), F.lit(side).cast("long").alias("wide_left"), F.least(F.lit(length), F.col("stop") - F.col("one.at")).cast("long").alias("wide_right"))
+    counted = strings.join(twice, string).groupBy("gram", "context").agg(F.max("left").alias("reach_left"), F.max(F.lit(length) - F.col("left")).alias("reach_right"))
+    whole = classes.where("n > 1").select("gram", "context", F.lit(side).cast("long").alias("reach_left"), F.lit(length).cast("long").alias("reach_right"))
     reached = written(whole.unionByName(sorted_).unionByName(counted).groupBy("gram", "context").agg(*(F.max(c).alias(c) for c in REACH)), "reached")
-    span = lambda left, right: F.struct(F.greatest(F.lit(0), F.col("at") - F.col(left)).cast("int").alias("start"), (F.col("at") + F.col(right)).cast("int").alias("end"))
-    spans = places.join(reached, ["gram", "context"]).select("k", F.when(F.col("reach_right") > 0, span("reach_left", "reach_right")).alias("span"), span("wide_left", "wide_right").alias("wide"))
-    return spans.groupBy("k").agg(F.collect_set("span").alias("spans"), F.collect_set("wide").alias("wide"))
+    span = F.struct(F.greatest(F.lit(0), F.col("at") - F.col("reach_left")).cast("int").alias("start"), (F.col("at") + F.col("reach_right")).cast("int").alias("end"))
+    spans = places.join(reached, ["gram", "context"]).select("k", span.alias("span"))
+    return spans.groupBy("k").agg(F.collect_set("span").alias("spans"))
+
+
+REACH = ("reach_left", "reach_right")
 
 
 def united(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -326,56 +273,78 @@ def whole_words(raw: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, in
     return united(wider, len(raw))
 
 
-def _apply(docs: DataFrame, text: str, key: str, columns: list[str], step, schema: str, **options) -> DataFrame:
-    """step over the columns (named c0, c1 ..., so that no name clashes), followed by spans and wide."""
-    found = covered(docs, key=key, text=text, **options)
+def passages(raw: bytes, spans: list[dict] | None, words: int) -> list[dict]:
+    """Ranges of bytes of the words that spans over the word view cover, with the blanks between them; words that a span has only in part don't count."""
+    found = []
+    if spans:
+        at = [m.span() for m in WORD.finditer(raw)]
+        for a, b in united(spans, WORD_BYTES * len(at)):
+            first, last = -(-a // WORD_BYTES), b // WORD_BYTES
+            if last - first > words:
+                found.append({"start": at[first][0], "end": at[last - 1][1]})
+    return found
+
+
+def _apply(docs: DataFrame, text: str, key: str, columns: list[str], found: list[DataFrame], step, schema: str) -> DataFrame:
+    """step over the columns (named c0, c1 ..., so that no name clashes), followed by the spans of each table in `found`."""
     keyed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), text_key(key, text).alias("k"))
-    return keyed.join(found, "k", "left").drop("k").mapInArrow(tidied(step), schema)
+    for i, spans in enumerate(found):
+        keyed = keyed.join(spans.withColumnRenamed("spans", f"s{i}"), "k", "left")
+    return keyed.drop("k").mapInArrow(tidied(step), schema)
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int | None = WORDS, **options) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (of the remaining bytes) of each document; n_passage_bytes: bytes that those and repeated passages of over `words` words cover."""
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (of the remaining bytes) of each document."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "c1"):
                 rows = []
-                for t, spans, wide in zip(bytes_of(batch, "c1"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for t, spans in zip(bytes_of(batch, "c1"), batch.column(2).to_pylist(), strict=True):
                     cut = united(spans, len(t))
                     kept, at = hashlib.sha256(), 0
                     for a, b in cut:
                         kept.update(t[at:a])
                         at = b
                     kept.update(t[at:])
-                    rows.append((len(t), sum(b - a for a, b in cut), len(cut), kept.hexdigest(), sum(b - a for a, b in united(wide, len(t)))))
+                    rows.append((len(t), sum(b - a for a, b in cut), len(cut), kept.hexdigest()))
                 columns = [*zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3]), pa.array(columns[4], pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return _apply(docs, text, key, [key, text], step, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long", words=words, **options)
+    return _apply(docs, text, key, [key, text], [covered(docs, key=key, text=text, **options)], step, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int | None = None, **options) -> DataFrame:
-    """docs with the covered bytes cut out of the text; a character that is cut in part goes whole. With `words`, repeated passages go too, and words that are cut in part go whole. Null texts stay null."""
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int | None = None, many: int = MANY, **options) -> DataFrame:
+    """docs with the covered bytes cut out of the text; a character that is cut in part goes whole. With `words`, repeated passages of over so many words go too, and words that are cut in part go whole. Null texts stay null."""
     columns = docs.columns
     where = columns.index(text)
+    found = [covered(docs, key=key, text=text, many=many, **options)]
+    if words is not None:
+        gram = min(GRAM_WORDS, (words + 1) // 3 or 1)
+        found.append(covered(docs, WORD_BYTES * (words + 1), WORD_BYTES * gram, key, text, many, by_words))
+    width, tables = len(columns), len(found)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, f"c{where}"):
                 old, kept = batch.column(where).to_pylist(), []
-                for t, spans in zip(old, batch.column(batch.num_columns - (2 if words is None else 1)).to_pylist(), strict=True):
-                    if not spans:
+                spans = [batch.column(width + i).to_pylist() for i in range(tables)]
+                for t, *own in zip(old, *spans, strict=True):
+                    if not any(own):
                         kept.append(t)
                         continue
                     raw, at, parts = t.encode(), 0, []
-                    ranges = united(spans, len(raw))
+                    ranges = own[0] or []
+                    if words is not None:
+                        ranges = [*ranges, *passages(raw, own[1], words)]
+                    ranges = united(ranges, len(raw))
                     for a, b in ranges if words is None else whole_words(raw, ranges):
                         parts.append(raw[at:a])
                         at = b
                     kept.append("".join(x.decode("utf-8", "ignore") for x in [*parts, raw[at:]]))
-                arrays = batch.columns[:-2]
+                arrays = batch.columns[:width]
                 arrays[where] = pa.array(kept, pa.string())
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return _apply(docs, text, key, columns, step, schema_of(docs, "x int").rsplit(", ", 1)[0], words=words, **options)
+    return _apply(docs, text, key, columns, found, step, schema_of(docs, "x int").rsplit(", ", 1)[0])

@@ -190,46 +190,41 @@ def test_components(spark):
     assert {found[i] for i in [*range(51), 60]} == {0} and found[201] == 200 and 100 not in found
 
 
-def passage_end(t, start, words, least, most):
-    """The end of the shortest string from start on that has `least` bytes and holds over `words` words, if it has `most` bytes at most."""
-    n = len(re.findall(rb"[^\x20\x09-\x0D]+", t[start : start + least]))
-    for end in range(start + least, min(start + most, len(t)) + 1):
-        n += end > start + least and t[end - 1] not in b" \t\n\v\f\r" and t[end - 2] in b" \t\n\v\f\r"
-        if n > words:
-            return end
-    return None
-
-
-def masks(texts, length, words=None, least=240):
-    """The bytes that repeated strings cover, and those that they and repeated passages do."""
+def masks(texts, length, words=None):
+    """The bytes that repeated strings cover, and those that they and repeated passages of over `words` words do."""
     seen, passages = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1)), collections.Counter()
-    ends = [[passage_end(t, i, words, least, length) for i in range(len(t))] if words is not None else [] for t in texts]
-    for t, es in zip(texts, ends):
-        passages.update(t[i:e] for i, e in enumerate(es) if e)
-    for t, es in zip(texts, ends):
+    split = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] if words is not None else [] for t in texts]
+    run = lambda t, at, i: tuple(t[a:b] for a, b in at[i : i + words + 1])
+    for t, at in zip(texts, split):
+        passages.update(run(t, at, i) for i in range(len(at) - (words or 0)))
+    for t, at in zip(texts, split):
         mask = np.zeros(len(t), bool)
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 mask[i : i + length] = True
         wide = mask.copy()
-        for i, e in enumerate(es):
-            if e and passages[t[i:e]] > 1:
-                wide[i:e] = True
+        inside = [False] * len(at)
+        for i in range(len(at) - words if words is not None else 0):
+            if passages[run(t, at, i)] > 1:
+                inside[i : i + words + 1] = [True] * (words + 1)
+        for i, (a, b) in enumerate(at):  # blanks between two such words go with them
+            if inside[i]:
+                wide[a : at[i + 1][0] if inside[i + 1 : i + 2] == [True] else b] = True
         yield t, mask, wide
 
 
-def brute_spans(texts, length, words=None, least=240):
+def brute_spans(texts, length):
     out = []
-    for t, mask, wide in masks(texts, length, words, least):
+    for t, mask, _ in masks(texts, length):
         edges = np.diff(np.concatenate([[0], mask.astype(int)]))
-        out.append((len(t), int(mask.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~mask].tobytes()).hexdigest(), int(wide.sum())))
+        out.append((len(t), int(mask.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~mask].tobytes()).hexdigest()))
     return out
 
 
-def brute_removed(texts, length, words, least=240):
+def brute_removed(texts, length, words):
     """The texts without repeated strings and passages, and without the words that these cut."""
     out = []
-    for t, _, wide in masks(texts, length, words, least):
+    for t, _, wide in masks(texts, length, words):
         for m in re.finditer(rb"[^\x20\x09-\x0D]+", t):
             if wide[m.start() : m.end()].any():
                 wide[m.start() : m.end()] = True
@@ -239,42 +234,38 @@ def brute_removed(texts, length, words, least=240):
 
 @pytest.mark.parametrize("many", [1, 50_000])
 def test_suffix_dedup(spark, docs, table, many):
-    """Whole tables against brute force by 400 bytes; passages are in the other tests, as brute force is slow there."""
     for df in (docs, table, docs.limit(0)):
         data = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
-        want = collections.Counter((d, *x[:4]) for (d, _), x in zip(data, brute_spans([t for _, t in data], 400)))
-        assert collections.Counter(tuple(r)[:5] for r in suffix_dedup.report(df, many=many).collect()) == want
+        want = collections.Counter((d, *x) for (d, _), x in zip(data, brute_spans([t for _, t in data], 400)))
+        assert collections.Counter(tuple(r) for r in suffix_dedup.report(df, many=many).collect()) == want
 
 
 @pytest.mark.parametrize("many", [1, 50_000])
 def test_passages(spark, docs, table, many):
-    """Passages of over 50 words against brute force: texts of up to 1,200 bytes, and items of benchmark planted in them."""
-    some = table.where("octet_length(text) < 1200").orderBy("doc_id")
-    data = [(r["doc_id"], r["text"] or "") for r in some.unionByName(docs.where("octet_length(text) < 3000").select(some.columns[0:2]), allowMissingColumns=True).collect()]
+    """Passages of over 50 words against brute force, those of very short words (under 240 bytes) and with other blanks and line breaks too."""
+    data = [(r["doc_id"], r["text"] or "") for r in table.unionByName(docs.select(table.columns[0:2]), allowMissingColumns=True).collect()]
     rng = random.Random(4)
-    long = [" ".join(rng.choices(["ab", "cde", "fghij", "klm nop"], k=n)) for n in (51, 55, 60, 49)]
-    data += [(10**6 + i, " ".join(rng.choices(["x1", "yy2", "zzz3", "w\n"], k=40)) + rng.choice([" ", "", "\n"]) + long[i % 4] + rng.choice([" ", "q", "."]) + " ".join(rng.choices(["x1", "yy2", "zzz3"], k=30))) for i in range(24)]
+    long = [rng.choices(w, k=n) for n, w in ((51, ["ab", "cde", "fghij", "klm"]), (55, ["a", "b", "c"]), (70, ["at", "to", "of", "in"]), (50, ["ab", "cde", "x"]))]
+    data += [(10**6 + i, " ".join(rng.choices(["x1", "yy2", "zzz3", "w\n"], k=40)) + rng.choice([" ", "\n"]) + rng.choice([" ", "\n", "  "]).join(long[i % 4]) + rng.choice([" ", "\n"]) + " ".join(rng.choices(["x1", "yy2", "zzz3"], k=30))) for i in range(24)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    texts = [t.encode() for _, t in data]
-    want = collections.Counter((d, *x) for (d, _), x in zip(data, brute_spans(texts, 400, 50)))
-    assert collections.Counter(tuple(r) for r in suffix_dedup.report(df, many=many).collect()) == want
-    assert any(x[-1] > x[2] for x in want)
+    want = brute_removed([t.encode() for _, t in data], 400, 50)
+    assert all(len(x) < len(t) for i, ((_, t), x) in enumerate(zip(data[-24:], want[-24:])) if i % 4 < 3)
     removed = suffix_dedup.remove(df, words=50, many=many).collect()
-    assert collections.Counter(tuple(r) for r in removed) == collections.Counter((d, t) for (d, _), t in zip(data, brute_removed(texts, 400, 50)))
+    assert collections.Counter(tuple(r) for r in removed) == collections.Counter((d, t) for (d, _), t in zip(data, want))
 
 
-@pytest.mark.parametrize("many", [1, 50_000])
+@pytest.mark.parametrize("many", [1, 2, 50_000])
 def test_suffix_dedup_random(spark, many):
     rng = random.Random(8)
     pool = ["".join(rng.choices("ab ", k=30)) for _ in range(6)]
     data = [(i, "".join(rng.choices(pool, k=rng.randint(1, 12)))) for i in range(60)]
-    df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS k", "2 AS spans", "3 AS __k", "4 AS c0", "5 AS wide")
+    df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS k", "2 AS spans", "3 AS __k", "4 AS c0", "5 AS s0")
     texts = [t.encode() for _, t in data]
-    want = collections.Counter((d, *x) for (d, _), x in zip(data, brute_spans(texts, 50, 9, 36)))
-    assert collections.Counter(tuple(r) for r in suffix_dedup.report(df, length=50, gram=12, words=9, passage=36, many=many).collect()) == want
-    removed = suffix_dedup.remove(df, length=50, gram=12, words=9, passage=36, many=many)
+    want = collections.Counter((d, *x) for (d, _), x in zip(data, brute_spans(texts, 50)))
+    assert collections.Counter(tuple(r) for r in suffix_dedup.report(df, length=50, gram=12, many=many).collect()) == want
+    removed = suffix_dedup.remove(df, length=50, gram=12, words=9, many=many)
     assert removed.columns == df.columns
-    assert sorted(tuple(r) for r in removed.collect()) == sorted((d, t, 1, 2, 3, 4, 5) for (d, _), t in zip(data, brute_removed(texts, 50, 9, 36)))
+    assert sorted(tuple(r) for r in removed.collect()) == sorted((d, t, 1, 2, 3, 4, 5) for (d, _), t in zip(data, brute_removed(texts, 50, 9)))
 
 
 def test_suffix_sort():
@@ -409,14 +400,19 @@ def test_empty_tables(spark):
     assert order.count() == 0 and token_counts.scan(spark, path, []).count() == 0
 
 
-def test_wand_is_exact():
+def random_index(rng, n=300):
+    pairs = sorted({(int(t), int(p)) for t, p in zip(rng.zipf(1.3, 6000) % 200, rng.integers(0, n, 6000))})
+    impact = rng.random(len(pairs)) * 0.1
+    return decontaminate.Index(decontaminate.packed(np.array([t for t, _ in pairs], np.uint64), np.array([p for _, p in pairs], np.int32), impact, list(range(n)), [[]] * n, [[]] * n))
+
+
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_wand_is_exact(monkeypatch, block):
     """Block-max WAND finds what scoring every chunk finds."""
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
     rng = np.random.default_rng(3)
     n = 300
-    pairs = sorted({(int(t), int(p)) for t, p in zip(rng.zipf(1.3, 6000) % 200, rng.integers(0, n, 6000))})
-    impact = rng.random(len(pairs)) * 0.1
-    kept = {"terms": np.array([t for t, _ in pairs], np.uint64), "place": np.array([p for _, p in pairs], np.int32), "impact": impact, "items": list(range(n)), "q": [""] * n, "a": [None] * n}
-    index = decontaminate.Index(kept)
+    index = random_index(rng, n)
     for _ in range(40):
         query = sorted(rng.choice(len(index.terms), 25, replace=False).tolist())
         score = np.zeros(n)
@@ -425,3 +421,54 @@ def test_wand_is_exact():
                 score[index.place[i]] += index.impact[i]
         want = {i: round(float(s), 6) for i, s in enumerate(score) if s >= 0.3}
         assert {i: round(s, 6) for i, s in index.wand(query, 0.3)} == want
+
+
+def brute_items(texts, items):
+    """Every chunk scored against every passage, then verified; by strings."""
+    import math
+
+    split = lambda t: decontaminate.plain((t or "").encode()).split()
+    chunks = [(i, w[n : n + 65]) for i, t in items for w in [split(t)] for n in range(0, max(1, len(w)), 64) if len(w[n : n + 65]) > 1]
+    pairs = [collections.Counter(zip(w, w[1:])) for _, w in chunks]
+    df = collections.Counter(p for c in pairs for p in c)
+    mean = sum(sum(c.values()) for c in pairs) / len(pairs)
+    impacts = []
+    for c in pairs:
+        own = {p: math.log(1 + (len(pairs) - df[p] + 0.5) / (df[p] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for p, tf in c.items()}
+        impacts.append({p: x / sum(own.values()) for p, x in own.items()})
+    runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    out = []
+    for t in texts:
+        w = split(t)
+        held, seen = runs(w, 1) | runs(w, 2) | runs(w, 3), list(zip(w, w[1:]))
+        found, best = set(), 0.0
+        for start in range(0, max(1, len(seen) - 64), 64):
+            passage = set(seen[start : start + 128])
+            for (i, own), impact in zip(chunks, impacts):
+                score = sum(x for p, x in impact.items() if p in passage)
+                if score >= 0.5 - 1e-9:
+                    best = max(best, score)
+                    triples = runs(own, min(3, len(own)))
+                    if len(triples & held) >= 0.5 * len(triples):
+                        found.add(i)
+        out.append((sorted(i for i in found if i is not None) + [None] * (None in found), round(best, 6)))
+    return out
+
+
+def test_decontaminate_query(spark, table, sf):
+    """The query on a whole table against brute force: whole items, parts of them, items without an id, items cut at a sentence."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rng = random.Random(6)
+    long = [" ".join(f"v{rng.randrange(900)}" for _ in range(200)) for _ in range(3)]
+    items += [(1000, long[0]), (None, long[1]), (1001, long[2]), (1001, "short item here"), (1002, None), (1003, "word")]
+    texts = [r["text"] for r in table.collect()]
+    texts += [" ".join(long[0].split()[:64]), "pre " * 70 + long[1], " ".join(long[2].split()[100:170]) + " end" * 50, "a short item here b", None, ""]
+    texts += [re.split(r"(?<=[.?!])\s+", t)[0] for _, t in items[:30] if t] + [" ".join(t.split()[::2]) for _, t in items[:9] if t]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {r["doc_id"]: (r["item_ids"], round(r["score"], 6), r["contaminated"]) for r in decontaminate.report(docs, benchmark).collect()}
+    want = brute_items(texts, items)
+    assert found == {n: (ids, score, bool(ids)) for n, (ids, score) in enumerate(want)}
+    base = len(texts) - 6 - sum(bool(t) for _, t in items[:30]) - sum(bool(t) for _, t in items[:9])
+    assert [found[base + i][0] for i in range(6)] == [[1000], [None], [1001], [1001], [], []]
+    assert decontaminate.keep_clean(docs, benchmark).count() == sum(not ids for ids, _ in want)
