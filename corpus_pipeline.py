@@ -24,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated strings of 400 bytes and repeated passages of over 50 words (240 bytes or more), here or elsewhere; a document may be left empty."""
+    """Documents without repeated strings of 400 bytes and repeated passages of over 50 words, here or elsewhere; a document may be left empty, null texts stay null."""
     return suffix_dedup.remove(docs, words=50).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
