@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import tidied, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-LEAF = 12
+LEAF = 16
 #: Greatest component after scaling.
 LIMIT = 1 << 28
-_ROWS = 4096
+#: Rows that a task searches at once.
+_ROWS = 16_384
 
 
 @dataclass
@@ -68,6 +69,17 @@ def kd_tree(points: np.ndarray, indexes: np.ndarray | None = None, leaf: int = L
     return node
 
 
+def distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances of all queries to a few points; exact integers, by doubles where these hold all sums."""
+    reach = max(int(np.abs(queries).max(initial=0)), int(np.abs(points).max(initial=0)))
+    if queries.shape[1] * reach * reach < 1 << 51:
+        x, y = queries.astype(np.float64), points.astype(np.float64)
+        whole = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * (x @ y.T)
+        return whole.astype(np.int64)
+    apart = queries[:, None] - points[None]
+    return np.einsum("ijk,ijk->ij", apart, apart)
+
+
 def nearest(tree: Node, points: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest point of each query, the lowest among equals, and the squared distance; exact integers."""
     found = np.full(len(queries), len(points), np.int64)
@@ -83,11 +95,11 @@ def nearest(tree: Node, points: np.ndarray, queries: np.ndarray) -> tuple[np.nda
         if not len(rows):
             return
         if node.entries is not None:
-            for i in node.entries.tolist():
-                apart = own - points[i]
-                distance = np.einsum("ij,ij->i", apart, apart)
-                closer = (distance < best[rows]) | ((distance == best[rows]) & (i < found[rows]))
-                best[rows[closer]], found[rows[closer]] = distance[closer], i
+            distance = distances(own, points[node.entries])
+            least = distance.argmin(axis=1)  # the first, and so the lowest index, of equals
+            distance, index = distance[np.arange(len(rows)), least], node.entries[least]
+            closer = (distance < best[rows]) | ((distance == best[rows]) & (index < found[rows]))
+            best[rows[closer]], found[rows[closer]] = distance[closer], index[closer]
             return
         left = own[:, node.axis] <= node.at
         visit(node.left, rows[left])
@@ -114,15 +126,27 @@ def integers(vectors: DataFrame, key: str, vector: str, label: str, scale: int)
     return written(named.select("id", "label", F.when(small, F.transform("q", lambda x: x.cast("int"))).alias("q")), "integers")
 
 
-def _blocks(batch: pa.RecordBatch, parts: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Up to _ROWS rows at once: first row, rows that have a code, their parts."""
-    at = batch.schema.get_field_index("q")
-    for begin in range(0, batch.num_rows, _ROWS):
-        some = batch.column(at).slice(begin, _ROWS)
-        sizes = np.array([-1 if x is None else x for x in some.value_lengths().to_pylist()], np.int64)
+def _blocks(batches: Iterator[pa.RecordBatch], parts: int, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """About _ROWS rows at once: the rows, those of them that have a code, their parts."""
+
+    def cut(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        some = rows.column(rows.schema.get_field_index("q"))
+        sizes = some.value_lengths().fill_null(-1).to_numpy()
         good = np.flatnonzero(sizes == parts * width)
         flat = some.take(pa.array(good, pa.int64())).flatten().to_numpy(zero_copy_only=False)
-        yield begin, good, flat.astype(np.int64).reshape(len(good), parts, width)
+        return rows, good, flat.astype(np.int64).reshape(len(good), parts, width)
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= _ROWS:
+            yield cut(held)
+            held, n = [], 0
+    if held:
+        yield cut(held)
 
 
 def sums(table: DataFrame, codebooks: np.ndarray) -> dict[int, int]:
@@ -133,15 +157,14 @@ def sums(table: DataFrame, codebooks: np.ndarray) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, trees = shared.value
         total = np.zeros((parts, entries, width + 1), np.int64)
-        for batch in batches:
-            for _, _, cut in _blocks(batch, parts, width):
-                for p in range(parts):
-                    entry, _ = nearest(trees[p], books[p], cut[:, p])
-                    order = np.argsort(entry, kind="stable")
-                    used, first = np.unique(entry[order], return_index=True)
-                    if len(used):
-                        ones = np.ones((len(order), 1), np.int64)
-                        total[p, used] += np.add.reduceat(np.hstack([cut[order, p], ones]), first, axis=0)
+        for _, _, cut in _blocks(batches, parts, width):
+            for p in range(parts):
+                entry, _ = nearest(trees[p], books[p], cut[:, p])
+                order = np.argsort(entry, kind="stable")
+                used, first = np.unique(entry[order], return_index=True)
+                if len(used):
+                    ones = np.ones((len(order), 1), np.int64)
+                    total[p, used] += np.add.reduceat(np.hstack([cut[order, p], ones]), first, axis=0)
         slots = np.flatnonzero(np.repeat(total[:, :, width] > 0, width + 1))
         yield pa.RecordBatch.from_pydict({"slot": pa.array(slots, pa.int64()), "total": pa.array(total.ravel()[slots])})
 
@@ -187,15 +210,14 @@ def assign(table: DataFrame, codebooks: np.ndarray | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, trees = shared.value
-        for batch in batches:
+        for batch, good, cut in _blocks(batches, parts, width):
             codes: list[str | None] = [None] * batch.num_rows
             errors: list[int | None] = [None] * batch.num_rows
-            for begin, good, cut in _blocks(batch, parts, width):
-                found = [nearest(trees[p], books[p], cut[:, p]) for p in range(parts)]
-                error = sum(d for _, d in found).tolist()
-                for row, code, e in zip(good.tolist(), np.stack([i for i, _ in found], axis=1).tolist(), error, strict=True):
-                    codes[begin + row] = "".join(f"{i:0{digits}x}" for i in code)
-                    errors[begin + row] = e
+            found = [nearest(trees[p], books[p], cut[:, p]) for p in range(parts)]
+            error = sum(d for _, d in found).tolist()
+            for row, code, e in zip(good.tolist(), np.stack([i for i, _ in found], axis=1).tolist(), error, strict=True):
+                codes[row] = "".join(f"{i:0{digits}x}" for i in code)
+                errors[row] = e
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.string()), pa.array(errors, pa.int64())], names=["id", "label", "code", "error"])
 
     return table.select("id", "label", "q").mapInArrow(tidied(run), f"id long, label {table.schema['label'].dataType.simpleString()}, code string, error long")
