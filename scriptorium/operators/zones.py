@@ -9,7 +9,7 @@ from scriptorium.functions import mrz
 from scriptorium.operators.rows import bound, packed
 
 
-def pipeline(df: DataFrame, text: str, key: str, this_year: int, countries: dict[str, str] | None = None, confusions: dict[str, str] = mrz.CONFUSIONS) -> DataFrame:
+def pipeline(df: DataFrame, text: str, key: str, this_year: int, countries: dict[str, str] | None = None, confusions: dict[str, str] = mrz.CONFUSIONS, most_edits: int = 2) -> DataFrame:
     """key, split, corrected, n_edits, l1, l2, valid, stage and fields of each text; key tells the rows apart.
 
     split: two_lines, first_only, second_only or none. n_edits: substitutions in the second line (0: it was valid, -1: none helps, null: there
@@ -18,7 +18,8 @@ def pipeline(df: DataFrame, text: str, key: str, this_year: int, countries: dict
     """
     found = bound(packed(df, k=F.col(key), t=F.col(text).cast("string")).select("k", "t"), z=mrz.split_lines(F.coalesce("t", F.lit(""))))
     lines = found.select("k", F.col("z.l1").alias("l1"), F.col("z.l2").alias("l2"))
-    fixed = mrz.repair_pairs(lines.where("l2 != ''"), "l2", "k", confusions).select("k", "fixed", F.col("n_edits").cast("int").alias("n_edits"))
+    repaired = mrz.repair_pairs if most_edits > 1 else mrz.repair
+    fixed = repaired(lines.where("l2 != ''"), "l2", "k", confusions).select("k", "fixed", F.col("n_edits").cast("int").alias("n_edits"))
     joined = lines.join(fixed, "k", "left").select("k", "l1", F.when(F.col("n_edits") > 0, F.col("fixed")).otherwise(F.col("l2")).alias("l2"), "n_edits")
     both = (F.col("l1") != "") & (F.col("l2") != "")
     split = F.when(both, "two_lines").when(F.col("l1") != "", "first_only").when(F.col("l2") != "", "second_only").otherwise("none")

@@ -416,4 +416,4 @@ def flat_answers(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), F.explode(licence.flat_answer(text.lines(said), ("name", "segment"))).alias("key", "value"))
 
 
-from scriptorium.plans import answers, identity, records  # noqa: E402,F401  they register their queries
+from scriptorium.plans import answers, identity, operations, records  # noqa: E402,F401  they register their queries
