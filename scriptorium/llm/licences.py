@@ -12,7 +12,11 @@ template. Of notices whose words overlap, the one that shares most triples with
 licence's notice isn't taken for another's. An upper bound from the weights of the terms that occur rules out most windows
 without a full score, and never changes a verdict.
 
-Cases: null and empty texts have no paragraphs; repeated rows are judged alike; an empty table gives an empty table; extra columns are left aside.
+A line of two to four words is confirmed as any run of one of the family's templates.
+
+Cases: null and empty texts have no paragraphs; very long texts are scored whole, window by window; of notices that tie, the more
+probable and then the earlier one counts; repeated rows are judged alike; an empty table gives an empty table; extra columns are
+left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scriptorium.llm.common import bytes_of, slices, tidied
 from scriptorium.llm.decontaminate import pair_hashes, plain, triples
@@ -32,6 +37,8 @@ SAMPLE_DOCS, SAMPLE_LINES = 400, 4
 VARIANTS, ROUNDS, SURE, SHARE, WINDOW = 40, 400, 0.5, 0.6, 120
 #: Words of the short windows within lines; each begins a quarter of its length after the last one.
 SHORT = (8, 16, 32, 64)
+#: Most words of a line that counts as any run of a template.
+SHORT_LINE = 4
 UNKNOWN = "unknown"
 #: Short notices of licence families, as publishers print them (fixed values).
 TEMPLATES = {
@@ -91,9 +98,16 @@ TEMPLATES = {
     "Proprietary": (
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
         "Copyright. All rights reserved.",
+        "All rights reserved.",
         "This software is proprietary and confidential; unauthorized copying is strictly prohibited.",
     ),
 }
+#: Identifiers of the families' licences in SPDX lines (fixed values).
+SPDX = {
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL": "GPL-3.0-or-later", "LGPL": "LGPL-2.1-only", "AGPL": "AGPL-3.0-only", "BSD": "BSD-3-Clause", "MPL-2.0": "MPL-2.0", "ISC": "ISC",
+    "CC-BY": "CC-BY-4.0", "CC-BY-SA": "CC-BY-SA-4.0", "CC-BY-NC": "CC-BY-NC-4.0", "CC0": "CC0-1.0", "Unlicense": "Unlicense",
+}
+TEMPLATES = {f: (*ts, *(f"SPDX-License-Identifier: {SPDX[f]}" for f in [f] if f in SPDX)) for f, ts in TEMPLATES.items()}
 #: Sentences that use the words of licences for other things (fixed values).
 NEAR_MISSES = (
     "She renewed her driving license at the public office on Monday.",
@@ -118,14 +132,17 @@ def terms_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Classifier:
     """Weights (terms x classes), biases and temperature; class 0 is unknown."""
 
-    def __init__(self, samples: list[bytes], seed: int = 7):
+    def __init__(self, samples: list[bytes], seed: int = 7, without: tuple[str, ...] = ()):
+        """Train on all templates but those of `without`, which held_out() then judges."""
         rng = np.random.default_rng(seed)
         self.classes = [UNKNOWN, *TEMPLATES]
         self.templates = {f: [triples(t.encode()) for t in ts] for f, ts in TEMPLATES.items()}
-        known = [np.concatenate(terms_of(plain(t.encode()))) for ts in TEMPLATES.values() for t in ts]
+        self.runs = {f: [b" " + b" ".join(plain(t.encode()).split()) + b" " for t in ts] for f, ts in TEMPLATES.items()}
+        trained = {f: [t for t in ts if t not in without] for f, ts in TEMPLATES.items()}
+        known = [np.concatenate(terms_of(plain(t.encode()))) for ts in trained.values() for t in ts]
         self.terms = np.unique(np.concatenate(known))
         texts, labels = [], []
-        for c, ts in enumerate(TEMPLATES.values(), 1):
+        for c, ts in enumerate(trained.values(), 1):
             for t in ts:
                 for v in range(VARIANTS):
                     texts.append(self._varied(plain(t.encode()).split(), samples, rng) if v else plain(t.encode()))
@@ -215,12 +232,20 @@ class Classifier:
             if min(len(held), len(t)) > 2 or held == t:
                 share = len(common) / (min(len(held), len(t)) if whole else len(t))
             else:  # very short templates only as they are
-                share = float(not whole and t <= held)
+                share = float(t <= held)
             if (share, len(common)) > best[:2]:
                 at = [i for i, x in enumerate(own) if x in common]
                 best = share, len(common), at[0], at[-1] + 3
+        # a short line is confirmed as any run of a template
+        if whole and best[0] < SHARE and 2 <= len(words) <= SHORT_LINE and any(b" " + b" ".join(words) + b" " in t for t in self.runs[family]):
+            best = 1.0, 1, 0, len(words)
         return best
 
+    def held_out(self, texts: dict[str, str]) -> float:
+        """Share of whole templates (text: family) that get their family."""
+        found = self.probabilities(np.array([self.features(plain(t.encode())) for t in texts])).argmax(axis=1)
+        return float(np.mean([self.classes[c] == f for c, f in zip(found.tolist(), texts.values(), strict=True)]))
+
     def scan(self, raw: bytes) -> list[tuple[int, str, float, float]]:
         """Paragraph number, family, probability and template share of each notice that is predicted; of notices that overlap, the one with most of its template's words."""
         lowered = plain(raw)
@@ -274,10 +299,16 @@ class Classifier:
         return [(n, family, p, share) for n in sorted(taken) for _, _, p, _, family, share, _, _ in sorted(taken[n], key=lambda x: x[6])]
 
 
+def sample_lines(docs: DataFrame, text: str = "text") -> list[bytes]:
+    """Lines of a bounded sample of the corpus: the SAMPLE_DOCS texts with the least hashes, so that every run has the same."""
+    h = F.xxhash64(text)
+    sample = [r[0] for r in docs.select(text).where(F.col(text).isNotNull()).orderBy(h, text).limit(SAMPLE_DOCS).collect()]
+    return [line.encode() for t in sample for line in t.split("\n")[:SAMPLE_LINES] if line.strip()]
+
+
 def train(docs: DataFrame, text: str = "text") -> Classifier:
-    """Train on the templates and on a bounded sample of the corpus (SAMPLE_DOCS texts)."""
-    sample = [r[0] for r in docs.select(text).limit(SAMPLE_DOCS).collect() if r[0]]
-    return Classifier([line.encode() for t in sample for line in t.split("\n")[:SAMPLE_LINES] if line.strip()])
+    """Train on the templates and on a bounded sample of the corpus."""
+    return Classifier(sample_lines(docs, text))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", classifier: Classifier | None = None) -> DataFrame:

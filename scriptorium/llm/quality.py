@@ -1,7 +1,7 @@
 """Quality rules by tokeniser fertility: public vocabularies tell how natural a text is in its language.
 
 Measured on every whole text: characters per token of a multilingual vocabulary, the share of tokens that a piece vocabulary with
-byte fallback would spend on single bytes, and the entropy of the token distribution. All three depend on the language and,
+byte fallback spends on single bytes, and the entropy of the token distribution. All three depend on the language and,
 for short texts, on the length; so there is a limit for each language (for each script, where the language isn't listed) and each
 doubling of the token count. Too few characters per token or too low an entropy reject a text, and so does too great a share of
 byte fallback.
@@ -9,7 +9,8 @@ byte fallback.
 The limits are fixed values, so that no share of junk moves them and no other text changes a text's verdict. Those of listed
 languages are median - WIDTH standard deviations, as the interquartile range estimates them, over the rows of sf0.1 that are
 labelled good and pass the base rules (3,330); shorter texts than 16 tokens are extrapolated. Other scripts have no labelled rows:
-their limits are half of what a plain sentence or two gave, and only strong junk is rejected there.
+their limits are half of what a plain sentence or two gave. These are guesses, set so that only strong junk is rejected there; fit
+them anew (BANDS) where texts of such scripts matter.
 
 Base rules (fixed): fewer than 10 words, or over 20 % of the words in 5-word windows that occur twice, reject a text.
 
@@ -47,6 +48,25 @@ METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "other"), (0x900, "indic"), (0xE00, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"))
 
 
+#: White space that the piece vocabulary spends bytes on.
+BYTE_BLANKS = "\t\n"
+_PART = 1 << 20
+
+
+def parts_at_blanks(text: str, size: int = _PART) -> Iterator[str]:
+    """A text cut at single blanks, which go, into parts of about `size` characters: as each part's first word gets its blank back, they have the pieces of the whole."""
+    begin = 0
+    while len(text) - begin > size:
+        at = text.find(" ", begin + size)
+        while at > 0 and (text[at - 1].isspace() or text[at + 1 : at + 2].isspace()):
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        yield text[begin:at]
+        begin = at + 1
+    yield text[begin:]
+
+
 def repeated_words(hashes: np.ndarray, window: int = 5) -> int:
     """Words that lie in a window of `window` words that occurs twice or more, the first time included."""
     n = len(hashes) - window + 1
@@ -95,8 +115,9 @@ class Fertility:
         from scriptorium.llm.token_counts import plain_encoder
 
         self.encoder = plain_encoder(VOCABULARY)
-        pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECES))
-        self.known = {x for i in range(pieces.get_piece_size()) if len(x := pieces.id_to_piece(i)) == 1}
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECES))
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        self.known = {x for i in range(len(self.is_byte)) if len(x := self.pieces.id_to_piece(i)) == 1} | {" ", *BYTE_BLANKS}
         self.firsts = np.array([c for c, _ in SCRIPTS])
 
     def script(self, text: str) -> str:
@@ -110,14 +131,16 @@ class Fertility:
         counts = np.bincount(np.searchsorted(self.firsts, points, side="right") - 1, minlength=len(SCRIPTS))
         return SCRIPTS[int(counts.argmax())][1]
 
-    def fallback_bytes(self, text: str) -> int:
-        """Single bytes that the piece vocabulary spends on characters beyond ASCII that it doesn't have."""
-        if text.isascii():
-            return 0
-        total = 0
-        for c in set(text) - self.known:
-            total += text.count(c) * len(c.encode()) * (not c.isascii())
-        return total
+    def fallback_share(self, text: str) -> float:
+        """Share of the piece vocabulary's tokens that are single bytes, those of white space aside. A text of known characters only has none and isn't encoded."""
+        if not set(text) - self.known:
+            return 0.0
+        total = fell = 0
+        for part in parts_at_blanks(text):
+            ids = np.array(self.pieces.encode(part), np.int64)
+            total += len(ids)
+            fell += int(self.is_byte[ids].sum()) - sum(map(part.count, BYTE_BLANKS))
+        return fell / max(1, total)
 
     def of(self, text: str, word_chars: int) -> tuple[int, float, float, float, str]:
         if not text:
@@ -125,8 +148,7 @@ class Fertility:
         ids = np.array(self.encoder.encode_ordinary(text), np.int64)
         counts = np.bincount(ids)
         share = counts[counts > 0] / len(ids)
-        fallback = self.fallback_bytes(text)
-        return len(ids), word_chars / len(ids), fallback / (len(ids) + fallback), float(-(share * np.log2(share)).sum()), self.script(text)
+        return len(ids), word_chars / len(ids), self.fallback_share(text), float(-(share * np.log2(share)).sum()), self.script(text)
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:

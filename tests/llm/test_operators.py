@@ -127,6 +127,28 @@ def test_licences(spark, docs, table):
     found = {r["doc_id"]: r["families"] for r in licences.scan(spark.createDataFrame(cases, "doc_id long, text string"), classifier=classifier).collect()}
     assert found == {1: ["MIT"], 2: ["CC-BY-NC"], 3: [], 4: [], 5: ["Apache-2.0", "GPL"]}
     assert licences.scan(docs, classifier=classifier).count() == docs.count()
+    short = {"All rights reserved.": ["Proprietary"], "Copyright 2020 Foo. All rights reserved.": ["Proprietary"], "MIT License": ["MIT"], "SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"], "SPDX-License-Identifier: MIT": ["MIT"], "# SPDX-License-Identifier: BSD-3-Clause": ["BSD"], "The License": [], "for the": []}
+    found = {r["doc_id"]: r["families"] for r in licences.scan(spark.createDataFrame(list(enumerate(short)), "doc_id long, text string"), classifier=classifier).collect()}
+    assert [found[i] for i in range(len(short))] == [*short.values()]
+
+
+def test_licences_prune_nothing(table):
+    """The bound changes no verdict: every window scored gives the same notices, on ordinary texts and on texts with notices."""
+    import copy
+
+    classifier = licences.train(table)
+    whole = copy.copy(classifier)
+    whole.start = 1e9
+    some = [r["text"].encode() for r in table.orderBy("doc_id").collect() if len(r["text"]) < 6000][:120]
+    some += [t[:200] + b" " + n.encode() + b"\n" + t[200:900] for t, n in zip(some, [t for ts in licences.TEMPLATES.values() for t in ts])]
+    assert [classifier.scan(t) for t in some] == [whole.scan(t) for t in some]
+
+
+def test_licences_held_out(table):
+    """Whole templates that training hasn't seen, one of each family that has three or more."""
+    held = {ts[1]: f for f, ts in licences.TEMPLATES.items() if len(ts) > 2}
+    assert licences.Classifier(licences.sample_lines(table), without=tuple(held)).held_out(held) >= 0.6
+    assert licences.sample_lines(table) == licences.sample_lines(table.repartition(7))
 
 
 def brute_near(data, n, percent=80):
@@ -336,6 +358,65 @@ def test_quality(docs, table):
         assert quality.keep_good(df).columns == df.columns
 
 
+def brute_quality(rows):
+    """Measures and verdicts of (text, lang) by encoding each text whole."""
+    import math
+
+    import sentencepiece
+
+    from scriptorium.llm.common import tokenizer_path
+
+    multi = token_counts.plain_encoder(quality.VOCABULARY)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(quality.PIECES))
+    out = []
+    for t, lang in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        twice, mark = {g for g, n in collections.Counter(grams).items() if n > 1}, set()
+        for i, g in enumerate(grams):
+            mark |= {*range(i, i + 5)} if g in twice else set()
+        failed = len(w) < 10 or 100 * len(mark) > 20 * len(w)
+        ids, spm = multi.encode_ordinary(t), pieces.encode(t)
+        counts = collections.Counter(ids)
+        entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values())
+        fell = (sum(map(pieces.is_byte, spm)) - t.count("\n") - t.count("\t")) / max(1, len(spm))
+        letters = [c for c in t if ord(c) >= 0x41 and c not in "×÷"]
+        names = [[n for first, n in quality.SCRIPTS if ord(c) >= first][-1] for c in letters]
+        spans = collections.Counter([max(first for first, _ in quality.SCRIPTS if ord(c) >= first) for c in letters])
+        script = "latin" if t.isascii() and t else dict(quality.SCRIPTS)[min(spans, key=lambda x: (-spans[x], x))] if names else "other"
+        tag = (re.match("[A-Za-z]+", lang or "") or [""])[0].lower()
+        group = tag if tag in quality.LANGUAGES else script
+        step = min(max(int(math.log2(max(len(ids), 1))) - 2, 1), len(quality.BELOW)) - 1
+        chars, share, most = quality.BANDS[group]
+        below = quality.BELOW[step] if group in (*quality.LANGUAGES, "latin") else 0.0
+        inside = bool(ids) and sum(map(len, w)) / len(ids) >= chars - below and entropy >= share * quality.ENTROPY[step] and fell <= most
+        out.append((round(fell, 9), len(ids), not failed and inside))
+    return out
+
+
+def test_quality_verdicts(spark, table):
+    rng = random.Random(2)
+    odd = ["naïve 中文 text \t with\nlines " * 20, "".join(chr(rng.randrange(0x1200, 0x1380)) + " " for _ in range(300)), " ".join("\U00010330\U00010331" for _ in range(40)), "plain words again and more of them so that there are enough of these " * 3, "\x00\x01 " * 30, "Вчера вечером мы долго гуляли по набережной и говорили о том, как изменился город за последние десять лет."]
+    rows = [(r["text"], r["lang"]) for r in table.collect()] + [(t, x) for t in odd for x in ("en", None, "zz")]
+    found = quality.report(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")).collect()
+    got = {r["doc_id"]: (round(r["fallback_share"], 9), r["n_tokens"], r["kept"]) for r in found}
+    assert [got[i] for i in range(len(rows))] == brute_quality(rows)
+    assert len({x[0] for x in got.values()}) > 3
+
+
+def test_parts_at_blanks():
+    import sentencepiece
+
+    from scriptorium.llm.common import tokenizer_path
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(quality.PIECES))
+    rng = random.Random(4)
+    for size in (1, 5, 40):
+        t = "".join(rng.choice(["a", "word", " ", " ", "  ", "\n", "é", "\U00010330"]) for _ in range(500))
+        assert sum((pieces.encode(x) for x in quality.parts_at_blanks(t, size)), []) == pieces.encode(t)
+
+
 def test_quality_bands(spark):
     """Symbols after each word are rejected in nine of ten texts or more (sparse cells have no band), and plain texts stay."""
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
