@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 NULL_KEY = -(2**63)
 #: Text bytes that one Python step handles at once.
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _OWN: dict[str, str] = {}
 
@@ -39,9 +40,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: later steps survive the loss of executors."""
-    path = new_path(df.sparkSession, name)
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(BATCH_ROWS)
     small_batches(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(BATCH_ROWS, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,8 +65,8 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send at most so many rows to Python at once: texts are long, and a worker holds whole batches."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if int(spark.conf.get(BATCH_ROWS)) > rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
 
 
 def key_of(column: str = "doc_id") -> Column:

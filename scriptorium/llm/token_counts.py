@@ -69,9 +69,18 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.tikto
 
 def scan(spark: SparkSession, path: str, files: list[str], end_id: int = 50256, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Documents of flat files of 16-bit ids: file, nth (in its file), start (ids before it, separators too), n_tokens (without the separator), complete."""
-    fs, folder = filesystem(path)
-    sizes = {f: fs.get_file_info(f"{folder}/{f}").size // 2 for f in files}
-    blocks = spark.createDataFrame([(f, n) for f, n in sizes.items() if n], "file string, ids long").select("file", F.explode(F.expr(f"sequence(0L, (ids - 1) div {block_ids})")).alias("block"), "ids")
+    folder = filesystem(path)[1]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                ids = fs_of(path).get_file_info(f"{folder}/{file}").size // 2
+                n = -(-ids // block_ids)
+                yield pa.RecordBatch.from_pydict({"file": pa.array([file] * n, pa.string()), "block": pa.array(range(n), pa.int64()), "ids": pa.array([ids] * n, pa.int64())})
+
+    # tasks ask for the sizes of the files; a row for each block
+    tasks = max(1, min(10_000, len(files)))
+    blocks = spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks).mapInArrow(cut, "file string, block long, ids long")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,8 +92,7 @@ def scan(spark: SparkSession, path: str, files: list[str], end_id: int = 50256,
                 yield pa.RecordBatch.from_pydict({"file": [file], "block": pa.array([block], pa.int64()), "found": pa.array([found], pa.list_(pa.int64())), "ends": pa.array([len(found)], pa.int64()), "last_end": pa.array([int(found[-1]) if len(found) else None], pa.int64()), "ids": pa.array([ids if last else None], pa.int64())})
 
     # written, as both the prefix scan and the documents need it: one number for each document
-    n = max(1, min(10_000, sum(-(-n // block_ids) for n in sizes.values()) // 4))
-    found = written(blocks.repartition(n).mapInArrow(tidied(search), "file string, block long, found array<long>, ends long, last_end long, ids long"), "ends")
+    found = written(blocks.repartition(min(10_000, 16 * tasks)).mapInArrow(tidied(search), "file string, block long, found array<long>, ends long, last_end long, ids long"), "ends")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select("file", "block", "ends", "last_end").select("file", "block", F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.max("last_end").over(earlier), F.lit(-1)).alias("previous"))
     both = found.join(stitched, ["file", "block"])
