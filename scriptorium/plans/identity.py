@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.functions import zonetext
+from scriptorium.functions import licence, passport, text, zonetext
 from scriptorium.operators import identity
 from scriptorium.plans.fixtures import PERSONS, derive
 from scriptorium.plans.queries import query
@@ -240,47 +240,68 @@ def _birth(issue: str, expiry: str) -> str:
 _NO_NUMBER = "('CALIFORNIA', 'ALIFORNIA', 'DRIVER', 'LICENSE', 'CLASS', 'NONE')"
 
 
+def _good_token(t: str, ex: str) -> str:
+    return f"upper({t}) NOT IN {_NO_NUMBER} AND NOT list_contains({ex}, {t}) AND NOT {_mmdd(t)}"
+
+
+def _digit_line(t: str, ex: str) -> str:
+    return f"regexp_full_match({t}, '[0-9]{{6,12}}') AND NOT list_contains({ex}, {t})"
+
+
+_NEAR = "(regexp_matches(upper(coalesce(ls[i - 1], '')), 'DL|EXP|CLASS') AND i > 1 OR regexp_matches(upper(coalesce(ls[i + 1], '')), 'DL|EXP|CLASS'))"
+_TOKEN = r"regexp_extract_all({}, '\b[A-Z0-9]{{6,12}}\b')"
+
+
+def _beside_label(ex: str) -> str:
+    return f"ls[list_min([i for i in range(1, len(ls) + 1) if {_digit_line('ls[i]', ex)} AND NOT {_mmdd('ls[i]')} AND {_NEAR}])]"
+
+
+def _fallback_number(ex: str) -> str:
+    bare = f"list_sort([{{'dated': {_mmdd('y')}, 'n': -length(y), 'v': y}} for y in ls if {_digit_line('y', ex)}])[1].v"
+    return f"coalesce({_beside_label(ex)}, {bare}, [t for t in flatten([{_TOKEN.format('y')} for y in ls]) if {_good_token('t', ex)}][1])"
+
+
+_STARTS = "[i for i in range(1, len(ls) + 1) if contains(upper(ls[i]), 'FN ') OR starts_with(upper(ls[i]), 'FN')]"
+_ADDRESS = f"[y for y in flatten([ls[i + 1:i + 4] for i in {_STARTS}]) if regexp_matches(y, '[0-9]') AND NOT regexp_matches(upper(y), 'DOB|EXP|SEX|HAIR|EYES|WGT|RGT|ISS|DD')][1]"
+_LICENCE_KINDS = "AM|A1|A2|A|B1|B|C1|C|D1|D|BE|CE|DE|T"
+_EXPLICIT = rf"[y for y in [regexp_extract(u, '\bCLASS\s+({_LICENCE_KINDS})\b', 1), regexp_extract(u, '\b(?:CATEGORY|CATEGORIES|CAT\.)\s+({_LICENCE_KINDS})\b', 1)] if y <> '']"
+_TAIL = "CASE WHEN contains(u, 'CATEGORY') THEN substr(u, instr(u, 'CATEGORY') + 8) WHEN contains(u, 'CATEGORIES') THEN substr(u, instr(u, 'CATEGORIES') + 10) WHEN contains(u, 'CAT.') THEN substr(u, instr(u, 'CAT.') + 4) ELSE substr(u, instr(u, 'CLASS') + 5) END"
+_OF_LINE = rf"CASE WHEN len({_EXPLICIT}) > 0 THEN {_EXPLICIT} ELSE regexp_extract_all({_TAIL}, '\b(?:{_LICENCE_KINDS})\b') END"
+_ALL_KINDS = rf"flatten([{_OF_LINE} for u in [upper(y) for y in ls] if regexp_matches(u, 'CATEGORY|CATEGORIES|CAT\.|CLASS')])"
+_KINDS_ONCE = f"(SELECT list(k ORDER BY i) FROM (SELECT k, min(i) AS i FROM (SELECT unnest({_ALL_KINDS}) AS k, generate_subscripts({_ALL_KINDS}, 1) AS i) GROUP BY k))"
+
+
+def _united_lines(*columns: str) -> str:
+    """Lines of several columns, each once in its first spelling."""
+    raw = "[regexp_replace(y, ' +', ' ', 'g') for y in flatten([" + ", ".join(_lines(f"coalesce({c}, '')") for c in columns) + "])]"
+    return f"(SELECT [x.l[i] for i in range(1, len(x.l) + 1) if list_position(x.u, x.u[i]) = i] FROM (SELECT {{'l': {raw}, 'u': [upper(y) for y in {raw}]}} AS x))"
+
+
 def _licence_sql() -> str:
     labels = identity.LICENCE_LABELS
     rules = [(f, "beside", _beside("ls", *labels[f])) for f in ("surname", "given_names", "date_of_birth", "date_of_issue", "date_of_expiry")] + _core_cells()
-    starts = "[i for i in range(1, len(ls) + 1) if contains(upper(ls[i]), 'FN ') OR starts_with(upper(ls[i]), 'FN')]"
-    after = f"flatten([ls[i + 1:i + 4] for i in {starts}])"
-    rules += [("address", "label", _after("ls", *labels["address"])), ("address", "after_name", f"[y for y in {after} if regexp_matches(y, '[0-9]') AND NOT regexp_matches(upper(y), 'DOB|EXP|SEX|HAIR|EYES|WGT|RGT|ISS|DD')][1]"), ("place_of_birth", "label", _after("ls", *labels["place_of_birth"]))]
+    rules += [("address", "label", _after("ls", *labels["address"])), ("address", "after_name", _ADDRESS), ("place_of_birth", "label", _after("ls", *labels["place_of_birth"]))]
     pivot = ", ".join(f"max(value) FILTER (WHERE field = '{f}') AS {f}" for f in dict.fromkeys(f for f, *_ in rules))
-    good = lambda t, ex: f"upper({t}) NOT IN {_NO_NUMBER} AND NOT list_contains({ex}, {t}) AND NOT {_mmdd(t)}"
-    digit_line = lambda t, ex: f"regexp_full_match({t}, '[0-9]{{6,12}}') AND NOT list_contains({ex}, {t})"
-    near = "(regexp_matches(upper(coalesce(ls[i - 1], '')), 'DL|EXP|CLASS') AND i > 1 OR regexp_matches(upper(coalesce(ls[i + 1], '')), 'DL|EXP|CLASS'))"
-    token = r"regexp_extract_all({}, '\b[A-Z0-9]{{6,12}}\b')"
-    labelled = f"[coalesce([t for t in {token.format('ls[i]')} if {good('t', 'ex')}][1], [t for t in ls[i + 1:i + 2] if {digit_line('t', 'ex')} AND NOT {_mmdd('t')}][1]) for i in range(1, len(ls) + 1) if regexp_matches(upper(ls[i]), 'LIC|DL|DI')]"
-    beside = f"ls[list_min([i for i in range(1, len(ls) + 1) if {digit_line('ls[i]', 'ex')} AND NOT {_mmdd('ls[i]')} AND {near}])]"
-    bare = f"list_sort([{{'dated': {_mmdd('y')}, 'n': -length(y), 'v': y}} for y in ls if {digit_line('y', 'ex')}])[1].v"
-    any_token = f"[t for t in flatten([{token.format('y')} for y in ls]) if {good('t', 'ex')}][1]"
-    again = f"ls[list_min([i for i in range(1, len(ls) + 1) if {digit_line('ls[i]', 'ex2')} AND NOT {_mmdd('ls[i]')} AND {near}])]"
+    labelled = f"[coalesce([t for t in {_TOKEN.format('ls[i]')} if {_good_token('t', 'ex')}][1], [t for t in ls[i + 1:i + 2] if {_digit_line('t', 'ex')} AND NOT {_mmdd('t')}][1]) for i in range(1, len(ls) + 1) if regexp_matches(upper(ls[i]), 'LIC|DL|DI')]"
+    again = _beside_label("ex2")
     behind = rf"[t for t in [regexp_extract(upper(y), '\bDL\b[^0-9A-Z]*([A-Z0-9]{{6,12}})', 1) for y in ls] if t <> '' AND t NOT IN ('CALIFORNIA', 'ALIFORNIA') AND NOT list_contains(ex2, t) AND NOT {_mmdd('t')}][1]"
     compact = "regexp_replace(upper(chosen), '[^A-Z0-9]', '', 'g')"
     digits = lambda *cs: "[y for y in [" + ", ".join(f"regexp_replace({c}, '[^0-9]', '', 'g')" for c in cs) + "] if y <> '']"
     order = lambda c: f"CASE WHEN regexp_full_match({c}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') AND TRY_CAST(substr({c}, 1, 2) AS INT) BETWEEN 1 AND 12 AND TRY_CAST(substr({c}, 4, 2) AS INT) BETWEEN 1 AND 31 AND TRY_CAST(substr({c}, 7, 4) AS INT) BETWEEN 1900 AND 2099 THEN concat(substr({c}, 7, 4), substr({c}, 1, 2), substr({c}, 4, 2)) END"
-    kinds = "AM|A1|A2|A|B1|B|C1|C|D1|D|BE|CE|DE|T"
-    explicit = rf"[y for y in [regexp_extract(u, '\bCLASS\s+({kinds})\b', 1), regexp_extract(u, '\b(?:CATEGORY|CATEGORIES|CAT\.)\s+({kinds})\b', 1)] if y <> '']"
-    tail = "CASE WHEN contains(u, 'CATEGORY') THEN substr(u, instr(u, 'CATEGORY') + 8) WHEN contains(u, 'CATEGORIES') THEN substr(u, instr(u, 'CATEGORIES') + 10) WHEN contains(u, 'CAT.') THEN substr(u, instr(u, 'CAT.') + 4) ELSE substr(u, instr(u, 'CLASS') + 5) END"
-    of_line = rf"CASE WHEN len({explicit}) > 0 THEN {explicit} ELSE regexp_extract_all({tail}, '\b(?:{kinds})\b') END"
-    all_kinds = rf"flatten([{of_line} for u in [upper(y) for y in ls] if regexp_matches(u, 'CATEGORY|CATEGORIES|CAT\.|CLASS')])"
     name = lambda c: f"nullif(trim(regexp_replace(regexp_replace(upper({c}), '[^A-Z -]', ' ', 'g'), ' +', ' ', 'g'), ' -'), '')"
     useful = lambda c: f"CASE WHEN {_USEFUL.format(v=name(c))} THEN {name(c)} END"
-    raw = "[regexp_replace(y, ' +', ' ', 'g') for y in flatten([" + ", ".join(_lines(f"coalesce({c}, '')") for c in ("number_text", "dates_text", "said")) + "])]"
-    lines = f"[x.l[i] for i in range(1, len(x.l) + 1) if list_position(x.u, x.u[i]) = i]"
-    united = f"(SELECT {lines} FROM (SELECT {{'l': {raw}, 'u': [upper(y) for y in {raw}]}} AS x))"
+    united = _united_lines("number_text", "dates_text", "said")
     fields = ["license_number", "surname", "given_names", "birth AS date_of_birth", "place_of_birth", "address", "issue AS date_of_issue", "expiry AS date_of_expiry", "issuing_authority"]
     plain = [f.split(" ")[0] for f in fields]
     return rf"""WITH {_core_sql(LICENCES, united, rules)}, p AS (SELECT id, {pivot} FROM best GROUP BY id),
 a AS (SELECT t.id AS id, ls, flatten([regexp_extract_all(y, '\b[0-9]{{8}}\b') for y in ls]) AS t8, p.* EXCLUDE (id), {digits('date_of_birth', 'date_of_expiry')} AS ex FROM t LEFT JOIN p ON p.id = t.id),
-b AS (SELECT *, coalesce({_first(labelled)}, {beside}, {bare}, {any_token}) AS number, CASE WHEN date_of_issue IS NULL OR starts_with(upper(date_of_issue), 'DD ') THEN coalesce({_issue('date_of_birth', 'date_of_expiry')}, date_of_issue) ELSE date_of_issue END AS i0 FROM a),
+b AS (SELECT *, coalesce({_first(labelled)}, {_fallback_number('ex')}) AS number, CASE WHEN date_of_issue IS NULL OR starts_with(upper(date_of_issue), 'DD ') THEN coalesce({_issue('date_of_birth', 'date_of_expiry')}, date_of_issue) ELSE date_of_issue END AS i0 FROM a),
 c AS (SELECT *, {_identity_date('date_of_birth')} AS b1, {_identity_date('i0')} AS i1, {_identity_date('date_of_expiry')} AS expiry FROM b),
 d AS (SELECT *, CASE WHEN b1 IS NULL OR b1 = i1 THEN coalesce({_birth('i1', 'expiry')}, b1) ELSE b1 END AS birth FROM c),
 f AS (SELECT *, CASE WHEN i1 IS NOT DISTINCT FROM birth THEN {_issue('birth', 'expiry')} ELSE i1 END AS i2 FROM d),
 g AS (SELECT *, CASE WHEN coalesce({order('i2')} > {order('expiry')}, false) THEN NULL ELSE i2 END AS issue, coalesce(number, document_number) AS chosen, {digits('birth', 'expiry')} AS ex2 FROM f),
 h AS (SELECT * REPLACE ({useful('surname')} AS surname, {useful('given_names')} AS given_names), CASE WHEN chosen IS NULL THEN NULL WHEN {compact} NOT IN ('CALIFORNIA', 'ALIFORNIA', 'DRIVERLICENSE') AND regexp_matches({compact}, '[0-9]') AND NOT (regexp_full_match({compact}, '[0-9]+') AND (list_contains(ex2, {compact}) OR {_mmdd(compact)})) THEN {compact} ELSE coalesce({again}, {behind}) END AS license_number,
-  (SELECT list(k ORDER BY i) FROM (SELECT k, min(i) AS i FROM (SELECT unnest({all_kinds}) AS k, generate_subscripts({all_kinds}, 1) AS i) GROUP BY k)) AS kinds FROM g),
+  {_KINDS_ONCE} AS kinds FROM g),
 m AS (SELECT id, {', '.join(fields)}, coalesce(array_to_string(kinds, ','), '') AS categories, CAST({' + '.join(f"CAST(coalesce(trim({x}), '') <> '' AS INT)" for x in plain)} + coalesce(len(kinds), 0) AS INT) AS populated FROM h)
 SELECT *, populated >= 4 AS is_valid, CASE WHEN populated >= 4 THEN 'heuristic_driver_license_mapping' ELSE 'identity_mapping_low_confidence' END AS code, CASE WHEN populated >= 4 THEN 'info' ELSE 'warning' END AS severity FROM m"""
 
@@ -372,3 +393,67 @@ SELECT w.id AS id, {own} FROM w LEFT JOIN z ON z.id = w.id"""
 def flat_passport_fields(spark, sf_dir):
     m = derive(spark, sf_dir, FLAT).select("id", zonetext.flat_passport(F.col("t"), ALLOWED, STATES).alias("m"))
     return m.select("id", *(F.try_element_at("m", F.lit(f)).alias(f) for f in ALLOWED))
+
+
+@query(rf"""WITH src AS ({LICENCES}), a AS (SELECT id, {_united_lines('number_text', 'said')} AS ls, [lpad(CAST(id AS VARCHAR), 7, '0'), '7654321'] AS ex FROM src)
+SELECT id, {_fallback_number('ex')} AS number, {_ADDRESS} AS address, coalesce(array_to_string({_KINDS_ONCE}, ','), '') AS categories FROM a""")
+def licence_lines(spark, sf_dir):
+    """Numbers without a label, addresses under names and categories of the licences' lines."""
+    said = derive(spark, sf_dir, LICENCES).select("id", text.distinct_lines(text.lines(F.concat_ws("\n", "number_text", "said"))).alias("ls"))
+    ls, known = F.col("ls"), F.array(F.lpad(F.col("id").cast("string"), 7, "0"), F.lit("7654321"))
+    return said.select("id", licence.fallback_number(ls, known).alias("number"), licence.address(ls).alias("address"), F.array_join(licence.categories(ls), ",").alias("categories"))
+
+
+@query(rf"""WITH s AS ({FLAT}), l AS (SELECT id, unnest({_lines('t')}) AS x, generate_subscripts({_lines('t')}, 1) AS i FROM s), p AS (SELECT id, i, lower(regexp_extract(x, '^[A-Za-z_]+')) AS key, trim(regexp_extract(x, '^[A-Za-z_]+\s*:\s*(.*)$', 1)) AS value FROM l WHERE regexp_matches(x, '^[A-Za-z_]+\s*:'))
+SELECT id, key, arg_max(value, i) AS value FROM p WHERE key IN ({', '.join(f"'{a}'" for a in ALLOWED)}) AND lower(value) NOT IN ('', 'null') GROUP BY id, key""")
+def flat_answers(spark, sf_dir):
+    f = derive(spark, sf_dir, FLAT)
+    return f.select("id", F.explode(licence.flat_answer(text.lines(F.col("t")), ALLOWED)).alias("key", "value"))
+
+
+#: Values of passport fields as recognition leaves them.
+PARTS = """SELECT c_custkey AS id, concat(CASE c_custkey % 5 WHEN 0 THEN 'USA' WHEN 1 THEN concat('O', chr(39)) WHEN 2 THEN '12 ' WHEN 3 THEN 'usa' ELSE '' END, CASE c_custkey % 7 WHEN 0 THEN 'FARSI' WHEN 1 THEN '' WHEN 2 THEN lower(c_mktsegment) ELSE concat(c_mktsegment, '-', CAST(c_nationkey AS STRING)) END) AS surname,
+  concat(CASE c_custkey % 4 WHEN 0 THEN 'Anna, Maria 7 date ' WHEN 1 THEN 'USAF' WHEN 2 THEN 'Place ' ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END) AS given, concat(' ', CASE c_custkey % 4 WHEN 0 THEN 'CHICAGO ILINIOIS' WHEN 1 THEN 'ILLINIOIS, X' WHEN 2 THEN 'ILINOIS' ELSE c_mktsegment END, ' ') AS place,
+  concat(CASE c_custkey % 9 WHEN 0 THEN 'Sex: m ' WHEN 1 THEN 'type F x' WHEN 2 THEN '(x)' WHEN 3 THEN 'MALE' WHEN 4 THEN 'الجنس ذكر' WHEN 5 THEN 'f1' WHEN 6 THEN 'sex/sexe : X' WHEN 7 THEN 'انثى m' ELSE '' END, CASE WHEN c_custkey % 2 = 0 THEN ' 5' ELSE '' END) AS sex,
+  concat(CASE c_custkey % 6 WHEN 0 THEN 'Issuing  Authority: ' WHEN 1 THEN 'x AUTORIDAD United States Department of State, ' WHEN 2 THEN 'Autorite / ' WHEN 3 THEN 'AUTHORITY' WHEN 4 THEN 'authority - autoridad: ' ELSE '' END, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat(c_mktsegment, ' :') END) AS authority,
+  concat(CASE c_custkey % 3 WHEN 0 THEN 'the United Arab Emirates' WHEN 1 THEN 'UNITED STATES OF AMERICA' ELSE 'none' END, CASE WHEN c_custkey % 5 = 0 THEN ' united arab emirates' ELSE '' END) AS country, concat(CASE c_custkey % 4 WHEN 0 THEN '1' ELSE '' END, lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'), '/03/2019', CASE WHEN c_custkey % 3 = 0 THEN '1 04/05/2020' ELSE ', until' END) AS issued FROM customer"""
+_OFFICE = "nullif(trim(regexp_replace(regexp_replace(regexp_replace(o, '^.*?AUTHORITY[^A-Z0-9a-z]*', '', 'i'), '^.*?AUTORIDAD[^A-Z0-9a-z]*', '', 'i'), '^.*?AUTORIT.{0,4}[^A-Z0-9a-z]*', '', 'i'), ' :-/'), '')"
+
+
+@query(rf"""WITH a AS (SELECT *, trim(regexp_replace(upper(surname), '[^A-Z ]', '', 'g')) AS s, nullif(trim(regexp_replace(authority, '\s+', ' ', 'g')), '') AS o, regexp_replace(upper(sex), '[^A-Z]', '', 'g') AS letters FROM ({PARTS})),
+b AS (SELECT *, CASE WHEN starts_with(s, 'USA') AND length(s) > 3 THEN substr(s, 4) ELSE s END AS t, {_OFFICE} AS p FROM a)
+SELECT id, nullif(CASE WHEN t = 'FARSI' THEN 'AL FARSI' ELSE t END, '') AS surname, nullif(trim(regexp_replace(regexp_replace(regexp_replace(upper(given), '[^A-Z ]', ' ', 'g'), '\b(?:USAF|USA|ISSUE|DATE|BIRTH|PLACE|NATIONALITY|PASSPORT)\b', ' ', 'g'), ' +', ' ', 'g')), '') AS given_names,
+replace(replace(replace(trim(place), 'ILINIOIS', 'ILLINOIS'), 'ILLINIOIS', 'ILLINOIS'), 'ILINOIS', 'ILLINOIS') AS place, CASE WHEN contains(sex, 'ذكر') THEN 'M' WHEN contains(sex, 'انث') OR contains(sex, 'أنث') THEN 'F' ELSE coalesce(nullif(regexp_extract(upper(sex), 'SEX[^A-Z0-9]*([MFX])(?:[^A-Z]|$)', 1), ''), nullif(regexp_extract(upper(sex), '\b([MFX])\b', 1), ''), CASE WHEN letters IN ('M', 'F', 'X') THEN letters END) END AS sex,
+CASE WHEN contains(p, 'Department of State') THEN 'United States Department of State' ELSE p END AS authority, CASE WHEN contains(upper(country), 'UNITED ARAB EMIRATES') THEN 'ARE' WHEN contains(upper(country), 'UNITED STATES OF AMERICA') THEN 'USA' END AS nationality, nullif(regexp_extract(issued, '\b[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}\b'), '') AS issued FROM b""")
+def passport_values(spark, sf_dir):
+    c = F.col
+    p = derive(spark, sf_dir, PARTS)
+    return p.select("id", passport.surname(c("surname")).alias("surname"), passport.given_names(c("given")).alias("given_names"), passport.place_of_birth(c("place")).alias("place"), passport.sex_from_text(c("sex")).alias("sex"), passport.authority(c("authority")).alias("authority"), passport.nationality_of(c("country")).alias("nationality"), passport.issue_date(c("issued")).alias("issued"))
+
+
+#: First lines, compact identity lines and zones within other text.
+ZONE_VALUES = """SELECT c_custkey AS id, concat(CASE c_custkey % 6 WHEN 0 THEN 'P<UTO' WHEN 1 THEN 'p<al<' WHEN 2 THEN 'NO ZONE ' WHEN 3 THEN 'x P<' WHEN 4 THEN 'P<UT' ELSE 'PP<' END, CASE WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END, CASE c_custkey % 5 WHEN 0 THEN '<<ANNA<MARIA<<<' WHEN 1 THEN '<<' WHEN 2 THEN '<ANNA' WHEN 3 THEN '<<x1' ELSE '<<<LOU' END) AS line1,
+  concat(CASE c_custkey % 4 WHEN 0 THEN '# ' WHEN 1 THEN 'no.' ELSE '' END, 'AB', lpad(CAST(c_custkey AS STRING), CASE WHEN c_custkey % 3 = 0 THEN 6 ELSE 7 END, '0'), CASE c_custkey % 7 WHEN 0 THEN ' UTO 12 03 1974 f 15.04.2031' WHEN 1 THEN '<6UTO7408122F1204159ZE' WHEN 2 THEN 'UTO120319Z4M15042031' WHEN 3 THEN '1UTO3001019X2912311' WHEN 4 THEN '' ELSE concat(' uto ', lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'), '121990M01012025') END) AS compact,
+  concat('short<', chr(10), CASE WHEN c_custkey % 3 = 1 THEN 'AAAAAAAAAAAAAAAAAAAA' ELSE repeat('A', CAST(15 + c_custkey % 7 AS INT)) END, CASE WHEN c_custkey % 2 = 0 THEN '<' ELSE '' END, chr(10), CASE WHEN c_custkey % 5 = 0 THEN '<<<<<<<<<<<<<<<<<<<<<<<' ELSE 'x' END) AS said FROM customer"""
+
+
+def _zone_values_sql() -> str:
+    name = lambda x: f"nullif(trim(replace({x}, '<', ' ')), '')"
+    with_state, alone = "P<([A-Z]{3})([A-Z<]+?)<<([A-Z<]+)", "P<([A-Z<]+?)<<([A-Z<]+)"
+    part = lambda p, i: f"regexp_extract(clean, '{p}', {i})"
+    one = lambda i: f"CASE WHEN regexp_matches(clean, '{with_state}') THEN {name(part(with_state, i + 1))} WHEN regexp_matches(clean, '{alone}') THEN {name(part(alone, i))} END"
+    long_, short = "([A-Z0-9]{8,9})([A-Z]{3})([0-9]{8})([MFX])([0-9]{8})", "([A-Z0-9]{8,9})[0-9]([A-Z]{3})([0-9]{6})[0-9]([MFX])([0-9]{6})"
+    x = lambda p, i: f"regexp_extract(squashed, '{p}', {i})"
+    slashed = lambda i: f"concat(substr({x(long_, i)}, 1, 2), '/', substr({x(long_, i)}, 3, 2), '/', substr({x(long_, i)}, 5, 4))"
+    dotted = lambda i: f"concat(substr({x(short, i)}, 5, 2), '.', substr({x(short, i)}, 3, 2), '.', CASE WHEN TRY_CAST(substr({x(short, i)}, 1, 2) AS INT) >= 30 THEN '19' ELSE '20' END, substr({x(short, i)}, 1, 2))"
+    either = lambda a, b: f"CASE WHEN regexp_matches(squashed, '{long_}') THEN {a} WHEN regexp_matches(squashed, '{short}') THEN {b} END"
+    lines = "nullif(array_to_string([y for y in [trim(z) for z in string_split(said, chr(10))] if contains(y, '<') AND length(y) >= 20], ' '), '')"
+    return f"""WITH z AS (SELECT *, regexp_replace(upper(line1), '[^A-Z<]', '', 'g') AS clean, regexp_replace(upper(compact), '[^A-Z0-9]', '', 'g') AS squashed FROM ({ZONE_VALUES}))
+SELECT id, {one(1)} AS surname, {one(2)} AS given_names, {either(x(long_, 1), x(short, 1))} AS number, {either(slashed(3), dotted(3))} AS birth, {either(slashed(5), dotted(5))} AS expiry, {lines} AS zone FROM z"""
+
+
+@query(_zone_values_sql())
+def passport_zones(spark, sf_dir):
+    c = F.col
+    z = derive(spark, sf_dir, ZONE_VALUES).select("id", passport.name_from_zone(c("line1")).alias("n"), passport.compact_identity(c("compact"), 2025).alias("i"), passport.zone_text(text.lines(c("said"))).alias("zone"))
+    return z.select("id", "n.surname", "n.given_names", c("i.document_number").alias("number"), c("i.date_of_birth").alias("birth"), c("i.date_of_expiry").alias("expiry"), "zone")

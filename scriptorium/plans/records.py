@@ -49,36 +49,6 @@ def record_gates(spark, sf_dir):
     return derive(spark, sf_dir, _VALUES).select("id", gates.is_real_record(c("template"), c("id") % 2 == 0, c("populated")).alias("real"), gates.is_from(c("source"), c("country"), "rus", "RUSSIAN FEDERATION").alias("russian"), gates.is_printed(c("source")).alias("printed"), gates.issue_count([c("remark"), c("name")]).alias("issues"))
 
 
-_PARTS = """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'USAFARSI' WHEN 1 THEN 'O''NEILL-SMITH' WHEN 2 THEN '12' WHEN 3 THEN concat('usa', lower(c_mktsegment)) END AS surname,
-  CASE c_custkey % 4 WHEN 0 THEN 'Anna, Maria 7 date' WHEN 1 THEN 'USAF' WHEN 2 THEN concat('Place ', c_mktsegment) END AS given, CASE c_custkey % 3 WHEN 0 THEN ' CHICAGO ILINIOIS ' WHEN 1 THEN 'ILLINIOIS' END AS place,
-  CASE c_custkey % 7 WHEN 0 THEN 'Sex: m ' WHEN 1 THEN 'type F x' WHEN 2 THEN '(x)' WHEN 3 THEN 'MALE' WHEN 4 THEN 'الجنس ذكر' WHEN 5 THEN 'f1' END AS sex,
-  CASE c_custkey % 5 WHEN 0 THEN 'Issuing  Authority: MOI' WHEN 1 THEN 'x AUTORIDAD United States Department of State, y' WHEN 2 THEN 'Autorité / PARIS' WHEN 3 THEN 'AUTHORITY' END AS authority,
-  CASE c_custkey % 3 WHEN 0 THEN 'the United Arab Emirates' WHEN 1 THEN 'UNITED STATES OF AMERICA' ELSE 'none' END AS country, concat('issued ', lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'), '/03/2019, until') AS issued FROM customer"""
-
-
-@query(f"""SELECT id, CASE id % 5 WHEN 0 THEN 'AL FARSI' WHEN 1 THEN 'ONEILLSMITH' WHEN 3 THEN segment END AS surname, CASE id % 4 WHEN 0 THEN 'ANNA MARIA' WHEN 2 THEN segment END AS given_names, CASE id % 3 WHEN 0 THEN 'CHICAGO ILLINOIS' WHEN 1 THEN 'ILLINOIS' END AS place,
-CASE id % 7 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'X' WHEN 4 THEN 'M' WHEN 5 THEN 'F' END AS sex, CASE id % 5 WHEN 0 THEN 'MOI' WHEN 1 THEN 'United States Department of State' WHEN 2 THEN 'PARIS' END AS authority,
-CASE id % 3 WHEN 0 THEN 'ARE' WHEN 1 THEN 'USA' END AS nationality, concat(lpad(CAST(id % 28 + 1 AS STRING), 2, '0'), '/03/2019') AS issued FROM (SELECT c_custkey AS id, c_mktsegment AS segment FROM customer)""")
-def passport_values(spark, sf_dir):
-    c = F.col
-    p = derive(spark, sf_dir, _PARTS)
-    return p.select("id", passport.surname(c("surname")).alias("surname"), passport.given_names(c("given")).alias("given_names"), passport.place_of_birth(c("place")).alias("place"), passport.sex_from_text(c("sex")).alias("sex"), passport.authority(c("authority")).alias("authority"), passport.nationality_of(c("country")).alias("nationality"), passport.issue_date(c("issued")).alias("issued"))
-
-
-_ZONES = """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN concat('P<UTO', c_mktsegment, '<<ANNA<MARIA<<<') WHEN 1 THEN concat('p<al<farsi<<', lower(c_mktsegment), '<x1') WHEN 2 THEN 'NO ZONE' END AS line1,
-  CASE c_custkey % 3 WHEN 0 THEN concat('# AB', lpad(CAST(c_custkey AS STRING), 6, '0'), ' UTO 12 03 1974 f 15.04.2031') WHEN 1 THEN concat('AB', lpad(CAST(c_custkey AS STRING), 6, '0'), '<6UTO7408122F1204159ZE') ELSE 'nothing' END AS compact,
-  concat('short<', chr(10), 'AAAAAAAAAAAAAAAAAAAAA<', chr(10), CASE WHEN c_custkey % 2 = 0 THEN '<<<<<<<<<<<<<<<<<<<<<<<' ELSE 'x' END) AS said FROM customer"""
-
-
-@query(f"""SELECT id, CASE id % 4 WHEN 0 THEN segment WHEN 1 THEN 'AL FARSI' END AS surname, CASE id % 4 WHEN 0 THEN 'ANNA MARIA' WHEN 1 THEN concat(segment, ' X') END AS given_names,
-CASE WHEN id % 3 < 2 THEN concat('AB', lpad(CAST(id AS STRING), 6, '0')) END AS number, CASE WHEN id % 3 = 0 THEN '12/03/1974' WHEN id % 3 = 1 THEN '12.08.1974' END AS birth, CASE WHEN id % 3 = 0 THEN '15/04/2031' WHEN id % 3 = 1 THEN '15.04.2012' END AS expiry,
-concat('AAAAAAAAAAAAAAAAAAAAA<', CASE WHEN id % 2 = 0 THEN ' <<<<<<<<<<<<<<<<<<<<<<<' ELSE '' END) AS zone FROM (SELECT c_custkey AS id, c_mktsegment AS segment FROM customer)""")
-def passport_zones(spark, sf_dir):
-    c = F.col
-    z = derive(spark, sf_dir, _ZONES).select("id", passport.name_from_zone(c("line1")).alias("n"), passport.compact_identity(c("compact"), 2025).alias("i"), passport.zone_text(text.lines(c("said"))).alias("zone"))
-    return z.select("id", "n.surname", "n.given_names", c("i.document_number").alias("number"), c("i.date_of_birth").alias("birth"), c("i.date_of_expiry").alias("expiry"), "zone")
-
-
 _SAID = """SELECT c_custkey AS id, concat('Passport Name', chr(10), 'ALL UPPER', chr(10), '1 one', chr(10), CASE c_custkey % 6 WHEN 0 THEN concat('Anna-Maria / Lou  ', substr(c_mktsegment, 1, 1), lower(substr(c_mktsegment, 2)), '-Smith 7') WHEN 1 THEN concat('Lou ', c_mktsegment) WHEN 2 THEN concat(lower(c_mktsegment), ' type') WHEN 3 THEN concat('x ', c_mktsegment, ' -') ELSE concat('DATE OF BIRTH ', CAST(c_custkey AS STRING)) END, chr(10), CASE WHEN c_custkey % 5 = 0 THEN 'no Marker' ELSE '<s>end <pad></s>' END) AS t,
   concat_ws(' ', CASE c_custkey % 7 WHEN 0 THEN '05/06/1990' WHEN 1 THEN '05.06.1990' WHEN 2 THEN '5/6/1990' WHEN 3 THEN '05-06-90x' WHEN 4 THEN '12 Mar 2020' WHEN 5 THEN '112/03/2020' END, 'x', CASE c_custkey % 5 WHEN 0 THEN '07/08/2020, 09/10/2030' WHEN 1 THEN '07.08.20' WHEN 2 THEN '1 Jan 2020' WHEN 3 THEN concat(lpad(CAST(c_custkey % 31 AS STRING), 2, '0'), ' Nov 2031') END, CASE WHEN c_custkey % 3 = 0 THEN concat('01-02-20', lpad(CAST(c_nationkey AS STRING), 2, '0')) END) AS d FROM customer"""
 _DATE = r"\b(?:[0-9]{2}[./-][0-9]{2}[./-][0-9]{2,4}|[0-9]{2}\s+[A-Z][a-z]{2}\s+[0-9]{4})\b"
@@ -96,24 +66,38 @@ def passport_lines(spark, sf_dir):
     return s.select("id", "n.surname", "n.given_names", "marked", "d.birth", "d.issue", "d.expiry", passport.without_special(c("t")).alias("plain_text"))
 
 
-_FIELDS = """SELECT c_custkey AS id, k AS key, CASE k WHEN 'document_number' THEN concat(' ab-', CAST(c_custkey AS STRING), ' ç') WHEN 'date_of_birth' THEN '3 mar 2020' WHEN 'mrz' THEN 'p<uto  x y' WHEN 'sex' THEN 'female' WHEN 'nationality' THEN CASE c_custkey % 3 WHEN 0 THEN 'are' WHEN 1 THEN 'Française' ELSE 'x, y' END
+_FIELDS = """SELECT c_custkey AS id, k AS key, CASE k WHEN 'document_number' THEN concat(' ab-', CAST(c_custkey AS STRING), ' ç') WHEN 'date_of_birth' THEN CASE c_custkey % 8 WHEN 0 THEN '3 mar 2020' WHEN 1 THEN '03/4/2020' WHEN 2 THEN ' 1-02-1999 ' WHEN 3 THEN '12 XYZ 2020' WHEN 4 THEN concat(CAST(c_custkey % 28 + 1 AS STRING), ' Déc 1990') WHEN 5 THEN '2020.01.02' WHEN 6 THEN '1.2.20' ELSE '12  aug  2001' END WHEN 'mrz' THEN concat('p<uto  x y', lower(c_mktsegment)) WHEN 'sex' THEN CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE ' m' END WHEN 'nationality' THEN CASE c_custkey % 7 WHEN 0 THEN 'are' WHEN 1 THEN 'Française' WHEN 2 THEN 'usa' WHEN 3 THEN 'russo' WHEN 4 THEN 'émirats  arabes unis' WHEN 5 THEN concat('x, ', c_mktsegment) ELSE 'x, y' END
   WHEN 'surname' THEN concat('O, ', c_name, '...x') ELSE concat(' é  ', c_mktsegment) END AS value FROM customer CROSS JOIN (SELECT 'document_number' AS k UNION ALL SELECT 'date_of_birth' UNION ALL SELECT 'mrz' UNION ALL SELECT 'sex' UNION ALL SELECT 'nationality' UNION ALL SELECT 'surname' UNION ALL SELECT 'other') x"""
 
 
-@query(f"""SELECT id, key, CASE key WHEN 'document_number' THEN concat('AB', CAST(id AS STRING), 'C') WHEN 'date_of_birth' THEN '03.03.2020' WHEN 'mrz' THEN 'P<UTOXY' WHEN 'sex' THEN 'F' WHEN 'nationality' THEN CASE id % 3 WHEN 0 THEN 'UNITED ARAB EMIRATES' WHEN 1 THEN 'FRANCE' ELSE 'X Y' END
-WHEN 'surname' THEN concat('O ', upper(regexp_extract(value, 'Customer#[0-9]+')), '.X') ELSE upper(concat('e ', trim(regexp_replace(value, '^ é  ', '')))) END AS value FROM ({_FIELDS})""")
+_PLAIN_VALUE = r"trim(regexp_replace(upper(strip_accents(value)), '\s+', ' ', 'g'))"
+_NAMED = "trim(regexp_replace(regexp_replace(replace(v, ',', ' '), '[.]+', '.', 'g'), ' +', ' ', 'g'))"
+_MONTHS = "list_position(['JAN', 'FEB', 'MAR', 'APR', 'MAY', 'JUN', 'JUL', 'AUG', 'SEP', 'OCT', 'NOV', 'DEC'], regexp_extract(d, '^([0-9]{1,2}) ([A-Z]{3}) ([0-9]{4})$', 2))"
+
+
+@query(rf"""WITH a AS (SELECT id, key, {_PLAIN_VALUE} AS v FROM ({_FIELDS})), b AS (SELECT *, translate(v, '/-', '..') AS d, {_NAMED} AS n FROM a)
+SELECT id, key, CASE key WHEN 'document_number' THEN regexp_replace(v, '[^A-Z0-9]', '', 'g') WHEN 'date_of_birth' THEN CASE WHEN {_MONTHS} > 0 THEN concat(lpad(regexp_extract(d, '^[0-9]+'), 2, '0'), '.', lpad(CAST({_MONTHS} AS VARCHAR), 2, '0'), '.', right(d, 4)) WHEN regexp_full_match(d, '[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}') THEN concat(lpad(string_split(d, '.')[1], 2, '0'), '.', lpad(string_split(d, '.')[2], 2, '0'), '.', string_split(d, '.')[3]) ELSE d END
+WHEN 'mrz' THEN replace(v, ' ', '') WHEN 'sex' THEN substr(v, 1, 1) WHEN 'nationality' THEN CASE WHEN n = 'ARE' THEN 'UNITED ARAB EMIRATES' WHEN n IN ('FRANCAISE', 'FRANCAIS') THEN 'FRANCE' WHEN n IN ('RUSSE', 'RUSSO') THEN 'RUSSIAN FEDERATION' WHEN n = 'EMIRATS ARABES UNIS' THEN 'UNITED ARAB EMIRATES' ELSE n END WHEN 'surname' THEN n ELSE v END AS value FROM b""")
 def normalised_fields(spark, sf_dir):
     return derive(spark, sf_dir, _FIELDS).select("id", "key", evaluation.by_field(F.col("key"), F.col("value"), {"ARE": "UNITED ARAB EMIRATES"}).alias("value"))
 
 
 _GUESSES = """SELECT l_orderkey AS id, l_linenumber AS n, CASE l_partkey % 4 WHEN 0 THEN 'iban' WHEN 1 THEN 'total_vat' WHEN 2 THEN 'seller' ELSE 'invoice_date' END AS key,
-  CASE WHEN l_partkey % 9 = 0 THEN NULL WHEN l_partkey % 4 = 0 THEN concat('DE ', CAST(l_partkey AS STRING)) WHEN l_partkey % 4 = 1 THEN '$ 200,00' WHEN l_partkey % 4 = 2 THEN 'Big Shop Ltd' ELSE '03/04/2020' END AS truth,
-  CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_partkey % 4 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN concat('de', CAST(l_partkey AS STRING)) ELSE 'none' END WHEN l_partkey % 4 = 1 THEN CASE WHEN l_suppkey % 2 = 0 THEN '150,00' ELSE '200,00' END
-  WHEN l_partkey % 4 = 2 THEN CASE WHEN l_suppkey % 2 = 0 THEN ' big  SHOP ' ELSE 'BIG shop ltd' END ELSE CASE WHEN l_suppkey % 2 = 0 THEN '03.04.2021' ELSE '03-04-2020' END END AS guess, l_suppkey % 2 = 0 AS even FROM lineitem"""
+  CASE WHEN l_partkey % 9 = 0 THEN NULL WHEN l_partkey % 4 = 0 THEN concat('DE ', CAST(l_partkey AS STRING)) WHEN l_partkey % 4 = 1 THEN concat('$ ', CAST(l_partkey % 7 AS STRING), '.200,00') WHEN l_partkey % 4 = 2 THEN concat('Big Shop Ltd S', CAST(l_partkey % 11 AS STRING)) ELSE concat('03/0', CAST(l_partkey % 9 + 1 AS STRING), '/2020') END AS truth,
+  CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_partkey % 4 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN concat('de', CAST(l_partkey AS STRING)) ELSE 'none' END WHEN l_partkey % 4 = 1 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'n/a' WHEN l_suppkey % 2 = 0 THEN concat(CAST(l_suppkey % 7 AS STRING), '.150,00') ELSE concat(CAST(l_partkey % 7 AS STRING), '200,00') END
+  WHEN l_partkey % 4 = 2 THEN concat(CASE WHEN l_suppkey % 2 = 0 THEN ' big  SHOP ' ELSE 'BIG shop ltd ' END, 's', CAST(l_suppkey % 11 AS STRING)) ELSE concat('03.', CAST(l_suppkey % 9 + 1 AS STRING), CASE WHEN l_suppkey % 2 = 0 THEN '.2021' ELSE '-2020' END) END AS guess, l_suppkey % 2 = 0 AS even FROM lineitem"""
 
 
-@query(f"""SELECT id, n, round(CASE WHEN truth IS NULL THEN NULL WHEN guess IS NULL THEN 0.0 WHEN key = 'iban' THEN CASE WHEN even THEN 1.0 ELSE 0.0 END WHEN key = 'total_vat' THEN CASE WHEN even THEN 0.75 ELSE 1.0 END WHEN key = 'seller' THEN CASE WHEN even THEN 0.8 ELSE 1.0 END ELSE CASE WHEN even THEN 2.0 / 3 ELSE 1.0 END END, 6) AS soft,
-CASE WHEN truth IS NOT NULL THEN CASE WHEN guess IS NOT NULL AND NOT even AND key IN ('total_vat', 'seller') THEN 'yes' ELSE 'no' END END AS exact FROM ({_GUESSES})""")
+_DIGITS = "regexp_replace(coalesce({c}, ''), '[^0-9]', '', 'g')"
+_AMOUNT = "TRY_CAST(replace(regexp_replace(lower(trim({c})), '[$ .]', '', 'g'), ',', '.') AS DOUBLE)"
+_WORDS = r"list_distinct([x for x in string_split(trim(regexp_replace(lower({c}), '\s+', ' ', 'g')), ' ') if x <> ''])"
+_GROUPS = "regexp_extract_all({c}, '[0-9]{{1,4}}')"
+
+
+@query(rf"""WITH g AS (SELECT id, n, key, truth, guess, {_DIGITS.format(c='truth')} AS dt, {_DIGITS.format(c='guess')} AS dg, {_AMOUNT.format(c='truth')} AS a_t, {_AMOUNT.format(c='guess')} AS a_g, {_WORDS.format(c='truth')} AS wt, {_WORDS.format(c='guess')} AS wg, {_GROUPS.format(c='truth')} AS gt, {_GROUPS.format(c='guess')} AS gg FROM ({_GUESSES}))
+SELECT id, n, round(CASE WHEN truth IS NULL THEN NULL WHEN guess IS NULL THEN 0.0 WHEN key = 'iban' THEN CASE WHEN dt <> '' AND dt = dg THEN 1.0 ELSE 0.0 END WHEN key = 'total_vat' THEN CASE WHEN a_t IS NULL OR a_g IS NULL THEN 0.0 WHEN a_t = 0 THEN CAST(a_g = 0 AS INT) ELSE greatest(0.0, 1 - abs(a_g - a_t) / abs(a_t)) END
+WHEN key = 'seller' THEN 2.0 * len(list_intersect(wt, wg)) / (len(wt) + len(wg)) ELSE (CAST(gt[1] = gg[1] AS INT) + CAST(gt[2] = gg[2] AS INT) + CAST(gt[3] = gg[3] AS INT)) / 3.0 END, 6) AS soft,
+CASE WHEN truth IS NOT NULL THEN CASE WHEN CASE WHEN key = 'total_vat' THEN a_t IS NOT DISTINCT FROM a_g ELSE trim(regexp_replace(lower(truth), '\s+', ' ', 'g')) IS NOT DISTINCT FROM trim(regexp_replace(lower(guess), '\s+', ' ', 'g')) END THEN 'yes' ELSE 'no' END END AS exact FROM g""")
 def field_scores(spark, sf_dir):
     k, p, t = F.col("key"), F.col("guess"), F.col("truth")
     return derive(spark, sf_dir, _GUESSES).select("id", "n", F.round(evaluation.soft_score(k, p, t), 6).alias("soft"), F.when(t.isNotNull(), F.when(evaluation.exact_match(k, p, t), "yes").otherwise("no")).alias("exact"))
@@ -150,11 +134,12 @@ def zipped_images(spark, sf_dir):
     return imports.zipped(m.select("repo", "index", imports.gender_bucket(F.col("gender"), F.col("sex"), F.col("index")).alias("bucket")), derive(spark, sf_dir, _PICTURES))
 
 
-_PATHS = "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('root/img/', CAST(c_custkey AS STRING)) WHEN 2 THEN concat('E:/old/img/', CAST(c_custkey AS STRING)) WHEN 3 THEN concat('q/data/multidoc/', CAST(c_custkey AS STRING)) ELSE 'gone' END AS image_path FROM customer"
+_PATHS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 5 THEN concat('E:/old//img/', CAST(c_custkey AS STRING)) WHEN c_custkey % 9 = 6 THEN concat('/kaggle/img/', CAST(c_custkey AS STRING)) WHEN c_custkey % 9 = 7 THEN concat('E:/old/data/multidoc/', CAST(c_custkey AS STRING)) WHEN c_custkey % 9 = 8 THEN concat('E:', chr(92), 'old', chr(92), 'img', chr(92), CAST(c_custkey AS STRING)) WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN concat('root/img/', CAST(c_custkey AS STRING)) WHEN c_custkey % 5 = 2 THEN concat('E:/old/img/', CAST(c_custkey AS STRING)) WHEN c_custkey % 5 = 3 THEN concat('q/data/multidoc/', CAST(c_custkey AS STRING)) ELSE 'gone' END AS image_path FROM customer"
 _LISTING = "SELECT concat('root/img/', CAST(c_custkey AS STRING)) AS path FROM customer WHERE c_custkey % 4 < 2 UNION ALL SELECT concat('root/data/multidoc/', CAST(c_custkey AS STRING)) FROM customer WHERE c_custkey % 2 = 0"
 
 
-@query(f"SELECT id, CASE WHEN id % 5 = 2 AND id % 4 < 2 THEN concat('root/img/', CAST(id AS STRING)) WHEN id % 5 = 3 AND id % 2 = 0 THEN concat('root/data/multidoc/', CAST(id AS STRING)) ELSE image_path END AS image_path FROM ({_PATHS})")
+@query(rf"""WITH p AS (SELECT id, image_path, replace(image_path, chr(92), '/') AS x FROM ({_PATHS})), t AS (SELECT id, unnest([image_path, CASE WHEN starts_with(x, 'E:/old/') THEN concat('root/', ltrim(substr(x, 8), '/')) END, CASE WHEN starts_with(x, '/kaggle/') THEN concat('root/', ltrim(substr(x, 9), '/')) END, CASE WHEN contains(x, 'data/multidoc/') THEN concat('root/data/multidoc/', substr(x, instr(x, 'data/multidoc/') + 14)) END]) AS c, unnest([1, 2, 3, 4]) AS r FROM p),
+b AS (SELECT id, arg_min(c, r) AS c FROM t WHERE c IN (SELECT path FROM ({_LISTING})) GROUP BY id) SELECT p.id AS id, coalesce(b.c, image_path) AS image_path FROM p LEFT JOIN b ON b.id = p.id""")
 def remapped_paths(spark, sf_dir):
     return imports.remapped(derive(spark, sf_dir, _PATHS), derive(spark, sf_dir, _LISTING), "root", ("E:/old/", "/kaggle/"))
 
@@ -182,8 +167,12 @@ _NESTED = """SELECT c_custkey AS id, concat('{"documents": [{"_id": "a', CAST(c_
   ']}, {"filename": "g', CAST(c_custkey AS STRING), '.png", "annotations": [{}]}, {"filename": "h.png"}]}') AS value FROM customer"""
 
 
-@query("""SELECT concat('docxpand_a', CAST(c_custkey AS STRING)) AS id, concat('img/f', CAST(c_custkey AS STRING), '.x.png') AS image_path, concat('t', CAST(c_custkey % 2 AS STRING)) AS template, c_name AS name FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 3 <> 0
-UNION ALL SELECT concat('docxpand_g', CAST(c_custkey AS STRING)), concat('img/g', CAST(c_custkey AS STRING), '.png'), 'unknown', NULL FROM customer WHERE c_custkey % 5 <> 0""")
+_STEM = r"regexp_replace(regexp_extract(f, '[^/]*$'), '\.[^.]*$', '')"
+
+
+@query(rf"""WITH v AS ({_NESTED}), d AS (SELECT unnest(CAST(json_extract(CAST(value AS JSON), '$.documents[*]') AS JSON[])) AS d FROM v), a AS (SELECT d, json_extract_string(d, '$.filename') AS f, json_extract(d, '$.annotations[0]') AS one FROM d),
+l AS (SELECT concat('img/f', CAST(c_custkey AS VARCHAR), '.x.png') AS path FROM customer UNION SELECT concat('img/g', CAST(c_custkey AS VARCHAR), '.png') FROM customer WHERE c_custkey % 5 <> 0)
+SELECT concat('docxpand_', coalesce(json_extract_string(d, '$._id'), json_extract_string(d, '$.id'), {_STEM})) AS id, concat('img/', f) AS image_path, coalesce(nullif(json_extract_string(one, '$.template'), ''), 'unknown') AS template, json_extract_string(one, '$.fields.name') AS name FROM a WHERE one IS NOT NULL AND coalesce(f, '') <> '' AND concat('img/', f) IN (SELECT path FROM l)""")
 def nested_documents(spark, sf_dir):
     c = F.col("c_custkey").cast("string")
     customer = table(spark, sf_dir, "customer")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,7 +72,7 @@ def blobs(spark: SparkSession, root: str, keys: DataFrame, key: str = "key") ->
     """key and content (null where there is none) of the files under root that keys name."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/+", "/")
-    base = F.lit(root.split(":", 1)[-1].rstrip("/").replace("//", "/") + "/")
+    base = F.lit(re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/") + "/")
     found = listed.select(F.replace(at, base, F.lit("")).alias("k"), "content")
     return keys.select(F.col(key)).distinct().join(found, F.col(key) == F.col("k"), "left").select(key, "content")
 
