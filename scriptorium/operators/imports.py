@@ -94,6 +94,14 @@ def with_truth(df: DataFrame, labelled: DataFrame, sidecars: DataFrame, image: s
     return unpacked(both, df.columns, line1=one["line1"], line2=one["line2"])
 
 
+def with_drafts(candidates: DataFrame, drafts: DataFrame, status: str, key: str = "id", order: str = "line_no") -> DataFrame:
+    """Candidates to annotate (key, fields, status) with what an earlier run drafted: where drafts (key, fields, source) have a key, its fields, the given status and draft_source. Of several drafts of a key the last by `order` counts."""
+    last = drafts.groupBy(F.col(key).alias("k")).agg(F.max_by(F.struct("fields", "source"), order).alias("d"))
+    rows = packed(candidates, k=F.col(key), f=F.col("fields"), s=F.col("status")).join(last, "k", "left")
+    there = F.col("d").isNotNull()
+    return unpacked(rows, candidates.columns, fields=F.when(there, F.col("d.fields")).otherwise(F.col("f")), status=F.when(there, status).otherwise(F.col("s")), draft_source=F.when(there, F.col("d.source")))
+
+
 def additions(base: DataFrame, more: DataFrame, key: str = "id", without: tuple = ()) -> DataFrame:
     """base and those rows of `more` whose key isn't in it, less the keys of `without`."""
     out = base.unionByName(more.join(base.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from scriptorium.functions import evaluation, targets
-from scriptorium.operators import engines, memo, zones
+from scriptorium.functions import display, evaluation, targets
+from scriptorium.operators import engines, imports, memo, zones
 from scriptorium.plans.fixtures import PERSONS, derive
 from scriptorium.plans.queries import THIS_YEAR, ZONES, _ISO, _TABLE, _valid, query, table
 from scriptorium.plans.queries import zones as person_zones
 from scriptorium.sources import metadata
 from scriptorium.sources.shared import new_folder, stream_of
-from scriptorium.streaming import status
+from scriptorium.streaming import status, worker
 
 
 def _length() -> engines.Engine:
@@ -158,3 +158,44 @@ _ACCENTED = "SELECT c_custkey AS id, k AS key, concat(' ', substr('ŠšŻżŐő
 SELECT id, key, CASE key WHEN 'document_number' THEN regexp_replace(v, '[^A-Z0-9]', '', 'g') WHEN 'mrz' THEN replace(v, ' ', '') WHEN 'sex' THEN substr(v, 1, 1) WHEN 'surname' THEN trim(regexp_replace(regexp_replace(replace(v, ',', ' '), '[.]+', '.', 'g'), ' +', ' ', 'g')) ELSE v END AS value FROM a""")
 def accented_fields(spark, sf_dir):
     return derive(spark, sf_dir, _ACCENTED).select("id", "key", evaluation.by_field(F.col("key"), F.col("value")).alias("value"))
+
+
+_ERROR = "CASE o_orderkey % 13 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Could NOT even extract' WHEN 3 THEN 'could not read' WHEN 4 THEN concat('Loop after ', CAST(o_orderkey AS STRING)) WHEN 5 THEN 'Модель НЕ смогла извлечь поля' WHEN 6 THEN 'Job not found, unsupported operand type' WHEN 7 THEN 'Engine supports only invoice extraction' WHEN 8 THEN 'x is not wired into the pipeline yet' WHEN 9 THEN 'schema_mapping_not_implemented' WHEN 10 THEN 'The identity-document parser found too few fields.' WHEN 11 THEN 'file NOT FOUND' ELSE concat('other ', o_orderpriority) END"
+_JOB_ERRORS = f"SELECT o_orderkey AS id, {_ERROR} AS error, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'paused' END AS status FROM orders"
+
+
+def _display_sql() -> str:
+    holds = lambda p: f"contains(lower(error), '{p}')"
+    messages = " ".join(f"WHEN {' AND '.join(map(holds, parts))} THEN '{said}'" for parts, said in display.ERRORS)
+    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in display.STATUS.items())
+    return f"SELECT id, CASE status {labels} ELSE status END AS status, CASE WHEN coalesce(error, '') = '' THEN NULL {messages} ELSE error END AS error FROM ({_JOB_ERRORS})"
+
+
+@query(_display_sql())
+def job_display(spark, sf_dir):
+    j = derive(spark, sf_dir, _JOB_ERRORS)
+    return j.select("id", display.status_label(F.col("status")).alias("status"), display.friendly_error(F.col("error")).alias("error"))
+
+
+_PAGES = "SELECT conv_id AS doc_id, turn AS page, role AS kind, text AS raw_text, CASE WHEN turn % 3 = 0 THEN '' ELSE concat('field', CAST(turn AS STRING)) END AS source_field FROM conversations"
+
+
+@query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS n, count(*) OVER (PARTITION BY doc_id) AS c FROM ({_PAGES}))
+SELECT doc_id, arg_min(kind, n) AS name, string_agg(concat(kind, '=', substr(raw_text, 1, 9), '@', CASE WHEN n = 1 THEN source_field ELSE concat('page', n, ':', coalesce(nullif(source_field, ''), kind)) END), '|' ORDER BY n) AS entities, coalesce(string_agg(raw_text, chr(10) || chr(10) ORDER BY n) FILTER (WHERE raw_text <> ''), '') AS raw_text, CASE WHEN max(c) > 1 THEN 'multipage' END AS raw_mode, CAST(max(c) AS INT) AS page_count FROM p GROUP BY doc_id""")
+def merged_results(spark, sf_dir):
+    """Results of the turns of conversations, as pages with an entity each, as one."""
+    p = derive(spark, sf_dir, _PAGES)
+    said = F.coalesce(F.substring("raw_text", 1, 9), F.lit(""))
+    pages = p.select("doc_id", "page", F.to_json(F.create_map(F.lit("name"), "kind")).alias("fields"), F.array(F.struct(F.col("kind").alias("key"), said.alias("value"), "source_field")).alias("entities"), "raw_text")
+    m = worker.merge_results(pages)
+    return m.select("doc_id", F.get_json_object("fields", "$.name").alias("name"), F.array_join(F.transform("entities", lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit("@"), e["source_field"])), "|").alias("entities"), "raw_text", "raw_mode", "page_count")
+
+
+_CANDIDATES = "SELECT CAST(doc_id AS STRING) AS id, lang AS fields, 'needs_annotation' AS status FROM documents"
+_DRAFTS = "SELECT CAST(doc_id % 300 * 2 AS STRING) AS id, concat('d', CAST(doc_id AS STRING)) AS fields, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS source, doc_id AS line_no FROM labels"
+
+
+@query(f"""WITH c AS ({_CANDIDATES}), d AS (SELECT id, arg_max(fields, line_no) AS fields, arg_max(source, line_no) AS source FROM ({_DRAFTS}) GROUP BY id)
+SELECT c.id AS id, CASE WHEN d.id IS NULL THEN c.fields ELSE d.fields END AS fields, CASE WHEN d.id IS NULL THEN c.status ELSE 'draft_from_previous_experiment' END AS status, d.source AS draft_source FROM c LEFT JOIN d ON d.id = c.id""")
+def drafted_candidates(spark, sf_dir):
+    return imports.with_drafts(derive(spark, sf_dir, _CANDIDATES), derive(spark, sf_dir, _DRAFTS), "draft_from_previous_experiment")

@@ -22,3 +22,22 @@ def merge_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
     texts = F.filter(F.transform(ordered, lambda p: p["text"]), lambda t: F.coalesce(F.trim(t), F.lit("")) != "")
     return pages.groupBy(key).agg(F.array_join(texts, "\n\n").alias("text"), F.count("*").alias("n_pages"))
+
+
+def merge_results(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, fields, entities, raw_text, raw_mode, page_count: the results of a document's pages (columns page, fields, entities, raw_text) as one.
+
+    The first page gives the record; the entities of later pages follow its own, their origin (source_field, else key) marked with
+    the page's place (page2:...); texts are joined by a blank line, empty ones are dropped. A single page stays as it is, with a null
+    mode. Only the pages of one document meet in a group.
+    """
+    from pyspark.sql import functions as F
+
+    ordered = F.array_sort(F.collect_list(F.struct("page", "fields", "entities", "raw_text")))
+    whole = pages.groupBy(key).agg(ordered.alias("p"))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    origin = lambda e: F.coalesce(blank(e["source_field"]), blank(e["key"]), F.lit(""))
+    marked = lambda p, i: F.transform(p["entities"], lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.when(i == 0, e["source_field"]).otherwise(F.concat(F.lit("page"), (i + 1).cast("string"), F.lit(":"), origin(e))).alias("source_field")))
+    entities = F.flatten(F.transform("p", lambda p, i: F.coalesce(marked(p, i), F.array().cast("array<struct<key: string, value: string, source_field: string>>"))))
+    texts = F.filter(F.transform("p", lambda p: p["raw_text"]), lambda t: F.coalesce(t, F.lit("")) != "")
+    return whole.select(key, F.get("p", F.lit(0))["fields"].alias("fields"), entities.alias("entities"), F.array_join(texts, "\n\n").alias("raw_text"), F.when(F.size("p") > 1, "multipage").alias("raw_mode"), F.size("p").alias("page_count"))

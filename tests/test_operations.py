@@ -4,10 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import display
 from scriptorium.operators import datasets, engines, imports, memo, reports, zones
 from scriptorium.sources import metadata
 from scriptorium.sources.shared import exists, stream_of
-from scriptorium.streaming import status
+from scriptorium.streaming import status, worker
 
 
 def test_engines(spark, tmp_path):
@@ -114,6 +115,21 @@ def test_labels_and_truth(spark):
     assert {r["id"]: (r["line1"], r["line2"]) for r in imports.with_truth(df, found.unionByName(found), sides).collect()} == {1: ("A", "B"), 2: ("A", "B"), 3: ("s", "t")}
 
 
+def test_shown_fields(spark):
+    whole = {"a": {"b": True, "c": None}, "l": [1, 2.0, None], "o": [{"x": "y"}, [3.5]], "e": [], "n": 1e3}
+    df = spark.createDataFrame([(json.dumps(whole),), (None,), ("{",), ("7",)], "t string").coalesce(1)
+    found = [r["x"] for r in df.select(display.shown_fields(F.col("t")).alias("x")).collect()]
+    assert [tuple(e) for e in found[0]] == [("a.b", "b", "true"), ("l", "l", "1, 2, null"), ("o[0].x", "x", "y"), ("o[1]", "o[1]", "3.5"), ("n", "n", "1000")]
+    assert found[1:3] == [None, None] and [tuple(e) for e in found[3]] == [("", "", "7")]
+
+
+def test_merged_pages(spark):
+    rows = [(1, 2, "f2", [("k", "v", None)], ""), (1, 1, "f1", [("a", "b", "s")], "one"), (1, 3, None, None, "three"), (2, 5, "g", [], None)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, fields string, entities array<struct<key: string, value: string, source_field: string>>, raw_text string")
+    found = {r["doc_id"]: (r["fields"], [tuple(e) for e in r["entities"]], r["raw_text"], r["raw_mode"], r["page_count"]) for r in worker.merge_results(df).collect()}
+    assert found == {1: ("f1", [("a", "b", "s"), ("k", "v", "page2:k")], "one\n\nthree", "multipage", 3), 2: ("g", [], "", None, 1)}
+
+
 def test_zone_pipeline(spark):
     l1, l2 = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
     rows = [(1, f"{l1}\n{l2}"), (2, f"{l1}\n{l2.replace('7408122', '74O8122')}"), (3, f"{l1}\n{l2.replace('7408122', '74O8I22')}"), (4, l2), (5, l1), (6, "x"), (7, None), (8, f"{l1}\n{'X' * 44}")]
