@@ -29,3 +29,19 @@ def test_stages(spark, sf):
     leaky = {r["doc_id"] for r in before.collect() if any(t in r["text"] for t in items)}
     assert leaky and not leaky & {r["doc_id"] for r in after.collect()}
     assert all(r["ids_sha256"] and r["n_tokens"] == len(r["ids"]) for r in docs.collect())
+
+
+def test_odd_rows(spark, sf):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing columns and an empty table go through all stages."""
+    some = corpus_pipeline.test_items(spark, corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), sf)
+    good = some.where("lang = 'en' and length(text) between 900 and 3000").orderBy("doc_id").limit(3).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in good] * 2
+    rows += [(None, good[0]["text"], None, None, None), (None, None, None, None, None), (1, "", "en", "", 0), (2, None, "zz", None, 5), (3, "word " * 400_000, "en", "s", 1), (4, "x" * 2_000_000, None, "s", 1)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = plain.selectExpr("*", "1 AS k", "2 AS c0", "3 AS s0", "4 AS __items", "'t' AS tie", "5 AS n_tokens", "6 AS ids")
+    for docs in (plain, clashing, clashing.limit(0)):
+        names, out = docs.columns, docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = written(stage(spark, out, sf), name)
+            assert name == "token_ids" or out.columns == names
+        assert sorted(r["doc_id"] for r in out.collect()) == (sorted(r["doc_id"] for r in good) if docs.take(1) else [])
