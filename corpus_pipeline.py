@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, test items, then token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
-docs. All but the last return the columns of documents; a stage drops rows or shortens texts, and changes nothing else.
+docs. All but the last return the columns of documents, extra ones of any name included; a stage drops rows or shortens texts, and
+changes nothing else. Null and empty texts fail the quality rules; rows with a null id are kept or dropped by their text, and are
+never the one that stays of a group unless all its ids are null; of equal rows one stays; an empty table goes through.
 """
 
 from __future__ import annotations
