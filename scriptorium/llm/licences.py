@@ -301,8 +301,10 @@ class Classifier:
 
 def sample_lines(docs: DataFrame, text: str = "text") -> list[bytes]:
     """Lines of a bounded sample of the corpus: the SAMPLE_DOCS texts with the least hashes, so that every run has the same."""
-    h = F.xxhash64(text)
-    sample = [r[0] for r in docs.select(text).where(F.col(text).isNotNull()).orderBy(h, text).limit(SAMPLE_DOCS).collect()]
+    hashed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    # the hashes alone are ranked, so that tasks send no texts that aren't in the sample; copies are one text
+    last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    sample = [r["t"] for r in hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()] if last is not None else []
     return [line.encode() for t in sample for line in t.split("\n")[:SAMPLE_LINES] if line.strip()]
 
 
