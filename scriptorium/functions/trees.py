@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, MapType, StringType
 
 TAG = re.compile(r"<(/?)s_([^>]+)>")
 
@@ -53,6 +53,12 @@ def flat_pairs(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if _loaded(t) is None else [f"{p}={v}" for p, v in _leaves("", json.loads(json.dumps(_loaded(t), sort_keys=True)), False)])
 
 
+@pandas_udf(LongType())
+def populated_leaves(texts: pd.Series) -> pd.Series:
+    """Leaves of JSON that are neither null nor blank, however deep; 0 for null and unreadable text."""
+    return texts.map(lambda t: sum(v is not None and str(v).strip() != "" for _, v in _leaves("", _loaded(t), False)))
+
+
 @pandas_udf(StringType())
 def canonical(texts: pd.Series) -> pd.Series:
     """JSON with sorted keys and no blanks."""
@@ -109,6 +115,20 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
+def json_scores(truth: Column, tagged: Column) -> Column:
+    """(exact, field_f1, similarity) of a tagged answer against JSON: equal canonical texts, F1 of the sets of path=value (1 if both are empty), and the ratio of the canonical texts.
+
+    An answer without tags or a truth that isn't JSON scores 0 but for the similarity, which then compares the texts as they are.
+    """
+    want, got = canonical(truth), parse_tags(tagged)
+    a, b = F.array_distinct(flat_pairs(truth)), F.array_distinct(flat_pairs(got))
+    both = F.size(a) + F.size(b)
+    score = F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+    x, y = F.coalesce(want, truth, F.lit("")), F.coalesce(got, F.btrim(tagged), F.lit(""))
+    near = F.when((x == "") & (y == ""), 1.0).otherwise(ratio(x, y))
+    return F.struct(F.coalesce(want == got, F.lit(False)).alias("exact"), F.coalesce(F.when(want.isNotNull() & got.isNotNull(), score), F.lit(0.0)).alias("field_f1"), near.alias("similarity"))
+
+
 def digit_similarity(a: Column, b: Column) -> Column:
     """Ratio of the digits of two strings."""
     only = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")

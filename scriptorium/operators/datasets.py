@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators.rows import packed, unpacked
@@ -81,6 +81,29 @@ def coverage(df: DataFrame, by: str, fields: tuple[str, ...]) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n_rows"), *(F.count_if(F.coalesce(F.col(f).cast("string"), F.lit("")) != "").alias(f"n_{f}") for f in fields))
 
 
+def source_flags(source: Column) -> dict[str, Column]:
+    """What the name of a source tells."""
+    return {"is_russian": F.lower(source).contains("russian"), "is_printed_variant": F.lower(source).contains("printed-")}
+
+
+def profile(df: DataFrame, by: str, counters: dict[str, Column], fields: tuple[str, ...]) -> DataFrame:
+    """by, n_rows, counts, coverage: for each group a map of counter to a map of value to rows (null as 'None', sorted), and a map of field to the rows that fill it (fields that no row fills are left out).
+
+    Values are counted before anything is collected, so a group's maps hold its distinct values only: counters are for columns of
+    few values.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    filled = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("")) != ""
+    item = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), value.alias("value"))
+    items = [item("rows", "", F.lit(""))] + [item("counts", n, text(c)) for n, c in counters.items()] + [F.when(filled(f), item("coverage", f, F.lit(""))) for f in fields]
+    counted = df.select(text(F.col(by)).alias("g"), F.inline(F.array_compact(F.array(*items)))).groupBy("g", "kind", "name", "value").agg(F.count("*").alias("n"))
+    pairs = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+    named = counted.groupBy("g", "kind", "name").agg(pairs("value", "n").alias("values"), F.sum("n").alias("n"))
+    by_name = lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
+    of = lambda kind, c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", c))), by_name))
+    return named.groupBy(F.col("g").alias(by)).agg(F.max(F.when(F.col("kind") == "rows", F.col("n"))).alias("n_rows"), of("counts", "values").alias("counts"), of("coverage", "n").alias("coverage"))
+
+
 def most_frequent(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, value, n: the most frequent value of each key; on a tie the smallest."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
@@ -92,6 +115,26 @@ def hash_split(df: DataFrame, ratio: float, key: str = "id", seed: int = 0) -> D
     return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(ratio * 1_000_000), "val").otherwise("train"))
 
 
+def shuffle_split(df: DataFrame, ratio: float, key: str = "id", seed: int = 0) -> DataFrame:
+    """df with split: of the n distinct keys exactly max(1, int(n * ratio)) are val, the first ones by a seeded hash. Rows of one key stay together; rows with a null key are train.
+
+    Only the last val key is searched: hashes are counted in at most 65,536 parts, and only the part that it lies in is ranked. What
+    goes to all tasks is this one key.
+    """
+    named = F.col(f"`{key}`").cast("string")
+    hashed = lambda k: F.md5(F.concat(F.lit(f"{seed}:"), k))
+    keys = df.select(named.alias("k")).where("k is not null").distinct().select("k", hashed(F.col("k")).alias("h")).withColumn("part", F.left("h", F.lit(4)))
+    sizes = keys.groupBy("part").agg(F.count("*").alias("n"))
+    sums = sizes.select("part", "n", F.sum("n").over(Window.orderBy("part")).alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("whole"))
+    wanted = F.greatest(F.lit(1), F.floor(F.col("whole") * F.lit(float(ratio))))
+    border = sums.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted)).select("part", (wanted - F.col("upto") + F.col("n")).alias("place"))
+    ranked = keys.join(F.broadcast(border), "part").withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("h", "k")))
+    last = ranked.where("rank = place").agg(F.max(F.struct("h", "k")).alias("last"))  # one row, null without keys
+    marked = packed(df, at=F.when(named.isNotNull(), F.struct(hashed(named).alias("h"), named.alias("k"))))
+    val = F.coalesce(F.col("at") <= F.col("last"), F.lit(False))
+    return unpacked(marked.crossJoin(F.broadcast(last)), df.columns, split=F.when(val, "val").otherwise("train"))
+
+
 def fallback_split(df: DataFrame, order: str = "line_no") -> DataFrame:
     """df with its column split: where no row is val and more than one is train, the last train row becomes val. Broadcasts one row."""
     state = df.agg(F.count_if(F.col("split") == "val").alias("_vals"), F.count_if(F.col("split") == "train").alias("_trains"), F.max(F.when(F.col("split") == "train", F.col(order))).alias("_last"))

@@ -48,6 +48,21 @@ def per_field(cells: DataFrame, soft: Column | None = None) -> DataFrame:
     return cells.groupBy("engine", "key").agg(F.count_if("match").alias("correct"), F.count("*").alias("total"), F.avg(F.col("match").cast("double")).alias("accuracy"), F.avg(score).alias("soft"))
 
 
+def by_field(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """engine, key, correct, total, accuracy, similarity of each of the keys, also of those that no document has a truth for (zeros). cells: engine, key, match, soft."""
+    counts = cells.groupBy("engine", "key").agg(F.count_if("match").alias("c"), F.count("*").alias("t"), F.avg(F.col("match").cast("double")).alias("a"), F.avg("soft").alias("s"))
+    grid = cells.select("engine").distinct().select("engine", F.explode(F.array(*map(F.lit, keys))).alias("key"))  # a row for each engine and key
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return grid.join(counts, ["engine", "key"], "left").select("engine", "key", zero("c", "correct"), zero("t", "total"), zero("a", "accuracy"), zero("s", "similarity"))
+
+
+def by_document(cells: DataFrame, documents: DataFrame) -> DataFrame:
+    """engine, n_documents, exact, soft: means over all documents (columns engine, id). One without any truth counts as exact, and with 0 as its soft score. cells: engine, id, match, soft."""
+    empty = documents.select("engine", "id", F.lit(None).cast("boolean").alias("match"), F.lit(None).cast("double").alias("soft"))
+    docs = cells.select("engine", "id", "match", "soft").unionByName(empty).groupBy("engine", "id").agg(F.coalesce(F.bool_and("match"), F.lit(True)).alias("e"), F.coalesce(F.avg("soft"), F.lit(0.0)).alias("s"))
+    return docs.groupBy("engine").agg(F.count("*").alias("n_documents"), F.avg(F.col("e").cast("double")).alias("exact"), F.avg("s").alias("soft"))
+
+
 def per_document_exact(cells: DataFrame) -> DataFrame:
     """Share of documents with every field right, and the mean of their shares of right fields."""
     docs = cells.groupBy("engine", "id").agg(F.bool_and("match").alias("exact"), F.avg(F.col("match").cast("double")).alias("share"))

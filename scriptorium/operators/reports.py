@@ -38,7 +38,7 @@ def both_ends(delta: DataFrame, k: int = 10, by: str = "delta", key: str = "id")
 
 def sample_k(df: DataFrame, k: int, key: str = "id", seed: int = 0) -> DataFrame:
     """k rows in the order of a seeded hash of their key: the same for every run and partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(k)
 
 
 def families(expected: DataFrame, predicted: DataFrame, normal: Callable[[Column, Column], Column], derivable: tuple[str, ...]) -> DataFrame:

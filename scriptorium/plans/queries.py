@@ -397,4 +397,4 @@ def mrz_repair_pairs(spark, sf_dir):
     return mrz.repair_pairs(zones(spark, sf_dir), "l2", "id")
 
 
-from scriptorium.plans import answers, identity, operations, records  # noqa: E402,F401  they register their queries
+from scriptorium.plans import answers, identity, operations, records, scores, storage  # noqa: E402,F401  they register their queries

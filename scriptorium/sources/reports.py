@@ -26,3 +26,15 @@ def bundle(datasets: list[DataFrame], image: str = "image_path") -> DataFrame:
     for p in paths[1:]:
         out = out.unionByName(p)
     return out.distinct()
+
+
+def manifest(datasets: dict[str, DataFrame], image: str = "image_path") -> DataFrame:
+    """A row: n_rows (map of dataset to rows, without empty ones), image_count of the distinct images, image_roots (their first folders, sorted)."""
+    roots = bundle(list(datasets.values()), image).groupBy(F.split_part(F.replace(image, F.lit("\\"), F.lit("/")), F.lit("/"), F.lit(1)).alias("root")).agg(F.count("*").alias("n"))
+    images = roots.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("image_count"), F.sort_array(F.collect_list("root")).alias("image_roots"))
+    sizes = None
+    for name, df in datasets.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        sizes = one if sizes is None else sizes.unionByName(one)
+    counts = sizes.where("n > 0").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("n_rows"))
+    return counts.crossJoin(F.broadcast(images))  # one row each
