@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.functions import dates, mrz, payload, targets, text, trees
+from scriptorium.functions import dates, invoice, mrz, passport, payload, targets, text, trees
 from scriptorium.operators import jobs, metrics
 from scriptorium.plans.fixtures import derive
 from scriptorium.plans.queries import ZONES, _valid, query
@@ -127,3 +127,38 @@ def result_envelopes(spark, sf_dir):
     made = targets.envelope(F.lit("passport"), none, F.create_map(F.lit("a"), F.lit("1")), F.array(F.lit("x")), none, F.struct(*(c.alias(k) for k, c in verdict.items())), F.lit("e"), none, F.col("began"), F.timestamp_millis(F.col("id") * 1000 + F.col("ms")))
     e = a.select("id", jobs.document_type(F.col("asked"), F.col("result")).alias("document_type"), made.alias("e"))
     return e.select("id", "document_type", "e.validation.is_valid", F.get("e.validation.issues", F.lit(0))["code"].alias("code"), F.col("e.raw_result.requested_document_type").alias("requested"), F.col("e.processing_meta.elapsed_ms").cast("long").alias("elapsed_ms"))
+
+
+#: Answers with a zone: two lines, one joined line, a bare first or second line, short lines that join, nothing.
+_ZONE_ANSWER = "CASE id % 8 WHEN 0 THEN concat('Zone:', chr(10), l1, chr(13), chr(10), lower(l2)) WHEN 1 THEN concat(l1, ' ', l2) WHEN 2 THEN concat('x ', chr(10), l2) WHEN 3 THEN l1 WHEN 4 THEN ' NULL ' WHEN 5 THEN concat(substr(l1, 1, 15), chr(10), substr(l1, 16, 15), chr(10), substr(l1, 31), chr(10), substr(l2, 1, 19)) WHEN 6 THEN 'nothing' ELSE concat(l2, chr(13), l1, chr(10), l2) END"
+
+
+@query(f"""WITH {ZONES} SELECT id, CASE id % 8 WHEN 2 THEN l2 WHEN 4 THEN NULL WHEN 6 THEN NULL WHEN 7 THEN l2 ELSE l1 END AS line1, CASE id % 8 WHEN 0 THEN l2 WHEN 1 THEN l2 WHEN 5 THEN substr(l2, 1, 19) WHEN 7 THEN l1 END AS line2 FROM zones""")
+def answer_zone_lines(spark, sf_dir):
+    z = person_zones(spark, sf_dir).select("id", mrz.answer_lines(F.expr(_ZONE_ANSWER)).alias("z"))
+    return z.select("id", F.col("z.l1").alias("line1"), F.col("z.l2").alias("line2"))
+
+
+_NUMBER = "concat('\"N', CAST(o_orderkey AS STRING), '\"')"
+_INVOICES = f"""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN concat('{{"header":{{"invoice_no":', {_NUMBER}, ',"extra":1}},"items":[{{"item_qty":"2"}}],"summary":{{"total_vat":"', CAST(o_custkey AS STRING), '"}},"more":[]}}')
+WHEN 1 THEN concat('{{"total_vat":"', CAST(o_custkey AS STRING), '","invoice_no":', {_NUMBER}, ',"iban":null,"item_qty":"3","other":"x"}}') WHEN 2 THEN concat('{{"header":{{"invoice_no":', {_NUMBER}, '}},"total_net_worth":"', CAST(o_custkey AS STRING), '"}}') ELSE '{{"header":"none","other":2}}' END AS t FROM orders"""
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 IN (0, 2) THEN concat('N', o_orderkey) END AS invoice_no, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS STRING) END AS total_vat,
+CASE o_orderkey % 4 WHEN 0 THEN concat('{{"header":{{"invoice_no":', {_NUMBER}, ',"extra":1}},"items":[{{"item_qty":"2"}}],"summary":{{"total_vat":"', o_custkey, '"}}}}') WHEN 1 THEN concat('{{"header":{{"invoice_no":', {_NUMBER}, ',"iban":null}},"items":[{{"item_qty":"3"}}],"summary":{{"total_vat":"', o_custkey, '"}}}}')
+WHEN 2 THEN concat('{{"header":{{"invoice_no":', {_NUMBER}, '}},"summary":{{"total_net_worth":"', o_custkey, '"}}}}') ELSE '{{}}' END AS simplified FROM orders""")
+def invoice_truths(spark, sf_dir):
+    """Ground truths by parts or flat: two of their fields, and the simplified form."""
+    t = derive(spark, sf_dir, _INVOICES).select("id", invoice.truth(F.col("t")).alias("f"), invoice.simplified(F.col("t"), True).alias("simplified"))
+    return t.select("id", "f.invoice_no", "f.total_vat", "simplified")
+
+
+_NOISY = "SELECT doc_id, concat(chr(9), '<|end|> ', replace(text, ' ', concat(' ', chr(9))), chr(92), 'n', chr(13), 'tail', chr(92), 'r ', chr(9), '<|end|>') AS t FROM documents"
+
+
+@query(rf"""WITH n AS ({_NOISY}), r AS (SELECT doc_id, replace(replace(replace(replace(t, '<|end|>', ''), chr(92) || 'r', chr(10)), chr(92) || 'n', chr(10)), chr(13), chr(10)) AS t FROM n), s AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ 	]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM r)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5, substr(t, 1, 500) AS preview FROM s""")
+def quiet_texts(spark, sf_dir):
+    """Whole texts without a recogniser's noise, and their previews."""
+    t = derive(spark, sf_dir, _NOISY).select("doc_id", passport.without_noise(F.col("t"), ("<|end|>",)).alias("t"))
+    return t.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"), passport.preview(F.col("t")).alias("preview"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import datasets, imports, reports
+from scriptorium.operators import datasets, imports, reports, zones
+from scriptorium.plans import operations
 from scriptorium.plans.fixtures import DATASET, derive
-from scriptorium.plans.queries import query, table
+from scriptorium.plans.queries import SQL, THIS_YEAR, query, table
+from scriptorium.plans.queries import zones as person_zones
 from scriptorium.sources import metadata, tables
 from scriptorium.sources import reports as report_files
 from scriptorium.sources.shared import new_folder
@@ -156,3 +158,40 @@ _PRIORITIES = {"src1": 2, "again": 1, "src2": 2, "src3": 4}
 def first_to_curate(spark, sf_dir):
     """The first 25 rows of the order in which rows are to be looked at (a top-k report)."""
     return datasets.prioritized(derive(spark, sf_dir, DATASET), "source_dataset", _PRIORITIES).limit(25).select("id", "source_dataset")
+
+
+_TYPED = "SELECT event_id, CAST(floor(event_id / 500) AS BIGINT) AS part, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE concat(event_type, ' ', CAST(event_id AS STRING)) END AS value FROM events"
+
+
+@query(f"SELECT part, row_number() OVER (PARTITION BY part ORDER BY event_id) AS line_no, value FROM ({_TYPED})")
+def line_numbers(spark, sf_dir):
+    """Lines of files of 500 events by their places; blank lines count."""
+    path = new_folder(spark, "numbered")
+    derive(spark, sf_dir, _TYPED).repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    found = imports.numbered_lines(spark, path)
+    return found.select(F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("long").alias("part"), "line_no", "value")
+
+
+@query("SELECT count(*) FILTER (WHERE page_id % 10 = 0) AS n_missing, CAST(coalesce(sum(octet_length(encode(coalesce(html, ''))) + 1), 0) AS BIGINT) AS n_bytes FROM pages")
+def blob_totals(spark, sf_dir):
+    """Files by their keys: what they hold, and the keys without a file. A file holds up to 200 pages."""
+    root, pages = new_folder(spark, "blobs"), table(spark, sf_dir, "pages")
+    pages.select(F.coalesce("html", F.lit("")).alias("value"), (F.col("page_id") % 4).alias("part")).write.option("maxRecordsPerFile", 200).partitionBy("part").text(root)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_extract("path", "part=[^/]*/[^/]*$", 0).alias("key"))
+    keys = there.unionByName(pages.where("page_id % 10 = 0").select(F.concat(F.lit("none/"), F.col("page_id").cast("string")).alias("key")))
+    return metadata.blobs(spark, root, keys).agg(F.count_if(F.col("content").isNull()).alias("n_missing"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("n_bytes"))
+
+
+@query(f"SELECT stage, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM ({SQL['zone_pipeline']}) GROUP BY stage")
+def zone_shares(spark, sf_dir):
+    """How far the zones of texts come in the pipeline."""
+    texts = person_zones(spark, sf_dir).select("id", F.expr(operations.ZONE_TEXT).alias("t"))
+    return zones.shares(zones.pipeline(texts, "t", "id", THIS_YEAR, most_edits=1)).select("stage", "n", F.round("share", 9).alias("share"))
+
+
+@query("""WITH r AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang ORDER BY n DESC, source, lang LIMIT 25)
+SELECT concat('## Sources', chr(10), chr(10), '| source | lang | n |', chr(10), '|-|-|-|', chr(10), string_agg(concat('| ', replace(coalesce(source, ''), '|', chr(92) || '|'), ' | ', coalesce(lang, ''), ' | ', n, ' |', chr(10)), '' ORDER BY n DESC, source, lang)) AS report FROM r""")
+def markdown_report(spark, sf_dir):
+    """The largest sources as a report for people, cut at 25 rows (a top-k report)."""
+    counts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source"), F.asc_nulls_last("lang"))
+    return spark.createDataFrame([(report_files.markdown(counts, "Sources"),)], "report string")

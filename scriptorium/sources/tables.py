@@ -1,4 +1,4 @@
-"""Readers and writers: JSON lines, CSV with a sniffed separator, report files."""
+"""Readers and writers of JSON lines, and rows by a listing of files; CSV and JSON metadata are in metadata."""
 
 from __future__ import annotations
 
@@ -28,20 +28,6 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header; the separator is ; if the header holds one, else a comma. Rows without any value are dropped."""
-    head = spark.read.text(path).limit(1).collect()
-    sep = ";" if head and ";" in head[0][0] else ","
-    return spark.read.csv(path, header=True, sep=sep, encoding=encoding).dropna(how="all")
-
-
-def grouped_json(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """{"male": [...], "female": [...]} as rows with a gender column."""
-    row = spark.read.text(path, wholetext=True).select(F.from_json("value", f"male array<struct<{columns}>>, female array<struct<{columns}>>").alias("r"))
-    sides = [row.select(F.lit(g).alias("gender"), F.explode(f"r.{g}").alias("x")).select("gender", "x.*") for g in ("male", "female")]
-    return sides[0].unionByName(sides[1])
-
-
 def existing(df: DataFrame, listing: DataFrame, path: str = "image_path") -> DataFrame:
     """Rows whose file is in a listing (a column `path`, such as that of binaryFile)."""
     return df.join(listing.select(F.col("path").alias(path)).distinct(), path, "left_semi")
