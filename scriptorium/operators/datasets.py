@@ -136,10 +136,12 @@ def shuffle_split(df: DataFrame, ratio: float, key: str = "id", seed: int = 0) -
 
 
 def fallback_split(df: DataFrame, order: str = "line_no") -> DataFrame:
-    """df with its column split: where no row is val and more than one is train, the last train row becomes val. Broadcasts one row."""
-    state = df.agg(F.count_if(F.col("split") == "val").alias("_vals"), F.count_if(F.col("split") == "train").alias("_trains"), F.max(F.when(F.col("split") == "train", F.col(order))).alias("_last"))
-    moved = (F.col("_vals") == 0) & (F.col("_trains") > 1) & (F.col("split") == "train") & (F.col(order) == F.col("_last"))
-    return df.crossJoin(F.broadcast(state)).withColumn("split", F.when(moved, "val").otherwise(F.col("split"))).drop("_vals", "_trains", "_last")
+    """df with its column split: where no row is val and more than one is train, the last train row becomes val (all that share its place). Broadcasts one row."""
+    train = F.col("split") == "train"
+    state = df.agg(F.count_if(F.col("split") == "val").alias("vals"), F.count_if(train).alias("trains"), F.max(F.when(train, F.col(order))).alias("last"))
+    marked = packed(df, was=F.col("split"), place=F.col(order)).crossJoin(F.broadcast(state))
+    moved = (F.col("vals") == 0) & (F.col("trains") > 1) & (F.col("was") == "train") & (F.col("place") == F.col("last"))
+    return unpacked(marked, df.columns, split=F.when(moved, "val").otherwise(F.col("was")))
 
 
 def prioritized(df: DataFrame, source: str, priorities: dict[str, int], populated: str = "populated", key: str = "id") -> DataFrame:

@@ -51,7 +51,7 @@ def remapped(df: DataFrame, listing: DataFrame, root: str, prefixes: tuple[str,
     raw = df.select(F.col(column).alias("_raw")).where("_raw is not null").distinct()
     tried = raw.select("_raw", F.posexplode(F.array(F.col("_raw"), *tails, marked)).alias("_rank", "_candidate")).where("_candidate is not null")
     best = tried.join(there, "_candidate", "left_semi").groupBy("_raw").agg(F.min_by("_candidate", "_rank").alias("_best"))
-    return df.join(best, df[column] == best["_raw"], "left").select(*(F.coalesce("_best", column).alias(c) if c == column else df[c] for c in df.columns))
+    return df.join(best, df[column] == best["_raw"], "left").select(*(F.coalesce(best["_best"], df[column]).alias(c) if c == column else df[c] for c in df.columns))
 
 
 def nested_documents(text: DataFrame, listing: DataFrame, images_dir: str, limit: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.functions import dates, invoice, mrz, passport, payload, targets, text, trees
+from scriptorium.functions import dates, display, invoice, mrz, passport, payload, targets, text, trees
 from scriptorium.operators import jobs, metrics
 from scriptorium.plans.fixtures import derive
 from scriptorium.plans.queries import ZONES, _valid, query
@@ -162,3 +162,13 @@ def quiet_texts(spark, sf_dir):
     """Whole texts without a recogniser's noise, and their previews."""
     t = derive(spark, sf_dir, _NOISY).select("doc_id", passport.without_noise(F.col("t"), ("<|end|>",)).alias("t"))
     return t.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"), passport.preview(F.col("t")).alias("preview"))
+
+
+_SHOWN = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{cut' WHEN 1 THEN NULL ELSE concat('{"a": {"b": "', event_type, '", "c": ', CAST(user_id AS STRING), ', "d": null}, "l": [1, 2.0, true, null, "', event_type, '"], "o": [{"x": ', CASE WHEN event_id % 5 = 0 THEN '[]' ELSE '2.5' END, '}, [false]], "e": []}') END AS t FROM events"""
+
+
+@query("""SELECT event_id, unnest(p) AS path, unnest(k) AS label_key, unnest(v) AS value FROM (SELECT event_id, ['a.b', 'a.c', 'l', 'o[1]'] || CASE WHEN event_id % 5 = 0 THEN [] ELSE ['o[0].x'] END AS p, ['b', 'c', 'l', 'o[1]'] || CASE WHEN event_id % 5 = 0 THEN [] ELSE ['x'] END AS k,
+[event_type, CAST(user_id AS VARCHAR), concat('1, 2, true, null, ', event_type), 'false'] || CASE WHEN event_id % 5 = 0 THEN [] ELSE ['2.5'] END AS v FROM events WHERE event_id % 6 > 1)""")
+def shown_records(spark, sf_dir):
+    """Records as the rows of a page."""
+    return derive(spark, sf_dir, _SHOWN).select("event_id", F.inline(display.shown_fields("t")))

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from scriptorium.functions import trees
-from scriptorium.operators import datasets, metrics
+from scriptorium.operators import datasets, imports, metrics
 from scriptorium.plans import queries, scores
 from scriptorium.sources import reports
 
@@ -75,3 +75,13 @@ def test_scores_without_rows(spark):
     docs = spark.createDataFrame([("e", 1), ("e", 2), ("f", 1)], "engine string, id int")
     assert sorted(map(tuple, metrics.by_document(cells, docs).collect())) == [("e", 2, 1.0, 0.5), ("f", 1, 1.0, 0.0)]
     assert metrics.by_field(cells.limit(0), ("a",)).count() == 0 and metrics.by_document(cells.limit(0), docs.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "train", 7), (2, "train", 8)], "line_no int, split string, last int").withColumns({"vals": F.lit(1), "place": F.lit(9), "row": F.lit("r")})
+    found = datasets.fallback_split(df)
+    assert sorted(found.columns) == sorted(df.columns) and {r["line_no"]: (r["split"], r["last"], r["vals"]) for r in found.collect()} == {1: ("train", 7, 1), 2: ("val", 8, 1)}
+    rows = spark.createDataFrame([(1, "old/x.png"), (2, "none.png"), (3, None)], "id int, image_path string").withColumns({c: F.lit(0) for c in ("_best", "_raw", "_rank", "path")})
+    listing = spark.createDataFrame([("root/x.png",)], "path string")
+    moved = imports.remapped(rows, listing, "root", ("old/",))
+    assert moved.columns == rows.columns and {r["id"]: r["image_path"] for r in moved.collect()} == {1: "root/x.png", 2: "none.png", 3: None}
