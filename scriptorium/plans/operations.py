@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType
 from scriptorium.functions import display, evaluation, targets
 from scriptorium.operators import engines, imports, memo, zones
 from scriptorium.plans.fixtures import PERSONS, derive
-from scriptorium.plans.queries import THIS_YEAR, ZONES, _ISO, _TABLE, _valid, query, table
+from scriptorium.plans.queries import SQL, THIS_YEAR, ZONES, _ISO, _TABLE, _valid, query, table
 from scriptorium.plans.queries import zones as person_zones
 from scriptorium.sources import metadata
 from scriptorium.sources.shared import new_folder, stream_of
@@ -97,6 +97,13 @@ def zone_pipeline(spark, sf_dir):
     return found.select("id", "split", "corrected", "valid", "stage", "fields.document_number", "fields.date_of_birth")
 
 
+@query(f"SELECT stage, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM ({SQL['zone_pipeline']}) GROUP BY stage")
+def zone_shares(spark, sf_dir):
+    """How far the zones of texts come in the pipeline."""
+    texts = person_zones(spark, sf_dir).select("id", F.expr(ZONE_TEXT).alias("t"))
+    return zones.shares(zones.pipeline(texts, "t", "id", THIS_YEAR, most_edits=1)).select("stage", "n", F.round("share", 9).alias("share"))
+
+
 _RECORDS = f"SELECT id, CASE id % 3 WHEN 0 THEN 'passport' WHEN 1 THEN 'driver_license' ELSE 'receipt' END AS kind, surname, CASE WHEN id % 4 = 0 THEN NULL ELSE given END AS given, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('P<', country, chr(10), number) END AS mrz FROM ({PERSONS})"
 
 

@@ -1,6 +1,9 @@
 """Splits, profiles, manifests and scores on literal cases; the similarity of tagged answers computed anew."""
 
 import json
+import os
+import subprocess
+import sys
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -85,3 +88,10 @@ def test_clashing_columns(spark):
     listing = spark.createDataFrame([("root/x.png",)], "path string")
     moved = imports.remapped(rows, listing, "root", ("old/",))
     assert moved.columns == rows.columns and {r["id"]: r["image_path"] for r in moved.collect()} == {1: "root/x.png", 2: "none.png", 3: None}
+
+
+def test_any_module_of_queries_can_come_first():
+    """Workers load the module of a function first, not `queries`."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("answers", "identity", "operations", "queries", "records", "scores", "storage"):
+        subprocess.run([sys.executable, "-c", f"import scriptorium.plans.{name}"], cwd=root, check=True)
