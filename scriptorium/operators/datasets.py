@@ -144,9 +144,9 @@ def fallback_split(df: DataFrame, order: str = "line_no") -> DataFrame:
     return unpacked(marked, df.columns, split=F.when(moved, "val").otherwise(F.col("was")))
 
 
-def prioritized(df: DataFrame, source: str, priorities: dict[str, int], populated: str = "populated", key: str = "id") -> DataFrame:
-    """df by the priority of its source (of the first part that it contains, 99 without), filled fields falling, then key."""
+def prioritized(df: DataFrame, source: str, priorities: dict[str, int], populated: str = "populated", key: str = "id", order: tuple[str, ...] = ()) -> DataFrame:
+    """df by the priority of its source (of the first part that it contains, 99 without), filled fields falling, then key; `order` decides among equal keys."""
     rank = F.lit(99)
     for part, n in reversed(priorities.items()):
         rank = F.when(F.col(source).contains(part), n).otherwise(rank)
-    return df.orderBy(rank, F.desc(populated), key)
+    return df.orderBy(rank, F.desc(populated), key, *order)

@@ -155,7 +155,7 @@ _PRIORITIES = {"src1": 2, "again": 1, "src2": 2, "src3": 4}
 @query("SELECT id, source_dataset FROM (" + DATASET + ") ORDER BY " + "CASE " + " ".join(f"WHEN contains(source_dataset, '{p}') THEN {n}" for p, n in _PRIORITIES.items()) + " ELSE 99 END, populated DESC NULLS LAST, id, line_no LIMIT 25")
 def first_to_curate(spark, sf_dir):
     """The first 25 rows of the order in which rows are to be looked at (a top-k report)."""
-    return datasets.prioritized(derive(spark, sf_dir, DATASET), "source_dataset", _PRIORITIES).limit(25).select("id", "source_dataset")
+    return datasets.prioritized(derive(spark, sf_dir, DATASET), "source_dataset", _PRIORITIES, order=("line_no",)).limit(25).select("id", "source_dataset")
 
 
 _TYPED = "SELECT event_id, CAST(floor(event_id / 500) AS BIGINT) AS part, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE concat(event_type, ' ', CAST(event_id AS STRING)) END AS value FROM events"
