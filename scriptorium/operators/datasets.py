@@ -41,6 +41,23 @@ def leakage(train: DataFrame, val: DataFrame, key: str = "id", image: str = "ima
     return ids.unionByName(found.select(F.lit("image").alias("kind"), "value", "n_train", "n_val"))
 
 
+def leak_members(train: DataFrame, val: DataFrame, key: str = "id", image: str = "image_path") -> DataFrame:
+    """kind, value, id, split, n_links: the members of each leak, that is each distinct id of each side that is linked with the other one, by the same id or by an image under another id.
+
+    value is the class (the id or the image), n_links the number of ids of the other side that the member is linked with. All pairs
+    follow from the members, and none are made: a row for each id, image and side.
+    """
+    sides = [s.select(F.col(key).cast("string").alias("id"), F.col(image).cast("string").alias("image"), F.lit(name).alias("split")) for s, name in ((train, "train"), (val, "val"))]
+    classes = F.inline(F.array(F.struct(F.lit("id").alias("kind"), F.col("id").alias("value")), F.struct(F.lit("image").alias("kind"), F.col("image").alias("value"))))
+    rows = sides[0].unionByName(sides[1]).where("id is not null").select("id", "split", classes).where("value is not null")
+    each = rows.groupBy("kind", "value", "id").agg(F.max((F.col("split") == "train").cast("long")).alias("train"), F.max((F.col("split") == "val").cast("long")).alias("val"))
+    whole = each.groupBy("kind", "value").agg(F.sum("train").alias("n_train"), F.sum("val").alias("n_val")).where("n_train > 0 and n_val > 0")
+    own = lambda c: F.when(F.col("kind") == "image", F.col(c)).otherwise(F.lit(0))  # noqa: E731  an image under the same id is a leak of the id
+    member = lambda name, other: F.when(F.col(name) == 1, F.struct(F.lit(name).alias("split"), (F.col(f"n_{other}") - own(other)).alias("n_links")))
+    members = each.join(whole, ["kind", "value"]).select("kind", "value", "id", F.inline(F.array_compact(F.array(member("train", "val"), member("val", "train")))))
+    return members.where("n_links > 0")
+
+
 def route(df: DataFrame, good: Column, diverse: Column) -> DataFrame:
     """df with route: train, eval or manual; one pass."""
     return df.withColumn("route", F.when(good, "train").when(diverse, "eval").otherwise("manual"))

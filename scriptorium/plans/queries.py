@@ -203,12 +203,12 @@ def split_families(spark, sf_dir):
     return found.groupBy("family", "split").agg(F.count("*").alias("n"), F.max(F.when(F.col("split") == "val", F.col("line_no"))).alias("last_val"))
 
 
-@query(f"""WITH s AS ({_SPLIT.format(t=REPEATED)}), t AS (SELECT DISTINCT id, image_path FROM s WHERE split = 'train'), v AS (SELECT DISTINCT id, image_path FROM s WHERE split = 'val')
-SELECT 'id' AS kind, id AS value, CAST(1 AS BIGINT) AS n_train, CAST(1 AS BIGINT) AS n_val FROM (SELECT id FROM t INTERSECT SELECT id FROM v) UNION ALL
-SELECT 'image', image_path, (SELECT count(DISTINCT id) FROM t WHERE t.image_path = p.image_path), (SELECT count(DISTINCT id) FROM v WHERE v.image_path = p.image_path) FROM (SELECT DISTINCT t.image_path FROM t JOIN v ON t.image_path = v.image_path WHERE t.id <> v.id) p""")
+@query(f"""WITH s AS ({_SPLIT.format(t=REPEATED)}), m AS (SELECT DISTINCT 'id' AS kind, id AS value, id, split FROM s WHERE id IS NOT NULL UNION ALL SELECT DISTINCT 'image', image_path, id, split FROM s WHERE id IS NOT NULL AND image_path IS NOT NULL)
+SELECT a.kind, a.value, a.id, a.split, count(*) AS n_links FROM m a JOIN m b ON a.kind = b.kind AND a.value = b.value AND a.split <> b.split AND (a.kind = 'id' OR a.id <> b.id) GROUP BY ALL""")
 def split_leakage(spark, sf_dir):
+    """Which rows leak: a row for each id of each side of a leak, with how many ids of the other side it is linked with."""
     s = datasets.last_of_group_split(derive(spark, sf_dir, REPEATED))
-    return datasets.leakage(s.where("split = 'train'"), s.where("split = 'val'"))
+    return datasets.leak_members(s.where("split = 'train'"), s.where("split = 'val'"))
 
 
 @query("""SELECT d.doc_id AS id, CASE WHEN l.quality = 1 AND l.toxic = 0 AND d.n_chars >= 500 THEN 'train' WHEN l.quality = 1 THEN 'eval' ELSE 'manual' END AS route, d.n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id NOT IN (SELECT CAST(item_id AS BIGINT) FROM benchmark WHERE item_id IS NOT NULL)""")
