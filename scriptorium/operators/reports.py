@@ -47,14 +47,18 @@ def families(expected: DataFrame, predicted: DataFrame, normal: Callable[[Column
     expected: id, key, value; predicted: engine, id, key, value; normal(key, value) is a value's normal form. Documents without a
     field of a family count with zeros; without documents there are no rows.
     """
-    value = normal(F.col("key"), F.col("value"))
-    of = F.array_compact(F.array(F.struct(F.lit("exact").alias("family"), F.col("value").alias("value")), F.struct(F.lit("normalised").alias("family"), value.alias("value")), F.when(F.col("key").isin(*derivable), F.struct(F.lit("derivable").alias("family"), value.alias("value")))))
-    long = lambda t, *more: t.where("value is not null").select(*more, "id", "key", F.explode(of).alias("f")).select(*more, "id", "key", "f.family", "f.value")
+    known = lambda t, *more: t.where("value is not null").select(*more, "id", "key", "value", normal(F.col("key"), F.col("value")).alias("normal"))
     engines = F.broadcast(predicted.select("engine").distinct())  # a row for each engine
     nothing = F.lit(None).cast("string")
-    cells = long(expected).crossJoin(engines).withColumnsRenamed({"value": "e"}).withColumn("p", nothing).unionByName(long(predicted, "engine").withColumnsRenamed({"value": "p"}).withColumn("e", nothing))
-    cell = cells.groupBy("engine", "family", "id", "key").agg(F.max("e").alias("e"), F.max("p").alias("p"))
-    docs = cell.groupBy("engine", "family", "id").agg(F.count_if(F.col("e") == F.col("p")).alias("tp"), F.count("p").alias("n_p"), F.count("e").alias("n_e")).join(expected.select("id").distinct(), "id", "left_semi")
+    cells = known(expected).crossJoin(engines).select("engine", "id", "key", F.col("value").alias("e"), F.col("normal").alias("ne"), nothing.alias("p"), nothing.alias("np"))
+    cells = cells.unionByName(known(predicted, "engine").select("engine", "id", "key", nothing.alias("e"), nothing.alias("ne"), F.col("value").alias("p"), F.col("normal").alias("np")))
+    # a row for each field, not for each field and family: families are told apart once their fields are numbers
+    cell = cells.groupBy("engine", "id", "key").agg(*(F.max(c).alias(c) for c in ("e", "ne", "p", "np")))
+    counted = lambda e, p, own: F.struct(*(F.count_if(own & c).alias(n) for n, c in (("tp", F.col(e) == F.col(p)), ("n_p", F.col(p).isNotNull()), ("n_e", F.col(e).isNotNull()), ("any", F.lit(True)))))
+    told = F.coalesce(F.col("key").isin(*derivable), F.lit(False))
+    kinds = {"exact": counted("e", "p", F.lit(True)), "normalised": counted("ne", "np", F.lit(True)), "derivable": counted("ne", "np", told)}
+    docs = cell.groupBy("engine", "id").agg(*(c.alias(n) for n, c in kinds.items())).join(expected.select("id").distinct(), "id", "left_semi")
+    docs = docs.select("engine", F.inline(F.array(*(F.struct(F.lit(n).alias("family"), F.col(n).alias("c")) for n in kinds)))).select("engine", "family", "c.*").where("any > 0")
     p, r = rate(F.col("tp"), F.col("n_p")), rate(F.col("tp"), F.col("n_e"))
     sums = docs.groupBy("engine", "family").agg(*(F.sum(c).alias(n) for n, c in (("field_accuracy", r), ("precision", p), ("recall", r), ("f1_score", f1(p, r)))))
     whole = expected.agg(F.count_distinct("id").alias("n"))  # one row
