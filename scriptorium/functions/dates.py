@@ -36,16 +36,14 @@ def space_date(c: Column) -> Column:
 
 def mmddyyyy(c: Column) -> Column:
     """Whether the digits are a plausible MMDDYYYY (no calendar check)."""
-    d = F.regexp_replace(c, "[^0-9]", "")
-    n = lambda a, b: F.substring(d, a, b).try_cast("int")
-    return F.coalesce((F.length(d) == 8) & n(1, 2).between(1, 12) & n(3, 2).between(1, 31) & n(5, 4).between(1900, 2099), F.lit(False))
+    return F.coalesce(F.regexp_replace(c, "[^0-9]", "").rlike(r"\A(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:19|20)[0-9]{2}\z"), F.lit(False))
 
 
 def ordinal(c: Column) -> Column:
     """MM/DD/YYYY as a number yyyymmdd, null if out of range."""
-    n = lambda i: F.regexp_extract(F.trim(c), r"^([0-9]{2})/([0-9]{2})/([0-9]{4})\z", i).try_cast("int")
-    ok = n(1).between(1, 12) & n(2).between(1, 31) & n(3).between(1900, 2099)
-    return F.when(ok, n(3) * 10000 + n(1) * 100 + n(2))
+    d = F.trim(c)
+    ok = d.rlike(r"\A(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2}\z")
+    return F.when(ok, F.concat(F.substring(d, 7, 4), F.substring(d, 1, 2), F.substring(d, 4, 2)).cast("int"))
 
 
 def amount(c: Column) -> Column:
@@ -105,6 +103,13 @@ def repaired_year(c: Column, ls: Column) -> Column:
 
 def identity_date(c: Column, ls: Column) -> Column:
     """MM/DD/YYYY from a date of a licence or card: years of too many, three or two digits are mended, eight digits are split; else the text if it holds a digit."""
+    from scriptorium.functions.mrz import let
+
+    # worked out once, and only digits make a date
+    return let(c, lambda v: F.when(v.rlike("[0-9]"), _dated(v, ls)))
+
+
+def _dated(c: Column, ls: Column) -> Column:
     part = lambda pattern, i: F.regexp_extract(c, _apart(pattern), i)
     direct, long_, over = "[0-9]{2}/[0-9]{2}/[0-9]{4}", "([0-9]{2})/([0-9]{2})/1([0-9]{4})", "([0-9]{2})/([0-9]{2})/[0-9]{2}([0-9]{4})"
     three, two, compact = "([0-9]{2})/([0-9]{2})/([0-9]{3})", "([0-9]{2})/([0-9]{2})/([0-9]{2})", "([0-9]{2})([0-9]{2})([0-9]{4})"
@@ -126,7 +131,11 @@ def identity_date(c: Column, ls: Column) -> Column:
 
 def better_identity_date(candidate: Column, current: Column, birth: bool) -> Column:
     """Whether a candidate should replace the current date: births tend to earlier years but from 1930 on over older ones given last, expiries to later ones."""
-    new, old = ordinal(candidate), ordinal(current)
+    return better_ordinal(ordinal(candidate), ordinal(current), birth)
+
+
+def better_ordinal(new: Column, old: Column, birth: bool) -> Column:
+    """better_identity_date of two ordinals, which are best worked out in a stage before: it names them often."""
     y, was = F.floor(new / 10000), F.floor(old / 10000)
     last = 2030 if birth else 2035
     out = F.when(new.isNull(), False).when(old.isNull(), True).when(was > last, True).when(y > last, False)
@@ -146,7 +155,8 @@ def better_issue_date(candidate: Column, current: Column, birth: Column, expiry:
 
 def _first(ls: Column, pattern: str, excluded: Column, group: int = 1) -> Column:
     """The first date of a pattern, line by line, that is not excluded."""
-    found = F.transform(ls, lambda x: identity_date(F.regexp_extract(F.upper(x), pattern, group), ls))
+    said = F.filter(F.transform(ls, lambda x: F.regexp_extract(F.upper(x), pattern, group)), lambda d: d != "")
+    found = F.transform(said, lambda d: identity_date(d, ls))
     return F.get(F.filter(found, lambda d: d.isNotNull() & ~F.array_contains(excluded, d)), F.lit(0))
 
 

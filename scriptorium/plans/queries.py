@@ -370,7 +370,8 @@ def mended_dates(spark, sf_dir):
 def better_dates(spark, sf_dir):
     both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     slashed = both.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("new"), F.date_format("l_shipdate", "MM/dd/yyyy").alias("old"))
-    return slashed.select("id", "n", *(dates.better_identity_date(F.col("new"), F.col("old"), birth).alias(name) for name, birth in (("birth", True), ("expiry", False))))
+    read = slashed.select("id", "n", dates.ordinal(F.col("new")).alias("new"), dates.ordinal(F.col("old")).alias("old"))
+    return read.select("id", "n", *(dates.better_ordinal(F.col("new"), F.col("old"), birth).alias(name) for name, birth in (("birth", True), ("expiry", False))))
 
 
 @query("SELECT page_id, CASE WHEN coalesce(length(html), 0) = 0 THEN 400 WHEN length(html) > 2000 THEN 413 WHEN page_id % 4 = 0 THEN 415 ELSE 200 END AS code, len(regexp_extract_all(coalesce(html, ''), '<p>')) >= 5 AS loops FROM pages")
