@@ -19,22 +19,29 @@ TAX_ID, IBAN, NUMBER = "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[A-Z]{2}[0-9]{2}[A-Z0-9]{1
 
 def schema(c: Column) -> Column:
     """Struct of FIELDS: what stands between their tags; where none is tagged, a seller and a date by other tags, tax ids and amounts by the order of their hits, the first IBAN and the first number of 6 to 10 digits."""
-    clean = passport.without_special(c)
-    tagged = F.struct(*(text.tag(clean, f"s_{f}").alias(f) for f in FIELDS))
+
+    def of(clean: Column) -> Column:
+        tagged = F.struct(*(text.tag(clean, f"s_{f}").alias(f) for f in FIELDS))
+        return let(tagged, lambda s: F.when(F.coalesce(*(s[f] for f in FIELDS)).isNotNull(), s).otherwise(fallback(clean)))
 
     def fallback(t: Column) -> Column:
-        hits = lambda p: F.regexp_extract_all(t, F.lit(EDGE_L + p + EDGE_R), F.lit(0))
+        # each pattern is sought once
+        every = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
+        return let(F.struct(every(EDGE_L + TAX_ID + EDGE_R).alias("ids"), every(AMOUNT).alias("amounts")), lambda hits: values(t, hits))
+
+    def values(t: Column, hits: Column) -> Column:
+        first = lambda p: F.nullif(F.regexp_extract(t, EDGE_L + p + EDGE_R, 0), F.lit(""))
         tag = lambda name: F.nullif(text.tag(t, f"s_{name}"), F.lit(""))
-        amounts = F.regexp_extract_all(t, F.lit(AMOUNT), F.lit(0))
-        nth = lambda xs, n: F.get(xs, F.lit(n))
-        values = {
-            "invoice_no": nth(hits(NUMBER), 0), "invoice_date": dates.space_date(text.tag(t, f"s_{DATE_TAG}")), "seller": F.nullif(F.concat_ws(" ", *map(tag, SELLER_TAGS)), F.lit("")), "client": F.lit(None),
-            "seller_tax_id": nth(hits(TAX_ID), 0), "client_tax_id": nth(hits(TAX_ID), 1), "iban": nth(hits(IBAN), 0),
-            "total_net_worth": dates.amount_text(F.coalesce(tag(NET_TAG), nth(amounts, 0))), "total_vat": F.lit(None), "total_gross_worth": dates.amount_text(F.coalesce(tag(GROSS_TAG), nth(amounts, 1))),
+        nth = lambda name, n: F.get(hits[name], F.lit(n))
+        found = {
+            "invoice_no": first(NUMBER), "invoice_date": dates.space_date(text.tag(t, f"s_{DATE_TAG}")), "seller": F.nullif(F.concat_ws(" ", *map(tag, SELLER_TAGS)), F.lit("")), "client": F.lit(None),
+            "seller_tax_id": nth("ids", 0), "client_tax_id": nth("ids", 1), "iban": first(IBAN),
+            "total_net_worth": dates.amount_text(F.coalesce(tag(NET_TAG), nth("amounts", 0))), "total_vat": F.lit(None), "total_gross_worth": dates.amount_text(F.coalesce(tag(GROSS_TAG), nth("amounts", 1))),
         }
-        return F.struct(*(values[f].cast("string").alias(f) for f in FIELDS))
+        return F.struct(*(found[f].cast("string").alias(f) for f in FIELDS))
 
-    return F.when(c.isNotNull(), let(tagged, lambda s: F.when(F.coalesce(*(s[f] for f in FIELDS)).isNotNull(), s).otherwise(let(clean, fallback))))
+    # what the tags and patterns are sought in is worked out once
+    return F.when(c.isNotNull(), let(passport.without_special(c), of))
 
 
 def truth(json: Column) -> Column:
