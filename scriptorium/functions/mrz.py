@@ -46,8 +46,8 @@ def check_digit(s: Column) -> Column:
     """
 
     def third(weight: int, begin: int) -> Column:
-        digits = F.translate(F.substr(s, F.lit(begin)), _KNOWN, "".join(str(v * weight % 10) for v in _VALUES))
-        return F.regexp_replace(digits, "(.).{0,2}", "$1")
+        own = F.regexp_replace(F.substr(s, F.lit(begin)), "(.).{0,2}", "$1")
+        return F.translate(own, _KNOWN, "".join(str(v * weight % 10) for v in _VALUES))
 
     def total(u: Column) -> Column:
         having = lambda digits: F.length(u) - F.length(F.translate(u, digits, ""))
