@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.dates import mmddyyyy
 from scriptorium.functions.mrz import let
 from scriptorium.functions.payload import CATEGORIES, EDGE_L, EDGE_R, license_categories
-from scriptorium.functions.text import strip
+from scriptorium.functions.text import holds, strip
 
 #: Labels of lines and words that are no values (fixed values).
 CATEGORY_MARKERS = ("CATEGORY", "CATEGORIES", "CAT.", "CLASS")
@@ -22,10 +22,7 @@ NO_SURNAME = ("UNITED STATES", "PASSPORT", "GIVEN NAMES", "NATIONALITY", "DATE O
 
 
 def _any(line: Column, markers: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for m in markers:
-        out = out | F.contains(F.upper(line), F.lit(m))
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(holds(line, markers), F.lit(False))
 
 
 def _positions(ls: Column) -> Column:

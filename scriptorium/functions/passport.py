@@ -84,7 +84,7 @@ def issue_date(c: Column) -> Column:
 
 def first_line(ls: Column, markers: tuple[str, ...]) -> Column:
     """The first line that holds a marker (in upper case); null without one."""
-    return F.get(F.filter(ls, lambda x: F.exists(F.array(*map(F.lit, markers)), lambda m: F.upper(x).contains(m))), F.lit(0))
+    return F.get(ls, (text.first_with(ls, markers) - 1).cast("int"))
 
 
 def zone_text(ls: Column) -> Column:

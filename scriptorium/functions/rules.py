@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.mrz import let
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -30,8 +32,8 @@ def compiled(rules: list[Rule]) -> Column:
         own = [r for r in rules if r.field == field]
         gate = lambda r: F.lit(True) if r.when is None else F.coalesce(r.when, F.lit(False))
         tried = F.array(*(F.struct(r.value.cast("string").alias("value"), F.lit(r.source).alias("source"), gate(r).alias("open"), F.lit(r.last).alias("last")) for r in own))
-        found = F.get(F.filter(tried, lambda x: x["open"] & (x["last"] | (F.coalesce(F.trim(x["value"]), F.lit("")) != ""))), F.lit(0))
-        return F.struct(found["value"].alias("value"), F.when(found["value"].isNotNull(), found["source"]).alias("source"))
+        first = F.get(F.filter(tried, lambda x: x["open"] & (x["last"] | (F.coalesce(F.trim(x["value"]), F.lit("")) != ""))), F.lit(0))
+        return let(first, lambda found: F.struct(found["value"].alias("value"), F.when(found["value"].isNotNull(), found["source"]).alias("source")))
 
     return F.struct(*(of(f).alias(f) for f in dict.fromkeys(r.field for r in rules)))
 

@@ -109,10 +109,19 @@ def repetitive(values: Column) -> Column:
     return (n >= 4) & (F.size(F.array_distinct(values)) <= F.greatest(F.lit(2), F.floor(n / 2)))
 
 
+def holds(line: Column, markers: tuple[str, ...]) -> Column:
+    """Whether a line holds a marker (in upper case); null stays null. One search of one upper-case line for all markers."""
+    return F.upper(line).rlike("|".join(rf"\Q{m}\E" for m in markers))
+
+
+def first_with(ls: Column, markers: tuple[str, ...]) -> Column:
+    """Place (from 1) of the first line that holds a marker; null without one."""
+    return F.nullif(F.array_position(F.transform(ls, lambda x: holds(x, markers)), F.lit(True)), F.lit(0))
+
+
 def value_after(ls: Column, markers: tuple[str, ...]) -> Column:
-    """The line after the first line that holds a marker (in upper case); later hits if there is none after it."""
-    hits = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: F.exists(F.array(*map(F.lit, markers)), lambda m: F.upper(F.get(ls, i - 1)).contains(m)) & (i < F.size(ls)))
-    return F.when(F.size(ls) > 0, F.get(ls, F.get(hits, F.lit(0))))
+    """The line after the first line that holds a marker (in upper case); null if it is the last one."""
+    return F.get(ls, first_with(ls, markers).cast("int"))
 
 
 def same_or_next(ls: Column, markers: tuple[str, ...]) -> Column:
@@ -123,7 +132,9 @@ def same_or_next(ls: Column, markers: tuple[str, ...]) -> Column:
         found = [F.when(F.instr(F.upper(line), F.lit(m)) > 0, F.coalesce(F.nullif(F.btrim(F.substr(line, F.instr(F.upper(line), F.lit(m)) + len(m)), F.lit(" :-")), F.lit("")), F.get(ls, i))) for m in markers]
         return F.coalesce(*found)
 
-    return F.when(F.size(ls) > 0, F.get(F.filter(F.transform(F.sequence(F.lit(1), F.size(ls)), of), lambda x: x.isNotNull()), F.lit(0)))
+    # only lines that hold a marker are cut
+    hits = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: holds(F.get(ls, i - 1), markers))
+    return F.when(F.size(ls) > 0, F.get(F.filter(F.transform(hits, of), lambda x: x.isNotNull()), F.lit(0)))
 
 
 def distinct_lines(ls: Column) -> Column:
