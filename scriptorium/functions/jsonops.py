@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from scriptorium.functions.mrz import let
 from scriptorium.functions.text import strip
 
 #: Keys that a salvage leaves out (fixed values).
@@ -19,18 +20,24 @@ IGNORED = ("document_type", "document_content", "text", "text_content", "text_ve
 
 def object_text(c: Column) -> Column:
     """The JSON object in a text: from the first { to the last }, or to the end; trailing commas dropped, missing } added. Null if none parses."""
-    start = F.locate("{", c)
-    tail = F.substr(c, start)
-    last = F.length(tail) - F.locate("}", F.reverse(tail)) + 1
-    cut = F.when(F.locate("}", tail) > 0, F.substr(tail, F.lit(1), last))
     clean = lambda x: F.regexp_replace(x, r",\s*([}\]])", "$1")
-    missing = lambda x: F.length(F.regexp_replace(x, "[^{]", "")) - F.length(F.regexp_replace(x, "[^}]", ""))
+    missing = lambda x: F.length(F.replace(x, F.lit("}"), F.lit(""))) - F.length(F.replace(x, F.lit("{"), F.lit("")))
     closed = lambda x: F.concat(F.regexp_replace(x, r",\s*\z", ""), F.repeat(F.lit("}"), F.greatest(F.lit(0), missing(x))))
-    tries = [x for t in (cut, tail) for x in (t, clean(t), clean(closed(t)))]
-    # the parser stops behind the first value; as the only item of a list, nothing may follow it
-    listed = lambda x: F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), "$", "array<variant>")
-    good = lambda x: F.when((F.size(listed(x)) == 1) & F.schema_of_variant(F.get(listed(x), F.lit(0))).startswith("OBJECT"), x)
-    return F.when(start > 0, F.coalesce(*map(good, tries)))
+    # the parser stops behind the first value. A text from { on is an object if it ends with } and is the only item of a list,
+    # and one of two with another item behind it: a ] that ends the list too early leaves both of one length
+    items = lambda x: F.size(F.try_variant_get(F.try_parse_json(x), "$", "array<variant>"))
+    good = lambda x: F.rtrim(x, F.lit(" \t\n\r")).endswith("}") & (items(F.concat(F.lit("["), x, F.lit("]"))) == 1) & (items(F.concat(F.lit("["), x, F.lit(",0]"))) == 2)
+
+    # each text is bound, and parsed once; the others are only made if the first one is not good
+    def of(tail: Column) -> Column:
+        last = F.length(tail) - F.locate("}", F.reverse(tail)) + 1
+        return let(F.when(F.locate("}", tail) > 0, F.substr(tail, F.lit(1), last)), lambda cut: F.when(good(cut), cut).otherwise(other(cut, tail)))
+
+    def other(cut: Column, tail: Column) -> Column:
+        tries = F.array_distinct(F.array(*(y for x in (cut, tail) for y in (x, clean(x), clean(closed(x))))))
+        return F.get(F.filter(tries, lambda x: ~x.eqNullSafe(cut) & good(x)), F.lit(0))
+
+    return let(c, lambda t: F.when(F.locate("{", t) > 0, let(F.substr(t, F.locate("{", t)), of)))
 
 
 #: Most characters that are trimmed from a tail, less one (fixed value).

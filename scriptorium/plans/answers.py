@@ -117,7 +117,7 @@ g AS (SELECT id, attempt, trim_, CASE WHEN ends_with(x, '}}') THEN x ELSE concat
 h AS (SELECT id, arg_min(x, attempt * 1000 + trim_) AS x FROM g WHERE json_valid(x) AND starts_with(x, '{{') AND NOT regexp_matches(x, ',\s*[}}\]]') GROUP BY id)
 SELECT d.id AS id, coalesce(d.found, h.x) AS object, d.found IS NULL AND h.x IS NOT NULL AS trimmed FROM d LEFT JOIN h ON h.id = d.id""")
 def trimmed_objects(spark, sf_dir):
-    b = derive(spark, sf_dir, BROKEN).select("id", F.col("t"), jsonops.object_text(F.col("t")).alias("found"))
+    b = derive(spark, sf_dir, BROKEN, ("events",)).select("id", F.col("t"), jsonops.object_text(F.col("t")).alias("found"))
     b = b.select("id", "found", jsonops.trimmed(F.when(F.col("found").isNull(), F.col("t"))).alias("cut"))
     return b.select("id", F.coalesce("found", "cut").alias("object"), F.col("cut").isNotNull().alias("trimmed"))
 

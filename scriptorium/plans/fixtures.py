@@ -47,15 +47,14 @@ SELECT l_orderkey AS id, l_linenumber AS n, concat('$ ', CAST(CAST(l_quantity AS
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt to all cores, in equal parts. A million customers are a few MB of Parquet, which would be read, and all that is derived from them worked out, by one task or a few."""
+    """The rows dealt to all cores, in equal parts. A million customers, orders or events are a few MB of Parquet, often in one row group, which would be read, and all that is derived from them worked out, by one task or a few."""
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run a derivation over the tables that it names. Customers that it reads once are spread, as texts are made of them that take long to read."""
+def derive(spark: SparkSession, sf_dir: str, sql: str, dealt: tuple[str, ...] = ("customer",)) -> DataFrame:
+    """Run a derivation over the tables that it names. Those of `dealt` that it reads once are spread, as texts are made of them that take long to read."""
     named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in sql or f"JOIN {t}" in sql}
-    if sql.count("FROM customer") == 1:
-        named["customer"] = spread(named["customer"])
+    named |= {t: spread(named[t]) for t in dealt if sql.count(f"FROM {t}") == 1}
     sql = sql.replace("{", "{{").replace("}", "}}")
     for t in named:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
