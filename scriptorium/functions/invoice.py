@@ -59,14 +59,15 @@ SUMMARY = FIELDS[7:]
 def simplified(json: Column, with_items: bool = False) -> Column:
     """A ground truth (JSON text) with header and summary only, and with_items its items: nested parts as they are, else made of flat keys; parts without any key are left out."""
 
-    def part(name: str, keys: tuple[str, ...], opening: str) -> Column:
-        raw = lambda k: F.get_json_object(json, f"$.{k}")
-        nested = F.when(raw(name).startswith(opening), raw(name))
-        here = F.filter(F.array(*map(F.lit, keys)), lambda k: F.coalesce(F.array_contains(F.json_object_keys(json), k), F.lit(False)))
-        value = F.create_map(*(x for k in keys for x in (F.lit(k), F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json(json), f"$.{k}", "variant")), F.lit("null")))))
-        made = F.concat(F.lit("{"), F.array_join(F.transform(here, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.try_element_at(value, k))), ","), F.lit("}"))
-        flat = F.when(F.size(here) > 0, F.concat(F.lit("["), made, F.lit("]")) if opening == "[" else made)
-        return F.concat(F.lit(f'"{name}":'), F.coalesce(nested, flat))
-
-    parts = [part("header", HEADER, "{")] + ([part("items", ITEMS, "[")] if with_items else []) + [part("summary", SUMMARY, "{")]
-    return F.when(json.isNotNull(), F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}")))
+    def part(name: str, keys: tuple[str, ...], opening: str, said: Column, parsed: Column) -> Column:
+        nested = let(F.get_json_object(json, f"$.{name}"), lambda raw: F.when(raw.startswith(opening), raw))
+        value = lambda k: F.coalesce(F.to_json(F.try_variant_get(parsed, f"$.{k}", "variant")), F.lit("null"))
+        here = F.array_compact(F.array(*(F.when(F.array_contains(said, k), F.concat(F.lit(f'"{k}":'), value(k))) for k in keys)))
+        made = lambda x: F.concat(F.lit("[{" if opening == "[" else "{"), F.array_join(x, ","), F.lit("}]" if opening == "[" else "}"))
+        return F.concat(F.lit(f'"{name}":'), F.coalesce(nested, let(here, lambda x: F.when(F.size(x) > 0, made(x)))))
+
+    wanted = [("header", HEADER, "{"), *([("items", ITEMS, "[")] if with_items else []), ("summary", SUMMARY, "{")]
+    # the text's keys are listed once, and its values read from one parse
+    made = lambda x: F.array_compact(F.array(*(part(*w, x["keys"], x["values"]) for w in wanted)))
+    parts = let(F.struct(F.json_object_keys(json).alias("keys"), F.try_parse_json(json).alias("values")), made)
+    return F.when(json.isNotNull(), F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))

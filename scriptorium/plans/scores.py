@@ -149,7 +149,7 @@ CASE o_orderkey % 4 WHEN 0 THEN concat('{{"header":{{"invoice_no":', {_NUMBER},
 WHEN 2 THEN concat('{{"header":{{"invoice_no":', {_NUMBER}, '}},"summary":{{"total_net_worth":"', o_custkey, '"}}}}') ELSE '{{}}' END AS simplified FROM orders""")
 def invoice_truths(spark, sf_dir):
     """Ground truths by parts or flat: two of their fields, and the simplified form."""
-    t = derive(spark, sf_dir, _INVOICES).select("id", invoice.truth(F.col("t")).alias("f"), invoice.simplified(F.col("t"), True).alias("simplified"))
+    t = derive(spark, sf_dir, _INVOICES, ("orders",)).select("id", invoice.truth(F.col("t")).alias("f"), invoice.simplified(F.col("t"), True).alias("simplified"))
     return t.select("id", "f.invoice_no", "f.total_vat", "simplified")
 
 
