@@ -77,7 +77,8 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
     padded[width - 1 : width - 1 + len(least)] = least
     at = np.flatnonzero(hashes == _slide(padded, width, np.maximum, 0))
-    near, step = np.zeros(len(at), np.int64), (length - gram) // SLOTS
+    # rounded up, so that the steps reach a gram at the end of its string too
+    near, step = np.zeros(len(at), np.int64), -(-(length - gram) // SLOTS)
     for j in range(SLOTS):
         begin, end = at - step * j, at + length - step * (j + 1)
         whole = (begin >= 0) & (end <= len(raw))
