@@ -50,15 +50,20 @@ class Powers:
 _POWERS = Powers()
 
 
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text that isn't empty begins and ends."""
+    inside = ~_SPACES[np.frombuffer(text, np.uint8)]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edge = np.concatenate([[0] * bool(inside[0]), edge, [len(inside)] * bool(inside[-1])]).astype(np.int64)
+    return edge[::2], edge[1::2]
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each word of a text."""
     raw = np.frombuffer(text, np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64)
-    inside = ~_SPACES[raw]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    edge = np.concatenate([[0] * bool(inside[0]), edge, [len(raw)] * bool(inside[-1])]).astype(np.int64)
-    begin, end = edge[::2], edge[1::2]
+    begin, end = word_bounds(text)
     up, down = _POWERS.of(len(raw))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up, dtype=np.uint64)])
     return _mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import bytes_of, discard, key_of, runs, schema_of, slices, tidied, written
-from scriptorium.llm.shingles import _BYTES, _POWERS, _SPACES, WORD, _mix, word_hashes
+from scriptorium.llm.shingles import _BYTES, _POWERS, _SPACES, _mix, word_bounds, word_hashes
 from scriptorium.llm.suffix_sort import common, sort_suffixes
 
 LENGTH, GRAM = 400, 96
@@ -60,17 +60,18 @@ def _slide(x: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray:
     return best(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are least in some string of `length` bytes, and the packed hashes of their neighbourhoods.
 
     A neighbourhood reaches so far to the left and right that a string of `length` bytes through the gram fills one of them;
-    its hash has a bit on top that says that the text holds it whole.
+    its hash has a bit on top that says that the text holds it whole. A unit of WORD_BYTES takes grams at whole words only.
     """
     if len(text) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    raw = np.frombuffer(text, np.uint8)
+    raw = np.frombuffer(text, np.uint8 if unit == 1 else np.uint64)
+    length, gram = length // unit, gram // unit
     up, down = _POWERS.of(len(raw))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up, dtype=np.uint64)])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_BYTES[raw] if unit == 1 else raw) * up, dtype=np.uint64)])
     hashes = _mix((total[gram:] - total[:-gram]) * down[: len(raw) - gram + 1])
     width = length - gram + 1
     least = _slide(hashes, width, np.minimum, 0xFFFFFFFFFFFFFFFF)
@@ -85,7 +86,7 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         begin, end = np.maximum(begin, 0), np.minimum(end, len(raw))
         bits = _mix((total[end] - total[begin]) * down[begin]) >> np.uint64(64 - SLOT_BITS)
         near = near << (SLOT_BITS + 1) | np.where(whole, bits.astype(np.int64) | 1 << SLOT_BITS, 0)
-    return at, hashes[at], near
+    return at * unit, hashes[at], near
 
 
 def cover(lefts: list[bytes], rights: list[bytes], length: int) -> np.ndarray:
@@ -142,8 +143,8 @@ def by_words(text: bytes) -> bytes:
     return word_hashes(text).tobytes()
 
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", many: int = MANY, view: Callable[[bytes], bytes] = bytes) -> DataFrame:
-    """Covered ranges: k (text_key of the row) and spans (array of start, end in bytes of the view of its text; they may overlap)."""
+def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", many: int = MANY, view: Callable[[bytes], bytes] = bytes, unit: int = 1) -> DataFrame:
+    """Covered ranges: k (text_key of the row) and spans (array of start, end in bytes of the view of its text, which has parts of `unit` bytes; they may overlap)."""
     import xxhash  # noqa: F401  the tasks need it too
 
     side = length - gram
@@ -156,7 +157,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
             for batch in slices(whole, "text"):
                 at, grams, nears, contexts, rows = [], [], [], [], []
                 for row, t in enumerate(map(view, bytes_of(batch))):
-                    p, h, near = anchors(t, length, gram)
+                    p, h, near = anchors(t, length, gram, unit)
                     at.append(p)
                     grams.append(h)
                     nears.append(near)
@@ -223,7 +224,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
         for batch in batches:
             for g, c, b, a in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 whole, base = b + a, len(b)
-                starts = np.array([o for o in range(max(0, base + gram - length), base + 1) if o + length <= len(whole)], np.int64)
+                starts = np.array([o for o in range(max(0, base + gram - length), base + 1, unit) if o + length <= len(whole)], np.int64)
                 if len(starts):
                     digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[o : o + length]) for o in starts.tolist()), "<i8").reshape(-1, 2)
                     many_of = lambda x: pa.array(np.full(len(starts), x, np.int64))
@@ -239,6 +240,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     counted = strings.join(twice, string).groupBy("gram", "context").agg(F.max("left").alias("reach_left"), F.max(F.lit(length) - F.col("left")).alias("reach_right"))
     whole = classes.where("n > 1").select("gram", "context", F.lit(side).cast("long").alias("reach_left"), F.lit(length).cast("long").alias("reach_right"))
     reached = written(whole.unionByName(sorted_).unionByName(counted).groupBy("gram", "context").agg(*(F.max(c).alias(c) for c in REACH)), "reached")
+    discard(classes, shared, close, contexts)
     span = F.struct(F.greatest(F.lit(0), F.col("at") - F.col("reach_left")).cast("int").alias("start"), (F.col("at") + F.col("reach_right")).cast("int").alias("end"))
     spans = places.join(reached, ["gram", "context"]).select("k", span.alias("span"))
     return spans.groupBy("k").agg(F.collect_set("span").alias("spans"))
@@ -278,14 +280,20 @@ def passages(raw: bytes, spans: list[dict] | None, words: int) -> list[dict]:
     """Ranges of bytes of the words that spans over the word view cover, with the blanks between them; words that a span has only in part don't count."""
     found = []
     if spans:
-        at = [m.span() for m in WORD.finditer(raw)]
-        for a, b in united(spans, WORD_BYTES * len(at)):
+        begin, end = word_bounds(raw)
+        for a, b in united(spans, WORD_BYTES * len(begin)):
             first, last = -(-a // WORD_BYTES), b // WORD_BYTES
             if last - first > words:
-                found.append({"start": at[first][0], "end": at[last - 1][1]})
+                found.append({"start": int(begin[first]), "end": int(end[last - 1])})
     return found
 
 
+def _passages(docs: DataFrame, key: str, text: str, words: int, many: int) -> DataFrame:
+    """Spans over the word view of repeated runs of over `words` words, as covered() gives them."""
+    gram = min(GRAM_WORDS, (words + 1) // 3 or 1)
+    return covered(docs, WORD_BYTES * (words + 1), WORD_BYTES * gram, key, text, many, by_words, WORD_BYTES)
+
+
 def _apply(docs: DataFrame, text: str, key: str, columns: list[str], found: list[DataFrame], step, schema: str) -> DataFrame:
     """step over the columns (named c0, c1 ..., so that no name clashes), followed by the spans of each table in `found`."""
     keyed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), text_key(key, text).alias("k"))
@@ -294,26 +302,35 @@ def _apply(docs: DataFrame, text: str, key: str, columns: list[str], found: list
     return keyed.drop("k").mapInArrow(tidied(step), schema)
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (of the remaining bytes) of each document."""
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int | None = None, many: int = MANY, **options) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (of the remaining bytes) of each document.
+
+    With `words`, also n_passages and n_passage_bytes: maximal ranges of repeated passages of over so many words, and their bytes
+    with the blanks between words. They change nothing in the other columns.
+    """
+    found = [covered(docs, key=key, text=text, many=many, **options)]
+    if words is not None:
+        found.append(_passages(docs, key, text, words, many))
+    kind, tables = docs.schema[key].dataType.simpleString(), len(found)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_passages", "n_passage_bytes"] * (words is not None)]
+    kinds = [pa.string() if x == "kept_sha256" else pa.int64() for x in names]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "c1"):
                 rows = []
-                for t, spans in zip(bytes_of(batch, "c1"), batch.column(2).to_pylist(), strict=True):
+                for t, spans, *own in zip(bytes_of(batch, "c1"), *(batch.column(2 + i).to_pylist() for i in range(tables)), strict=True):
                     cut = united(spans, len(t))
                     kept, at = hashlib.sha256(), 0
                     for a, b in cut:
                         kept.update(t[at:a])
                         at = b
                     kept.update(t[at:])
-                    rows.append((len(t), sum(b - a for a, b in cut), len(cut), kept.hexdigest()))
-                columns = [*zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    repeated = [passages(t, x, words) for x in own]
+                    rows.append((len(t), sum(b - a for a, b in cut), len(cut), kept.hexdigest(), *(n for x in repeated for n in (len(x), sum(r["end"] - r["start"] for r in x)))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True), kinds)], names=["doc_id", *names])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return _apply(docs, text, key, [key, text], [covered(docs, key=key, text=text, **options)], step, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _apply(docs, text, key, [key, text], found, step, f"doc_id {kind}, " + ", ".join(f"{x} {'string' if x == 'kept_sha256' else 'long'}" for x in names))
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int | None = None, many: int = MANY, **options) -> DataFrame:
@@ -322,8 +339,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     where = columns.index(text)
     found = [covered(docs, key=key, text=text, many=many, **options)]
     if words is not None:
-        gram = min(GRAM_WORDS, (words + 1) // 3 or 1)
-        found.append(covered(docs, WORD_BYTES * (words + 1), WORD_BYTES * gram, key, text, many, by_words))
+        found.append(_passages(docs, key, text, words, many))
     width, tables = len(columns), len(found)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
